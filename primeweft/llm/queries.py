@@ -8,16 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import spread, texts
+from .op2_quality import quality
+from .op6_packing import pack_documents
 from .op8_byte_bpe import encode_documents
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spread(texts(spark, sf_dir, "documents", "doc_id", "text", "lang")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {f.__name__: f for f in (op2_quality, op6_packing, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
