@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import spread, texts
 from .op2_quality import quality
+from .op5_warc import archive_and_read
 from .op6_packing import pack_documents
 from .op8_byte_bpe import encode_documents
+from .op9_chunks import media_documents
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spread(texts(spark, sf_dir, "documents", "doc_id", "text", "lang")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(spread(texts(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,8 +32,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op6_packing, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality, op5_warc, op6_packing, op8_byte_bpe, op9_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:
