@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_views, map_arrow, materialize, text_bytes
+from .common import blocks, map_arrow, materialize, text_bytes
 
 CAPACITY = 4096
 #: Pieces of at most this many ids are packed by best fit.
@@ -208,24 +209,25 @@ def _words(path: str) -> tuple:
     return _LOADED[path]
 
 
-def ids_of(raw: bytes, path: str) -> bytes:
-    """Little-endian 32-bit ids of a text.
+def ids_of(raws: list[bytes], path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of each text.
 
     The vocabulary drops white space and never merges across it, so a text's ids
     are those of its words one after the other.
     """
     tokenizer, known = _words(path)
-    words = raw.split()
-    new = [w for w in set(words) if w not in known]
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, words))
+    split = [raw.split() for raw in raws]
+    new = set().union(*split).difference(known)
+    if len(known) + len(new) > REMEMBERED and known:
+        known.clear()
+        new = set().union(*split)
+    some = list(new)
+    for i in range(0, len(some), 20_000):
+        part = some[i : i + 20_000]
+        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+    find = known.__getitem__
+    return [b"".join(map(find, words)) for words in split]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -238,12 +240,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
         part = context.partitionId() if context else 0
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            raw, offsets = binary_views(batch.column(1))
             where: list[int] = []
             rows: list[tuple] = []
             kept: list[bytes] = []
-            for d in range(batch.num_rows):
-                ids = ids_of(raw[offsets[d] : offsets[d + 1]].tobytes(), tokenizer) + end
+            documents = ((lo + d, ids) for lo, _, data, offsets in blocks(batch.column(1)) for d, ids in enumerate(ids_of([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], tokenizer)))
+            for d, ids in documents:
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     n = len(own) // 4
