@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import spread, texts
+from .op1_shards import shard_rows
 from .op2_quality import quality
+from .op10_url_templates import judge_urls
 from .op5_warc import archive_and_read
 from .op6_packing import pack_documents
 from .op8_byte_bpe import encode_documents
 from .op9_chunks import media_documents
 
 
+#: The stated rules of op10: (verdict, host/path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(texts(spark, sf_dir, "documents", "doc_id", "text"), 40)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spread(texts(spark, sf_dir, "documents", "doc_id", "text", "lang")))
 
@@ -36,8 +46,12 @@ def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(texts(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op5_warc, op6_packing, op8_byte_bpe, op9_chunks)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op5_warc, op6_packing, op8_byte_bpe, op9_chunks, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
