@@ -13,6 +13,7 @@ from .op2_quality import quality
 from .op10_url_templates import judge_urls
 from .op5_warc import archive_and_read
 from .op6_packing import pack_documents
+from .op7_brown import score_documents
 from .op8_byte_bpe import encode_documents
 from .op9_chunks import media_documents
 
@@ -37,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -51,7 +56,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op5_warc, op6_packing, op8_byte_bpe, op9_chunks, op10_url_templates)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
