@@ -26,12 +26,15 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,21 +195,62 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, g
 
 
 # ---------------------------------------------------------------- the documents
-_LOADED: dict[str, tuple] = {}
+#: A word of ASCII letters, and one of letters at all, each with punctuation after it.
+_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?|]*)").fullmatch
+#: (U+0130 is lower-cased to a letter and a mark, which isn't a letter.)
+_LETTERS = regex.compile(r"(?V1)([\p{L}--\u0130]+)([.,;:!?|]+)").fullmatch
 
 
-def _words(path: str) -> tuple:
-    """(tokenizer, what the worker remembers: the bytes of a word's ids)."""
-    if path not in _LOADED:
-        import os
+class Words:
+    """The ids of words as little-endian 32-bit bytes, remembered.
+
+    The vocabulary's pattern cuts a run of letters from the punctuation behind it, so
+    that a word's ids are those of its letters and then of its punctuation.  Lower-cased
+    ASCII letters pass the normaliser and the cutting unchanged and go to the merges
+    directly.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LOADED[path] = (tokenizer, {})
-    return _LOADED[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def encode(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                self.parts[w] = array("I", e.ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        parts, known, merge = self.parts, self.known, self.merge
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            if m := _PLAIN(w):
+                stem, tail = m.groups()
+                stem = stem.lower()
+                ids = parts.get(stem)
+                if ids is None:
+                    parts[stem] = ids = array("I", [t.id for t in merge(stem.decode())]).tobytes()
+                if tail:
+                    if tail not in parts:
+                        self.encode([tail])
+                    ids += parts[tail]
+                known[w] = ids
+            elif m := _LETTERS(w.decode("utf-8", "replace")):
+                cut.append((w, m[1].encode(), m[2].encode()))
+            else:
+                cut.append((w, w, b""))
+        self.encode(list({p for _, *both in cut for p in both if p not in parts}))
+        for w, stem, tail in cut:
+            known[w] = parts[stem] + parts[tail]
+
+
+_LOADED: dict[str, Words] = {}
 
 
 def ids_of(raws: list[bytes], path: str) -> list[bytes]:
@@ -215,19 +259,19 @@ def ids_of(raws: list[bytes], path: str) -> list[bytes]:
     The vocabulary drops white space and never merges across it, so a text's ids
     are those of its words one after the other.
     """
-    tokenizer, known = _words(path)
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
+    memory = _LOADED[path]
     split = [raw.split() for raw in raws]
-    new = set().union(*split).difference(known)
-    if len(known) + len(new) > REMEMBERED and known:
-        known.clear()
-        new = set().union(*split)
-    some = list(new)
-    for i in range(0, len(some), 20_000):
-        part = some[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-    find = known.__getitem__
-    return [b"".join(map(find, words)) for words in split]
+    words = set().union(*split)
+    new = words.difference(memory.known)
+    if len(memory.known) + len(new) > REMEMBERED and memory.known:
+        _LOADED[path] = memory = Words(path)
+        new = words
+    memory.learn(new)
+    # tokens are looked up in the block's own small table
+    find = dict(zip(words, map(memory.known.__getitem__, words), strict=True)).__getitem__
+    return [b"".join(map(find, x)) for x in split]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

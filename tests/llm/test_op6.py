@@ -55,6 +55,16 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids_of([x.encode()], PATH)[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_ids_of_random_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    r = random.Random(8)
+    texts = ["".join(r.choice("aAbBéÉe\u0301ßΣςİıﬁ漢9 .,!?|;:'-<") for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    for x, ids in zip(texts, ids_of([x.encode() for x in texts], PATH), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_pack_documents(spark):
     words = "alpha beta gamma delta 12 it's".split()
     r = random.Random(3)
