@@ -11,6 +11,7 @@ from .common import spread, texts
 from .op1_shards import shard_rows
 from .op2_quality import quality
 from .op10_url_templates import judge_urls
+from .op3_jaccard import jaccard_components
 from .op4_substrings import remove_repeats
 from .op5_warc import archive_and_read
 from .op6_packing import pack_documents
@@ -31,6 +32,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spread(texts(spark, sf_dir, "documents", "doc_id", "text", "lang")))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spread(texts(spark, sf_dir, "documents", "doc_id", "text")), k=4, percent=85)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -61,7 +66,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:

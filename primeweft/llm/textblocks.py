@@ -31,7 +31,7 @@ def block_table(docs: DataFrame, text: str = "text", limit: int = BLOCK) -> Data
 
     def pack(batches):
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
+        number = (context.partitionId() if context else 0) << 20
         press = zstandard.ZstdCompressor(1)
         for batch in batches:
             struct = batch.column(0)
