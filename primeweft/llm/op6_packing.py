@@ -27,19 +27,17 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, materialize, text_bytes
+from .common import LOWER, blocks, map_arrow, materialize, text_bytes
 
 CAPACITY = 4096
 #: Pieces of at most this many ids are packed by best fit.
@@ -195,19 +193,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, g
 
 
 # ---------------------------------------------------------------- the documents
-#: A word of ASCII letters, and one of letters at all, each with punctuation after it.
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?|]*)").fullmatch
-#: (U+0130 is lower-cased to a letter and a mark, which isn't a letter.)
-_LETTERS = regex.compile(r"(?V1)([\p{L}--\u0130]+)([.,;:!?|]+)").fullmatch
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_LATIN = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF, after the byte 0xC3
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?|")] = True
+#: The character that byte-level vocabularies show for each byte: printable ones are themselves, the others follow 255 in order.
+_SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The words of each text, A-Z lower-cased, with a cut between a letter and punctuation behind it.
+
+    The vocabulary's normaliser and pattern do both anyway, so that ids stay the same.
+    """
+    low = LOWER[data]
+    letter = _LETTER[low]
+    letter[1:] |= _LATIN[low[1:]] & (low[:-1] == 0xC3)
+    at = np.flatnonzero(letter[:-1] & _PUNCTUATION[low[1:]]) + 1
+    raw = np.insert(low, at, 32).tobytes()
+    ends = (offsets + np.searchsorted(at, offsets)).tolist()
+    return [raw[a:b].split() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Words:
     """The ids of words as little-endian 32-bit bytes, remembered.
 
-    The vocabulary's pattern cuts a run of letters from the punctuation behind it, so
-    that a word's ids are those of its letters and then of its punctuation.  Lower-cased
-    ASCII letters pass the normaliser and the cutting unchanged and go to the merges
-    directly.
+    Words of ASCII and Latin-1 letters are the same after the normaliser but for
+    their case and aren't cut; they go to the merges directly.
     """
 
     def __init__(self, path: str):
@@ -218,42 +234,29 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def encode(self, parts: list[bytes]) -> None:
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.parts[w] = array("I", e.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        parts, known, merge = self.parts, self.known, self.merge
-        cut: list[tuple[bytes, bytes, bytes]] = []
+        known, merge, whole = self.known, self.merge, []
         for w in words:
-            if m := _PLAIN(w):
-                stem, tail = m.groups()
-                stem = stem.lower()
-                ids = parts.get(stem)
-                if ids is None:
-                    parts[stem] = ids = array("I", [t.id for t in merge(stem.decode())]).tobytes()
-                if tail:
-                    if tail not in parts:
-                        self.encode([tail])
-                    ids += parts[tail]
-                known[w] = ids
-            elif m := _LETTERS(w.decode("utf-8", "replace")):
-                cut.append((w, m[1].encode(), m[2].encode()))
+            if w.isalpha():
+                shown = w.decode()
             else:
-                cut.append((w, w, b""))
-        self.encode(list({p for _, *both in cut for p in both if p not in parts}))
-        for w, stem, tail in cut:
-            known[w] = parts[stem] + parts[tail]
+                s = w.decode("utf-8", "replace")
+                if not s.isalpha() or max(s) > "\xff":
+                    whole.append((w, s))
+                    continue
+                shown = s.lower().encode().decode("latin-1").translate(_SHOWN)
+            known[w] = array("I", [t.id for t in merge(shown)]).tobytes()
+        for i in range(0, len(whole), 20_000):
+            some = whole[i : i + 20_000]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([s for _, s in some], add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
 
 
 _LOADED: dict[str, Words] = {}
 
 
-def ids_of(raws: list[bytes], path: str) -> list[bytes]:
+def ids_of(data: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The vocabulary drops white space and never merges across it, so a text's ids
@@ -262,11 +265,11 @@ def ids_of(raws: list[bytes], path: str) -> list[bytes]:
     if path not in _LOADED:
         _LOADED[path] = Words(path)
     memory = _LOADED[path]
-    split = [raw.split() for raw in raws]
+    split = cut_words(data, offsets)
     words = set().union(*split)
     new = words.difference(memory.known)
     if len(memory.known) + len(new) > REMEMBERED and memory.known:
-        _LOADED[path] = memory = Words(path)
+        memory.known.clear()
         new = words
     memory.learn(new)
     # tokens are looked up in the block's own small table
@@ -287,7 +290,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             where: list[int] = []
             rows: list[tuple] = []
             kept: list[bytes] = []
-            documents = ((lo + d, ids) for lo, _, data, offsets in blocks(batch.column(1)) for d, ids in enumerate(ids_of([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], tokenizer)))
+            documents = ((lo + d, ids) for lo, _, data, offsets in blocks(batch.column(1)) for d, ids in enumerate(ids_of(data, offsets, tokenizer)))
             for d, ids in documents:
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
