@@ -85,37 +85,43 @@ def _repeats(words: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(covered)[:n] > 0
 
 
+def _profiles(column: pa.Array):
+    """(first row, rows, the five base counts, chars, words) of each block of a column of texts."""
+    common, n_common = _lexicon()
+    for lo, hi, data, offsets in blocks(column):
+        n = hi - lo
+        starts, ends, first = word_spans(data, offsets)
+        total = lambda x, f: np.diff(np.concatenate(([0], np.cumsum(x)))[f])
+        whole = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        length = whole[ends] - whole[starts]
+        lowered = LOWER[data]
+        exact = span_hashes(data, starts, ends)
+        found = span_hashes(lowered, starts, ends)
+        at = np.minimum(np.searchsorted(common, found), n_common - 1)
+        at[common[at] != found] = n_common
+        d = doc_of(first)
+        words = np.bincount(d * (n_common + 1) + at, minlength=n * (n_common + 1)).reshape(n, -1)
+        row = np.repeat(np.arange(n), np.diff(offsets))
+        chars = np.bincount(row * (N_CLASSES + 1) + _CLASSES[data], minlength=n * (N_CLASSES + 1)).reshape(n, -1)[:, :N_CLASSES]
+        raw = data.tobytes()
+        duplicates = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
+            duplicates.append(len(lines) - len(set(lines)))
+        counts = [np.diff(first), total(length, first), total(_IS_SYMBOL[data], offsets), np.array(duplicates, np.int64), total(_repeats(exact, first, REPEAT_WINDOW), first)]
+        yield lo, n, [c.astype(np.int64) for c in counts], chars, words
+
+
 def profile(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, lang, the five base counts, and chars and words, the two histograms."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
 
     def of(batches):
-        common, n_common = _lexicon()
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(2)):
-                n = hi - lo
-                starts, ends, first = word_spans(data, offsets)
-                total = lambda x, f: np.diff(np.concatenate(([0], np.cumsum(x)))[f])
-                whole = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                length = whole[ends] - whole[starts]
-                lowered = LOWER[data]
-                exact = span_hashes(data, starts, ends)
-                found = span_hashes(lowered, starts, ends)
-                at = np.minimum(np.searchsorted(common, found), n_common - 1)
-                at[common[at] != found] = n_common
-                d = doc_of(first)
-                words = np.bincount(d * (n_common + 1) + at, minlength=n * (n_common + 1)).reshape(n, -1)
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                chars = np.bincount(row * (N_CLASSES + 1) + _CLASSES[data], minlength=n * (N_CLASSES + 1)).reshape(n, -1)[:, :N_CLASSES]
-                raw = data.tobytes()
-                duplicates = []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
-                    duplicates.append(len(lines) - len(set(lines)))
-                columns = [np.diff(first), total(length, first), total(_IS_SYMBOL[data], offsets), np.array(duplicates, np.int64), total(_repeats(exact, first, REPEAT_WINDOW), first)]
+            for lo, n, counts, chars, words in _profiles(batch.column(2)):
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().astype(np.int32))) for x in (chars, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *[pa.array(c.astype(np.int64)) for c in columns], *lists], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *[pa.array(c) for c in counts], *lists], names=names)
 
     schema = f"`{key}` {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
     return map_arrow(docs.select(key, F.col(lang).cast("string").alias("lang"), text_bytes(text).alias("b")), of, schema)
@@ -174,6 +180,30 @@ def _far(chars: np.ndarray, words: np.ndarray, ref_chars: np.ndarray, ref_words:
     return by_char, by_word, by_char + by_word / 2 > LIMIT + SHORT / np.sqrt(np.maximum(chars.sum(1), 1))
 
 
+def _base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass all rules, with all their columns.
+
+    A first pass gathers the references, a second one judges each text where it
+    is, so that no text is shuffled.
+    """
+    profiles = materialize(profile(docs.select(F.lit(0).alias("none"), text, lang), "none", text, lang).select("lang", "chars", "words"), "profiles")
+    references = _references(profiles, None)
+    references = _references(profiles, references)
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for batch in batches:
+            for lo, n, counts, chars, words in _profiles(batch.column(at)):
+                good = ~_base_failed(counts[0], counts[4]) & ~_far(chars, words, *references)[2]
+                yield batch.slice(lo, n).filter(pa.array(good))
+
+    return map_arrow(docs, keep, docs.schema)
+
+
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, base counts, base_failed, char_distance, word_distance, kept."""
     profiles = materialize(profile(docs, key, text, lang), "profiles")
@@ -185,7 +215,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for batch in batches:
             by_char, by_word, far = _far(_matrix(batch.column(6)), _matrix(batch.column(7)), *references)
             n_words, repeats = (np.asarray(batch.column(i), np.int64) for i in (1, 5))
-            failed = (n_words < 20) | (100 * repeats > 30 * n_words)
+            failed = _base_failed(n_words, repeats)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(failed), pa.array(by_char), pa.array(by_word), pa.array(~failed & ~far)], names=[*names, "base_failed", "char_distance", "word_distance", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -208,11 +208,9 @@ def trie_join(rows: list[int], sets: list[np.ndarray], percent: int, apart: list
     return [(rows[i], rows[j]) for i, j in trie.links]
 
 
-def _prepared(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """A written table: row, id, n, d1, d2, and for sets that may be linked codes (ascending, rare first) and prefix."""
-    kind = docs.schema[key].dataType.simpleString()
-    n_buckets = bucket_count(docs)
-    table = block_table(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
+def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> DataFrame:
+    """A written table of the documents of a table of blocks: row, id, n, d1, d2, and for sets that may be linked codes (ascending, rare first) and prefix."""
+    n_buckets = bucket_count(table)
 
     def send(batches):
         for batch in batches:
@@ -222,7 +220,7 @@ def _prepared(docs: DataFrame, key: str, text: str, k: int, percent: int) -> Dat
                 yield sent(batch.column("block")[row].as_py(), values, [documents.astype(np.int32)], n_buckets)
 
     answers = exchanged(map_arrow(table.select("block", "offsets", "z"), send, "bucket long, block long, h binary, v0 binary"), ["i4"], rarity)
-    both = table.join(answers.hint("shuffle_hash"), "block", "left").select("block", "offsets", "z", "answers", F.col("extra.id").alias("ids"))
+    both = table.join(answers.hint("shuffle_hash"), "block", "left").select("block", "offsets", "z", "answers", F.col("extra").getField(key).alias("ids"))
 
     def order(batches):
         for batch in batches:
@@ -297,14 +295,43 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("task", "large", "lo", "hi").applyInArrow(join, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: key, n_shingles, component_id (the smallest key reachable by links)."""
-    sets = _prepared(docs, key, text, k, percent)
+def _rooted(table: DataFrame, key: str, kind: str, k: int, percent: int) -> DataFrame:
+    """(row, id, n, root): the rows of a table of blocks with their component."""
+    sets = _prepared(table, key, kind, k, percent)
     classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("rep"))
     chosen = materialize(sets.where("codes is not null").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "codes", "prefix"), "chosen")
     linked = components(_links(chosen, percent)).select(F.col("a").alias("rep"), "root")
     of_class = classes.join(linked, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    facts = sets.select("row", "id", "n", "d1", "d2")
-    rooted = facts.join(of_class, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("root", "row").alias("root"))
+    return sets.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").select("row", "id", "n", F.coalesce("root", "row").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: key, n_shingles, component_id (the smallest key reachable by links)."""
+    table = block_table(docs.select(key, F.col(text).alias("text")))
+    rooted = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(least, "root").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: the smallest key stays, null last, then the first row."""
+    others = [c for c in docs.columns if c != text]
+    table = block_table(docs, text)
+    rooted = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
+    places = first.select(F.shiftright("m.row", 22).alias("block"), F.col("m.row").bitwiseAND(F.lit((1 << 22) - 1)).cast("int").alias("at"))
+    stay = places.groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("stay"))
+    kept = table.join(stay.hint("shuffle_hash"), "block")
+    names = docs.columns
+
+    def unpack(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data, offsets = opened(batch.column("offsets")[row].as_py(), batch.column("z")[row].as_py())
+                raw = data.tobytes()
+                at = batch.column("stay")[row].as_py()
+                extra = batch.column("extra")[row].values.take(pa.array(at, pa.int32()))
+                own = pa.array([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in at], pa.string())
+                yield pa.RecordBatch.from_arrays([own if c == text else extra.field(others.index(c)) for c in names], names=names)
+
+    return map_arrow(kept, unpack, docs.schema)
