@@ -1,15 +1,364 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, beside each, its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import sequences as seqs
+from ..functions.thermo import oligo_tm
+from ..operators import design, mask, pcr, project
+from ..sources import readers
+from . import tables as t
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _joined(a: Column) -> Column:
+    return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+
+
+# ---------------------------------------------------------------- sequences
+@query(f"SELECT doc_id, length(s)::BIGINT AS n, md5(s) AS digest, md5({t.sql_revcomp('s')}) AS rc_digest FROM (SELECT doc_id, {t.sql_encode('text')} AS s FROM documents)")
+def seq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t.dealt(t.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", seqs.encode_text(F.col("text")).alias("s"))
+    return d.select("doc_id", F.length("s").cast("long").alias("n"), F.md5("s").alias("digest"), F.md5(seqs.revcomp(F.col("s"))).alias("rc_digest"))
+
+
+@query(f"WITH {t.SQL_PAIRS} SELECT pair, forward, {t.sql_revcomp('forward')} AS rc_forward, reverse, {t.sql_revcomp('lower(reverse)')} AS rc_lower FROM pr")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.pairs(spark, sf_dir).select("pair", "forward", seqs.revcomp(F.col("forward")).alias("rc_forward"), "reverse", seqs.revcomp(F.lower("reverse")).alias("rc_lower"))
+
+
+@query(f"WITH {t.SQL_PAIRS} SELECT pair, round({t.sql_tm('forward')}, 6) AS tm_forward, round({t.sql_tm('reverse')}, 6) AS tm_reverse FROM pr")
+def oligo_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.pairs(spark, sf_dir).select("pair", F.round(oligo_tm(F.col("forward")), 6).alias("tm_forward"), F.round(oligo_tm(F.col("reverse")), 6).alias("tm_reverse"))
+
+
+@query(
+    r"SELECT o_orderkey, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 1) END AS chrom, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 2), ',', '')::BIGINT END AS start, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 3), ',', '')::BIGINT END AS stop FROM (SELECT o_orderkey, trim(CASE WHEN o_orderkey % 5 = 0 THEN 'chr' || o_custkey || ' :7-9' ELSE ' chr' || (o_custkey % 22) || ':1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || (o_orderkey + 5000) END) AS s FROM orders)"
+)
+def coord_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t.read(spark, sf_dir, "orders")
+    s = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("chr"), "o_custkey", F.lit(" :7-9"))).otherwise(F.concat(F.lit(" chr"), F.col("o_custkey") % 22, F.lit(":1,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.col("o_orderkey") + 5000))
+    locus = seqs.parse_locus(s)
+    return o.select("o_orderkey", locus["chrom"].alias("chrom"), locus["start"].alias("start"), locus["end"].alias("stop"))
+
+
+@query(f"SELECT substr(s, i, 8) AS kmer, count(*)::BIGINT AS n, count(DISTINCT item_id)::BIGINT AS n_items FROM (SELECT item_id, s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT item_id, {t.sql_encode('text')} AS s FROM benchmark)) GROUP BY ALL")
+def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.read(spark, sf_dir, "benchmark").select("item_id", seqs.encode_text(F.col("text")).alias("s"))
+    return b.select("item_id", F.explode(seqs.kmers(F.col("s"), 8)).alias("k")).groupBy(F.col("k.kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("n_items"))
+
+
+# ---------------------------------------------------------------- search
+_SITE_COLUMNS = "haplotype, contig, query, strand, start::BIGINT AS start, \"end\"::BIGINT AS stop, mismatches::BIGINT AS mismatches, array_to_string(offsets_3p, ',') AS offsets"
+
+
+def _site_rows(sites: DataFrame) -> DataFrame:
+    return sites.select("haplotype", "contig", "query", "strand", "start", F.col("end").alias("stop"), F.col("mismatches").cast("long").alias("mismatches"), _joined(F.col("offsets_3p")).alias("offsets"))
+
+
+@query(f"WITH {t.SQL_SITES} SELECT {_SITE_COLUMNS} FROM sites")
+def mismatch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site_rows(t.sites(spark, sf_dir))
+
+
+@query(f"WITH {t.SQL_SITES} SELECT {_SITE_COLUMNS} FROM sites")
+def seed_join_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site_rows(t.sites(spark, sf_dir, "seed_join"))
+
+
+@query(f"WITH {t.SQL_SITES} SELECT strand, offset_3p::BIGINT AS offset_3p, count(*)::BIGINT AS n FROM (SELECT strand, unnest(offsets_3p) AS offset_3p FROM sites) GROUP BY ALL")
+def mismatch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.sites(spark, sf_dir).select("strand", F.explode("offsets_3p").alias("o")).groupBy("strand", F.col("o").cast("long").alias("offset_3p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {t.SQL_SITES} SELECT pair, role, reason, count(*)::BIGINT AS n FROM judged GROUP BY ALL")
+def rule_competence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.judged(spark, sf_dir).groupBy("pair", "role", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def thermo_competence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the duplex model is a vectorized function."""
+    windows = t.sites(spark, sf_dir).join(t.contigs(spark, sf_dir), ["haplotype", "contig"]).withColumn("window", F.expr("substring(sequence, cast(start + 1 as int), 20)")).drop("sequence")
+    return pcr.thermo_reason(windows, pcr.Thermo()).select("haplotype", "contig", "query", "strand", "start", "competent", "reason")
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, role, n_competent::BIGINT AS n_competent, n_competent > {t.CAP} AS capped FROM cnt")
+def site_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcr.capped(t.judged(spark, sf_dir), ["pair", "haplotype", "role"], t.CAP)
+
+
+# ---------------------------------------------------------------- products and statuses
+@query(f'WITH {t.SQL_CELLS} SELECT pair, haplotype, contig, start::BIGINT AS start, "end"::BIGINT AS stop, size::BIGINT AS size, p_role, m_role, on_target FROM amp')
+def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = t.cells(spark, sf_dir).where("projected and not capped").select("pair", "haplotype")
+    good = t.judged(spark, sf_dir).where("competent").join(open_, ["pair", "haplotype"])
+    return t.products_of(good, spark, sf_dir).select("pair", "haplotype", "contig", "start", F.col("end").alias("stop"), "size", "p_role", "m_role", "on_target")
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, status, n_products::BIGINT AS n_products, n_on::BIGINT AS n_on, capped, reason FROM cells")
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.cells(spark, sf_dir).select("pair", "haplotype", "status", "n_products", "n_on", "capped", "reason")
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, reason FROM cells WHERE status = 'dropout'")
+def dropout_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.cells(spark, sf_dir).where("status = 'dropout'").select("pair", "haplotype", "reason")
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, array_to_string(on_sizes, ',') AS on_sizes, array_to_string(off_sizes, ',') AS off_sizes, len(list_filter(on_sizes, lambda x: abs(x - 70) > 20)) > 0 AS size_flag FROM cells")
+def size_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.cells(spark, sf_dir).select("pair", "haplotype", _joined(F.col("on_sizes")).alias("on_sizes"), _joined(F.col("off_sizes")).alias("off_sizes"), F.exists("on_sizes", lambda x: F.abs(x - 70) > 20).alias("size_flag"))
+
+
+@query(f"WITH {t.SQL_CELLS}, s AS (SELECT unnest(['pass', 'dropout', 'off_target', 'multi_product', 'uncertain']) AS status) SELECT status, count(pair)::BIGINT AS n FROM s LEFT JOIN cells USING (status) GROUP BY status")
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = spark.createDataFrame([(s,) for s in pcr.STATUSES], "status string")
+    return five.join(t.cells(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_COUNTS = ["total", "evaluable", "n_covered", "n_pass", "n_dropout", "n_off_target", "n_multi_product", "n_uncertain", "n_capped"]
+_SQL_COUNTS = ", ".join(f"{c}::BIGINT AS {c}" for c in _COUNTS)
+
+
+@query(f"WITH {t.SQL_METRICS} SELECT pair, {_SQL_COUNTS}, round_even(coverage, 4) AS coverage, round_even(unique_rate, 4) AS unique_rate FROM metrics")
+def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.metrics(spark, sf_dir).select("pair", *_COUNTS, F.bround("coverage", 4).alias("coverage"), F.bround("unique_rate", 4).alias("unique_rate"))
+
+
+@query(f"WITH {t.SQL_METRICS} SELECT pair, coverage, unique_rate, evaluable::BIGINT AS evaluable, penalty, pair_tm FROM metrics")
+def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.metrics(spark, sf_dir).select("pair", "coverage", "unique_rate", "evaluable", "penalty", "pair_tm")
+
+
+@query(f"WITH {t.SQL_METRICS} SELECT pair, count(*) FILTER (status <> 'uncertain' AND n_on = 0)::BIGINT AS dropouts, count(*) FILTER (len(off_sizes) > 0)::BIGINT AS with_off_target, count(*)::BIGINT AS cells FROM cells GROUP BY pair")
+def console_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcr.console_dropouts(t.cells(spark, sf_dir), ["pair"])
+
+
+_RANKING = pcr.Ranking(min_coverage=0.5, max_off_target=1, max_multi_product=1, min_evaluable=1)
+_SQL_RANKED = f"""WITH {t.SQL_METRICS},
+told AS (SELECT *, list_filter([
+  CASE WHEN evaluable < 1 THEN 'only ' || evaluable || ' evaluable haplotypes (< 1); ' || n_uncertain || ' uncertain' END,
+  CASE WHEN coverage < 0.5 THEN 'coverage ' || printf('%.2f', round_even(coverage * 100, 2)) || '% < 50.00% (' || n_dropout || ' dropout)' END,
+  CASE WHEN n_off_target > 1 THEN n_off_target || ' off-target haplotypes > 1' END,
+  CASE WHEN n_multi_product > 1 THEN n_multi_product || ' multi-product haplotypes > 1' END], lambda x: x IS NOT NULL) AS reasons FROM metrics),
+ranked AS (SELECT *, len(reasons) = 0 AS passed, row_number() OVER (ORDER BY len(reasons) = 0 DESC, coverage DESC, unique_rate DESC, n_off_target, n_multi_product, penalty, pair) AS rank FROM told)"""
+
+
+@query(f"{_SQL_RANKED} SELECT pair, rank::BIGINT AS rank, passed, coverage, unique_rate, penalty FROM ranked")
+def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcr.rank(t.metrics(spark, sf_dir), _RANKING).select("pair", F.col("rank").cast("long").alias("rank"), "passed", "coverage", "unique_rate", "penalty")
+
+
+@query(f"{_SQL_RANKED} SELECT pair, passed, array_to_string(reasons, '; ') AS reasons FROM ranked")
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcr.reject_reasons(t.metrics(spark, sf_dir), _RANKING).select("pair", "passed", F.array_join("reject_reasons", "; ").alias("reasons"))
+
+
+@query(f"WITH {t.SQL_METRICS} SELECT pair, coverage, penalty FROM metrics ORDER BY coverage DESC, penalty, candidate_idx LIMIT 10")
+def shortlist_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcr.shortlist(t.metrics(spark, sf_dir), 10).select("pair", "coverage", "penalty")
+
+
+def _cell_text() -> Column:
+    parts = F.array_compact(F.array(F.when(F.size("on_sizes") > 0, _joined(F.col("on_sizes"))), F.when(F.size("off_sizes") > 0, F.concat(F.lit("off:"), _joined(F.col("off_sizes"))))))
+    return F.when(F.col("status") == "uncertain", "?").when(F.col("capped"), f">{t.CAP} binding sites").when(F.col("n_products") == 0, "dropout").otherwise(F.array_join(parts, " | "))
+
+
+_SQL_TEXT = f"CASE WHEN status = 'uncertain' THEN '?' WHEN capped THEN '>{t.CAP} binding sites' WHEN n_products = 0 THEN 'dropout' ELSE array_to_string(list_filter([CASE WHEN len(on_sizes) > 0 THEN array_to_string(on_sizes, ',') END, CASE WHEN len(off_sizes) > 0 THEN 'off:' || array_to_string(off_sizes, ',') END], lambda x: x IS NOT NULL), ' | ') END"
+
+
+@query(f"WITH {t.SQL_CELLS} SELECT pair, " + ", ".join(f"max(CASE WHEN haplotype = {h} THEN {_SQL_TEXT} END) AS h{h}" for h in range(8)) + " FROM cells GROUP BY pair")
+def verify_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = t.cells(spark, sf_dir).withColumn("text", _cell_text())
+    wide = text.groupBy("pair").pivot("haplotype", list(range(8))).agg(F.first("text"))
+    return wide.select("pair", *[F.col(str(h)).alias(f"h{h}") for h in range(8)])
+
+
+_SQL_SUMMARY = "array_to_string(list_filter([round_even(100 * coverage, 0)::BIGINT || '% (' || n_covered || '/' || evaluable || ')', " + ", ".join(f"CASE WHEN {c} > 0 THEN {c} || ' {name}' END" for c, name in (("n_dropout", "dropout"), ("n_off_target", "off-target"), ("n_multi_product", "multi"), ("n_capped", "capped"), ("n_uncertain", "not projectable"))) + "], lambda x: x IS NOT NULL), ' · ')"
+
+
+@query(f"WITH {t.SQL_METRICS} SELECT pair, {_SQL_SUMMARY} AS summary, printf('%.4f', round_even(coverage, 4)) AS coverage_text FROM metrics")
+def round_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.reports import summary_text
+
+    return t.metrics(spark, sf_dir).select("pair", summary_text().alias("summary"), F.format_string("%.4f", F.bround("coverage", 4)).alias("coverage_text"))
+
+
+# ---------------------------------------------------------------- masks
+@query(
+    "WITH p AS (SELECT DISTINCT l_suppkey AS template, l_orderkey % 5000 AS pos FROM lineitem), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY template ORDER BY pos) > 26 THEN 1 ELSE 0 END AS b FROM p), i AS (SELECT *, sum(b) OVER (PARTITION BY template ORDER BY pos) AS island FROM g) SELECT template, min(pos)::BIGINT AS start, (max(pos) - min(pos) + 1)::BIGINT AS length FROM i GROUP BY template, island"
+)
+def merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = t.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("template"), (F.col("l_orderkey") % 5000).alias("pos"))
+    return mask.islands(p, ["template"], 25).select("template", "start", "length")
+
+
+@query(_SQL["merge_islands"].replace("SELECT template, min(pos)", "SELECT template, start, length FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length DESC, start) AS k FROM (SELECT template, min(pos)") + ")) WHERE k <= 3")
+def mask_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.widest(merge_islands(spark, sf_dir), ["template"], 3)
+
+
+_CS = "':' || (l_linenumber + 3) || '*ac' || CASE WHEN l_linenumber % 2 = 0 THEN '-acg' ELSE '+tt' END || ':' || (l_partkey % 7 + 1) || '*gt=ACGT'"
+_SQL_MARKS = "WITH a AS (SELECT l_suppkey AS template, l_orderkey % 90 AS r, l_linenumber AS k, l_partkey % 7 + 1 AS m FROM lineitem), v AS (SELECT template, r + k + 3 AS pos FROM a UNION ALL SELECT template, r + k + 4 + unnest(CASE WHEN k % 2 = 0 THEN [0, 1, 2] ELSE [0] END) FROM a UNION ALL SELECT template, r + k + 4 + CASE WHEN k % 2 = 0 THEN 3 ELSE 0 END + m FROM a), c AS (SELECT template, pos, count(*)::BIGINT AS n_variants FROM v WHERE pos < 100 GROUP BY ALL)"
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = t.read(spark, sf_dir, "lineitem")  # noqa: E741
+    a = l.select(F.col("l_suppkey").alias("template"), (F.col("l_orderkey") % 90).alias("r_start"), F.expr(_CS).alias("cs"))
+    return mask.pileup(mask.variants(a, F.lit(100)))
+
+
+@query(_SQL_MARKS + " SELECT template, pos::BIGINT AS pos, n_variants FROM c")
+def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marks(spark, sf_dir).select("template", "pos", "n_variants")
+
+
+@query(_SQL_MARKS + ", n AS (SELECT l_suppkey AS template, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT template, pos FROM c JOIN n USING (template) WHERE n_variants::DOUBLE / n >= 0.03::DOUBLE), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY template ORDER BY pos) > 3 THEN 1 ELSE 0 END AS b FROM p), i AS (SELECT *, sum(b) OVER (PARTITION BY template ORDER BY pos) AS island FROM g) SELECT template, start, length FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length DESC, start) AS k FROM (SELECT template, min(pos)::BIGINT AS start, (max(pos) - min(pos) + 1)::BIGINT AS length FROM i GROUP BY template, island)) WHERE k <= 4")
+def excluded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = t.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    return mask.excluded_regions(_marks(spark, sf_dir), n, 0.03, 2, 4).select("template", "start", "length")
+
+
+# ---------------------------------------------------------------- projection
+_SQL_BLOCKS = "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 50 AS t_name, l_orderkey * 10 AS t_start, l_orderkey * 10 + 400 + l_linenumber AS t_end, l_partkey AS q_start, l_partkey + 390 + l_suppkey AS q_end, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand FROM lineitem), g AS (SELECT o_orderkey, o_orderkey % 50 AS t_name, o_orderkey * 10 + 250 AS start, o_orderkey * 10 + 330 + o_custkey % 200 AS stop FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY least(stop, t_end) - greatest(start, t_start) DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM g JOIN b USING (t_name) WHERE start < t_end AND t_start < stop), best AS (SELECT * FROM n WHERE k = 1)"
+
+
+def _blocks(spark: SparkSession, sf_dir: str, cigar: Column) -> tuple[DataFrame, DataFrame]:
+    l = t.read(spark, sf_dir, "lineitem")  # noqa: E741
+    b = l.select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 10_000).alias("line_no"), F.col("l_orderkey").cast("string").alias("q_name"), F.col("l_partkey").alias("q_start"), (F.col("l_partkey") + 390 + F.col("l_suppkey")).alias("q_end"),
+        F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"), (F.col("l_orderkey") % 50).alias("t_name"), (F.col("l_orderkey") * 10).alias("t_start"), (F.col("l_orderkey") * 10 + 400 + F.col("l_linenumber")).alias("t_end"), cigar.alias("cigar"),
+    )
+    o = t.read(spark, sf_dir, "orders")
+    g = o.select("o_orderkey", (F.col("o_orderkey") % 50).alias("chrom"), (F.col("o_orderkey") * 10 + 250).alias("start"), (F.col("o_orderkey") * 10 + 330 + F.col("o_custkey") % 200).alias("end"))
+    return g, b
+
+
+def _point(t_: str) -> str:
+    share = f"((least(greatest({t_}, t_start), t_end) - t_start)::DOUBLE / greatest(1, t_end - t_start))"
+    return f"round_even(CASE WHEN strand = '+' THEN q_start + {share} * (q_end - q_start) ELSE q_end - {share} * (q_end - q_start) END, 0)::BIGINT"
+
+
+@query(_SQL_BLOCKS + f", p AS (SELECT *, {_point('greatest(start, t_start)')} AS a, {_point('least(stop, t_end)')} AS b FROM best) SELECT o_orderkey, l_orderkey::VARCHAR AS q_name, least(a, b) AS lo, greatest(a, b) AS hi, strand FROM p")
+def paf_lift_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, b = _blocks(spark, sf_dir, F.lit(None).cast("string"))
+    return project.project_blocks(g, b, ["o_orderkey"]).select("o_orderkey", "q_name", "lo", "hi", "strand")
+
+
+def _walk(t_: str) -> str:
+    """The lift through 100M(linenumber)I150M(linenumber)D<rest>M, case by case."""
+    d, k = f"({t_} - t_start)", "l_linenumber"
+    plus = f"CASE WHEN {d} < 100 THEN q_start + {d} WHEN {d} < 250 THEN q_start + {d} + {k} WHEN {d} < 250 + {k} THEN q_start + 250 + {k} WHEN {d} < t_end - t_start THEN q_start + {d} ELSE q_start + (t_end - t_start) END"
+    minus = f"CASE WHEN {d} < 100 THEN q_end - 1 - {d} WHEN {d} < 250 THEN q_end - 1 - {d} - {k} WHEN {d} < 250 + {k} THEN q_end - 251 - {k} WHEN {d} < t_end - t_start THEN q_end - 1 - {d} ELSE q_end - (t_end - t_start) END"
+    return f"(CASE WHEN strand = '+' THEN {plus} ELSE {minus} END)::BIGINT"
+
+
+@query(_SQL_BLOCKS + f", p AS (SELECT *, {_walk('greatest(start, t_start)')} AS a, {_walk('least(stop, t_end)')} AS b FROM best) SELECT o_orderkey, l_orderkey::VARCHAR AS q_name, least(a, b) AS lo, greatest(a, b) AS hi, strand FROM p")
+def cigar_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber")
+    g, b = _blocks(spark, sf_dir, F.concat(F.lit("100M"), k, F.lit("I150M"), k, F.lit("D150M")))
+    return project.project_blocks(g, b, ["o_orderkey"]).select("o_orderkey", "q_name", "lo", "hi", "strand")
+
+
+_SQL_NEAR = "WITH a AS (SELECT l_suppkey % 20 AS t_name, l_orderkey * 7 AS t_start, l_partkey % 3 AS q_contig, l_orderkey * 7 + CASE WHEN l_partkey % 97 = 0 THEN 90000000 ELSE l_partkey END AS q_start, l_orderkey * 7 + 1000 AS q_end FROM lineitem), g AS (SELECT o_orderkey, o_custkey % 20 AS t_name, o_orderkey * 7 AS start, o_orderkey * 7 + 300 AS stop FROM orders), n AS (SELECT *, (q_start + q_end) // 2 AS mid FROM g JOIN a USING (t_name) WHERE t_start BETWEEN start - 50 AND stop + 50), v AS (SELECT o_orderkey, q_contig, count(*) AS n, min(t_start) AS f FROM n GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC, f, q_contig) AS k FROM v), kept AS (SELECT n.*, top.n AS votes FROM n JOIN top USING (o_orderkey, q_contig) WHERE k = 1), med AS (SELECT o_orderkey, list_sort(list(mid))[count(*) // 2 + 1] AS median FROM kept GROUP BY ALL), f AS (SELECT kept.*, votes <= 2 OR abs(mid - median) <= 10 * (50 + 10) AS ok, bool_or(abs(mid - median) <= 10 * (50 + 10)) OVER (PARTITION BY o_orderkey) AS some_ok FROM kept JOIN med USING (o_orderkey)) SELECT o_orderkey, q_contig AS contig, greatest(0, min(least(q_start, q_end)) - 10)::BIGINT AS lo, (max(greatest(q_start, q_end)) + 10)::BIGINT AS hi, count(*)::BIGINT AS n_anchors FROM f WHERE ok OR NOT some_ok GROUP BY o_orderkey, q_contig"
+
+
+@query(_SQL_NEAR)
+def anchor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders")  # noqa: E741
+    at = F.col("l_orderkey") * 7
+    a = l.select((F.col("l_suppkey") % 20).alias("t_name"), at.alias("t_start"), (F.col("l_partkey") % 3).alias("q_contig"), (at + F.when(F.col("l_partkey") % 97 == 0, 90_000_000).otherwise(F.col("l_partkey"))).alias("q_start"), (at + 1000).alias("q_end"))
+    g = o.select("o_orderkey", (F.col("o_custkey") % 20).alias("chrom"), (F.col("o_orderkey") * 7).alias("start"), (F.col("o_orderkey") * 7 + 300).alias("end"))
+    return project.anchor_windows(g, a, ["o_orderkey"], pad=10, step=10).select("o_orderkey", "contig", "lo", "hi", F.col("n_anchors").cast("long").alias("n_anchors"))
+
+
+@query(f"WITH ctg AS (SELECT doc_id, {t.sql_encode('text')} AS s FROM documents), p AS (SELECT doc_id, i, substr(s, i + 1, 12) AS probe FROM (SELECT doc_id, s, unnest(range(0, length(s) - 11, 50)) AS i FROM ctg WHERE length(s) >= 400)) SELECT doc_id, i::BIGINT AS at, probe FROM p WHERE NOT contains(probe, 'N')")
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.probes(t.contigs(spark, sf_dir), 50, 12, 400).select(F.col("contig").alias("doc_id"), F.col("at").cast("long").alias("at"), "probe")
+
+
+@query(f"WITH ctg AS (SELECT doc_id, {t.sql_encode('text')} AS s FROM documents) SELECT doc_id, greatest(0, length(s) // 3 - 25)::BIGINT AS lo, least(length(s), length(s) // 3 + 65)::BIGINT AS hi, CASE WHEN doc_id % 2 = 0 THEN substr(s, greatest(0, length(s) // 3 - 25) + 1, least(length(s), length(s) // 3 + 65) - greatest(0, length(s) // 3 - 25)) ELSE {t.sql_revcomp('substr(s, greatest(0, length(s) // 3 - 25) + 1, least(length(s), length(s) // 3 + 65) - greatest(0, length(s) // 3 - 25))')} END AS bases FROM ctg")
+def fetch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.contigs(spark, sf_dir).withColumnRenamed("contig", "chrom")
+    third = F.expr("cast(length(sequence) div 3 as bigint)")
+    lo, hi = seqs.flanked(third, third + 40, 25, F.length("sequence").cast("long"))
+    i = c.select(F.col("chrom").alias("q_name"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("chrom") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return project.fetch(i, c, [], orient=True).select(F.col("q_name").alias("doc_id"), "lo", "hi", "bases")
+
+
+@query()
+def kmer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: placements come of votes on bands; tests hold them against known places."""
+    b = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), seqs.encode_text(F.col("text")).alias("bases"))
+    c = t.contigs(spark, sf_dir).select(F.col("contig").alias("chrom"), F.regexp_replace("sequence", "N", "A").alias("sequence"))
+    return project.kmer_projection(b.withColumn("bases", F.regexp_replace("bases", "N", "A")), c, [])
+
+
+@query()
+def primer_picking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: every window of ten lengths, scored and paired; tests hold it against a direct search."""
+    b = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("template"), F.regexp_replace(seqs.encode_text(F.col("text")), "N", "C").alias("sequence"))
+    x = spark.createDataFrame([], "template string, start long, length long")
+    return design.candidates(b, x, design.Design(n_candidates=5))
+
+
+# ---------------------------------------------------------------- manifests
+_SQL_RECORDS = "WITH codes AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for s, codes in readers.POPULATIONS.items() for c in codes) + ") v(code, superpop)), rec AS (SELECT c_custkey AS sample_id, k AS haplotype, ['YRI', 'CEU', 'CHB', 'GIH', 'MXL', 'XXX', ''][c_nationkey % 7 + 1] AS p, 's3://b' || c_nationkey || '/d/' || c_custkey AS assembly FROM customer, (SELECT unnest([1, 2]) AS k)), full_ AS (SELECT sample_id, haplotype, CASE WHEN p = '' THEN 'NA' ELSE p END AS population, coalesce(superpop, 'UNK') AS superpop, regexp_replace(assembly, '^s3://([^/]*)/?(.*)$', 'https://\\1.s3.amazonaws.com/\\2') AS assembly FROM rec LEFT JOIN codes ON p = code)"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.read(spark, sf_dir, "customer")
+    meta = c.select(F.col("c_custkey").alias("sample_id"), F.element_at(F.array(*[F.lit(x) for x in ("YRI", "CEU", "CHB", "GIH", "MXL", "XXX", "")]), (F.col("c_nationkey") % 7 + 1).cast("int")).alias("population_abbreviation"))
+    index = c.select(F.col("c_custkey").alias("sample_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("haplotype"), F.concat(F.lit("s3://b"), "c_nationkey", F.lit("/d/"), "c_custkey").alias("assembly"))
+    return readers.join_metadata(index, meta)
+
+
+@query(_SQL_RECORDS + " SELECT sample_id, haplotype::BIGINT AS haplotype, population, superpop, assembly FROM full_")
+def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("sample_id", "haplotype", "population", "superpop", "assembly")
+
+
+@query(_SQL_RECORDS + ", f AS (SELECT DISTINCT sample_id, superpop FROM full_), k AS (SELECT sample_id, superpop, row_number() OVER (PARTITION BY superpop ORDER BY sample_id) AS r FROM f WHERE superpop IN ('EUR', 'AFR', 'AMR')) SELECT sample_id, haplotype::BIGINT AS haplotype, full_.superpop FROM full_ JOIN k USING (sample_id) WHERE r <= 3")
+def select_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir).withColumn("line_no", F.col("haplotype"))
+    return readers.select_diverse(r, 3, ("EUR", "AFR", "AMR")).select("sample_id", "haplotype", "superpop")
+
+
+@query(_SQL_RECORDS + " SELECT superpop, count(*)::BIGINT AS n_haplotypes, count(DISTINCT sample_id)::BIGINT AS n_samples, count(*) * 1.0::DOUBLE AS download_gb, round_even(count(*) * 0.91::DOUBLE, 6) AS indexed_gb FROM full_ GROUP BY superpop")
+def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _records(spark, sf_dir).groupBy("superpop").agg(F.count(F.lit(1)).alias("n_haplotypes"), F.countDistinct("sample_id").alias("n_samples"))
+    return g.select("superpop", "n_haplotypes", "n_samples", (F.col("n_haplotypes") * F.lit(1.0)).alias("download_gb"), F.bround(F.col("n_haplotypes") * F.lit(0.91), 6).alias("indexed_gb"))
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 2")
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hits of each group in a stated order, as alignments are chosen."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.read(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).where("k <= 2").select("user_id", "event_id", "ts")
