@@ -38,7 +38,7 @@ from .graph import components
 from .textblocks import answers_of, block_table, bucket_count, exchanged, opened, sent
 
 #: Sets of a component that one trie holds.
-TOGETHER = 1024
+TOGETHER = 4096
 #: Shingles whose overlap is counted before the bound is looked at again.
 PIECE = 64
 _LAST = 63  # the class of shingles whose documents aren't counted
@@ -252,10 +252,11 @@ def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> Da
     return materialize(map_arrow(both, order, f"row long, id {kind}, n long, d1 long, d2 long, codes binary, prefix array<long>"), "sets")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between rows of ``sets`` (row, codes, prefix) that have the components of all links."""
+def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the rows ``reps`` (row) of ``sets`` (row, codes, prefix) that have the components of all links."""
     spark = sets.sparkSession
-    index = sets.select("row", F.explode("prefix").alias("code"))
+    may = sets.where("codes is not null")
+    index = may.select("row", "prefix").join(reps, "row", "left_semi").select("row", F.explode("prefix").alias("code"))
     least = index.groupBy("code").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b != top").select("code", "b")
     near = components(index.join(least, "code").select(F.col("row").alias("a"), "b"))
     # a root isn't among the vertices of its component
@@ -275,7 +276,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         F.least("part", "other").alias("lo"),
         F.greatest("part", "other").alias("hi"),
     )
-    full = keyed.join(sets.select("row", "codes"), "row")
+    # codes are shuffled once to meet their keys, once to their tasks
+    full = may.select("row", "codes").join(keyed.hint("shuffle_hash"), "row")
 
     def join(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -299,8 +301,7 @@ def _rooted(table: DataFrame, key: str, kind: str, k: int, percent: int) -> Data
     """(row, id, n, root): the rows of a table of blocks with their component."""
     sets = _prepared(table, key, kind, k, percent)
     classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("rep"))
-    chosen = materialize(sets.where("codes is not null").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "codes", "prefix"), "chosen")
-    linked = components(_links(chosen, percent)).select(F.col("a").alias("rep"), "root")
+    linked = components(_links(sets, classes.select(F.col("rep").alias("row")), percent)).select(F.col("a").alias("rep"), "root")
     of_class = classes.join(linked, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     return sets.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").select("row", "id", "n", F.coalesce("root", "row").alias("root"))
 
