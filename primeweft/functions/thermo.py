@@ -100,8 +100,16 @@ def duplex(primer: np.ndarray, window: np.ndarray, c: Conditions) -> np.ndarray:
     return np.where(total_h > 0, tm, -273.15)
 
 
-def duplex_tm(c: Conditions, last: int | None = None):
-    """A vectorized UDF (primer, oriented window) -> temperature; ``last``: of that many bases at the 3' end only."""
+def end_duplex(primer: np.ndarray, window: np.ndarray, c: Conditions) -> np.ndarray:
+    """The highest temperature of a duplex that ends with the matched last base; -273.15 if that one is mismatched."""
+    best = np.full(len(primer), -273.15)
+    for n in range(2, primer.shape[1] + 1):
+        best = np.maximum(best, duplex(primer[:, -n:], window[:, -n:], c))
+    return np.where(primer[:, -1] == window[:, -1], best, -273.15)
+
+
+def duplex_tm(c: Conditions, end: bool = False):
+    """A vectorized UDF (primer, oriented window) -> temperature; ``end``: of the stablest duplex at the 3' end."""
 
     @pandas_udf("double")
     def tm(primer: pd.Series, window: pd.Series) -> pd.Series:
@@ -111,8 +119,7 @@ def duplex_tm(c: Conditions, last: int | None = None):
             at = np.flatnonzero((lengths == n) & (window.str.len().to_numpy() == n))
             if len(at) and n >= 2:
                 rows = [np.frombuffer("".join(x.iloc[at]).encode("ascii", "replace"), np.uint8).reshape(len(at), -1) for x in (primer, window)]
-                rows = [x[:, -last:] if last else x for x in rows]
-                out[at] = duplex(*rows, c)
+                out[at] = (end_duplex if end else duplex)(*rows, c)
         return pd.Series(out)
 
     return tm

@@ -73,11 +73,11 @@ def thermo_reason(sites: DataFrame, thermo: Thermo, design_tm: Column | None = N
     aligned = F.when(F.col("strand") == "+", F.upper("window")).otherwise(revcomp(F.upper("window")))
     gated = sites.withColumn("_gate", near_3prime(F.col("offsets_3p"), thermo.hard) > 0).withColumn("_aligned", aligned)
     stopped = gated.where("_gate").withColumn("reason", F.lit(f"mismatch within 3' terminal {thermo.hard}nt"))
-    scored = gated.where("not _gate").withColumn("_tm", duplex_tm(thermo.conditions)(F.upper("query"), F.col("_aligned"))).withColumn("_end", duplex_tm(thermo.conditions, 5)(F.upper("query"), F.col("_aligned")))
+    scored = gated.where("not _gate").withColumn("_tm", duplex_tm(thermo.conditions)(F.upper("query"), F.col("_aligned"))).withColumn("_end", duplex_tm(thermo.conditions, end=True)(F.upper("query"), F.col("_aligned")))
     one = lambda c: F.format_string("%.1f", F.bround(c, 1))
     why = (
         F.when(F.col("_tm") < least, F.concat(F.lit("annealing Tm "), one(F.col("_tm")), F.lit("C < "), one(least), F.lit("C")))
-        .when(F.col("_end") < least - 65.0, F.concat(F.lit("3' end unstable (Tm "), one(F.col("_end")), F.lit("C)")))
+        .when(F.col("_end") < least - 10.0, F.concat(F.lit("3' end unstable (Tm "), one(F.col("_end")), F.lit("C)")))
         .otherwise("ok")
     )
     both = scored.withColumn("reason", why).drop("_tm", "_end").unionByName(stopped)

@@ -45,7 +45,7 @@ def oriented(queries: DataFrame) -> DataFrame:
     return q.select("query", both.alias("o")).select("query", "o.pattern", "o.strand", F.length("query").alias("length"))
 
 
-def chunks(contigs: DataFrame, overlap: int, sequence: str = "sequence", size: int = CHUNK) -> DataFrame:
+def chunks(contigs: DataFrame, overlap: int, size: int, sequence: str = "sequence") -> DataFrame:
     """Rows of at most ``size`` + ``overlap`` characters with their ``base``; windows start in the first ``size``."""
     n = F.length(sequence)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
@@ -110,7 +110,7 @@ class Kernel:
                 yield length, [names[i] for i in p[first].tolist()], at[first], wrong[first]
 
 
-def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str]) -> DataFrame:
+def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str], size: int) -> DataFrame:
     names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p"]
 
     def search(batches):
@@ -121,7 +121,7 @@ def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, key
                 chunk = (text or "").encode("ascii", "replace").upper()
                 for length, names_, starts, wrong in kernel.hits(chunk):
                     for (query, strand), start, w in zip(names_, starts.tolist(), wrong, strict=True):
-                        if start < CHUNK:
+                        if start < size:
                             at = np.flatnonzero(w)
                             offsets = at if strand == "-" else (length - 1 - at)[::-1]
                             rows.append((query, strand, base + start, len(at), offsets.tolist()))
@@ -180,9 +180,10 @@ def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None =
     if not lengths:
         empty = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>"
         return contigs.sparkSession.createDataFrame([], empty)
-    cut = chunks(named, max(lengths))
+    size = CHUNK
+    cut = chunks(named, max(lengths), size)
     if how == "arrow":
-        return _arrow(cut, table, k, keys)
+        return _arrow(cut, table, k, keys, size)
     if how == "expr":
         total = named.agg(F.sum(F.length("sequence"))).first()[0] or 0
         if total > EXPR_LIMIT:

@@ -58,13 +58,13 @@ def oligo_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"SELECT o_orderkey, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 1) END AS chrom, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 2), ',', '')::BIGINT END AS start, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 3), ',', '')::BIGINT END AS stop FROM (SELECT o_orderkey, trim(CASE WHEN o_orderkey % 5 = 0 THEN 'chr' || o_custkey || ' :7-9' ELSE ' chr' || (o_custkey % 22) || ':1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || (o_orderkey + 5000) END) AS s FROM orders)"
+    r"SELECT o_orderkey, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 1) ELSE '' END AS chrom, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 2), ',', '')::BIGINT ELSE -1 END AS start, CASE WHEN regexp_matches(s, '^([^:\s]+):([\d,]+)-([\d,]+)$') THEN replace(regexp_extract(s, '^([^:\s]+):([\d,]+)-([\d,]+)$', 3), ',', '')::BIGINT ELSE -1 END AS stop FROM (SELECT o_orderkey, trim(CASE WHEN o_orderkey % 5 = 0 THEN 'chr' || o_custkey || ' :7-9' ELSE ' chr' || (o_custkey % 22) || ':1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || (o_orderkey + 5000) END) AS s FROM orders)"
 )
 def coord_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t.read(spark, sf_dir, "orders")
     s = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("chr"), "o_custkey", F.lit(" :7-9"))).otherwise(F.concat(F.lit(" chr"), F.col("o_custkey") % 22, F.lit(":1,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.col("o_orderkey") + 5000))
     locus = seqs.parse_locus(s)
-    return o.select("o_orderkey", locus["chrom"].alias("chrom"), locus["start"].alias("start"), locus["end"].alias("stop"))
+    return o.select("o_orderkey", F.coalesce(locus["chrom"], F.lit("")).alias("chrom"), F.coalesce(locus["start"], F.lit(-1)).alias("start"), F.coalesce(locus["end"], F.lit(-1)).alias("stop"))
 
 
 @query(f"SELECT substr(s, i, 8) AS kmer, count(*)::BIGINT AS n, count(DISTINCT item_id)::BIGINT AS n_items FROM (SELECT item_id, s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT item_id, {t.sql_encode('text')} AS s FROM benchmark)) GROUP BY ALL")
