@@ -7,6 +7,7 @@ Texts travel as UTF-8 bytes.  A *word* is a run of bytes other than space and
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import io
 import pathlib
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text handled by numpy at once; a longer document is a block alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 # ---------------------------------------------------------------- scratch space
@@ -79,9 +80,25 @@ def ship(spark: SparkSession) -> None:
     sc._primeweft_shipped = True
 
 
+def give_back() -> None:
+    """Returns what a task freed to the system: Python workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -115,8 +132,9 @@ def binary_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) of runs of rows of about ``limit`` bytes."""
+    limit = limit or BLOCK
     raw, offsets = binary_views(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -170,7 +188,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, U64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=U64))
-        if size > 4 * BLOCK:
+        if size > 8 * BLOCK:
             return both[0], both[1]
         _POWERS[base] = both
     return _POWERS[base][0], _POWERS[base][1]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, doc_of, map_arrow, materialize, mix, ship, span_hashes, window_hashes, window_places, word_spans
+from .common import LOWER, U64, doc_of, give_back, map_arrow, materialize, mix, ship, span_hashes, window_hashes, window_places, word_spans
 from .graph import components
 from .textblocks import answers_of, block_table, bucket_count, exchanged, opened, sent
 
@@ -286,11 +286,13 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         rows, part = table.column("row").to_pylist(), table.column("part").to_pylist()
         codes = table.column("codes")
         cut = [0, *(np.flatnonzero(np.diff(roots)) + 1).tolist(), len(roots)]
-        out = []
+        out, own = [], []
         for a, b in zip(cut, cut[1:], strict=False):
             # complements ascend with the most frequent first
             own = [~np.frombuffer(codes[i].as_py(), U64)[::-1] for i in range(a, b)]
             out += trie_join(rows[a:b], own, percent, [p == hi for p in part[a:b]] if lo != hi else None)
+        del own, codes
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     ship(spark)

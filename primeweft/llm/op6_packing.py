@@ -45,7 +45,7 @@ SMALL = 512
 #: Groups of equal cardinality of the linear grouping.
 GROUPS = 96
 #: Words a worker remembers (a memory bound only).
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 # ---------------------------------------------------------------- the plan

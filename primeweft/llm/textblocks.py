@@ -19,13 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, blocks, map_arrow, materialize, ship, text_bytes
+from .common import BLOCK, blocks, give_back, map_arrow, materialize, ship, text_bytes
 
 KEPT = "block long, extra {extra}, offsets binary, z binary"
 
 
-def block_table(docs: DataFrame, text: str = "text", limit: int = BLOCK) -> DataFrame:
+def block_table(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """(block, extra, offsets, z): ``extra`` is an array of structs of the other columns, row by row."""
+    limit = limit or BLOCK
     others = [c for c in docs.columns if c != text]
     fields = ", ".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in others)
 
@@ -90,6 +91,8 @@ def exchanged(slices_: DataFrame, kinds: list[str], answer: Callable[..., np.nda
         ends = np.cumsum(lengths)
         rows = [(b, out[e - n : e].tobytes()) for b, e, n in zip(table.column("block").to_pylist(), ends.tolist(), lengths.tolist(), strict=True) if out[e - n : e].any()]
         bucket = table.column("bucket")[0].as_py()
+        del parts, columns
+        give_back()
         return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "a": pa.array([a for _, a in rows], pa.binary())})
 
     ship(slices_.sparkSession)
