@@ -69,5 +69,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates)}
 
 
+# ---------------------------------------------------------------- the same in SQL
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words_sql(text: str) -> str:
+    """CTEs w (doc_id, n_words) and tok (doc_id, pos, word) of a table of unique ids."""
+    return f"""
+split AS (SELECT doc_id, list_filter(string_split_regex(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws)::BIGINT AS n_words FROM split),
+tok AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split)"""
+
+
+_JACCARD_SQL = f"""WITH RECURSIVE {_words_sql(_LOWER.format("text"))},
+grams AS (SELECT doc_id, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g FROM tok),
+sets AS (SELECT DISTINCT doc_id, g FROM grams JOIN w USING (doc_id) WHERE pos <= greatest(n_words - 3, 1)),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, either.b FROM reach JOIN either ON either.a = reach.other)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id"""
+
+_SUBSTRING_SQL = f"""WITH {_words_sql("text")},
+windows AS (SELECT doc_id, pos, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS h FROM tok),
+again AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) > 1 AS r FROM windows JOIN w USING (doc_id) WHERE pos <= n_words - 19),
+marked AS (SELECT tok.doc_id, tok.pos, word, coalesce(bool_or(r) OVER (PARTITION BY tok.doc_id ORDER BY tok.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), FALSE) AS gone FROM tok LEFT JOIN again USING (doc_id, pos)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+_HEX = "(instr('0123456789abcdef', substr(h, {0}, 1)) - 1)"
+_WARC_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((({_HEX.format("(5 * i) // 4 + 1")} * 16 + (CASE WHEN (5 * i) // 4 + 2 > 40 THEN 0 ELSE {_HEX.format("(5 * i) // 4 + 2")} END)) >> (3 - (5 * i) % 4)) & 31)::INT, 1)), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY h) AS newest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; tests hold the others against brute force.
+
+    The others hang on hashes and samples (1), trained references (2), the packing
+    plan (6), the model (7), merges (8), stored media (9) and learnt templates (10).
+    """
+    return {"op3_jaccard": _JACCARD_SQL, "op4_substrings": _SUBSTRING_SQL, "op5_warc": _WARC_SQL}
