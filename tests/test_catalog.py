@@ -23,7 +23,7 @@ def sql():
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, sql, name):
     got = catalog.queries()[name](spark, DIR)
-    want = sql.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    want = sql.execute(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     clean = lambda rows: sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
     assert clean(want) == clean(tuple(r) for r in got.collect())
 
