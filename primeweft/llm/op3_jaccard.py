@@ -16,7 +16,7 @@ at least ``percent`` / 100; the result is the components of the links.
    so far between all sets below a node, leaves out subtrees in which the
    remaining lengths can't reach the overlap needed, and subtrees whose sets are
    in its component already.  Components of over ``TOGETHER`` sets are dealt into
-   parts, and pairs of parts are joined each in a task of its own.
+   parts (see `_links`), and pairs of parts are joined each in a task of its own.
 4. The components of the links found are those of all links.
 
 Null and empty texts have an empty set and are linked with nothing.  A text of
@@ -38,7 +38,7 @@ from .graph import components
 from .textblocks import answers_of, block_table, bucket_count, exchanged, opened, sent
 
 #: Sets of a component that one trie holds.
-TOGETHER = 4096
+TOGETHER = 2048
 #: Shingles whose overlap is counted before the bound is looked at again.
 PIECE = 64
 _LAST = 63  # the class of shingles whose documents aren't counted
@@ -252,51 +252,72 @@ def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> Da
     return materialize(map_arrow(both, order, f"row long, id {kind}, n long, d1 long, d2 long, codes binary, prefix array<long>"), "sets")
 
 
-def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the rows ``reps`` (row) of ``sets`` (row, codes, prefix) that have the components of all links."""
-    spark = sets.sparkSession
-    may = sets.where("codes is not null")
-    index = may.select("row", "prefix").join(reps, "row", "left_semi").select("row", F.explode("prefix").alias("code"))
-    least = index.groupBy("code").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b != top").select("code", "b")
-    near = components(index.join(least, "code").select(F.col("row").alias("a"), "b"))
-    # a root isn't among the vertices of its component
-    member = near.select(F.col("a").alias("row"), "root").unionByName(near.select(F.col("root").alias("row"), "root").distinct())
-    size = near.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
-    parts = F.ceil(F.col("m") / TOGETHER).cast("int")
-    placed = member.join(size, "root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    n_buckets = bucket_count(sets)
-    # small components share tasks; of a large one each pair of parts is a task
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = spread.select(
-        "row",
-        "root",
-        "part",
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(n_buckets))).otherwise(F.col("root")).alias("task"),
-        (F.col("parts") > 1).alias("large"),
-        F.least("part", "other").alias("lo"),
-        F.greatest("part", "other").alias("hi"),
-    )
-    # codes are shuffled once to meet their keys, once to their tasks
-    full = may.select("row", "codes").join(keyed.hint("shuffle_hash"), "row")
+def _joined(may: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in each task of ``keyed`` (row, root, task, lo, hi, side).
+
+    Sets of one root are joined among themselves where lo = hi, else side 1 with side 0.
+    """
 
     def join(table: pa.Table) -> pa.Table:
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        within = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         table = table.sort_by([("root", "ascending"), ("row", "ascending")])
         roots = np.asarray(table.column("root").combine_chunks(), np.int64)
-        rows, part = table.column("row").to_pylist(), table.column("part").to_pylist()
+        rows, side = table.column("row").to_pylist(), table.column("side").to_pylist()
         codes = table.column("codes")
         cut = [0, *(np.flatnonzero(np.diff(roots)) + 1).tolist(), len(roots)]
         out, own = [], []
         for a, b in zip(cut, cut[1:], strict=False):
             # complements ascend with the most frequent first
             own = [~np.frombuffer(codes[i].as_py(), U64)[::-1] for i in range(a, b)]
-            out += trie_join(rows[a:b], own, percent, [p == hi for p in part[a:b]] if lo != hi else None)
+            out += trie_join(rows[a:b], own, percent, None if within else [x == 1 for x in side[a:b]])
         del own, codes
         give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    ship(spark)
-    return full.groupBy("task", "large", "lo", "hi").applyInArrow(join, "a long, b long")
+    ship(may.sparkSession)
+    # codes are shuffled once to meet their keys, once to their tasks
+    full = may.select("row", "codes").join(keyed.hint("shuffle_hash"), "row")
+    return full.groupBy("task", "lo", "hi").applyInArrow(join, "a long, b long")
+
+
+def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the rows ``reps`` (row) of ``sets`` (row, codes, prefix) that have the components of all links.
+
+    A candidate component of up to ``TOGETHER`` sets is one task's, which small ones
+    share.  A larger one is dealt into parts.  First each part is joined in itself and
+    with part 0, work in proportion to the parts; a cohesive group then is one
+    component, within which nothing is left to find.  Only sets outside of the largest
+    such component are joined with all parts.
+    """
+    n_buckets = bucket_count(sets)
+    may = sets.where("codes is not null")
+    index = may.select("row", "prefix").join(reps, "row", "left_semi").select("row", F.explode("prefix").alias("code"))
+    least = index.groupBy("code").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b != top").select("code", "b")
+    near = components(index.join(least, "code").select(F.col("row").alias("a"), "b"))
+    # a root isn't among the vertices of its component
+    member = near.select(F.col("a").alias("row"), "root").unionByName(near.select(F.col("root").alias("row"), "root").distinct())
+    size = near.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
+    parts = F.ceil(F.col("m") / TOGETHER).cast("int")
+    placed = materialize(member.join(size, "root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")), "candidates")
+    small = placed.where("parts = 1").select("row", "root", F.pmod(F.xxhash64("root"), F.lit(n_buckets)).alias("task"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
+    large = placed.where("parts > 1")
+    own = large.select("row", "root", F.col("root").alias("task"), F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(0).alias("side"))
+    other = F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part")))
+    first = large.withColumn("hi", other).select("row", "root", F.col("root").alias("task"), F.lit(0).alias("lo"), "hi", (F.col("part") > 0).cast("int").alias("side"))
+    found = materialize(_joined(may, small.unionByName(own).unionByName(first), percent), "links")
+
+    inner = components(found.join(large.select(F.col("row").alias("a")), "a", "left_semi"))
+    told = large.join(inner.select(F.col("a").alias("row"), F.col("root").alias("inner")), "row", "left").withColumn("inner", F.coalesce("inner", "row"))
+    counts = told.groupBy("root", "inner").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("root").agg(F.max(F.struct("k", F.col("inner").alias("main"))).alias("x")).select("root", F.col("x.main").alias("main"))
+    rest = told.join(main, "root").where("inner != main")
+    groups = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("groups"))
+    sought = rest.join(groups, "root").withColumn("lo", F.pmod(F.xxhash64("row", F.lit(1)), F.col("groups")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    against = large.join(groups, "root").withColumn("hi", F.col("part")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    # numbers of parts below 0 and of groups from 0 never are equal: all these tasks join two sides
+    columns = lambda df, side: df.select("row", "root", F.col("root").alias("task"), F.col("lo"), (-1 - F.col("hi")).alias("hi"), F.lit(side).alias("side"))
+    second = _joined(may, columns(sought, 1).unionByName(columns(against, 0)), percent)
+    return found.unionByName(second).where("a != b")
 
 
 def _rooted(table: DataFrame, key: str, kind: str, k: int, percent: int) -> DataFrame:
