@@ -45,12 +45,25 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new folder name in the shared scratch space, deleted when Spark ends."""
     path = f"{checkpoint_root(spark)}/primeweft/{tag}-{uuid.uuid4().hex}"
+    made.append(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
+#: Folders that `scratch_path` named and nobody has discarded.
+made: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders that nothing reads any more."""
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        made.remove(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch space and read back.
 

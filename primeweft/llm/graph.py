@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, made, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         top = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(top, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        old = made[-1]
         now = materialize(small.where("a != b").distinct(), "edges")
+        discard(edges.sparkSession, [old])
         before, state = state, _state(now)
         if state == before:
             break

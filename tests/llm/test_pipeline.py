@@ -77,12 +77,19 @@ def test_stages_against_brute_force(spark):
     assert max(fill.values()) <= 4096
 
 
-def test_repeated_rows_and_empty_tables(spark):
+def test_repeated_rows_and_empty_tables(spark, tmp_path):
     text = " ".join(f"the word{i} of this and" for i in range(30))
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (None, text, "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [tuple(x) for x in c.near_duplicates(spark, docs, "").collect()] == rows[:1]
     now = docs.limit(0)
-    for _, stage in c.STAGES:
+    for i, (_, stage) in enumerate(c.STAGES):
         now = stage(spark, now, "")
+        now.write.parquet(str(tmp_path / str(i)))
+        now = spark.read.parquet(str(tmp_path / str(i)))
         assert now.count() == 0
+
+
+def test_run(spark):
+    got = c.run(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
