@@ -1,13 +1,16 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, packing.
 
 Each stage reads what its predecessor kept, takes effect on it and, but for the
-last, returns the columns of ``documents``.
+last, returns the columns of ``documents``.  A stage's result is to be written before
+the next stage is called, as `run` does: the next one deletes the scratch behind it.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
-from primeweft.llm.common import materialize
+from primeweft.llm.common import discard, made, materialize
 from primeweft.llm.op2_quality import keep_good
 from primeweft.llm.op3_jaccard import keep_one
 from primeweft.llm.op4_substrings import remove_repeats
@@ -22,22 +25,50 @@ WINDOW = 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Scratch folders of the stages so far.
+_used: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes the scratch of earlier ones, whose results were written.
+
+    Folders that the documents themselves are read from stay.
+    """
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        over = [p for p in _used if p in made and not any(p.partition(":")[2].lstrip("/") in x for x in files)]
+        discard(spark, over)
+        _used[:] = [p for p in _used if p in made]
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _used.extend(made[before:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
     return keep_good(docs.select(COLUMNS))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     return keep_one(docs.select(COLUMNS), k=SHINGLE, percent=PERCENT)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words of passages that start earlier in the corpus; a text may become empty."""
     kept = remove_repeats(docs.select(COLUMNS), window=WINDOW, texts=True)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of 4096 ids."""
     return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
