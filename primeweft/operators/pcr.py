@@ -229,7 +229,8 @@ def evaluate(pairs: DataFrame, contigs: DataFrame, loci: DataFrame, config: Eval
         judged = thermo_reason(windows, config.thermo).drop("window").join(long, "query")
     else:
         raise ValueError(f"unknown mode {config.mode!r}")
-    judged = judged.withColumn("primer_name", F.col("query"))
+    # counts, products and reasons all read the sites, which are few beside the bases searched
+    judged = judged.withColumn("primer_name", F.col("query")).persist()
     keys = ["pair", "haplotype"]
     grid = loci.select(*keys, F.col("chrom").alias("l_chrom"), F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("chrom").isNotNull().alias("projected"))
     over = capped(judged, [*keys, "role"], config.max_sites).where("capped")

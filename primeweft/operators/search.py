@@ -4,9 +4,11 @@ Every strategy returns the same rows: query (the primer's sequence), contig
 columns, strand, start, mismatches, offsets_3p.
 
 * ``arrow``: the production kernel.  Contigs are cut into chunks that overlap by
-  the longest primer; in a chunk every window is keyed by each of k + 1 segments,
-  one of which a hit must match exactly, and only those candidates are compared.
-* ``seed_join``: the same pigeonhole as an equi-join, for plans without Python.
+  the longest primer.  Of a primer's first and last half one has at most k // 2
+  mismatches: a table of all such variants of the halves, indexed by the two-bit
+  code of a window, tells the few places that are compared in full.
+* ``seed_join``: an equi-join on k + 1 segments, one of which a hit matches
+  exactly, for plans without Python.
 * ``expr``: windows times primers; for small fixtures, refused above a size.
 """
 
@@ -46,10 +48,16 @@ def oriented(queries: DataFrame) -> DataFrame:
 
 
 def chunks(contigs: DataFrame, overlap: int, size: int, sequence: str = "sequence") -> DataFrame:
-    """Rows of at most ``size`` + ``overlap`` characters with their ``base``; windows start in the first ``size``."""
+    """Rows of at most ``size`` + ``overlap`` characters with ``base``; windows start in the first ``own``.
+
+    Contigs that a reader has cut already (they have base and own) stay as they are.
+    """
+    if {"base", "own"} <= set(contigs.columns):
+        return contigs
     n = F.length(sequence)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return contigs.withColumn("base", F.explode(places)).withColumn(sequence, F.expr(f"substring(`{sequence}`, base + 1, {size + overlap})"))
+    cut = contigs.withColumn("base", F.explode(places)).withColumn(sequence, F.expr(f"substring(`{sequence}`, base + 1, {size + overlap})"))
+    return cut.withColumn("base", F.col("base").cast("long")).withColumn("own", F.lit(size).cast("long"))
 
 
 def _segments(length: int, k: int) -> list[tuple[int, int]]:
@@ -57,81 +65,112 @@ def _segments(length: int, k: int) -> list[tuple[int, int]]:
     return [(length * i // (k + 1), length * (i + 1) // (k + 1)) for i in range(k + 1)]
 
 
+#: Bases of a seed at most: the table of its codes has 4 ** SEED entries.
+SEED = 10
+#: Places whose codes are made at once, few enough for a core's cache.
+STRIDE = 1 << 15
+_CODE = np.zeros(256, np.uint32)  # other characters count as A here: more candidates, never fewer
+_CODE[list(b"ACGT")] = range(4)
+
+
+def _codes(code: np.ndarray, n: int) -> np.ndarray:
+    """The number of each run of n two-bit codes, by doubling."""
+    out, have, done = np.zeros(max(0, len(code) - n + 1), np.uint32), code, 1
+    filled = 0
+    while True:
+        if n >> (done.bit_length() - 1) & 1:
+            out = (out << np.uint32(2 * done)) | have[filled : filled + len(out)]
+            filled += done
+        if 2 * done > n:
+            return out
+        have = (have[:-done] << np.uint32(2 * done)) | have[done:]
+        done *= 2
+
+
+def variants(seed: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of all sequences that differ from a seed (two-bit codes) in at most ``most`` places."""
+    n = len(seed)
+    found = {0: np.array([int(sum(int(c) << 2 * (n - 1 - i) for i, c in enumerate(seed)))], np.int64)}
+    current = found[0]
+    for i in range(1, most + 1):
+        flips = np.array([d << 2 * p for p in range(n) for d in (1, 2, 3)], np.int64)
+        current = np.unique(current[:, None] ^ flips)
+        found[i] = current
+    return np.unique(np.concatenate(list(found.values())))
+
+
 class Kernel:
-    """Patterns by length, and their segments' codes."""
+    """Patterns by length, and tables from a seed's code to the patterns it may belong to."""
 
     def __init__(self, patterns: list[tuple[str, str, str]], k: int):
         self.k = k
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple[str, str]]]] = {}
-        for length in {len(p) for _, p, _ in patterns}:
-            own = [(q, p, s) for q, p, s in patterns if len(p) == length]
-            self.by_length[length] = (np.frombuffer("".join(p for _, p, _ in own).encode(), np.uint8).reshape(len(own), -1), [(q, s) for q, _, s in own])
-
-    @staticmethod
-    def codes(x: np.ndarray, a: int, b: int) -> np.ndarray:
-        """A number for each window's characters a to b (exact up to 21 characters, else a hash)."""
-        out = np.zeros(x.shape[0] if x.ndim == 2 else len(x), np.uint64)
-        for i in range(a, b):
-            out = out * np.uint64(1315423911 if b - a > 8 else 256) + (x[:, i] if x.ndim == 2 else x)
-        return out
+        self.names = [(q, s) for q, _, s in patterns]
+        self.rows = [np.frombuffer(p.encode("ascii", "replace"), np.uint8) for _, p, _ in patterns]
+        self.all = [i for i, r in enumerate(self.rows) if len(r) // 2 < 4 or len(r) <= k]  # too short for seeds
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        by: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        for i, r in enumerate(self.rows):
+            if i in self.all:
+                continue
+            n = min(len(r) // 2, SEED)
+            for at in (0, len(r) - n):
+                by.setdefault(n, []).append((variants(_CODE[r[at : at + n]], k // 2), i, at))
+        for n, seeds in by.items():
+            code = np.concatenate([v for v, _, _ in seeds])
+            pattern = np.concatenate([np.full(len(v), i) for v, i, _ in seeds])
+            offset = np.concatenate([np.full(len(v), at) for v, _, at in seeds])
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(4**n + 1))
+            self.tables[n] = (starts[1:] > starts[:-1], starts, pattern[order], offset[order])
 
     def hits(self, chunk: bytes):
-        """(length, pattern rows, starts, mismatch table) of each primer length; starts ascend for a pattern."""
+        """(pattern, start, mismatch flags) of each hit."""
         text = np.frombuffer(chunk, np.uint8)
-        for length, (patterns, names) in self.by_length.items():
-            n = len(text) - length + 1
-            if n <= 0:
-                continue
-            pairs = []
-            if self.k >= length:
-                pairs.append((np.repeat(np.arange(len(patterns)), n), np.tile(np.arange(n), len(patterns))))
-            for a, b in _segments(length, self.k) if self.k < length else ():
-                rolled = np.zeros(n, np.uint64)
-                for i in range(a, b):
-                    rolled = rolled * np.uint64(1315423911 if b - a > 8 else 256) + text[i : i + n]
-                order = np.argsort(rolled, kind="stable")
-                ordered = rolled[order]
-                wanted = self.codes(patterns, a, b)
-                lo, hi = np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
-                for p in np.flatnonzero(hi > lo):
-                    at = order[lo[p] : hi[p]]
-                    pairs.append((np.full(len(at), p), at))
-            found = []
-            for p, at in pairs:
-                for i in range(0, len(at), 1 << 18):
-                    pp, aa = p[i : i + (1 << 18)], at[i : i + (1 << 18)]
-                    wrong = text[aa[:, None] + np.arange(length)] != patterns[pp]
-                    ok = wrong.sum(1) <= self.k
-                    if ok.any():
-                        found.append((pp[ok], aa[ok], wrong[ok]))
-            if found:
-                p, at, wrong = (np.concatenate(x) for x in zip(*found, strict=True))
-                _, first = np.unique(p * len(text) + at, return_index=True)
-                yield length, [names[i] for i in p[first].tolist()], at[first], wrong[first]
-
-
-def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str], size: int) -> DataFrame:
+        code = _CODE[text]
+        pairs = [(np.full(len(text) - len(self.rows[i]) + 1, i), np.arange(len(text) - len(self.rows[i]) + 1)) for i in self.all if len(text) >= len(self.rows[i])]
+        for n, (wanted, starts, pattern, offset) in self.tables.items():
+            for begin in range(0, len(code) - n + 1, STRIDE):
+                rolled = _codes(code[begin : begin + STRIDE + n - 1], n)
+                at = np.flatnonzero(wanted[rolled])
+                found = rolled[at].astype(np.int64)
+                lo, count = starts[found], starts[found + 1] - starts[found]
+                entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                pairs.append((pattern[entry], np.repeat(at + begin, count) - offset[entry]))
+        p, at = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        lengths = np.array([len(r) for r in self.rows], np.int64)
+        ok = (at >= 0) & (at + lengths[p] <= len(text))
+        both = np.unique(p[ok] * (len(text) + 1) + at[ok])
+        p, at = both // (len(text) + 1), both % (len(text) + 1)
+        for i in np.unique(p):
+            mine = at[p == i]
+            row = self.rows[i]
+            for a in range(0, len(mine), 1 << 16):
+                wrong = text[mine[a : a + (1 << 16), None] + np.arange(len(row))] != row
+                near = np.flatnonzero(wrong.sum(1) <= self.k)
+                yield from ((i, int(mine[a + j]), wrong[j]) for j in near.tolist())
+
+
+def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str]) -> DataFrame:
     names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p"]
 
     def search(batches):
         kernel = Kernel(patterns, k)
         for batch in batches:
             rows, where = [], []
-            for i, (base, text) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
-                chunk = (text or "").encode("ascii", "replace").upper()
-                for length, names_, starts, wrong in kernel.hits(chunk):
-                    for (query, strand), start, w in zip(names_, starts.tolist(), wrong, strict=True):
-                        if start < size:
-                            at = np.flatnonzero(w)
-                            offsets = at if strand == "-" else (length - 1 - at)[::-1]
-                            rows.append((query, strand, base + start, len(at), offsets.tolist()))
-                            where.append(i)
+            for i, (base, own, text) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(3)), strict=True)):
+                for pattern, start, wrong in kernel.hits((text or "").encode("ascii", "replace").upper()):
+                    if start < own:
+                        query, strand = kernel.names[pattern]
+                        at = np.flatnonzero(wrong)
+                        offsets = at if strand == "-" else (len(wrong) - 1 - at)[::-1]
+                        rows.append((query, strand, base + start, len(at), offsets.tolist()))
+                        where.append(i)
             taken = [batch.column(j).take(pa.array(where, pa.int64())) for j in range(len(keys))]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)]
             yield pa.RecordBatch.from_arrays([*taken, *columns], names=names)
 
     schema = ", ".join(f"`{c}` {chunked.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>"
-    return chunked.select(*keys, "base", "sequence").mapInArrow(search, schema)
+    return chunked.select(*keys, "base", "own", "sequence").mapInArrow(search, schema)
 
 
 def _finish(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,7 +184,7 @@ def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], l
         own = orient.where(F.col("length") == length)
         parts = F.array(*[F.struct(F.lit(i).alias("seg"), F.substring("pattern", a + 1, b - a).alias("seed")) for i, (a, b) in enumerate(_segments(length, k))])
         seeds = own.withColumn("p", F.explode(parts)).select("query", "pattern", "strand", "length", "p.seg", "p.seed")
-        at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.lit(CHUNK - 1)))).otherwise(F.array().cast("array<int>")))
+        at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.col("own").cast("int") - 1))).otherwise(F.array().cast("array<int>")))
         windows = chunked.withColumn("at", at).select(*keys, (F.col("base") + F.col("at")).cast("long").alias("start"), F.upper(F.substring(F.col("sequence"), F.col("at") + 1, F.lit(length))).alias("seen"))
         slices = F.array(*[F.struct(F.lit(i).alias("seg"), F.substring("seen", a + 1, b - a).alias("seed")) for i, (a, b) in enumerate(_segments(length, k))])
         candidates = windows.withColumn("w", F.explode(slices)).select(*keys, "start", "seen", "w.seg", "w.seed").join(seeds, ["seg", "seed"]).drop("seg", "seed")
@@ -157,7 +196,7 @@ def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], l
 def _expr(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int]) -> DataFrame:
     out = None
     for length in lengths:
-        at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.lit(CHUNK - 1)))).otherwise(F.array().cast("array<int>")))
+        at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.col("own").cast("int") - 1))).otherwise(F.array().cast("array<int>")))
         windows = chunked.withColumn("at", at).select(*keys, (F.col("base") + F.col("at")).cast("long").alias("start"), F.upper(F.substring(F.col("sequence"), F.col("at") + 1, F.lit(length))).alias("seen"))
         near = windows.join(orient.where(F.col("length") == length), F.size(mismatch_places(F.col("pattern"), F.col("seen"), F.col("length"))) <= k)
         out = near if out is None else out.unionByName(near)
@@ -167,7 +206,7 @@ def _expr(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], length
 def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None = None, sequence: str = "sequence") -> DataFrame:
     """Sites of distinct ``queries`` (query) in ``contigs`` (any key columns and a sequence)."""
     how = strategy(how)
-    keys = [c for c in contigs.columns if c != sequence]
+    keys = [c for c in contigs.columns if c not in (sequence, "base", "own")]
     named = contigs.withColumnRenamed(sequence, "sequence")
     orient = oriented(queries)
     table = [(r["query"], r["pattern"], r["strand"]) for r in orient.limit(PRIMER_LIMIT + 1).select("query", "pattern", "strand").collect()]
@@ -183,7 +222,7 @@ def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None =
     size = CHUNK
     cut = chunks(named, max(lengths), size)
     if how == "arrow":
-        return _arrow(cut, table, k, keys, size)
+        return _arrow(cut, table, k, keys)
     if how == "expr":
         total = named.agg(F.sum(F.length("sequence"))).first()[0] or 0
         if total > EXPR_LIMIT:

@@ -116,8 +116,9 @@ def site_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- products and statuses
 @query(f'WITH {t.SQL_CELLS} SELECT pair, haplotype, contig, start::BIGINT AS start, "end"::BIGINT AS stop, size::BIGINT AS size, p_role, m_role, on_target FROM amp')
 def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = t.cells(spark, sf_dir).where("projected and not capped").select("pair", "haplotype")
-    good = t.judged(spark, sf_dir).where("competent").join(open_, ["pair", "haplotype"])
+    sites = t.judged(spark, sf_dir)
+    open_ = t.cells(spark, sf_dir, sites).where("projected and not capped").select("pair", "haplotype")
+    good = sites.where("competent").join(open_, ["pair", "haplotype"])
     return t.products_of(good, spark, sf_dir).select("pair", "haplotype", "contig", "start", F.col("end").alias("stop"), "size", "p_role", "m_role", "on_target")
 
 

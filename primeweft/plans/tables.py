@@ -51,15 +51,19 @@ def sites(spark: SparkSession, sf_dir: str, how: str = "arrow") -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competent or not, for each pair and role that has the primer."""
+    """Competent or not, for each pair and role that has the primer.
+
+    Kept, since counts, products and reasons all read it and the search is the costly
+    part; sites are few beside the bases searched.
+    """
     ruled = pcr.rule_reason(sites(spark, sf_dir), RULE)
-    return ruled.join(roles(pairs(spark, sf_dir)), "query")
+    return ruled.join(roles(pairs(spark, sf_dir)), "query").persist()
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, all_sites: DataFrame | None = None) -> DataFrame:
     """A row for each pair and haplotype."""
     keys = ["pair", "haplotype"]
-    all_sites = judged(spark, sf_dir)
+    all_sites = judged(spark, sf_dir) if all_sites is None else all_sites
     haplotypes = read(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("haplotype")).distinct()
     over = pcr.capped(all_sites, [*keys, "role"], CAP).where("capped")
     names = F.array_sort(F.collect_set(F.when(F.col("role") == "F", "forward").otherwise("reverse")))

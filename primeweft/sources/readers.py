@@ -49,65 +49,76 @@ def sidecar(spark: SparkSession, path: str, suffix: str) -> str:
     return path + suffix
 
 
-def read_fasta(spark: SparkSession, path: str, chunk_lines: int = 20_000) -> DataFrame:
-    """(file, contig_idx, chrom, at, sequence): a contig's bases in chunks of whole lines, in order.
-
-    A contig of any length is never one row: lines are numbered in the task that
-    reads the file, and chunks of them joined.  Compressed files (several members as
-    well) are inflated by the reader; a truncated one fails.
+def read_fasta(spark: SparkSession, path: str, chunk_lines: int = 20_000, overlap: int = 0) -> DataFrame:
+    """(file, contig_idx, chrom, base, own, sequence): a contig's bases in chunks of whole lines, in order.
+
+    A contig of any length is never one row: the task that reads a file joins
+    ``chunk_lines`` lines at a time.  With an ``overlap`` a chunk goes on for so many
+    bases into the next one; ``own`` are those before it, so that a search of windows
+    of up to ``overlap`` bases that start in the own ones loses and doubles nothing.
+    Compressed files (several members as well) are inflated by the reader; a cut one
+    fails.
     """
 
     def cut(batches) -> Iterator:
         import pandas as pd
 
-        name, idx, at, held, n = None, -1, 0, [], 0
-        current = None
+        current, name, idx, base, held, n = None, None, -1, 0, [], 0
+        waiting = None  # the chunk that still needs its overlap
 
-        def flush():
-            nonlocal at, held, n
-            text = "".join(held)
-            row = (current, idx, name, at, text)
-            at, held, n = at + len(text), [], 0
-            return row
+        def close(text: str, last: bool) -> list[tuple]:
+            """Rows that are complete once ``text`` follows; the last chunk of a contig takes no overlap."""
+            nonlocal waiting, base
+            rows = []
+            if waiting is not None:
+                at, own = waiting
+                rows.append((current, idx, name, at, len(own), own + text[:overlap]))
+                waiting = None
+            if text or (last and base == 0 and not rows):
+                waiting = (base, text)
+                base += len(text)
+            if last and waiting is not None:
+                at, own = waiting
+                rows.append((current, idx, name, at, len(own), own))
+                waiting = None
+            return rows
 
         for pdf in batches:
-            rows = []
+            rows: list[tuple] = []
             for file, line in zip(pdf["file"], pdf["value"], strict=True):
-                if file != current:
-                    if held:
-                        rows.append(flush())
-                    current, name, idx, at = file, None, -1, 0
-                line = line.rstrip("\r")
+                if file != current or line.startswith(">"):
+                    if name is not None:
+                        rows += close("".join(held), True)
+                    held, n, base = [], 0, 0
+                    if file != current:
+                        current, name, idx = file, None, -1
                 if line.startswith(">"):
-                    if held:
-                        rows.append(flush())
-                    elif name is not None and at == 0:
-                        rows.append((current, idx, name, 0, ""))
-                    name, idx, at = (line[1:].split() or [""])[0], idx + 1, 0
+                    name, idx = (line[1:].split() or [""])[0], idx + 1
                 elif name is not None:
                     held.append("".join(line.split()))
                     n += 1
-                    if n >= chunk_lines:
-                        rows.append(flush())
+                    if n >= chunk_lines and sum(map(len, held)) >= overlap:
+                        rows += close("".join(held), False)
+                        held, n = [], 0
                 elif line.strip():
                     raise ValueError(f"{file}: bases before the first header")
-            yield pd.DataFrame(rows, columns=["file", "contig_idx", "chrom", "at", "sequence"])
-        if held:
-            yield pd.DataFrame([flush()], columns=["file", "contig_idx", "chrom", "at", "sequence"])
+            yield pd.DataFrame(rows, columns=["file", "contig_idx", "chrom", "base", "own", "sequence"])
+        if name is not None:
+            yield pd.DataFrame(close("".join(held), True), columns=["file", "contig_idx", "chrom", "base", "own", "sequence"])
 
     # one task for each file: a text line can't be placed without those before it
-    lines = spark.read.option("wholetext", False).option("maxPartitionBytes", 1 << 40).text(path).select(F.input_file_name().alias("file"), "value")
-    return lines.mapInPandas(cut, "file string, contig_idx int, chrom string, at long, sequence string")
+    lines = spark.read.option("maxPartitionBytes", 1 << 40).text(path).select(F.input_file_name().alias("file"), "value")
+    return lines.mapInPandas(cut, "file string, contig_idx int, chrom string, base long, own long, sequence string")
 
 
 def contig_lengths(fasta: DataFrame) -> DataFrame:
-    return fasta.groupBy("file", "contig_idx", "chrom").agg(F.sum(F.length("sequence")).alias("length"))
+    return fasta.groupBy("file", "contig_idx", "chrom").agg(F.sum("own").alias("length"))
 
 
 def whole_contigs(fasta: DataFrame) -> DataFrame:
     """(file, contig_idx, chrom, sequence) for contigs that fit a row."""
-    parts = fasta.groupBy("file", "contig_idx", "chrom").agg(F.array_sort(F.collect_list(F.struct("at", "sequence"))).alias("p"))
-    return parts.select("file", "contig_idx", "chrom", F.array_join("p.sequence", "").alias("sequence"))
+    parts = fasta.groupBy("file", "contig_idx", "chrom").agg(F.array_sort(F.collect_list(F.struct("base", F.expr("substring(sequence, 1, cast(own as int))").alias("s")))).alias("p"))
+    return parts.select("file", "contig_idx", "chrom", F.array_join("p.s", "").alias("sequence"))
 
 
 def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFrame:

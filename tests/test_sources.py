@@ -3,7 +3,7 @@ import random
 
 import pytest
 from primeweft import cli
-from primeweft.operators import pcr
+from primeweft.operators import pcr, search
 from primeweft.plans import verify as plans
 from primeweft.sources import readers
 from primeweft.streaming import incremental
@@ -19,6 +19,11 @@ def test_fasta(spark, tmp_path):
         whole = {r["chrom"]: r["sequence"] for r in readers.whole_contigs(df).collect()}
         assert whole == {"c1": "ACGTacgt", "c2": "", "c3": "ACGTN" * 9}
         assert {r["chrom"]: r["length"] for r in readers.contig_lengths(df).collect()}["c3"] == 45
+        parts = [tuple(r) for r in readers.read_fasta(spark, str(p), 2, 4).where("chrom = 'c3'").select("base", "own", "sequence").orderBy("base").collect()]
+        assert [(b, o, len(s)) for b, o, s in parts] == [(0, 10, 14), (10, 10, 14), (20, 10, 14), (30, 10, 14), (40, 5, 5)]
+        q = spark.createDataFrame([("NACG",), ("TNAC",)], "query string")
+        cut, one = (search.search(x.select("chrom", *y, "sequence"), q, 0) for x, y in ((readers.read_fasta(spark, str(p), 2, 4), ("base", "own")), (readers.whole_contigs(df), ())))
+        assert sorted(map(str, cut.collect())) == sorted(map(str, one.collect())) and cut.count() > 10
     assert readers.scan_path(spark, str(tmp_path / "b.fa")) == str(packed)
     assert readers.scan_path(spark, str(plain)) == str(plain)
     with pytest.raises(FileNotFoundError):
