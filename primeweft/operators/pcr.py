@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import contained, revcomp
 from ..functions.thermo import Conditions, duplex_tm
+from ..ship import ship
 
 STATUSES = ("pass", "dropout", "off_target", "multi_product", "uncertain")
 
@@ -69,6 +70,7 @@ def thermo_reason(sites: DataFrame, thermo: Thermo, design_tm: Column | None = N
 
     Only rows past the gate reach the vectorized UDFs.
     """
+    ship(sites.sparkSession)
     least = (F.lit(thermo.design_tm) if design_tm is None else design_tm) - thermo.drop
     aligned = F.when(F.col("strand") == "+", F.upper("window")).otherwise(revcomp(F.upper("window")))
     gated = sites.withColumn("_gate", near_3prime(F.col("offsets_3p"), thermo.hard) > 0).withColumn("_aligned", aligned)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import mismatch_places, offsets_3p, revcomp, revcomp_text
+from ..ship import ship
 
 STRATEGIES = ("arrow", "seed_join", "expr")
 #: Characters of a contig that one row holds.
@@ -222,6 +223,7 @@ def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None =
     size = CHUNK
     cut = chunks(named, max(lengths), size)
     if how == "arrow":
+        ship(contigs.sparkSession)
         return _arrow(cut, table, k, keys)
     if how == "expr":
         total = named.agg(F.sum(F.length("sequence"))).first()[0] or 0

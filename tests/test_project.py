@@ -107,3 +107,20 @@ def test_route():
     assert [project.route(a, b) for a, b in ((True, True), (False, True), (False, False))] == ["blocks", "grid", "kmers"]
     with pytest.raises(TypeError):
         project.route()
+
+
+def test_differences_mark_planted_variants(spark):
+    from primeweft.operators import align
+
+    r = random.Random(11)
+    t = "".join(r.choice("ACGT") for _ in range(600))
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    w = t[:100] + other[t[100]] + t[101:300] + t[304:450] + "GATTACA" + t[450:]
+    start, cs = align.differences(t, w)
+    assert start == 0
+    df = spark.createDataFrame([("t", start, cs)], "template string, r_start long, cs string")
+    marked = sorted(x["pos"] for x in mask.variants(df, F.lit(600)).collect())
+    assert 100 in marked and len([p for p in marked if 285 <= p <= 320]) >= 4 and any(430 <= p <= 460 for p in marked)
+    assert len(marked) <= 40 and align.differences(t, "ACGT" * 20) is None
+    got = align.align_windows(spark.createDataFrame([("t", t)], "template string, sequence string"), spark.createDataFrame([("h1", t), ("h2", "A" * 50)], "haplotype string, sequence string")).collect()
+    assert [(x["haplotype"], x["cs"]) for x in got] == [("h1", ":600")]
