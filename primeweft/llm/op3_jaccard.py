@@ -26,6 +26,7 @@ never is a component's id unless all are null.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import sys
 
 import numpy as np
@@ -104,13 +105,23 @@ def rarity(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 class Trie:
-    """A compressed trie of ascending arrays with components of what was linked."""
+    """Compressed tries of ascending arrays, one for each band of sizes, with components of what was linked.
+
+    A band reaches from a size to the largest that can be similar to it, so that a query
+    visits three bands at most.
+    """
 
     def __init__(self, percent: int):
         self.t = percent
         self.parent: list[int] = []
         self.links: list[tuple[int, int]] = []
-        self.root = None
+        self.roots: dict[int, list] = {}
+        self.bounds = [1]
+
+    def band(self, n: int) -> int:
+        while self.bounds[-1] <= n:
+            self.bounds.append(max(self.bounds[-1] + 1, 100 * self.bounds[-1] // self.t + 1))
+        return bisect.bisect_right(self.bounds, n)
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -127,9 +138,7 @@ class Trie:
     # a node: [segment, children, least size, largest size, member or -1, one member below, whether all below are linked]
     def insert(self, x: np.ndarray, member: int) -> None:
         n = len(x)
-        if self.root is None:
-            self.root = [x[:0], {}, n, n, -1, member, True]
-        node, at = self.root, 0
+        node, at = self.roots.setdefault(self.band(n), [x[:0], {}, n, n, -1, member, True]), 0
         while True:
             node[2], node[3] = min(node[2], n), max(node[3], n)
             node[6] = node[6] and self.find(node[5]) == self.find(member)
@@ -160,8 +169,10 @@ class Trie:
 
     def query(self, q: np.ndarray, member: int) -> None:
         """Links the member with a set of each component that has one similar to q."""
-        if self.root is not None:
-            self._visit(self.root, q, member, 0, 0, len(q))
+        n = len(q)
+        for band in range(self.band(-(-self.t * n // 100)), self.band(100 * n // self.t) + 1):
+            if band in self.roots:
+                self._visit(self.roots[band], q, member, 0, 0, n)
 
     def _visit(self, node, q, member, overlap, depth, left) -> None:
         n = len(q)
