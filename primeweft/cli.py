@@ -1,15 +1,16 @@
-"""Command line: selftest, verify, design, select, grid, rerender."""
+"""Command line: selftest, design, verify, select, grid, rerender."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import pcr, project
+from .operators import align, pcr, project
 from .plans import reports, verify as plans
 from .sources import readers
 
@@ -79,6 +80,54 @@ def verify(args: argparse.Namespace) -> int:
     return 0
 
 
+def design(args: argparse.Namespace) -> int:
+    """Anchor, project, mask, pick, evaluate on windows, evaluate the shortlist everywhere, rank.
+
+    With --stages each stage's table is kept there, and a later run goes on from those
+    it finds.
+    """
+    spark = _session()
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        if not args.stages:
+            return df.persist()
+        path = f"{args.stages}/{name}"
+        if not readers.exists(spark, path + "/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    backbone = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.backbone)))
+    target = spark.createDataFrame([("target", args.target, None)], "target string, text string, bases string")
+    if not re.match(r"^[^:\s]+:[\d,]+-[\d,]+$", args.target.strip()):  # a file
+        text = "".join(r["sequence"] for r in readers.whole_contigs(readers.read_fasta(spark, args.target)).orderBy("contig_idx").collect())  # one locus
+        target = spark.createDataFrame([("target", None, text)], "target string, text string, bases string")
+    elif args.target_assembly != "chm13":
+        if not args.grch38:
+            raise ValueError("--grch38 is needed for its coordinates")
+        other = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.grch38)))
+        locus = target.select("target", "text", plans.parse_locus(F.col("text")).alias("l")).select("target", "text", F.col("l.chrom").alias("q_name"), F.col("l.start").alias("lo"), F.col("l.end").alias("hi"), F.lit("+").alias("strand"))
+        target = project.fetch(locus, other, []).select("target", "text", "bases")
+    raw = readers.load_config(args.config) if args.config else {}
+    if args.mode:
+        raw = raw | {"dropout": (raw.get("dropout") or {}) | {"mode": args.mode}}
+    flank = (raw.get("design") or {}).get("flank", 20_000) if args.flank is None else args.flank
+    at = plans.anchored(target, backbone).withColumnRenamed("target", "pair")
+    wide = stage("anchor", at.select("pair", "chrom", (F.col("start") - flank).alias("start"), (F.col("end") + flank).alias("end")))
+    template = stage("template", project.fetch(wide.select(F.lit("target").alias("template"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), backbone, []).select("template", F.col("bases").alias("sequence")))
+    contigs = stage("contigs", _contigs(spark, args.samples))
+    loci = stage("project", plans.projected(wide.withColumn("start", F.greatest(F.lit(0).cast("long"), "start")), contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone))
+    cut = project.fetch(loci.where("chrom is not null").select("haplotype", F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), contigs, ["haplotype"])
+    windows = stage("windows", cut.select("haplotype", F.lit("window").alias("chrom"), F.lit(0).alias("contig_idx"), F.col("bases").alias("sequence")))
+    alignments = stage("alignments", align.align_windows(template, windows))
+    aligned = alignments.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    cells, ranked = plans.design_run(template, windows, contigs, loci.drop("pair"), alignments, aligned, raw, args.top_k, stage=stage)
+    ranked = ranked.withColumn("summary", reports.summary_text())
+    rows = reports.collected(cells, ranked, plans.config_of(raw).max_sites)
+    print(f"{sum(r['passed'] for r in rows)} of {len(rows)} pairs pass")
+    print("\n".join(reports.write("design", rows, args.outdir, {"target": args.target, "n_pairs": len(rows)}, args.quarto).values()))
+    return 0
+
+
 def select(args: argparse.Namespace) -> int:
     spark = _session()
     index = spark.read.csv(args.index, header=True).withColumn("haplotype", F.col("haplotype").cast("int")).withColumn("line_no", F.monotonically_increasing_id())
@@ -145,6 +194,18 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--mode", choices=["thermo", "rule"])
     c.add_argument("--config")
     c.add_argument("--quarto", action="store_true")
+    c = sub.add_parser("design")
+    for name in ("--target", "--backbone", "--samples"):
+        c.add_argument(name, required=True)
+    c.add_argument("--target-assembly", choices=["grch38", "chm13"], default="chm13")
+    c.add_argument("--grch38")
+    c.add_argument("--outdir", default="design_out")
+    c.add_argument("--stages")
+    c.add_argument("--mode", choices=["thermo", "rule"])
+    c.add_argument("--config")
+    c.add_argument("--flank", type=int)
+    c.add_argument("--top-k", type=int, default=5)
+    c.add_argument("--quarto", action="store_true")
     c = sub.add_parser("select")
     for name in ("--index", "--metadata", "--out"):
         c.add_argument(name, required=True)
@@ -169,7 +230,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return {"selftest": selftest, "verify": verify, "select": select, "grid": grid, "rerender": rerender}[args.command](args)
+        return {"selftest": selftest, "design": design, "verify": verify, "select": select, "grid": grid, "rerender": rerender}[args.command](args)
     except (ValueError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -110,25 +110,26 @@ def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Ev
     return cells, summary
 
 
-def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci: DataFrame, alignments: DataFrame, aligned: DataFrame, raw: dict, top_k: int | None = 5, how: str | None = None) -> tuple[DataFrame, DataFrame]:
+def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci: DataFrame, alignments: DataFrame, aligned: DataFrame, raw: dict, top_k: int | None = 5, how: str | None = None, stage=lambda name, df: df) -> tuple[DataFrame, DataFrame]:
     """(cells, ranked) of primers designed on ``template`` (template, sequence).
 
     Variable positions are masked, candidates picked and evaluated on the projected
     windows alone; the shortlist then runs against whole haplotypes, a search that
-    candidates below it never reach.
+    candidates below it never reach.  ``stage(name, df)`` may write each stage and
+    give it back, or an earlier run's.
     """
     d = design_of(raw)
     m = raw.get("mask") or {}
     n = template.select("template", F.length("sequence").alias("n"))
     marks = mask.variants(alignments.join(n, "template"), F.col("n"))
     zones = mask.excluded_regions(mask.pileup(marks), aligned, m.get("min_allele_freq", 0.05), m.get("merge_gap", 25), m.get("max_regions", mask.MAX_REGIONS))
-    picked = design.candidates(template, zones, d)
+    picked = stage("candidates", design.candidates(template, stage("regions", zones), d))
     config = config_of(raw)
     every = picked.select("pair").join(windows.select("haplotype", "chrom", F.lit(0).cast("long").alias("start"), F.length("sequence").cast("long").alias("end")), how="cross")
-    stage_a = pcr.cell_summary(pcr.evaluate(picked, windows, every, config, how), ["pair"]).join(picked.select("pair", "penalty", "candidate_idx"), "pair")
+    stage_a = stage("stage_a", pcr.cell_summary(pcr.evaluate(picked, windows, every, config, how), ["pair"]).join(picked.select("pair", "penalty", "candidate_idx"), "pair"))
     chosen = pcr.shortlist(stage_a, top_k).select("pair")
     kept = picked.join(chosen, "pair", "left_semi")
-    cells = pcr.evaluate(kept, contigs, kept.select("pair").join(loci, how="cross"), config, how)
+    cells = stage("cells", pcr.evaluate(kept, contigs, kept.select("pair").join(loci, how="cross"), config, how))
     metrics = pcr.cell_summary(cells, ["pair"]).join(kept.drop("template"), "pair").withColumn("design_tm", pair_tm(F.col("forward"), F.col("reverse")))
     return cells, pcr.rank(metrics, ranking_of(raw))
 

@@ -101,6 +101,13 @@ def test_verify_end_to_end_and_stream(spark, tmp_path, monkeypatch):
     assert cli.main(["selftest", "--outdir", f"{tmp_path}/st"]) == 0
     assert cli.main([*args[:4], f"{tmp_path}/none.fa", *args[5:]]) == 2
 
+    bed = ["design", "--target", "chr1:1000-1800", "--backbone", f"{tmp_path}/bb.fa", "--samples", f"{tmp_path}/s.tsv", "--mode", "rule", "--flank", "50", "--outdir", f"{tmp_path}/d", "--stages", f"{tmp_path}/stages"]
+    assert cli.main(bed) == 0
+    made = json.load(open(tmp_path / "d" / "results.json"))["pairs"]
+    assert len(made) == 5 and all(m["passed"] and m["evaluable"] == 1 and m["n_uncertain"] == 1 for m in made)
+    first = [m["pair"] for m in made]
+    assert cli.main(bed) == 0 and [m["pair"] for m in json.load(open(tmp_path / "d" / "results.json"))["pairs"]] == first
+
     pairs, contigs, loci = plans.example(spark)
     config = pcr.Evaluation("rule", min_product=80, max_product=200)
     contigs.where("haplotype < 'HG_m'").write.parquet(str(tmp_path / "in"))
