@@ -1,4 +1,4 @@
-"""Shared parts: scratch tables, shipping the package, Arrow batches, hashing.
+"""Shared parts: scratch tables, Arrow batches, hashing.
 
 Texts travel as UTF-8 bytes.  A *word* is a run of bytes other than space and
 ``\\t``..``\\r``, which is what ``bytes.split()`` returns.
@@ -8,13 +8,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import hashlib
-import io
-import pathlib
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 U64 = np.uint64
 #: Bytes of text handled by numpy at once; a longer document is a block alone.
 BLOCK = 1 << 20
@@ -75,24 +73,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_primeweft_shipped", False):
-        return
-    top = pathlib.Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(p.relative_to(top.parent))), p.read_bytes())
-    name = f"primeweft-{hashlib.sha256(buffer.getvalue()).hexdigest()[:16]}.zip"
-    folder = tempfile.mkdtemp(prefix="primeweft-zip-")
-    atexit.register(shutil.rmtree, folder, True)
-    (pathlib.Path(folder) / name).write_bytes(buffer.getvalue())
-    sc.addPyFile(f"{folder}/{name}")
-    sc._primeweft_shipped = True
-
-
 def give_back() -> None:
     """Returns what a task freed to the system: Python workers live on and serve other tasks."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, doc_of, give_back, map_arrow, materialize, mix, ship, span_hashes, window_hashes, window_places, word_spans
+from ..ship import ship
+from .common import LOWER, U64, doc_of, give_back, map_arrow, materialize, mix, span_hashes, window_hashes, window_places, word_spans
 from .graph import components
 from .textblocks import answers_of, block_table, bucket_count, exchanged, opened, sent
 

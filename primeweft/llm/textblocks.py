@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, blocks, give_back, map_arrow, materialize, ship, text_bytes
+from ..ship import ship
+from .common import BLOCK, blocks, give_back, map_arrow, materialize, text_bytes
 
 KEPT = "block long, extra {extra}, offsets binary, z binary"
 
