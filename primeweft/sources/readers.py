@@ -12,10 +12,10 @@ from ..functions.sequences import upper_ascii
 
 # Accepted column names of primer tables.
 PRIMER_ALIASES = {
-    "primer_id": ("primer_id", "id", "name", "primer"),
-    "target": ("target", "locus", "region"),
-    "forward": ("forward", "fwd", "forward_primer", "left"),
-    "reverse": ("reverse", "rev", "reverse_primer", "right"),
+    "primer_id": ("primer_id", "id", "name", "pair_id"),
+    "target": ("target", "coords", "coordinates", "grch38", "region"),
+    "forward": ("forward", "fwd", "forward_primer", "f", "left"),
+    "reverse": ("reverse", "rev", "reverse_primer", "r", "right"),
 }
 # Population codes of each superpopulation.
 POPULATIONS = {

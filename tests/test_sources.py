@@ -51,9 +51,9 @@ def test_bgzf_members():
 
 def test_tables(spark, tmp_path):
     csv = tmp_path / "p.csv"
-    csv.write_text("Name,Locus,FWD,Rev\n a ,chr1:1-2, acgt ,GG\n,x,y,z\n")
+    csv.write_text("Name,Coords,FWD,Rev\n a ,chr1:1-2, acgt ,GG\n,x,y,z\n")
     assert [tuple(r) for r in readers.read_primers(spark, str(csv)).collect()] == [("a", "chr1:1-2", "ACGT", "GG")]
-    csv.write_text("Name,Locus,FWD\na,b,c\n")
+    csv.write_text("Name,Coords,FWD\na,b,c\n")
     with pytest.raises(ValueError):
         readers.read_primers(spark, str(csv))
     paf = tmp_path / "x.paf"
