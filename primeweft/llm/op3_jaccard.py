@@ -3,7 +3,7 @@
 Documents link when their sets of distinct shingles have a Jaccard similarity of
 at least ``percent`` / 100; the result is the components of the links.
 
-1. Shingles are ordered globally: those with the lowest quarter of hashes by the
+1. Shingles are ordered globally: those with the lower half of hashes by the
    number of documents that have them (an exchange between blocks tells its
    logarithm), then the others by hash.  Two linked sets share one of their first
    ``n - ceil(t n) + 1`` shingles.  A document whose first shingles are all its own
@@ -41,6 +41,8 @@ from .textblocks import answers_of, block_table, bucket_count, exchanged, opened
 
 #: Sets of a component that one trie holds.
 TOGETHER = 2048
+#: Documents are counted for the shingles whose hashes have so many leading zero bits: half of all.
+COUNTED = 1
 #: Shingles whose overlap is counted before the bound is looked at again.
 PIECE = 64
 _LAST = 63  # the class of shingles whose documents aren't counted
@@ -80,14 +82,14 @@ def digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct low hashes times 4, documents with each, places of low hashes): of equal sets one counts."""
-    low = np.flatnonzero(h < U64(1 << 62))
+    """(sorted distinct low hashes, shifted to fill 64 bits, documents with each, places of low hashes): of equal sets one counts."""
+    low = np.flatnonzero(h < U64(1 << (64 - COUNTED)))
     a, b = digests(h, first)
     _, one = np.unique(np.stack((a, b), 1), axis=0, return_index=True)
     is_one = np.zeros(len(first) - 1, bool)
     is_one[one] = True
     weight = is_one[doc_of(first)[low]]
-    values, number = np.unique(h[low] << U64(2), return_inverse=True)
+    values, number = np.unique(h[low] << U64(COUNTED), return_inverse=True)
     return values, np.bincount(number, weight, minlength=len(values)).astype(np.int64), low
 
 
@@ -241,7 +243,7 @@ def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> Da
                 values, _, low = counted(h, first)
                 known = answers_of(values, n_buckets, batch.column("answers")[row].as_py())
                 rank = np.full(len(h), _LAST, U64)
-                rank[low] = known[np.searchsorted(values, h[low] << U64(2))]
+                rank[low] = known[np.searchsorted(values, h[low] << U64(COUNTED))]
                 codes = rank << U64(58) | h >> U64(6)
                 n = np.diff(first)
                 d1, d2 = digests(h, first)
