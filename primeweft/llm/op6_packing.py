@@ -41,9 +41,9 @@ from .common import LOWER, blocks, map_arrow, materialize, text_bytes
 
 CAPACITY = 4096
 #: Pieces of at most this many ids are packed by best fit.
-SMALL = 512
+SMALL = 1024
 #: Groups of equal cardinality of the linear grouping.
-GROUPS = 96
+GROUPS = 1024
 #: Words a worker remembers (a memory bound only).
 REMEMBERED = 300_000
 
