@@ -74,6 +74,22 @@ def test_kmer_projection_finds_planted_places(spark):
     assert got["two"]["ambiguous"] and not got["t"]["ambiguous"]
 
 
+@pytest.mark.parametrize("sent", [project.SENT, 0])
+def test_kmer_projection_of_a_target_with_many_copies(spark, monkeypatch, sent):
+    monkeypatch.setattr(project, "SENT", sent)
+    monkeypatch.setattr(project, "CROWD", 16)
+    r = random.Random(5)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    target, end = dna(200), dna(60)
+    rows = [("c%03d" % i, dna(30) + target + dna(20)) for i in range(90)] + [("e%03d" % i, dna(40) + end) for i in range(90)]
+    once = end + dna(140) + end  # its ends are frequent
+    rows.append(("once", dna(2000) + once + dna(10)))
+    targets = spark.createDataFrame([("many", target), ("once", once)], "target string, bases string")
+    got = {x["target"]: x.asDict() for x in project.kmer_projection(targets, spark.createDataFrame(rows, "chrom string, sequence string"), []).collect()}
+    assert got["many"] == {"target": "many", "chrom": "c000", "start": 30, "end": 230, "strand": "+", "span": 200, "votes": 186, "runner_up": 200, "ambiguous": True}
+    assert (got["once"]["chrom"], got["once"]["start"], got["once"]["end"], got["once"]["votes"]) == ("once", 2000, 2260, 246)
+
+
 def test_masks(spark):
     p = lambda x: spark.createDataFrame([("t", i) for i in x], "template string, pos long")
     get = lambda df: sorted((x["start"], x["length"]) for x in df.collect())
