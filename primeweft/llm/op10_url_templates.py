@@ -7,12 +7,17 @@ The other URLs are judged by a tree for each host, grown level by level.  At eac
 node the children's counts decide: segments of one shape (digits, digits and an
 extension, long mixed names) become a wildcard of that shape where there are at
 least ``FEW`` of them, plain names seen fewer than ``FEW`` times
-become ``*`` where there are over ``MANY``, most of them seen once.  URLs
-with a label (the rules' verdicts, or given ones) count for the templates they
-fall in.  A branch whose labelled share doesn't differ from that of its
-siblings together (two-sided test of a proportion) is merged with them.  A
-template is rejected if its smoothed share of blocked labels is at least
-``REJECT``.
+become ``*`` where there are over ``MANY``, most of them seen once.  The tree has the real depth of the
+paths: past ``DEPTH`` levels the driver grows it on where few rows are left.
+
+URLs with a label (the rules' verdicts, or given ones) count for all branches that
+they lie in, from their template up to the host.  At every level a branch whose
+labelled share doesn't differ from that of its siblings together (two-sided test
+of a proportion) is merged with them, and so is a branch without a label.  A
+branch apart has a share of its own, smoothed towards its parent's; merged
+branches have one together where a sibling is apart, else they are their parent.
+The host's share is smoothed towards the overall one.  A template is rejected if
+its share of blocked labels is at least ``REJECT``.
 
 A null URL, or one without "://", has an empty host and path and is allowed unless
 its (host, path) template is rejected.  Repeated rows get equal results.  Segments
@@ -21,6 +26,7 @@ beyond ``DEPTH`` count as one.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +37,7 @@ from .common import materialize
 DEPTH = 8
 FEW = 4
 MANY = 24
-#: Weight of the overall share in a template's smoothed share, and the share that rejects.
+#: Weight of the share above in a smoothed share, and the share that rejects.
 WEIGHT, REJECT = 4.0, 0.6
 #: Critical value of the test that keeps a branch apart.
 CRITICAL = 1.96
@@ -85,18 +91,30 @@ def templates(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(host, template, merged, share) of each template; merged: whether it was merged with its siblings."""
-    own = rows.groupBy("host", "parent", "template").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    pool = own.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    """(host, template, share) of each template."""
+    own = materialize(rows.groupBy("host", "template").agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "template-labels")
     overall = own.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
     prior = (overall["b"] or 0) / overall["n"] if overall["n"] else 0.0
-    both = own.join(pool, ["host", "parent"])
-    share = F.col("all_blocked") / F.greatest("all_labelled", F.lit(1))
-    spread = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
-    apart = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - share)
-    merged = (F.col("labelled") > 0) & (apart <= CRITICAL * spread)
-    blocked, labelled = (F.when(F.col("merged"), F.col("all_" + c)).otherwise(F.col(c)) for c in ("blocked", "labelled"))
-    return both.withColumn("merged", merged).select("host", "template", "merged", ((blocked + WEIGHT * prior) / (labelled + WEIGHT)).alias("share"))
+    # a template lies in the branches of all its beginnings, the host being the first
+    names = F.split("template", "/")
+    branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(names, 1, i), "/").alias("branch"), F.when(i > 1, F.array_join(F.slice(names, 1, i - 1), "/")).alias("parent"))))
+    inside = own.select("host", "template", "labelled", "blocked", branch.alias("x")).select("host", "template", "labelled", "blocked", "x.*")
+    counts = inside.where("labelled > 0").groupBy("host", "level", "branch", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    below = counts.where("level > 1")
+    pool = below.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    share = F.col("all_blocked") / F.col("all_labelled")
+    distance = F.abs(F.col("blocked") / F.col("labelled") - share)
+    apart = below.join(pool, ["host", "parent"]).where(distance > CRITICAL * F.sqrt(share * (1 - share) / F.col("labelled"))).select("host", "parent", "branch", "labelled", "blocked")
+    # what is left of a parent's branches where some are apart
+    gone = apart.groupBy("host", "parent").agg(F.sum("labelled").alias("gone"), F.sum("blocked").alias("gone_blocked"))
+    rest = pool.join(gone, ["host", "parent"]).select("host", "parent", (F.col("all_labelled") - F.col("gone")).alias("rest"), (F.col("all_blocked") - F.col("gone_blocked")).alias("rest_blocked"))
+    hosts = counts.where("level = 1").select("host", "branch", "labelled", "blocked")
+    evidence = hosts.unionByName(apart.select("host", "branch", "labelled", "blocked"))
+    found = inside.select("host", "template", "level", "branch", "parent").join(evidence, ["host", "branch"], "left").join(rest, ["host", "parent"], "left")
+    step = F.struct("level", F.coalesce("labelled", "rest", F.lit(0)).alias("n"), F.coalesce("blocked", "rest_blocked", F.lit(0)).alias("b"))
+    ways = found.groupBy("host", "template").agg(F.array_sort(F.collect_list(step)).alias("way"))
+    smoothed = F.aggregate("way", F.lit(float(prior)), lambda above, x: (x["b"] + WEIGHT * above) / (x["n"] + WEIGHT))
+    return ways.select("host", "template", smoothed.alias("share"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", labels: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+from primeweft.llm import op10_url_templates as o
 from primeweft.llm.op10_url_templates import judge_urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -38,3 +39,18 @@ def test_templates_learn_from_labels(spark):
     assert got[301].template == "/ads/<n>.html" and got[301].verdict == "block"
     assert got[300].verdict == "allow" and got[1007].template == "/en/<n>" and got[1007].verdict == "allow"
     assert got[2010].template == "/*/a"
+
+
+def test_branches_without_a_label_go_by_those_around_them(spark):
+    rows = [(i, f"http://bad.net/{'abc'[i % 3]}/x/{i}") for i in range(30)] + [(100 + i, f"http://mixed.net/{'abcde'[i % 5]}/{'uv'[i // 5 % 2]}/{i}") for i in range(100)] + [(300 + i, f"http://good.net/{i}") for i in range(60)]
+    blocked = {i: 1 for i in range(30) if i % 3 != 2} | {100 + i: int(i % 5 == 0) for i in range(100) if i % 5 < 4 and i // 5 % 2} | {300 + i: 0 for i in range(30)}
+    labels = spark.createDataFrame(list(blocked.items()), "page_id long, blocked int")
+    got = {x.page_id: x for x in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels=labels).collect()}
+    prior = sum(blocked.values()) / len(blocked)
+    assert got[2].template == "/c/x/<n>" and got[2].verdict == "block" and abs(got[2].share - (20 + 4 * prior) / 24) < 1e-12
+    # /a is apart from /b, /c and /d; /a/u has no label and goes by /a, /e by /b, /c and /d
+    host = (10 + 4 * prior) / 44
+    a, rest = (10 + 4 * host) / 14, 4 * host / 34
+    assert (got[100].template, got[100].verdict) == ("/a/u/<n>", "block") and abs(got[100].share - a) < 1e-12
+    assert (got[104].template, got[104].verdict) == ("/e/u/<n>", "allow") and abs(got[104].share - rest) < 1e-12
+    assert got[359].verdict == "allow" and abs(got[359].share - 4 * prior / 34) < 1e-12
