@@ -20,8 +20,8 @@ The host's share is smoothed towards the overall one.  A template is rejected if
 its share of blocked labels is at least ``REJECT``.
 
 A null URL, or one without "://", has an empty host and path and is allowed unless
-its (host, path) template is rejected.  Repeated rows get equal results.  Segments
-beyond ``DEPTH`` count as one.  An empty table gives no rows.
+its (host, path) template is rejected.  Repeated rows get equal results.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-DEPTH = 8
+#: Past so many levels, up to LOCAL rows that go deeper get the rest of their templates on the driver.
+DEPTH, LOCAL = 8, 10_000
 FEW = 4
 MANY = 24
 #: Weight of the share above in a smoothed share, and the share that rejects.
@@ -70,24 +71,52 @@ def _shape(segment: Column) -> Column:
     )
 
 
+def deeper(rows: list[tuple[int, str, str, list[str], list[str]]], level: int) -> list[tuple[int, str]]:
+    """(row, template) of rows (row, host, template, parts, shapes) grown from ``level`` to their ends; the rules are those of `templates`."""
+    out = []
+    while rows:
+        seen = Counter((host, template, parts[level], shapes[level]) for _, host, template, parts, shapes in rows)
+        kinds, once = Counter(), Counter()
+        for (host, template, _, shape), n in seen.items():
+            kinds[host, template, shape] += 1
+            once[host, template, shape] += n == 1
+        more = []
+        for row, host, template, parts, shapes in rows:
+            segment, shape = parts[level], shapes[level]
+            k, one = kinds[host, template, shape], once[host, template, shape]
+            wide = k >= FEW if shape else k > MANY and 2 * one > k and seen[host, template, segment, shape] < FEW
+            grown = f"{template}/{(shape or '*') if wide else segment}"
+            if len(parts) == level + 1:
+                out.append((row, grown))
+            else:
+                more.append((row, host, grown, parts, shapes))
+        rows, level = more, level + 1
+    return out
+
+
 def templates(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, host, path, label) with ``template`` and ``parent``, its template without the last segment."""
-    parts = F.filter(F.split(F.col("path"), "/"), lambda x: x != "")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 30), "/")))).otherwise(parts)
-    now = rows.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    depth = rows.select(F.max(F.size(parts)).alias("d")).first()["d"] or 0
-    for level in range(depth):
+    """``rows`` (row, host, path, label) with ``template``; ``row`` must be unique and written."""
+    now = rows.withColumn("parts", F.filter(F.split(F.col("path"), "/"), lambda x: x != "")).withColumn("template", F.lit(""))
+    depths = {r["d"]: r["n"] for r in now.groupBy(F.size("parts").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each depth
+    done = []
+    for level in range(max(depths, default=0)):
+        done.append(now.where(F.size("parts") <= level))
+        now = now.where(F.size("parts") > level)
+        if level >= DEPTH and sum(n for d, n in depths.items() if d > level) <= LOCAL:
+            left = now.select("row", "host", "template", "parts", F.transform("parts", _shape).alias("shapes")).collect()  # LOCAL rows at most
+            ends = rows.sparkSession.createDataFrame(deeper([tuple(x) for x in left], level), "row long, template string")
+            now = now.drop("template").join(F.broadcast(ends), "row").select(*now.columns)
+            break
         here = F.try_element_at("parts", F.lit(level + 1))
-        step = now.where(F.size("parts") > level).select("host", "template", here.alias("segment")).groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n")).withColumn("shape", _shape(F.col("segment")))
+        step = now.select("host", "template", here.alias("segment")).groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n")).withColumn("shape", _shape(F.col("segment")))
         # for each shape below a node: distinct segments, and those seen once
         kinds = step.groupBy("host", "template", "shape").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once"))
         wide = F.when(F.col("shape") == "", (F.col("kinds") > MANY) & (2 * F.col("once") > F.col("kinds")) & (F.col("n") < FEW)).otherwise(F.col("kinds") >= FEW)
         name = F.when(wide, F.when(F.col("shape") == "", "*").otherwise(F.col("shape"))).otherwise(F.col("segment"))
         named = step.join(kinds, ["host", "template", "shape"]).select("host", "template", "segment", name.alias("name"))
-        more = now.where(F.size("parts") > level).withColumn("segment", here)
-        grown = more.join(named, ["host", "template", "segment"]).withColumn("parent", F.col("template")).withColumn("template", F.concat("template", F.lit("/"), "name"))
-        now = materialize(now.where(F.size("parts") <= level).unionByName(grown.select(*now.columns)), f"templates-{level}")
-    return now
+        grown = now.withColumn("segment", here).join(named, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
+        now = materialize(grown.select(*now.columns), f"templates-{level}")
+    return reduce(DataFrame.unionByName, done, now)
 
 
 def judged(rows: DataFrame) -> DataFrame:

@@ -54,3 +54,15 @@ def test_branches_without_a_label_go_by_those_around_them(spark):
     assert (got[100].template, got[100].verdict) == ("/a/u/<n>", "block") and abs(got[100].share - a) < 1e-12
     assert (got[104].template, got[104].verdict) == ("/e/u/<n>", "allow") and abs(got[104].share - rest) < 1e-12
     assert got[359].verdict == "allow" and abs(got[359].share - 4 * prior / 34) < 1e-12
+
+
+def test_deep_paths_become_templates(spark, monkeypatch):
+    stem = "http://d.net/" + "/".join("abcdefghi")
+    rows = [(i, f"{stem}/{i}/end{i % 2}/{i}.html") for i in range(20)] + [(50 + i, f"{stem}/name{i}") for i in range(40)] + [(99, stem)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    both = []
+    for local in (0, 100):
+        monkeypatch.setattr(o, "LOCAL", local)
+        both.append({x.page_id: x.template for x in judge_urls(pages, []).collect()})
+    assert both[0] == both[1]
+    assert both[0][4] == "/a/b/c/d/e/f/g/h/i/<n>/end0/<n>.html" and both[0][60] == "/a/b/c/d/e/f/g/h/i/*" and both[0][99] == "/a/b/c/d/e/f/g/h/i"
