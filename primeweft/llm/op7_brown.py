@@ -4,18 +4,26 @@ Training documents are those whose crc32 of the id as text, modulo ``folds``, is
 not 0.  Tokens are words with A-Z lower-cased and one end for each document.
 
 1. Counts of all training tokens.
-2. The ``CLUSTERED`` most frequent words and the end are *clustered*; every other
-   word, also an unseen one, belongs to the class of its shape (last character,
-   length, digits), which is known without a count.
-3. Bigram counts of all training tokens over clustered words and shapes, a table
-   of fixed size, go to the driver, where exchange clustering moves words between
-   ``CLASSES`` classes while the likelihood of the class bigrams grows.
-4. A token's probability is that of its class after the previous token's class
+2. The ``CLUSTERED`` most frequent words and the end are the *core*; every other
+   word counts as its shape (last character, length, digits) for now.
+3. Bigram counts of all training tokens over core words and shapes go to the
+   driver, where exchange clustering moves words between ``CLASSES`` classes while
+   the likelihood of the class bigrams grows.
+4. Every other training word is exchanged too: the counts of its neighbours'
+   classes are gathered by word, and it goes to the class in which the likelihood,
+   against the broadcast table of step 3, is greatest.  Shapes are left to words
+   that training doesn't have.
+5. The class bigrams of the whole training text, with all words in their classes.
+   Words seen once tell how often, and after which class, a new word of their shape
+   comes (each counts once more for it).
+6. A token's probability is that of its class after the previous token's class
    (additively smoothed towards the class's share) times that of the word in its
-   class (0.1 added to each count, one unseen word in each shape).
+   class (0.1 added to each count; a new word is one of as many as its shape has
+   words seen once, and one).
 
-Words with a large count (``HEAD`` at most) are looked up in a broadcast table;
-the others' counts come by a join on the word, summed for each document.
+Words with a large count (``HEAD`` at most, none seen once) are looked up in a
+broadcast table; the others' counts and classes come by a join on the word's hash,
+with the places of the word in the document.
 
 Null and empty texts have the end alone, a null id counts as empty text.
 Repeated rows are scored each.  Without training tokens the base score is that of
@@ -34,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, doc_of, map_arrow, materialize, span_hashes, text_bytes, word_spans
+from .common import LOWER, U64, binary_views, blocks, doc_of, map_arrow, materialize, signed, span_hashes, text_bytes, word_spans
 
 CLUSTERED = 768
 CLASSES = 48
@@ -108,6 +116,14 @@ class Head:
         hit = self.keys[at] == found
         return np.where(hit, self.counts[at], -1), np.where(hit, self.symbols[at], -1)
 
+    @classmethod
+    def of_classes(cls, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> "Head":
+        """A head whose symbols are classes."""
+        head, order = cls([], [], 0), np.argsort(keys)
+        head.keys = np.append(keys[order], np.uint64((1 << 64) - 1))
+        head.counts, head.symbols = np.append(counts[order], -1), np.append(classes[order], -1)
+        return head
+
 
 def with_ends(values: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(values with the end after each document, the place of each document's first token)."""
@@ -192,37 +208,194 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int, rounds: int = ROUN
     return of
 
 
+def neighbours(training: DataFrame, head, of: np.ndarray, clustered: int) -> DataFrame:
+    """(h, code, n): how often each word outside of the core has a class before (code: the class) or behind it (code: the number of classes + the class)."""
+    n = int(of[-1]) + 1
+
+    def combined(parts):
+        h, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((code, h))
+        h, code = h[order], code[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])))) if len(h) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(signed(h[new])), pa.array(code[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(h))))], names=["h", "code", "n"])
+
+    def count(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                lowered = LOWER[data]
+                starts, ends, first = word_spans(lowered, offsets)
+                _, symbol = head.value.find(lowered, starts, ends)
+                far = np.flatnonzero(symbol < 0)
+                symbol = np.where(symbol < 0, clustered + shapes(lowered, starts, ends), symbol)
+                tokens, _ = with_ends(of[symbol], first, n - 1)
+                at = far + doc_of(first)[far]
+                h = span_hashes(lowered, starts[far], ends[far])
+                parts.append((np.concatenate((h, h)), np.concatenate((tokens[at - 1], n + tokens[(at + 1) % len(tokens)]))))
+                size += 2 * len(far)
+                if size > 2 * FLUSH:
+                    yield combined(parts)
+                    parts, size = [], 0
+        if parts:
+            yield combined(parts)
+
+    # all of a word is in one partition, so that both sums need no other exchange
+    by = map_arrow(training.select("b"), count, "h long, code int, n long").repartition("h")
+    return by.groupBy("h", "code").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("near"))
+
+
+def best_classes(owner: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word the class that it raises the likelihood most in, as `exchange` has it, with the table as it is."""
+    size = len(table)
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    both = np.concatenate((table[:, :classes], table[:classes].T))  # by code: before the class, behind it
+    sums = np.stack((table[:, :classes].sum(0), table[:classes].sum(1)))
+    gain = np.zeros((words, classes))
+    old = both[code]
+    np.add.at(gain, owner, xlogx(old + n[:, None]) - xlogx(old))
+    for side in (0, 1):
+        own = np.bincount(owner, np.where(code // size == side, n, 0), words)
+        gain -= xlogx(sums[side] + own[:, None]) - xlogx(sums[side])
+    return gain.argmax(1)
+
+
+def assigned(near: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """(h, class) of words with their neighbours' counts."""
+
+    def assign(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            offsets, items = np.asarray(lists.offsets, np.int64), lists.values
+            code, n = np.asarray(items.field("code"), np.int64), np.asarray(items.field("n"), np.float64)
+            out = np.zeros(len(lists), np.int32)
+            for lo in range(0, len(lists), 500):
+                hi = min(lo + 500, len(lists))
+                a, b = offsets[lo], offsets[hi]
+                out[lo:hi] = best_classes(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), code[a:b], n[a:b], hi - lo, table, classes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["h", "class"])
+
+    return map_arrow(near, assign, "h long, class int")
+
+
 class Model:
-    """What scoring needs: fixed-size tables and the head."""
-
-    def __init__(self, head: Head, pairs: np.ndarray, clustered: int, words_in_shape: np.ndarray, total: int, distinct: int):
-        size = len(pairs)
-        self.head, self.clustered = head, clustered
-        self.of = exchange(pairs, clustered, CLASSES)
-        n = int(self.of.max()) + 1
-        one = np.zeros((size, n))
-        one[np.arange(size), self.of] = 1
-        table = one.T @ pairs @ one
+    """What scoring needs: tables of the classes, those of shapes and the end behind the others."""
+
+    def __init__(self, of: np.ndarray, clustered: int, table: np.ndarray, inside: np.ndarray, members: np.ndarray, once: np.ndarray, core: np.ndarray, total: int, distinct: int, ends: int):
+        self.of, self.clustered = of, clustered
+        n, classes = len(table), len(inside)
         share = (table.sum(0) + 1) / (table.sum() + n)
         # for the end, what was before a document's first token is the end before it
         self.transition = np.log10((table + TRANSITION * n * share) / (table.sum(1, keepdims=True) + TRANSITION * n))
-        counts = pairs.sum(0).astype(float)
-        inside = one.T @ counts
-        members = one[:clustered].sum(0)
-        emission = np.log10((counts + ADDED) / (inside[self.of] + ADDED * np.maximum(members[self.of], 1)))
-        emission[-1] = 0.0  # the end is alone in its class
-        #: for shapes: the denominator alone, with room for one unseen word
-        k = np.arange(clustered, clustered + SHAPES)
-        emission[k] = -np.log10(counts[k] + ADDED * (words_in_shape + 1))
-        self.emission = emission
+        #: the part of a word's probability in its class that is its class's alone
+        self.within = np.concatenate((-np.log10(inside + ADDED * np.maximum(members, 1)), -np.log10(once + 1.0), [0.0]))
+        self.emission = np.log10(core + ADDED) + self.within[of[:clustered]]  # of core words
+        self.classes = classes
         self.base = float(np.log10(total + ADDED * (distinct + 1)))
-        self.ends = int(counts[-1])
+        self.ends = ends
         self.total = total
 
 
-def fit(training: DataFrame) -> tuple[DataFrame, Model, int]:
-    """(all counts as a written table (w, n, shape), the model, the least count of a head word)."""
+def token_classes(rows: DataFrame, head, classes: int) -> DataFrame:
+    """``rows`` (id, held_out, b) as a written table of tokens: row, id, held_out, known, logs, classes (a byte for each token) and rare.
+
+    rare: (h, at) of each word outside of the head, with its places; such a word has the class of its shape.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def cut(batches):
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 40
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(2)):
+                n = hi - lo
+                lowered = LOWER[data]
+                starts, ends, first = word_spans(lowered, offsets)
+                count, symbol = head.value.find(lowered, starts, ends)
+                tokens, begin = with_ends(np.where(symbol < 0, classes + shapes(lowered, starts, ends), symbol), first, classes + SHAPES)
+                sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first])
+                far, d = np.flatnonzero(count < 0), doc_of(first)
+                h, of = span_hashes(lowered, starts[far], ends[far]), d[far]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                at = (far[order] - first[of]).astype(np.int32)
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))) if len(h) else np.zeros(0, np.int64)
+                places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((4 * np.append(new, len(h))).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
+                items = pa.StructArray.from_arrays([pa.array(signed(h[new])), places], names=["h", "at"])
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32)), items)
+                text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(begin[:n], len(tokens)).astype(np.int32).tobytes()), pa.py_buffer(tokens.astype(np.uint8).tobytes())])
+                log = np.where(count >= 0, np.log10(np.maximum(count, 0) + ADDED), 0)
+                ids = np.arange(number, number + n)
+                number += n
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(sums(count > 0).astype(np.int64)), pa.array(sums(log).astype(float)), text, rare], names=["row", "id", "held_out", "known", "logs", "classes", "rare"])
+
+    return materialize(map_arrow(rows.select("id", "held_out", "b"), cut, f"row long, id {kind}, held_out boolean, known long, logs double, classes binary, rare array<struct<h:long,at:binary>>"), "tokens")
+
+
+def with_rare(tokens: DataFrame, words: DataFrame, classes: int) -> DataFrame:
+    """``tokens`` with the counts and classes of ``words`` (h, n, class) in place of shapes, as a written table; once: (previous class * SHAPES + shape) of words seen once."""
+    kind = tokens.schema["id"].dataType.simpleString()
+    single = tokens.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.at").join(words, "h")
+    far = single.groupBy("row").agg(F.collect_list(F.struct("n", "class", "at")).alias("far"))
+
+    def fill(batches):
+        for batch in batches:
+            raw, offsets = binary_views(batch.column(5))
+            flat = raw[offsets[0] : offsets[-1]].copy()
+            offsets = offsets - offsets[0]
+            lists = batch.column(6)
+            sizes = np.nan_to_num(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            items = lists.flatten()
+            n, cls = np.asarray(items.field("n"), np.int64), np.asarray(items.field("class"), np.uint8)
+            places, cuts = binary_views(items.field("at"))
+            at = np.frombuffer(places[cuts[0] : cuts[-1]].tobytes(), np.int32)
+            each = np.diff(cuts) // 4
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            target = np.repeat(offsets[doc], each) + at
+            shape = flat[target].astype(np.int32) - classes
+            flat[target] = np.repeat(cls, each)
+            one = np.repeat(n, each) == 1
+            before = np.where(at[one] > 0, flat[target[one] - 1], classes + SHAPES)
+            owner = np.repeat(doc, each)[one]
+            order = np.argsort(owner, kind="stable")
+            codes = (before * SHAPES + shape[one]).astype(np.int32)[order]
+            add = lambda x: np.bincount(doc, x, batch.num_rows)
+            logs = np.asarray(batch.column(4)) + add(each * np.log10(n + ADDED))
+            known = np.asarray(batch.column(3)) + add(each).astype(np.int64)
+            text = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            once = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * np.searchsorted(owner[order], np.arange(batch.num_rows + 1))).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(known), pa.array(logs), text, once], names=["id", "held_out", "known", "logs", "classes", "once"])
+
+    joined = tokens.drop("rare").join(far, "row", "left").select("row", "id", "held_out", "known", "logs", "classes", "far")
+    return materialize(map_arrow(joined, fill, f"id {kind}, held_out boolean, known long, logs double, classes binary, once binary"), "classes")
+
+
+def class_bigrams(tokens: DataFrame, n: int) -> np.ndarray:
+    """Counts of (previous class, class), with a word of its shape behind the class before each word seen once."""
+    classes = n - 1 - SHAPES
+
+    def count(batches):
+        total = np.zeros(n * n, np.int64)
+        for batch in batches:
+            raw, offsets = binary_views(batch.column(0))
+            flat = raw[offsets[0] : offsets[-1]].astype(np.int64)
+            total += np.bincount(np.concatenate(([n - 1], flat[:-1])) * n + flat, minlength=n * n)
+            raw, offsets = binary_views(batch.column(1))
+            code = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), np.int32).astype(np.int64)
+            total += np.bincount(code // SHAPES * n + classes + code % SHAPES, minlength=n * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    found = map_arrow(tokens.where(~F.col("held_out")).select("classes", "once"), count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # n * n rows at most
+    out = np.zeros(n * n)
+    out[np.asarray(found.column("pair"))] = np.asarray(found.column("n"))
+    return out.reshape(n, n)
+
+
+def fit(training: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, Model, int]:
+    """(the tokens of ``rows`` (id, held_out, b), or of training, as a written table; the model; the least count of a head word)."""
     spark = training.sparkSession
+    if rows is None:
+        rows = training.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), "b")
     plain = count_words(training)
 
     def shape_of(batches):
@@ -232,12 +405,12 @@ def fit(training: DataFrame) -> tuple[DataFrame, Model, int]:
                 full = ends > starts
                 shape = np.full(hi - lo, -1, np.int64)
                 shape[full] = shapes(data, starts[full], ends[full])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(shape.astype(np.int32))], names=["w", "n", "shape"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(shape.astype(np.int32)), pa.array(signed(span_hashes(data, starts, ends)))], names=["w", "n", "shape", "h"])
 
-    counts = materialize(map_arrow(plain, shape_of, "w binary, n long, shape int"), "word-counts")
+    counts = materialize(map_arrow(plain, shape_of, "w binary, n long, shape int, h long"), "word-counts")
     # a histogram of counts in 16 steps for each doubling tells from which count on words fit the head
     step = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total, distinct, ends = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("shape") < 0, F.col("n")))).first()
     kept, least = 0, 1 << 62
     for row in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("a")).orderBy(F.desc("s")).collect():  # 16 * 63 rows at most
         kept += row["k"]
@@ -248,78 +421,58 @@ def fit(training: DataFrame) -> tuple[DataFrame, Model, int]:
     pairs = sorted(zip(chosen.column("n").to_pylist(), chosen.column("w").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     clustered = min(CLUSTERED, len(pairs))
     head = Head([w for _, w in pairs], [n for n, _ in pairs], clustered)
-    table = pair_counts(training, spark.sparkContext.broadcast(head), clustered)
-    in_shape = np.zeros(SHAPES, np.int64)
-    for row in counts.where("shape >= 0").groupBy("shape").agg(F.count(F.lit(1)).alias("k")).collect():  # SHAPES rows
-        in_shape[row["shape"]] = row["k"]
-    if clustered:
-        words = [w for _, w in pairs[:clustered]]
-        ends = np.cumsum([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8)
-        np.subtract.at(in_shape, shapes(data, ends - [len(w) for w in words], ends), 1)
-    return counts, Model(head, table, clustered, in_shape, total or 0, distinct or 0), least
+    shared = spark.sparkContext.broadcast(head)
+    table = pair_counts(training, shared, clustered)
+    of = exchange(table, clustered, CLASSES)
+    size = int(of[-1]) + 1
+    classes = size - SHAPES - 1
+    one = np.zeros((len(table), size))
+    one[np.arange(len(table)), of] = 1
+    core = np.flatnonzero(head.symbols >= 0)
+    own = spark.createDataFrame(list(zip(signed(head.keys[core]).tolist(), of[head.symbols[core]].tolist(), strict=True)), "h long, class int")
+    known = counts.where("shape >= 0").select("h", "n", "shape")
+    if classes:
+        found = assigned(neighbours(training, shared, of, clustered), one.T @ table @ one, classes).unionByName(own)
+        words = materialize(known.join(found, "h"), "word-classes")
+    else:  # no core: no word fits the head
+        words = known.withColumn("class", F.col("shape"))
+    inside, members, once = np.zeros(classes), np.zeros(classes), np.zeros(SHAPES)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect() if classes else []:  # a row for each class
+        inside[r["class"]], members[r["class"]] = r["n"], r["k"]
+    for r in words.where("n = 1").groupBy("shape").agg(F.count(F.lit(1)).alias("k")).collect():  # SHAPES rows
+        once[r["shape"]] = r["k"]
+    least = max(least, 2)
+    many = words.where(F.col("n") >= least).select("h", "n", "class").toArrow()  # HEAD rows at most
+    column = lambda c: np.asarray(many.column(c), np.int64)
+    by_class = spark.sparkContext.broadcast(Head.of_classes(column("h").view(U64), column("n"), column("class")))
+    tokens = with_rare(token_classes(rows, by_class, classes), words.where(F.col("n") < least).select("h", "n", "class"), classes)
+    bigrams = class_bigrams(tokens, size)
+    return tokens, Model(of, clustered, bigrams, inside, members, once, np.array([n for n, _ in pairs[:clustered]], float), total or 0, distinct or 0, ends or 0), least
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), held_out(key, folds).alias("held_out"), text_bytes(text).alias("b"))
-    counts, model, least = fit(rows.where(~F.col("held_out")))
+    tokens, model, _ = fit(rows.where(~F.col("held_out")), rows)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    rare = pa.struct([("w", pa.binary()), ("k", pa.int32())])
+    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(batches):
         m = shared.value
-        end = len(m.of) - 1
-        context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(2)):
-                n = hi - lo
-                lowered = LOWER[data]
-                starts, ends, first = word_spans(lowered, offsets)
-                count, symbol = m.head.find(lowered, starts, ends)
-                clustered = symbol >= 0
-                symbol = np.where(clustered, symbol, m.clustered + shapes(lowered, starts, ends))
-                tokens, begin = with_ends(symbol, first, end)
-                known, _ = with_ends(count, first, m.ends)
-                own, _ = with_ends(clustered, first, True)
-                classes = m.of[tokens]
-                before = np.concatenate(([m.of[end]], classes[:-1]))
-                value = m.transition[before, classes] + m.emission[tokens]
-                frequent = known >= 0  # the others' own terms come by the join
-                log = np.log10(np.where(frequent, known, 0) + ADDED)
-                value += np.where(frequent & ~own, log, 0)
-                base = np.where(frequent, log, 0) - m.base
-                sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[begin])
-                far = np.flatnonzero(count < 0)
-                d = doc_of(first)[far]
-                raw = lowered.tobytes()
-                cut = np.searchsorted(d, np.arange(n + 1))
-                words = [raw[a:b] for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
-                found = [Counter(words[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                items = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.binary()), pa.array([k for c in found for k in c.values()], pa.int32())], fields=list(rare))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(c) for c in found]))).astype(np.int32)), items)
-                ids = np.arange(number, number + n)
-                number += n
-                columns = [ids, np.diff(begin), sums((known > 0) & frequent), sums(base), sums(value)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *[pa.array(c.astype(t)) for c, t in zip(columns[1:], (np.int64, np.int64, float, float), strict=True)], lists], names=["row", "id", "held_out", "n_tokens", "n_known", "base", "value", "rare"])
-
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, value double, rare array<struct<w:binary,k:int>>"
-    scored = materialize(map_arrow(rows.select("id", "held_out", "b"), score, schema), "scores")
-    single = scored.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.k")
-    own = single.join(counts.where(F.col("n") < least).select("w", "n"), "w", "left")
-    far = own.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("far"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("far_known"))
-    return scored.drop("rare").join(far, "row", "left").select(
-        F.col("id").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("far", F.lit(0.0))).alias("base_score"),
-        (F.col("value") + F.coalesce("far", F.lit(0.0))).alias("score"),
-    )
+            raw, offsets = binary_views(batch.column(4))
+            flat = raw[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            n = np.diff(offsets)
+            value = m.transition[np.concatenate(([m.classes + SHAPES], flat[:-1])), flat] + m.within[flat]
+            known, logs = np.asarray(batch.column(2), np.int64), np.asarray(batch.column(3))
+            base = logs + np.log10(m.ends + ADDED) + (n - 1 - known) * np.log10(ADDED) - n * m.base
+            sums = np.diff(np.concatenate(([0], np.cumsum(value)))[offsets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known + (m.ends > 0)), pa.array(np.full(len(n), m.total, np.int64)), pa.array(base), pa.array(sums + logs)], names=names)
+
+    return map_arrow(tokens.select("id", "held_out", "known", "logs", "classes"), score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def is_held_out(key: int | None, folds: int = 10) -> bool:

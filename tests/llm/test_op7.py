@@ -63,3 +63,26 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose((10**m.transition).sum(1), 1)
     for k in range(m.of[: m.clustered].max() + 1):
         assert abs(sum(10 ** m.emission[i] for i in range(m.clustered) if m.of[i] == k) - 1) < 1e-9
+
+
+def test_words_outside_of_the_core_are_clustered_by_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(o, "HEAD", 40)
+    monkeypatch.setattr(o, "CLUSTERED", 8)
+    monkeypatch.setattr(o, "CLASSES", 8)
+    r = random.Random(6)
+    # a word after "a" is followed by "x", one after "b" by "y"; all have the same shape
+    left, right = ["l%03d" % i for i in range(150)], ["r%03d" % i for i in range(150)]
+    sentence = lambda: r.choice([f"a {r.choice(left)} x", f"b {r.choice(right)} y"])
+    texts = [" ".join(sentence() for _ in range(30)) for _ in range(100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "false held_out", "cast(text as binary) b")
+    tokens, m, _ = o.fit(rows, rows)
+    kinds = {"l": Counter(), "r": Counter()}
+    for row in tokens.select("id", "classes").collect():
+        words = texts[row.id].split()
+        assert len(row.classes) == len(words) + 1 and row.classes[-1] == m.classes + o.SHAPES
+        for w, c in zip(words, row.classes, strict=False):
+            if w[0] in kinds:
+                kinds[w[0]][c] += 1
+    assert all(c < m.classes for x in kinds.values() for c in x)
+    (a, n), (b, k) = (x.most_common(1)[0] for x in kinds.values())
+    assert a != b and n > 0.8 * sum(kinds["l"].values()) and k > 0.8 * sum(kinds["r"].values())
