@@ -35,6 +35,7 @@ MIN_WORDS = 50
 LIMIT = 0.25
 SHORT = 3.3
 #: Languages with a reference, those with the most words first, and words that a reference needs.
+#: Documents of the other languages are kept or not by the base rules alone.
 LANGUAGES = 1024
 REFERENCE_WORDS = 1000
 REPEAT_WINDOW = 8
@@ -144,8 +145,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(character, word) histograms of the languages; rows far from ``earlier`` are left out."""
+def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, frozenset[str]] | None) -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
+    """(character histograms, word histograms, names) of the languages; rows far from ``earlier`` are left out."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -153,7 +154,7 @@ def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray] | No
             chars, words = _matrix(batch.column(1)), _matrix(batch.column(2))
             use = np.ones(len(chars), bool)
             if earlier is not None:
-                use = ~_far(chars, words, *earlier)[2]
+                use = ~_far(chars, words, batch.column(0), *earlier)[2]
             labels = np.asarray(batch.column(0).to_pylist(), object)
             for lang in {x for x in labels.tolist() if x is not None}:
                 mine = use & (labels == lang)
@@ -170,13 +171,14 @@ def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray] | No
     for i, r in enumerate(rows):
         for k, v in r["bins"].items():
             table[i, k] = v
-    return table[:, :N_CLASSES], table[:, N_CLASSES:]
+    return table[:, :N_CLASSES], table[:, N_CLASSES:], frozenset(r["lang"] for r in rows)
 
 
-def _far(chars: np.ndarray, words: np.ndarray, ref_chars: np.ndarray, ref_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(character distance, word distance, beyond the limit), distances 0 where the text is too short to tell."""
-    by_char = np.where(chars.sum(1) >= MIN_CHARS, distances(chars, ref_chars), 0.0)
-    by_word = np.where(words.sum(1) >= MIN_WORDS, distances(words, ref_words), 0.0)
+def _far(chars: np.ndarray, words: np.ndarray, langs: pa.Array, ref_chars: np.ndarray, ref_words: np.ndarray, known: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(character distance, word distance, beyond the limit), distances 0 where the text is too short or its language too rare to tell."""
+    judged = np.array([x is None or x in known for x in langs.to_pylist()], bool)
+    by_char = np.where(judged & (chars.sum(1) >= MIN_CHARS), distances(chars, ref_chars), 0.0)
+    by_word = np.where(judged & (words.sum(1) >= MIN_WORDS), distances(words, ref_words), 0.0)
     return by_char, by_word, by_char + by_word / 2 > LIMIT + SHORT / np.sqrt(np.maximum(chars.sum(1), 1))
 
 
@@ -193,12 +195,13 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     profiles = materialize(profile(docs.select(F.lit(0).alias("none"), text, lang), "none", text, lang).select("lang", "chars", "words"), "profiles")
     references = _references(profiles, None)
     references = _references(profiles, references)
-    at = docs.columns.index(text)
+    at, name = docs.columns.index(text), docs.columns.index(lang)
 
     def keep(batches):
         for batch in batches:
+            langs = batch.column(name).cast(pa.string())
             for lo, n, counts, chars, words in _profiles(batch.column(at)):
-                good = ~_base_failed(counts[0], counts[4]) & ~_far(chars, words, *references)[2]
+                good = ~_base_failed(counts[0], counts[4]) & ~_far(chars, words, langs.slice(lo, n), *references)[2]
                 yield batch.slice(lo, n).filter(pa.array(good))
 
     return map_arrow(docs, keep, docs.schema)
@@ -213,11 +216,11 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     def judge(batches):
         for batch in batches:
-            by_char, by_word, far = _far(_matrix(batch.column(6)), _matrix(batch.column(7)), *references)
+            by_char, by_word, far = _far(_matrix(batch.column(6)), _matrix(batch.column(7)), batch.column(8), *references)
             n_words, repeats = (np.asarray(batch.column(i), np.int64) for i in (1, 5))
             failed = _base_failed(n_words, repeats)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(failed), pa.array(by_char), pa.array(by_word), pa.array(~failed & ~far)], names=[*names, "base_failed", "char_distance", "word_distance", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
-    return map_arrow(profiles.select(*names, "chars", "words"), judge, schema)
+    return map_arrow(profiles.select(*names, "chars", "words", "lang"), judge, schema)

@@ -47,3 +47,14 @@ def test_verdicts(spark):
     kept = {x.doc_id: (x.kept, x.base_failed) for x in o.quality(docs).collect()}
     assert all(kept[i] == (True, False) for i in range(80))
     assert all(kept[100 + i] == (False, False) for i in range(8))
+
+
+def test_a_language_without_a_reference_rejects_nothing(spark):
+    r = random.Random(2)
+    english = lambda: " ".join(r.choice(["the", "of", "and", "river", "stone", "walks", "morning,", "light."]) for _ in range(200))
+    other = lambda: " ".join(r.choice(["река", "камень", "утро", "свет", "идёт", "тихо", "домой"]) for _ in range(100))
+    rows = [(i, english(), "en") for i in range(40)] + [(100 + i, other(), "ru") for i in range(3)] + [(200, other(), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id: (x.kept, x.char_distance) for x in o.quality(docs).collect()}
+    assert all(kept[100 + i] == (True, 0.0) for i in range(3)) and not kept[200][0]
+    assert {x.doc_id for x in o.keep_good(docs).collect()} == {d for d, (k, _) in kept.items() if k}
