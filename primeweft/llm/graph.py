@@ -1,9 +1,10 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by hooking and pointer jumping.
 
-Each step points vertices at the smallest known neighbour; steps alternate until
-the edges stay the same, which takes a number of rounds logarithmic in the size
-for practical graphs.  No neighbourhood is gathered in a task: minima come by
-partial aggregation, and joins may split a vertex with many edges.
+Edges lead from a vertex to a smaller one.  In a round each vertex keeps its smallest
+neighbour, hooks its others to that one, and every edge jumps to its end's smallest
+neighbour.  A round that changes nothing ends it, after a number of rounds
+logarithmic in the size for practical graphs.  No neighbourhood is gathered in a
+task: minima come by partial aggregation, and joins may split a vertex with many edges.
 """
 
 from __future__ import annotations
@@ -14,25 +15,23 @@ from pyspark.sql import functions as F
 from .common import discard, made, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(a, root) of each vertex of the edges (a, b) that isn't a root; a root is the smallest of its component."""
+    """(a, root) of each vertex of the edges (a, b) that isn't a root; a root is the smallest of its component.
+
+    Vertices are of any type that can be ordered.
+    """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # large star
-        large = large.where("a != b").distinct()
-        top = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(top, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+    while True:
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        own = now.join(least, "a")
+        hooked = F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("x"), F.col("m").alias("y"), F.lit(True).alias("moved")))
+        kept = F.struct(F.col("a").alias("x"), F.col("m").alias("y"), F.lit(False).alias("moved"))
+        pairs = own.select(F.explode(F.array(kept, hooked)).alias("e")).where("e is not null").select("e.x", "e.y", "e.moved")
+        jumped = pairs.join(least.select(F.col("a").alias("y"), F.col("m").alias("z")), "y", "left")
+        after = jumped.select(F.col("x").alias("a"), F.coalesce("z", "y").alias("b"), (F.col("moved") | F.col("z").isNotNull()).alias("moved"))
         old = made[-1]
-        now = materialize(small.where("a != b").distinct(), "edges")
+        now = materialize(after.groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
         discard(edges.sparkSession, [old])
-        before, state = state, _state(now)
-        if state == before:
-            break
-    return now.select("a", F.col("b").alias("root"))
+        if not now.agg(F.max("moved")).first()[0]:
+            return now.select("a", F.col("b").alias("root"))
+        now = now.select("a", "b")

@@ -3,32 +3,33 @@
 Documents link when their sets of distinct shingles have a Jaccard similarity of
 at least ``percent`` / 100; the result is the components of the links.
 
-1. Shingles are ordered globally: those with the lower half of hashes by the
-   number of documents that have them (an exchange between blocks tells its
-   logarithm), then the others by hash.  Two linked sets share one of their first
-   ``n - ceil(t n) + 1`` shingles.  A document whose first shingles are all its own
-   is linked with nothing.
-2. Of equal sets one represents its class.  Classes that share a first shingle are
-   connected, each shingle's to its smallest; only documents of one component of
-   these connections can be linked.
-3. Each component's sets, frequent shingles first, are stored in a compressed
-   trie.  A set is sought in it by one traversal that shares the overlap counted
-   so far between all sets below a node, leaves out subtrees in which the
-   remaining lengths can't reach the overlap needed, and subtrees whose sets are
-   in its component already.  Components of over ``TOGETHER`` sets are dealt into
-   parts (see `_links`), and pairs of parts are joined each in a task of its own.
-4. The components of the links found are those of all links.
+1. Shingles are ordered globally by the logarithm of the number of documents that
+   have them (an exchange between blocks counts all of them), then by hash.  Two
+   linked sets share one of their first ``n - ceil(t n) + 1`` shingles.  A document
+   whose first shingles are all its own is linked with nothing.
+2. Equal sets are one class, within a block before anything is shuffled.
+3. The classes that have a shingle among their first ones are its list.  A class's
+   best list is its longest; a list's anchor is the longest best list of its
+   classes.  All lists of one anchor are joined together, so that a class is sent
+   once for each anchor of its lists (a cluster of near copies has one), not once for
+   each of its first shingles, and each list is whole in one place.
+4. The sets of an anchor, frequent shingles first, are sorted into a trie.  One
+   traversal carries all queries that can still link, shares the overlap counted so
+   far between all sets below a node, and drops at a node the queries for which the
+   remaining lengths can't reach the overlap needed.  Anchors of over ``TOGETHER``
+   sets or ``CODES`` shingles are dealt into parts (see `_links`).
+5. The components of the links found are those of all links.
 
 Null and empty texts have an empty set and are linked with nothing.  A text of
 fewer than ``k`` words is one shingle.  Repeated rows are equal sets.  A null id
-never is a component's id unless all are null.  An empty table gives no rows.
+never is a component's id unless all are null.  Ids of any type that can be ordered
+will do.  An empty table gives no rows.  Hashes have 64 bits, but for the counts
+that make the order, which 48 bits are enough for: a collision there changes the
+order alone.
 """
 
 from __future__ import annotations
 
-import bisect
-import sys
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +40,15 @@ from .common import LOWER, U64, doc_of, give_back, map_arrow, materialize, mix,
 from .graph import components
 from .textblocks import answers_of, block_table, bucket_count, exchanged, opened, sent
 
-#: Sets of a component that one trie holds.
-TOGETHER = 2048
-#: Documents are counted for the shingles whose hashes have so many leading zero bits: half of all.
-COUNTED = 1
-#: Shingles whose overlap is counted before the bound is looked at again.
+#: Sets of an anchor that one task joins, and their shingles.
+TOGETHER = 4096
+CODES = 1 << 21
+#: Shingles whose overlap is counted before the bound is looked at again (a sum of bytes holds it).
 PIECE = 64
-_LAST = 63  # the class of shingles whose documents aren't counted
+#: Bytes of the matrix of the queries that a traversal carries.
+MATRIX = 1 << 25
+#: Bits of a hash by which documents are counted.
+COUNTED = U64(0xFFFFFFFFFFFF0000)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +84,19 @@ def digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct low hashes, shifted to fill 64 bits, documents with each, places of low hashes): of equal sets one counts."""
-    low = np.flatnonzero(h < U64(1 << (64 - COUNTED)))
+def classes_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(d1, d2, first document of each class of equal sets, class of each document)."""
     a, b = digests(h, first)
-    _, one = np.unique(np.stack((a, b), 1), axis=0, return_index=True)
+    _, one, number = np.unique(np.stack((a, b, np.diff(first).astype(U64)), 1), axis=0, return_index=True, return_inverse=True)
+    return a, b, one, number.reshape(-1)
+
+
+def counted(h: np.ndarray, first: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes cut to the counted bits, documents with each, number of each shingle's): of equal sets one counts."""
     is_one = np.zeros(len(first) - 1, bool)
     is_one[one] = True
-    weight = is_one[doc_of(first)[low]]
-    values, number = np.unique(h[low] << U64(COUNTED), return_inverse=True)
-    return values, np.bincount(number, weight, minlength=len(values)).astype(np.int64), low
+    values, number = np.unique(h & COUNTED, return_inverse=True)
+    return values, np.bincount(number, is_one[doc_of(first)], minlength=len(values)).astype(np.int64), number
 
 
 def rarity(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -107,130 +113,167 @@ def rarity(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndar
     return back
 
 
-class Trie:
-    """Compressed tries of ascending arrays, one for each band of sizes, with components of what was linked.
+class Linked:
+    """Components of what was linked, by labels."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        own = self.label[i]
+        found = np.unique(self.label[others])
+        if len(found) > 1 or found[0] != own:
+            self.label[np.isin(self.label, found)] = own
 
-    A band reaches from a size to the largest that can be similar to it, so that a query
-    visits three bands at most.
-    """
 
-    def __init__(self, percent: int):
-        self.t = percent
-        self.parent: list[int] = []
-        self.links: list[tuple[int, int]] = []
-        self.roots: dict[int, list] = {}
-        self.bounds = [1]
-
-    def band(self, n: int) -> int:
-        while self.bounds[-1] <= n:
-            self.bounds.append(max(self.bounds[-1] + 1, 100 * self.bounds[-1] // self.t + 1))
-        return bisect.bisect_right(self.bounds, n)
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((i, j))
-
-    # a node: [segment, children, least size, largest size, member or -1, one member below, whether all below are linked]
-    def insert(self, x: np.ndarray, member: int) -> None:
-        n = len(x)
-        node, at = self.roots.setdefault(self.band(n), [x[:0], {}, n, n, -1, member, True]), 0
-        while True:
-            node[2], node[3] = min(node[2], n), max(node[3], n)
-            node[6] = node[6] and self.find(node[5]) == self.find(member)
-            if at == n:
-                if node[4] >= 0:
-                    self.link(node[4], member)
-                node[4] = member
-                return
-            child = node[1].get(int(x[at]))
-            if child is None:
-                node[1][int(x[at])] = [x[at:], {}, n, n, member, member, True]
-                return
-            segment = child[0]
-            m = min(len(segment), n - at)
-            differ = np.flatnonzero(segment[:m] != x[at : at + m])
-            same = int(differ[0]) if len(differ) else m
-            if same < len(segment):
-                upper = [segment[:same], {int(segment[same]): child}, child[2], child[3], -1, child[5], child[6]]
-                child[0] = segment[same:]
-                node[1][int(x[at])] = upper
-                child = upper
-            node, at = child, at + same
-
-    def reaches(self, overlap: int, depth: int, left: int, n: int, least: int, largest: int) -> bool:
-        """Whether some size in the bounds can still have the overlap it needs."""
-        s = min(max(depth + left, least), largest)
-        return (100 + self.t) * (overlap + min(left, s - depth)) >= self.t * (n + s)
-
-    def query(self, q: np.ndarray, member: int) -> None:
-        """Links the member with a set of each component that has one similar to q."""
-        n = len(q)
-        for band in range(self.band(-(-self.t * n // 100)), self.band(100 * n // self.t) + 1):
-            if band in self.roots:
-                self._visit(self.roots[band], q, member, 0, 0, n)
-
-    def _visit(self, node, q, member, overlap, depth, left) -> None:
-        n = len(q)
-        segment = node[0]
+def _order(codes: np.ndarray, ranks: np.ndarray, side: np.ndarray | None, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each shingle, frequent ones first; whether more than one set, or both sides, have it)."""
+    values, at, number, count = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+    shared = count > 1
+    if side is not None:
+        right = np.bincount(number, side[of], minlength=len(values))
+        shared = (right > 0) & (right < count)
+    place = np.empty(len(values), np.int64)
+    place[np.lexsort((values, ranks[at]))[::-1]] = np.arange(len(values))
+    return place[number], shared[number]
+
+
+class Trie:
+    """A trie over ascending sequences of numbers, as ranges of their sorted order."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, members: np.ndarray, sizes: np.ndarray):
+        big = ids.astype(">u4")
+        by = sorted(range(len(members)), key=lambda i: big[starts[i] : ends[i]].tobytes())
+        self.ids, self.starts, self.ends, self.members, self.sizes = ids, starts[by], ends[by], members[by], sizes[by]
+        self.lengths = self.ends - self.starts
+
+    def common(self, lo: int, hi: int, depth: int) -> int:
+        """The depth up to which the sequences lo to hi - 1 are the same."""
+        a = self.ids[self.starts[lo] + depth : self.ends[lo]]
+        if hi - lo == 1:
+            return depth + len(a)
+        b = self.ids[self.starts[hi - 1] + depth : self.ends[hi - 1]]
+        m = min(len(a), len(b))
+        differ = a[:m] != b[:m]
+        return depth + (int(differ.argmax()) if differ.any() else m)
+
+    def children(self, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+        """Ranges of sequences longer than depth, by their next number."""
+        if lo >= hi:
+            return []
+        following = self.ids[self.starts[lo:hi] + depth]
+        cuts = np.flatnonzero(np.diff(following)) + lo + 1
+        return list(zip([lo, *cuts.tolist()], [*cuts.tolist(), hi], strict=True))
+
+
+class Queries:
+    """Query sets carried through a trie together: which numbers each has and how many from each number on."""
+
+    def __init__(self, ids: np.ndarray, of: np.ndarray, n: int, numbers: int):
+        self.has = np.zeros((numbers, n), np.uint8)
+        self.has[ids, of] = 1
+        steps = -(-numbers // PIECE) + 1
+        at = np.zeros((steps, n), np.int32)
+        np.add.at(at, (ids // PIECE, of), 1)
+        self.from_ = np.cumsum(at[::-1], 0, dtype=np.int32)[::-1]
+
+    def overlap(self, piece: np.ndarray, active: np.ndarray) -> np.ndarray:
+        if 4 * len(active) < self.has.shape[1]:
+            return np.add.reduce(self.has[piece[:, None], active], 0, np.uint8)
+        return np.add.reduce(self.has[piece], 0, np.uint8)[active]
+
+    def left(self, number: int, active: np.ndarray) -> np.ndarray:
+        """Numbers from ``number`` on, or a little more."""
+        return self.from_[number // PIECE, active]
+
+
+def _traverse(trie: Trie, queries: Queries, members: np.ndarray, sizes: np.ndarray, percent: int, ordered: bool, linked: Linked) -> None:
+    """Links each query (a member and its set's size) with the trie's sets that are similar to it.
+
+    ``ordered``: queries are the trie's own sets; a pair is looked at from its larger one.
+    """
+    t = percent
+    stack = [(0, len(trie.members), 0, np.arange(len(members)), np.zeros(len(members), np.int64))]
+    while stack:
+        lo, hi, depth, active, overlap = stack.pop()
+        least, largest, longest = int(trie.sizes[lo:hi].min()), int(trie.sizes[lo:hi].max()), int(trie.lengths[lo:hi].max())
+        n = sizes[active]
+        may = (t * n <= 100 * largest) & ((n >= least) if ordered else (100 * n >= t * least))
+        end = trie.common(lo, hi, depth)
+        segment = trie.ids[trie.starts[lo] + depth : trie.starts[lo] + end]
+        active, overlap = active[may], overlap[may]
         for a in range(0, len(segment), PIECE):
+            if not len(active):
+                break
             piece = segment[a : a + PIECE]
-            at = np.searchsorted(q, piece)
-            at[at == n] = n - 1
-            overlap += int(np.count_nonzero(q[at] == piece))
-            depth += len(piece)
-            left = n - int(np.searchsorted(q, piece[-1], "right"))
-            if not self.reaches(overlap, depth, left, n, node[2], node[3]):
-                return
-        if node[4] >= 0 and (100 + self.t) * overlap >= self.t * (n + depth):
-            self.link(node[4], member)
-        for child in node[1].values():
-            if self.reaches(overlap, depth, left, n, child[2], child[3]) and not (child[6] and self.find(child[5]) == self.find(member)):
-                self._visit(child, q, member, overlap, depth, left)
-        if not node[6]:
-            one = self.find(node[5])
-            node[6] = (node[4] < 0 or self.find(node[4]) == one) and all(c[6] and self.find(c[5]) == one for c in node[1].values())
-
-
-def trie_join(rows: list[int], sets: list[np.ndarray], percent: int, apart: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that have the components of all links of the sets, as pairs of rows.
-
-    ``apart``: for each set its side, if only links between sides are sought.
+            overlap = overlap + queries.overlap(piece, active)
+            reach = np.minimum(queries.left(int(piece[-1]), active), longest - depth - a - len(piece))
+            may = (100 + t) * (overlap + reach) >= t * (sizes[active] + least)
+            if not may.all():
+                active, overlap = active[may], overlap[may]
+        if not len(active):
+            continue
+        while lo < hi and trie.lengths[lo] == end:
+            s = int(trie.members[lo])
+            hits = members[active[(100 + t) * overlap >= t * (sizes[active] + trie.sizes[lo])]]
+            hits = hits[hits != s]
+            if len(hits):
+                linked.link(s, hits)
+            lo += 1
+        stack += [(a, b, end, active, overlap) for a, b in trie.children(lo, hi, end)]
+
+
+def trie_join(sets: list[np.ndarray], ranks: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set: equal for sets in one component of the links.
+
+    Of a set of ``sizes[i]`` shingles, ``sets[i]`` has those that other sets may have,
+    with their ranks.  ``side``: for each set 0 or 1, if only links between sides are sought.
     """
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * TOGETHER + 1000))
-    trie = Trie(percent)
-    trie.parent = list(range(len(rows)))
-    order = sorted(range(len(rows)), key=lambda i: (len(sets[i]), rows[i]))
-    if apart is None:
-        for i in order:
-            trie.query(sets[i], i)
-            trie.insert(sets[i], i)
-    else:
-        for i in order:
-            if not apart[i]:
-                trie.insert(sets[i], i)
-        for i in order:
-            if apart[i]:
-                trie.query(sets[i], i)
-    return [(rows[i], rows[j]) for i, j in trie.links]
+    linked = Linked(len(sets))
+    lengths = np.array([len(x) for x in sets])
+    if len(sets) < 2 or not lengths.sum():
+        return linked.label
+    of = np.repeat(np.arange(len(sets)), lengths)
+    ids, shared = _order(np.concatenate(sets), np.concatenate(ranks), side, of)
+    ids, of = ids[shared], of[shared]
+    enough = 100 * np.bincount(of, minlength=len(sets)) >= percent * sizes
+    keep = enough[of]
+    ids, of = ids[keep], of[keep]
+    if not len(ids):
+        return linked.label
+    # numbers without gaps, ascending in each set
+    ids = np.unique(ids, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((ids, of))
+    ids, of = ids[order], of[order]
+    first = np.searchsorted(of, np.arange(len(sets) + 1))
+    present = np.flatnonzero(np.diff(first))
+    stored, asking = (present, present) if side is None else (present[side[present] == 0], present[side[present] == 1])
+    if not len(stored) or not len(asking):
+        return linked.label
+    trie = Trie(ids, first[stored], first[stored + 1], stored, sizes[stored])
+    numbers = int(ids.max()) + 1
+    at_once = max(1, MATRIX // numbers)
+    for a in range(0, len(asking), at_once):
+        some = asking[a : a + at_once]
+        parts = [ids[first[i] : first[i + 1]] for i in some]
+        queries = Queries(np.concatenate(parts), np.repeat(np.arange(len(some)), [len(x) for x in parts]), len(some), numbers)
+        _traverse(trie, queries, some, sizes[some], percent, side is None, linked)
+    return linked.label
 
 
 def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> DataFrame:
-    """A written table of the documents of a table of blocks: row, id, n, d1, d2, and for sets that may be linked codes (ascending, rare first) and prefix."""
+    """A written table of the classes of each block of a table of blocks.
+
+    (row, members (none, id, row), n, d1, d2, may), and for sets that may be linked
+    codes and ranks (of the shingles that others have, rare ones first) and prefix.
+    """
     n_buckets = bucket_count(table)
 
     def send(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 h, first = shingle_sets(*opened(batch.column("offsets")[row].as_py(), batch.column("z")[row].as_py()), k)
-                values, documents, _ = counted(h, first)
+                values, documents, _ = counted(h, first, classes_of(h, first)[2])
                 yield sent(batch.column("block")[row].as_py(), values, [documents.astype(np.int32)], n_buckets)
 
     answers = exchanged(map_arrow(table.select("block", "offsets", "z"), send, "bucket long, block long, h binary, v0 binary"), ["i4"], rarity)
@@ -240,124 +283,132 @@ def _prepared(table: DataFrame, key: str, kind: str, k: int, percent: int) -> Da
         for batch in batches:
             for row in range(batch.num_rows):
                 h, first = shingle_sets(*opened(batch.column("offsets")[row].as_py(), batch.column("z")[row].as_py()), k)
-                values, _, low = counted(h, first)
-                known = answers_of(values, n_buckets, batch.column("answers")[row].as_py())
-                rank = np.full(len(h), _LAST, U64)
-                rank[low] = known[np.searchsorted(values, h[low] << U64(COUNTED))]
-                codes = rank << U64(58) | h >> U64(6)
+                d1, d2, one, number = classes_of(h, first)
+                values, _, at = counted(h, first, one)
+                ranks = answers_of(values, n_buckets, batch.column("answers")[row].as_py())[at]
                 n = np.diff(first)
-                d1, d2 = digests(h, first)
-                own = np.concatenate(([0], np.cumsum(rank == 0)))
+                own = np.concatenate(([0], np.cumsum(ranks == 0)))
                 alone = own[first[1:]] - own[first[:-1]]
                 prefix = n + (-percent * n // 100) + 1
-                sets, prefixes = [], []
-                for d in range(len(n)):
+                codes, kinds, prefixes = [], [], []
+                for d in one.tolist():
                     if n[d] and alone[d] < prefix[d]:
-                        c = np.sort(codes[first[d] : first[d + 1]])
-                        sets.append(c.tobytes())
-                        prefixes.append(c[alone[d] : prefix[d]].view(np.int64))
+                        own_h, own_r = h[first[d] : first[d + 1]], ranks[first[d] : first[d + 1]]
+                        some = np.argsort(own_r, kind="stable")[alone[d] :]  # hashes ascend already
+                        codes.append(own_h[some].tobytes())
+                        kinds.append(own_r[some].tobytes())
+                        prefixes.append(own_h[some[: prefix[d] - alone[d]]].view(np.int64))
                     else:
-                        sets.append(None)
+                        codes.append(None)
+                        kinds.append(None)
                         prefixes.append(None)
-                ids = (batch.column("block")[row].as_py() << 22) + np.arange(len(n))
-                arrays = [pa.array(ids), batch.column("ids")[row].values, pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "n", "d1", "d2", "codes", "prefix"])
+                rows = (batch.column("block")[row].as_py() << 22) + np.arange(len(n))
+                by = np.argsort(number, kind="stable")
+                ids = batch.column("ids")[row].values.take(pa.array(by))
+                members = pa.StructArray.from_arrays([ids.is_null(), ids, pa.array(rows[by])], names=["none", "id", "row"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(one))))), pa.int32()), members)
+                arrays = [pa.array(rows[one]), lists, pa.array(n[one], pa.int64()), pa.array(d1[one].view(np.int64)), pa.array(d2[one].view(np.int64)), pa.array([c is not None for c in codes], pa.bool_()), pa.array(codes, pa.binary()), pa.array(kinds, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "members", "n", "d1", "d2", "may", "codes", "ranks", "prefix"])
 
-    return materialize(map_arrow(both, order, f"row long, id {kind}, n long, d1 long, d2 long, codes binary, prefix array<long>"), "sets")
+    schema = f"row long, members array<struct<none:boolean,id:{kind},row:long>>, n long, d1 long, d2 long, may boolean, codes binary, ranks binary, prefix array<long>"
+    return materialize(map_arrow(both, order, schema), "sets")
 
 
-def _joined(may: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in each task of ``keyed`` (row, root, task, lo, hi, side).
+def _joined(reps: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes found in each task of ``keyed`` (row, task, lo, hi, side).
 
-    Sets of one root are joined among themselves where lo = hi, else side 1 with side 0.
+    Sets are joined among themselves where lo = hi, else side 1 with side 0.
     """
 
     def join(table: pa.Table) -> pa.Table:
         within = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        table = table.sort_by([("root", "ascending"), ("row", "ascending")])
-        roots = np.asarray(table.column("root").combine_chunks(), np.int64)
-        rows, side = table.column("row").to_pylist(), table.column("side").to_pylist()
-        codes = table.column("codes")
-        cut = [0, *(np.flatnonzero(np.diff(roots)) + 1).tolist(), len(roots)]
-        out, own = [], []
-        for a, b in zip(cut, cut[1:], strict=False):
-            # complements ascend with the most frequent first
-            own = [~np.frombuffer(codes[i].as_py(), U64)[::-1] for i in range(a, b)]
-            out += trie_join(rows[a:b], own, percent, None if within else [x == 1 for x in side[a:b]])
-        del own, codes
+        names = table.column("v").combine_chunks()
+        sets = [np.frombuffer(x, U64) for x in table.column("codes").to_pylist()]
+        ranks = [np.frombuffer(x, np.uint8) for x in table.column("ranks").to_pylist()]
+        sizes, side = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("n", "side"))
+        label = trie_join(sets, ranks, sizes, percent, None if within else side)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        out = pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(label[moved]))})
+        del sets, ranks, table
         give_back()
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        return out
 
-    ship(may.sparkSession)
+    ship(reps.sparkSession)
     # codes are shuffled once to meet their keys, once to their tasks
-    full = may.select("row", "codes").join(keyed.hint("shuffle_hash"), "row")
-    return full.groupBy("task", "lo", "hi").applyInArrow(join, "a long, b long")
+    full = reps.select("row", "v", "n", "codes", "ranks").join(keyed.hint("shuffle_hash"), "row")
+    kind = reps.schema["v"].dataType.simpleString()
+    return full.groupBy("task", "lo", "hi").applyInArrow(join, f"a {kind}, b {kind}").where("a != b")
 
 
-def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the rows ``reps`` (row) of ``sets`` (row, codes, prefix) that have the components of all links.
+def _links(reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the classes ``reps`` (row, v, n, codes, ranks, prefix) that have the components of all links.
 
-    A candidate component of up to ``TOGETHER`` sets is one task's, which small ones
-    share.  A larger one is dealt into parts.  First each part is joined in itself and
-    with part 0, work in proportion to the parts; a cohesive group then is one
-    component, within which nothing is left to find.  Only sets outside of the largest
-    such component are joined with all parts.
+    An anchor of up to ``TOGETHER`` sets is one task's.  A larger one is dealt into
+    parts.  First each part is joined in itself and with part 0, work in proportion to
+    the parts; a cohesive group then is one component, within which nothing is left to
+    find.  Only sets outside of the largest such component meet the other parts.
     """
-    n_buckets = bucket_count(sets)
-    may = sets.where("codes is not null")
-    index = may.select("row", "prefix").join(reps, "row", "left_semi").select("row", F.explode("prefix").alias("code"))
-    least = index.groupBy("code").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b != top").select("code", "b")
-    near = components(index.join(least, "code").select(F.col("row").alias("a"), "b"))
-    # a root isn't among the vertices of its component
-    member = near.select(F.col("a").alias("row"), "root").unionByName(near.select(F.col("root").alias("row"), "root").distinct())
-    size = near.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
-    parts = F.ceil(F.col("m") / TOGETHER).cast("int")
-    placed = materialize(member.join(size, "root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")), "candidates")
-    small = placed.where("parts = 1").select("row", "root", F.pmod(F.xxhash64("root"), F.lit(n_buckets)).alias("task"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
-    large = placed.where("parts > 1")
-    own = large.select("row", "root", F.col("root").alias("task"), F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(0).alias("side"))
+    index = reps.select("row", "n", F.explode("prefix").alias("code"))
+    lists = index.groupBy("code").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    entries = index.join(lists, "code")
+    best = entries.groupBy("row").agg(F.max(F.struct("c", "code")).alias("best"))
+    anchors = entries.join(best, "row").groupBy("code").agg(F.max("best").alias("anchor"))
+    seen = entries.join(anchors, "code").select("row", "n", F.col("anchor.code").alias("task")).distinct()
+    seen = materialize(seen, "anchors")
+    size = seen.groupBy("task").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("task", F.ceil(F.greatest(F.col("m") / TOGETHER, F.col("s") / CODES)).cast("int").alias("parts"))
+    many = size.where("parts > 1")
+    small = seen.join(many, "task", "left_anti").select("row", "task", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+    if many.isEmpty():
+        return _joined(reps, small, percent)
+    large = seen.join(many, "task").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    own = large.select("row", "task", F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(0).alias("side"))
     other = F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part")))
-    first = large.withColumn("hi", other).select("row", "root", F.col("root").alias("task"), F.lit(0).alias("lo"), "hi", (F.col("part") > 0).cast("int").alias("side"))
-    found = materialize(_joined(may, small.unionByName(own).unionByName(first), percent), "links")
-
-    inner = components(found.join(large.select(F.col("row").alias("a")), "a", "left_semi"))
-    told = large.join(inner.select(F.col("a").alias("row"), F.col("root").alias("inner")), "row", "left").withColumn("inner", F.coalesce("inner", "row"))
-    counts = told.groupBy("root", "inner").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("root").agg(F.max(F.struct("k", F.col("inner").alias("main"))).alias("x")).select("root", F.col("x.main").alias("main"))
-    rest = told.join(main, "root").where("inner != main")
-    groups = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("groups"))
-    sought = rest.join(groups, "root").withColumn("lo", F.pmod(F.xxhash64("row", F.lit(1)), F.col("groups")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    against = large.join(groups, "root").withColumn("hi", F.col("part")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    first = large.withColumn("hi", other).select("row", "task", F.lit(0).alias("lo"), "hi", (F.col("part") > 0).cast("int").alias("side"))
+    found = materialize(_joined(reps, small.unionByName(own).unionByName(first), percent), "links")
+
+    inner = components(found).select(F.col("a.row").alias("row"), F.col("root.row").alias("inner"))
+    told = large.join(inner, "row", "left").withColumn("inner", F.coalesce("inner", "row"))
+    counts = told.groupBy("task", "inner").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("task").agg(F.max(F.struct("k", F.col("inner").alias("main"))).alias("x")).select("task", F.col("x.main").alias("main"))
+    rest = told.join(main, "task").where("inner != main")
+    groups = rest.groupBy("task").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TOGETHER, F.sum("n") / CODES)).cast("int").alias("groups"))
+    # part 0 has met all parts already
+    sought = rest.join(groups, "task").where("part > 0").withColumn("lo", F.pmod(F.xxhash64("row", F.lit(1)), F.col("groups")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    against = large.where("part > 0").join(groups, "task").withColumn("hi", F.col("part")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     # numbers of parts below 0 and of groups from 0 never are equal: all these tasks join two sides
-    columns = lambda df, side: df.select("row", "root", F.col("root").alias("task"), F.col("lo"), (-1 - F.col("hi")).alias("hi"), F.lit(side).alias("side"))
-    second = _joined(may, columns(sought, 1).unionByName(columns(against, 0)), percent)
-    return found.unionByName(second).where("a != b")
+    columns = lambda df, side: df.select("row", "task", F.col("lo"), (-1 - F.col("hi")).alias("hi"), F.lit(side).alias("side"))
+    second = _joined(reps, columns(sought, 1).unionByName(columns(against, 0)), percent)
+    return found.unionByName(second)
 
 
-def _rooted(table: DataFrame, key: str, kind: str, k: int, percent: int) -> DataFrame:
-    """(row, id, n, root): the rows of a table of blocks with their component."""
+def _rooted(table: DataFrame, key: str, kind: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes of blocks as of `_prepared`, classes (n, d1, d2, v, root)): v is the least member of a class, root that of its component."""
     sets = _prepared(table, key, kind, k, percent)
-    classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("rep"))
-    linked = components(_links(sets, classes.select(F.col("rep").alias("row")), percent)).select(F.col("a").alias("rep"), "root")
-    of_class = classes.join(linked, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    return sets.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").select("row", "id", "n", F.coalesce("root", "row").alias("root"))
+    classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.array_min("members")).alias("v"), F.min(F.when(F.col("may"), F.col("row"))).alias("row"))
+    reps = materialize(sets.select("row", "codes", "ranks", "prefix").join(classes.where("row is not null"), "row"), "classes")
+    linked = components(_links(reps, percent)).select(F.col("a.row").alias("at"), "root")
+    linked = reps.select("n", "d1", "d2", F.col("v.row").alias("at")).join(linked, "at").drop("at")
+    return sets, materialize(classes.join(linked, ["n", "d1", "d2"], "left").select("n", "d1", "d2", "v", F.coalesce("root", "v").alias("root")), "roots")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links)."""
     table = block_table(docs.select(key, F.col(text).alias("text")))
-    rooted = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    sets, roots = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
+    rooted = sets.select("n", "d1", "d2", "members").join(roots.select("n", "d1", "d2", "root"), ["n", "d1", "d2"], "left")
+    each = rooted.select("n", "root", F.explode("members").alias("m"))
+    component = F.when(F.col("root").isNull(), F.col("m.id")).otherwise(F.col("root.id"))
+    return each.select(F.col("m.id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without all but one of each component: the smallest key stays, null last, then the first row."""
     others = [c for c in docs.columns if c != text]
     table = block_table(docs, text)
-    rooted = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
-    places = first.select(F.shiftright("m.row", 22).alias("block"), F.col("m.row").bitwiseAND(F.lit((1 << 22) - 1)).cast("int").alias("at"))
+    sets, roots = _rooted(table, key, docs.schema[key].dataType.simpleString(), k, percent)
+    empty = sets.where("n = 0").select(F.explode("members.row").alias("row"))
+    kept_rows = roots.where("v.row = root.row").select("v.row").unionByName(empty)
+    places = kept_rows.select(F.shiftright("row", 22).alias("block"), F.col("row").bitwiseAND(F.lit((1 << 22) - 1)).cast("int").alias("at"))
     stay = places.groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("stay"))
     kept = table.join(stay.hint("shuffle_hash"), "block")
     names = docs.columns

@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .common import BLOCK, blocks, give_back, map_arrow, materialize, text_bytes
 
-KEPT = "block long, extra {extra}, offsets binary, z binary"
+#: Bytes of text for which there is a bucket of an exchange: its task holds about twice as much.
+SHARE = 1 << 25
 
 
 def block_table(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
-    """(block, extra, offsets, z): ``extra`` is an array of structs of the other columns, row by row."""
+    """(block, bytes, extra, offsets, z): ``extra`` is an array of structs of the other columns, row by row."""
     limit = limit or BLOCK
     others = [c for c in docs.columns if c != text]
     fields = ", ".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in others)
@@ -39,11 +40,11 @@ def block_table(docs: DataFrame, text: str = "text", limit: int | None = None) -
             struct = batch.column(0)
             for lo, hi, data, offsets in blocks(batch.column(1), limit):
                 extra = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), struct.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), extra, pa.array([offsets.tobytes()], pa.binary()), pa.array([press.compress(data.tobytes())], pa.binary())], names=["block", "extra", "offsets", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(data)], pa.int64()), extra, pa.array([offsets.tobytes()], pa.binary()), pa.array([press.compress(data.tobytes())], pa.binary())], names=["block", "bytes", "extra", "offsets", "z"])
                 number += 1
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("s"), text_bytes(text).alias("b"))
-    return materialize(map_arrow(packed, pack, f"block long, extra array<struct<{fields}>>, offsets binary, z binary"), "blocks")
+    return materialize(map_arrow(packed, pack, f"block long, bytes long, extra array<struct<{fields}>>, offsets binary, z binary"), "blocks")
 
 
 def opened(offsets: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +65,29 @@ def slices(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return b[ends - 1] if len(b) else ends, ends
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as planes of the bytes of their differences, compressed: the high planes are nearly empty."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def sent(block: int, hashes: np.ndarray, columns: list[np.ndarray], n: int) -> pa.RecordBatch:
     """Rows (bucket, block, h, v0, v1, ...) of sorted hashes with columns of values."""
     bucket, ends = slices(hashes, n)
-    cut = lambda x: [x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
-    arrays = [pa.array(bucket, pa.int64()), pa.array([block] * len(bucket), pa.int64()), *[pa.array(cut(x), pa.binary()) for x in (hashes, *columns)]]
+    cut = lambda x: [x[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+    arrays = [pa.array(bucket, pa.int64()), pa.array([block] * len(bucket), pa.int64()), pa.array([packed(x) for x in cut(hashes)], pa.binary()), *[pa.array([x.tobytes() for x in cut(c)], pa.binary()) for c in columns]]
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "h", *[f"v{i}" for i in range(len(columns))]])
 
 
-def bucket_count(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(table: DataFrame) -> int:
+    """Buckets of an exchange between the blocks of a table: a number that grows with the texts."""
+    total = table.agg(F.sum("bytes")).first()[0] or 0
+    return max(2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
 
 
 def exchanged(slices_: DataFrame, kinds: list[str], answer: Callable[..., np.ndarray]) -> DataFrame:
@@ -84,7 +98,7 @@ def exchanged(slices_: DataFrame, kinds: list[str], answer: Callable[..., np.nda
     """
 
     def compare(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
+        parts = [unpacked(x) for x in table.column("h").to_pylist()]
         lengths = np.array([len(p) for p in parts])
         columns = [np.concatenate([np.frombuffer(x, k) for x in table.column(f"v{i}").to_pylist()]) for i, k in enumerate(kinds)]
         owner = np.repeat(np.asarray(table.column("block").combine_chunks(), np.int64), lengths)

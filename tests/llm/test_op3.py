@@ -62,25 +62,47 @@ def test_empty_table(spark):
     assert o.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_trie_finds_every_component():
+def classes(n, links):
+    p = list(range(n))
+    for a, b in links:
+        x, y = p[a], p[b]
+        p = [min(x, y) if v in (x, y) else v for v in p]
+    return p
+
+
+def least_of(label):
+    first = {}
+    return [first.setdefault(x, i) for i, x in enumerate(label)]
+
+
+@pytest.mark.parametrize("matrix", [1 << 25, 1 << 12])
+def test_trie_finds_every_component(monkeypatch, matrix):
+    monkeypatch.setattr(o, "MATRIX", matrix)
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        base = np.unique(rng.integers(0, 500, 60)).astype(np.uint64)
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 500, rng.choice([4, 60, 300]))).astype(np.uint64)
         sets = []
         for _ in range(40):
             keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.3])]
-            sets.append(np.unique(np.concatenate((keep, rng.integers(0, 500, rng.integers(0, 6)).astype(np.uint64)))))
-        rows = list(range(len(sets)))
-        want = {frozenset((i, j)) for i in rows for j in rows if i < j and 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]))}
-
-        def classes(links):
-            p = list(range(len(sets)))
-            for a, b in links:
-                x, y = p[a], p[b]
-                p = [min(x, y) if v in (x, y) else v for v in p]
-            return p
-
-        assert classes(tuple(x) for x in want) == classes(o.trie_join(rows, sets, 85))
-        side = [bool(rng.random() < 0.5) for _ in rows]
-        cross = [x for x in want if len({side[i] for i in x}) == 2]
-        assert classes(tuple(x) for x in cross) == classes(o.trie_join(rows, sets, 85, side))
+            sets.append(np.unique(np.concatenate((keep, rng.integers(0, 500, rng.integers(1, 6)).astype(np.uint64)))))
+        n = np.array([len(x) for x in sets])
+        rank_of = rng.integers(1, 9, 500).astype(np.uint8)
+        ranks = [rank_of[x.astype(int)] for x in sets]
+        want = {(i, j) for j in range(40) for i in range(j) if 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (n[i] + n[j])}
+        assert classes(40, want) == least_of(o.trie_join(sets, ranks, n, 85).tolist())
+        side = rng.integers(0, 2, 40)
+        cross = [(i, j) for i, j in want if side[i] != side[j]]
+        assert classes(40, cross) == least_of(o.trie_join(sets, ranks, n, 85, side).tolist())
+
+
+def test_hashes_are_packed_without_loss():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 1000):
+        h = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (textblocks.unpacked(textblocks.packed(h)) == h).all()
+
+
+def test_ids_of_strings(spark):
+    rows = [("b", "one two three four five"), ("a", "one two  three four FIVE"), ("c", "six seven"), (None, "six  seven")]
+    got = o.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == sorted([("b", 2, "a"), ("a", 2, "a"), ("c", 1, "c"), (None, 1, "c")], key=str)
