@@ -1,17 +1,19 @@
 """Substring dedup by level-wise doubling of word windows.
 
-Level ``window / 2``: each window of ``window`` words has, among its half-length
-windows, one of least hash; equal windows have equal ones.  Blocks exchange these
-and learn which occur more than once.  Only windows whose half-length one is
-repeated are extended to the full length; longer windows are made of two
-survivors of half their length.  This goes on, doubling, from ``first`` words up
-to ``window``, or until no candidates survive.  At the last length each distinct
-window's first place (smallest id, then row, then start) is found by an exchange
-of 128-bit hashes, and every other place of it is a repeat.  Words covered by a
-repeat are removed.
-
-Null and empty texts have no words.  Rows with equal ids are ordered by their
-place in the table, null ids come first.  An empty table gives no rows.
+Level ``first`` (a quarter of the window): each window of twice as many words has,
+among its windows of ``first`` words, one of least hash; equal windows have equal
+ones.  Blocks exchange these and learn which occur more than once.  Only windows
+whose shorter one is repeated are extended to twice the length; longer windows are
+made of two survivors of half their length.  This goes on, doubling, from ``first``
+words up to ``window``; where no candidates survive, nothing more is exchanged.  At
+the last length each distinct window's first place (smallest id, then row, then
+start) is found by an exchange of 128-bit hashes, and every other place of it is a
+repeat.  Words covered by a repeat are removed.
+
+Ids are whole numbers; other columns of ids are refused.  Null and empty texts have
+no words.  Rows with equal ids are ordered by their place in the table, null ids come
+first.  An empty table gives no rows.  A document is handled by one task, with about
+50 bytes of memory for each byte of its text.
 """
 
 from __future__ import annotations
@@ -141,10 +143,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     kept_text is the text without the removed words and the white space after each.
     """
-    levels = doubling(first or window // 2, window)
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be a column of whole numbers")
+    levels = doubling(first or (window // 4 if window % 4 == 0 else window // 2), window)
     others = [c for c in docs.columns if c != text]
-    n_buckets = bucket_count(docs)
     table = block_table(docs, text)
+    n_buckets = bucket_count(table)
     names = [f"a{i}" for i in range(len(levels))]
 
     def places(batch, row: int, known: int) -> Places:

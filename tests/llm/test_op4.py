@@ -43,3 +43,5 @@ def test_against_brute_force(spark, monkeypatch, window, first, seed):
         assert other((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == other(brute(rows, window))
     assert all(hashlib.sha256(b" ".join(x.kept_text.encode().split())).hexdigest() == x.kept_sha256 and x.h == "k" for x in got)
     assert remove_repeats(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
