@@ -8,9 +8,10 @@ Plan, on the driver, from the histogram of piece lengths alone, which has
 
 1. Pieces over ``small`` ids are sorted by length and cut into ``groups`` groups
    of equal cardinality; each length is rounded up to its group's largest.
-2. Configurations (multisets of the few rounded sizes) are chosen one after the
-   other: the largest size left and the fullest complement for it, found over
-   bit sets of reachable sums, used as often as the counts allow.
+2. Which configurations (multisets of the few rounded sizes) are used how often is
+   optimised by a linear programme over all of them, solved by column generation;
+   its whole parts are taken, and the rest, a few sequences for each size at most, is
+   packed by best fit.
 3. Actual pieces replace the rounded ones; sequences with the same actual
    lengths form runs, so that the plan stays as small as the histogram.
 4. Small pieces, the largest first, go by best fit into what the runs leave.
@@ -26,9 +27,9 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
-from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -37,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, map_arrow, materialize, text_bytes
+from .common import LOWER, U64, blocks, map_arrow, materialize, span_hashes, text_bytes, word_spans
 
 CAPACITY = 4096
 #: Pieces of at most this many ids are packed by best fit.
 SMALL = 1024
 #: Groups of equal cardinality of the linear grouping.
-GROUPS = 1024
+GROUPS = 24
 #: Words a worker remembers (a memory bound only).
-REMEMBERED = 300_000
+REMEMBERED = 2_000_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -67,56 +68,82 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[t
     return out
 
 
-def fullest(sizes: dict[int, int], room: int) -> list[int]:
-    """Sizes (with at most the given counts) whose sum is as near to room as it can be, found layer by layer."""
-    allowed = sorted((s for s in sizes if s <= room and sizes[s] > 0), reverse=True)
-    mask = (1 << (room + 1)) - 1
-    while True:
-        layers = [1]
-        best = (0, 0)
-        while allowed:
-            reach = 0
-            for s in allowed:
-                reach |= layers[-1] << s
-            reach &= mask
-            if not reach:
-                break
-            layers.append(reach)
-            best = max(best, (reach.bit_length() - 1, -(len(layers) - 1)))
-        total, depth = best[0], -best[1]
-        chosen: list[int] = []
-        while depth:
-            s = next(s for s in allowed if s <= total and layers[depth - 1] >> (total - s) & 1)
-            chosen.append(s)
-            total -= s
-            depth -= 1
-        over = [s for s in set(chosen) if chosen.count(s) > sizes[s]]
-        if not over:
-            return chosen
-        # too many of a size: use what there is of it and fill the rest without it
-        s = max(over)
-        fixed = [s] * sizes[s]
-        rest = {k: v for k, v in sizes.items() if k != s}
-        return fixed + fullest(rest, room - sum(fixed))
+def best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The multiset of sizes of most worth within the capacity, built size by size in layers of one piece more each."""
+    value, chosen = np.zeros(capacity + 1), []
+    useful = [i for i in range(len(sizes)) if worth[i] > 1e-12]
+    for _ in range(capacity // min(sizes)):
+        more, pick = value.copy(), np.full(capacity + 1, -1)
+        for i in useful:
+            s = sizes[i]
+            with_it = value[: capacity + 1 - s] + worth[i]
+            better = with_it > more[s:] + 1e-12
+            more[s:][better] = with_it[better]
+            pick[s:][better] = i
+        if (pick < 0).all():
+            break
+        chosen.append(pick)
+        value = more
+    out = np.zeros(len(sizes))
+    room = capacity
+    for pick in reversed(chosen):
+        if pick[room] >= 0:
+            out[pick[room]] += 1
+            room -= sizes[pick[room]]
+    return out, float(value[capacity])
 
 
 def configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[int]]]:
-    """(times, sizes) that use up the (size, count) pairs."""
+    """(times, sizes) that use up the (size, count) pairs in nearly as few sequences as can be.
+
+    The linear programme over all configurations is solved by column generation: the
+    simplex method, whose next column is the configuration of most worth at the
+    current prices.  Its whole parts are taken; what they leave over, a few sequences
+    for each size at most, is packed by best fit, the largest first.
+    """
+    if not groups:
+        return []
     left: dict[int, int] = defaultdict(int)
     for size, count in groups:
         left[size] += count
+    sizes = sorted(left, reverse=True)
+    need = np.array([left[s] for s in sizes], float)
+    basis = np.diag([float(capacity // s) for s in sizes])  # a configuration a column
+    times = need / np.diag(basis)
+    for _ in range(50 * len(sizes) + 1000):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        column, worth = best_configuration(sizes, prices, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        change = np.linalg.solve(basis, column)
+        steps = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1), np.inf)
+        leaves = int(steps.argmin())
+        basis[:, leaves] = column
+        times = np.maximum(np.linalg.solve(basis, need), 0)
     out = []
-    while any(left.values()):
-        top = max(s for s in left if left[s])
-        left[top] -= 1
-        chosen = [top, *fullest(left, capacity - top)]
-        left[top] += 1
-        each = {s: chosen.count(s) for s in chosen}
-        times = min(left[s] // n for s, n in each.items())
-        for s, n in each.items():
-            left[s] -= n * times
-        out.append((times, chosen))
-    return out
+    for j in range(len(sizes)):
+        n = int(times[j] + 1e-6)
+        each = basis[:, j].astype(int)
+        n = min([n, *(left[s] // k for s, k in zip(sizes, each.tolist(), strict=True) if k)])
+        if n:
+            out.append((n, [s for s, k in zip(sizes, each.tolist(), strict=True) for _ in range(k)]))
+            for s, k in zip(sizes, each.tolist(), strict=True):
+                left[s] -= n * k
+    rooms: list[tuple[int, int]] = []  # what is left in a sequence, and its number
+    bins: list[list[int]] = []
+    for s in sizes:
+        for _ in range(left[s]):
+            k = bisect.bisect_left(rooms, (s, -1))
+            if k == len(rooms):
+                bins.append([])
+                rooms.append((capacity, len(bins) - 1))
+            room, b = rooms.pop(k)
+            bins[b].append(s)
+            bisect.insort(rooms, (room - s, b))
+    alike: dict[tuple[int, ...], int] = defaultdict(int)
+    for b in bins:
+        alike[tuple(b)] += 1
+    return out + [(n, list(b)) for b, n in alike.items()]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> tuple[np.ndarray, int]:
@@ -205,8 +232,8 @@ _SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256
 _SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-    """The words of each text, A-Z lower-cased, with a cut between a letter and punctuation behind it.
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): the words of each text, A-Z lower-cased, with a cut between a letter and punctuation behind it.
 
     The vocabulary's normaliser and pattern do both anyway, so that ids stay the same.
     """
@@ -214,13 +241,12 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
     letter = _LETTER[low]
     letter[1:] |= _LATIN[low[1:]] & (low[:-1] == 0xC3)
     at = np.flatnonzero(letter[:-1] & _PUNCTUATION[low[1:]]) + 1
-    raw = np.insert(low, at, 32).tobytes()
-    ends = (offsets + np.searchsorted(at, offsets)).tolist()
-    return [raw[a:b].split() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    starts, ends, _ = word_spans(low, np.union1d(offsets, at))
+    return low, starts, ends, np.searchsorted(starts, offsets)
 
 
 class Words:
-    """The ids of words as little-endian 32-bit bytes, remembered.
+    """The ids of words, remembered by the words' 64-bit hashes in sorted arrays.
 
     Words of ASCII and Latin-1 letters are the same after the normaliser but for
     their case and aren't cut; they go to the merges directly.
@@ -233,31 +259,56 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
 
-    def learn(self, words: set[bytes]) -> None:
-        known, merge, whole = self.known, self.merge, []
+    def forget(self) -> None:
+        self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[bytes]) -> list[list[int]]:
+        merge, out, whole = self.merge, [], []
         for w in words:
             if w.isalpha():
                 shown = w.decode()
             else:
                 s = w.decode("utf-8", "replace")
                 if not s.isalpha() or max(s) > "\xff":
-                    whole.append((w, s))
+                    whole.append((len(out), s))
+                    out.append([])
                     continue
                 shown = s.lower().encode().decode("latin-1").translate(_SHOWN)
-            known[w] = array("I", [t.id for t in merge(shown)]).tobytes()
-        for i in range(0, len(whole), 20_000):
-            some = whole[i : i + 20_000]
-            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([s for _, s in some], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+            out.append([t.id for t in merge(shown)])
+        for a in range(0, len(whole), 20_000):
+            some = whole[a : a + 20_000]
+            for (i, _), e in zip(some, self.tokenizer.encode_batch_fast([s for _, s in some], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
+    def find(self, hashes: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
+        """(start in the pool, number of ids) of each of distinct ascending hashes; ``spelled(places)`` gives the words at places of them."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new) + len(self.hashes) > REMEMBERED and len(self.hashes):
+            self.forget()
+            return self.find(hashes, spelled)
+        if len(new):
+            ids = self.encoded(spelled(new))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            starts = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate((self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+            self.hashes, self.starts, self.sizes = (np.insert(old, at[new], x) for old, x in ((self.hashes, hashes[new]), (self.starts, starts), (self.sizes, sizes)))
+            at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.sizes[at]
 
 
 _LOADED: dict[str, Words] = {}
 
 
-def ids_of(data: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
+def ids_of(data: np.ndarray, offsets: np.ndarray, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): the ids of text d are ids[first[d]:first[d + 1]], with ``end`` behind each.
 
     The vocabulary drops white space and never merges across it, so a text's ids
     are those of its words one after the other.
@@ -265,45 +316,53 @@ def ids_of(data: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
     if path not in _LOADED:
         _LOADED[path] = Words(path)
     memory = _LOADED[path]
-    split = cut_words(data, offsets)
-    words = set().union(*split)
-    new = words.difference(memory.known)
-    if len(memory.known) + len(new) > REMEMBERED and memory.known:
-        memory.known.clear()
-        new = words
-    memory.learn(new)
-    # tokens are looked up in the block's own small table
-    find = dict(zip(words, map(memory.known.__getitem__, words), strict=True)).__getitem__
-    return [b"".join(map(find, x)) for x in split]
+    low, starts, ends, first = cut_words(data, offsets)
+    values, shown, word = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+
+    def spelled(places: np.ndarray) -> list[bytes]:
+        raw = low.tobytes()
+        return [raw[a:b] for a, b in zip(starts[shown[places]].tolist(), ends[shown[places]].tolist(), strict=True)]
+
+    at, size = memory.find(values, spelled)
+    n = size[word]
+    before = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    ids = memory.pool[np.repeat(at[word] - before[:-1], n) + np.arange(before[-1])]
+    first = before[first]
+    if end is None:
+        return ids, first
+    return np.insert(ids, first[1:], np.uint32(end)), first + np.arange(len(first))
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32, part, rank (of its length in its partition)."""
     kind = docs.schema[key].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        seen: dict[int, int] = defaultdict(int)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            where: list[int] = []
-            rows: list[tuple] = []
-            kept: list[bytes] = []
-            documents = ((lo + d, ids) for lo, _, data, offsets in blocks(batch.column(1)) for d, ids in enumerate(ids_of(data, offsets, tokenizer)))
-            for d, ids in documents:
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    where.append(d)
-                    rows.append((piece, at // 4, n, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-                    if keep_ids:
-                        kept.append(own)
-            columns = [batch.column(0).take(pa.array(where, pa.int64()))]
-            columns += [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_ids else []), names=[key, "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * keep_ids])
+            for lo, _, data, offsets in blocks(batch.column(1)):
+                ids, first = ids_of(data, offsets, tokenizer, end_id)
+                ids = ids.astype("<u4", copy=False)
+                pieces = -(-np.diff(first) // capacity)
+                d = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(d)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = first[d] + piece * capacity
+                finish = np.minimum(begin + capacity, first[d + 1])
+                length = finish - begin
+                # the number of each piece among those of its length so far
+                order = np.argsort(length, kind="stable")
+                new = np.ones(len(order), bool)
+                new[1:] = np.diff(length[order]) > 0
+                run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = run + seen[length[order]]
+                seen += np.bincount(length, minlength=capacity + 1)
+                raw = memoryview(ids.tobytes())
+                own = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), finish.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(lo + d)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(np.full(len(d), part), pa.int32()), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([bytes(x) for x in own], pa.binary())] if keep_ids else []), names=[key, "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * keep_ids])
 
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * keep_ids
     return map_arrow(docs.select(key, text_bytes(text).alias("b")), cut, schema)

@@ -8,7 +8,8 @@ from primeweft.llm.op6_packing import pack_documents, plan, sequences
 
 def ids_of(raws, path):
     data = np.frombuffer(b"".join(raws), np.uint8)
-    return op6_packing.ids_of(data, np.concatenate(([0], np.cumsum([len(x) for x in raws]))).astype(np.int64), path)
+    ids, first = op6_packing.ids_of(data, np.concatenate(([0], np.cumsum([len(x) for x in raws]))).astype(np.int64), path)
+    return [ids[a:b].tobytes() for a, b in zip(first, first[1:])]
 
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +53,61 @@ def test_plan_small_capacity_against_bound():
     assert spread_out({10: 5, 1: 10}, 10, small=2) == 6
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k, room in enumerate(rooms):
+            if room >= lengths[i] and room not in rooms[:k]:
+                place(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_configurations_reach_the_optimum_of_small_instances(seed):
+    r = random.Random(seed)
+    sizes = r.sample(range(20, 61), 3)
+    counts = [(s, r.randint(1, 4)) for s in sizes]
+    made = op6_packing.configurations(counts, 100)
+    used = {}
+    for times, chosen in made:
+        assert sum(chosen) <= 100
+        for s in chosen:
+            used[s] = used.get(s, 0) + times
+    assert used == dict(counts)
+    assert sum(t for t, _ in made) <= fewest([s for s, n in counts for _ in range(n)], 100) + 1
+
+
+def test_configurations_reach_the_programme_bound():
+    # 1000 of each: 6+4, 5+5 and 7+3 fill whole sequences
+    made = op6_packing.configurations([(7, 1000), (6, 1000), (5, 1000), (4, 1000), (3, 1000)], 10)
+    assert sum(t for t, _ in made) == 2500
+
+
+def test_lengths_are_rounded_to_few_sizes():
+    r = random.Random(4)
+    counts = {}
+    for _ in range(3000):
+        n = r.randint(1025, 4096)
+        counts[n] = counts.get(n, 0) + 1
+    groups = op6_packing.linear_groups(counts, op6_packing.GROUPS)
+    assert len(groups) == op6_packing.GROUPS < len(counts) / 20
+    members = [sum(c for _, c in g) for _, g in groups]
+    assert max(members) - members[-1] <= max(members) and len(set(members[:-1])) == 1
+    assert all(n <= size for size, g in groups for n, _ in g)
+    assert sum(c for size, g in groups for n, c in g if n < size) > 2500
+
+
 def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
