@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
+import pathlib
 import re
 import sys
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import align, pcr, project
 from .plans import reports, verify as plans
+from .scratch import written
 from .sources import readers
 
 
@@ -21,26 +24,54 @@ def _session() -> SparkSession:
     return spark
 
 
+#: Bases that chunks of contigs overlap by: primers and k-mers are shorter.
+OVERLAP = 256
+
+
+def _chunks(spark: SparkSession, path: str, overlap: int = OVERLAP) -> DataFrame:
+    """The contigs of one assembly in chunks."""
+    return readers.read_fasta(spark, readers.scan_path(spark, path), overlap=overlap).drop("file")
+
+
+def _named(spark: SparkSession, rows: list, path_of) -> DataFrame:
+    """(haplotype, file) of a manifest's rows: one for each haplotype."""
+    return spark.createDataFrame([(r["haplotype"], readers.qualified(spark, path_of(r))) for r in rows], "haplotype string, file string")
+
+
 def _contigs(spark: SparkSession, manifest: str) -> DataFrame:
-    """All contigs of a manifest's assemblies with their haplotype."""
+    """All contigs of a manifest's assemblies with their haplotype, in chunks, by one plan over all files."""
     rows = readers.read_manifest(spark, manifest).collect()  # a row for each haplotype
-    out = None
-    for r in rows:
-        one = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, r["fasta"]))).select(F.lit(r["haplotype"]).alias("haplotype"), "chrom", "contig_idx", "sequence")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not rows:
         raise ValueError(f"{manifest} lists no haplotype")
-    return out
+    paths = {r["haplotype"]: readers.scan_path(spark, r["fasta"]) for r in rows}
+    names = _named(spark, rows, lambda r: paths[r["haplotype"]])
+    return readers.read_fasta(spark, sorted(set(paths.values())), overlap=OVERLAP).join(F.broadcast(names), "file").drop("file")
+
+
+def _sidecars(spark: SparkSession, manifest: str, suffix: str, read) -> DataFrame | None:
+    """What ``read`` gives of all sidecar files that exist, with their haplotype."""
+    rows = readers.read_manifest(spark, manifest, check=False).collect()
+    found = [(r, p) for r in rows if readers.exists(spark, p := readers.sidecar(spark, r["fasta"], suffix))]
+    if not found:
+        return None
+    paths = {r["haplotype"]: p for r, p in found}
+    names = _named(spark, [r for r, _ in found], lambda r: paths[r["haplotype"]])
+    return read(spark, sorted(set(paths.values()))).join(F.broadcast(names), F.expr("startswith(path, file)")).drop("file", "path")
 
 
 def _blocks(spark: SparkSession, manifest: str) -> DataFrame | None:
-    out = None
-    for r in readers.read_manifest(spark, manifest, check=False).collect():
-        path = readers.sidecar(spark, r["fasta"], ".chm13.paf")
-        if readers.exists(spark, path):
-            one = readers.read_paf(spark, path).withColumn("haplotype", F.lit(r["haplotype"]))
-            out = one if out is None else out.unionByName(one)
-    return out
+    return _sidecars(spark, manifest, ".chm13.paf", readers.read_paf)
+
+
+def _grids(spark: SparkSession, manifest: str) -> DataFrame | None:
+    return _sidecars(spark, manifest, ".anchors.tsv.gz", lambda s, paths: readers.read_grid(s, paths)[0])
+
+
+def _digest(args: argparse.Namespace, *files: str) -> str:
+    """Tells runs apart by all their parameters and by the contents of small files."""
+    told = {k: v for k, v in vars(args).items() if k not in ("outdir", "stages", "quarto")}
+    texts = [pathlib.Path(f).read_text() for f in files if f and pathlib.Path(f).exists()]
+    return hashlib.sha256(json.dumps([told, texts], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
 def selftest(args: argparse.Namespace) -> int:
@@ -57,23 +88,26 @@ def selftest(args: argparse.Namespace) -> int:
 def verify(args: argparse.Namespace) -> int:
     spark = _session()
     primers = readers.read_primers(spark, args.primers)
-    backbone = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.backbone)))
+    backbone = _chunks(spark, args.backbone)
     targets = primers.select(F.col("primer_id").alias("target"), F.col("target").alias("text"), F.lit(None).cast("string").alias("bases"))
     if args.target_assembly != "chm13":
         if not args.grch38:
             raise ValueError("--grch38 is needed for its coordinates")
-        other = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.grch38)))
+        other = _chunks(spark, args.grch38)
         locus = primers.select(F.col("primer_id").alias("target"), F.col("target").alias("text"), plans.parse_locus(F.col("target")).alias("l")).select("target", "text", F.col("l.chrom").alias("q_name"), F.col("l.start").alias("lo"), F.col("l.end").alias("hi"), F.lit("+").alias("strand"))
         targets = project.fetch(locus, other, []).select("target", "text", "bases")
-    at = plans.anchored(targets, backbone).withColumnRenamed("target", "pair").cache()
-    contigs = _contigs(spark, args.samples).cache()
+    at = written(plans.anchored(targets, backbone).withColumnRenamed("target", "pair"), "anchored")[0]
+    contigs = _contigs(spark, args.samples)
     pairs = primers.select(F.col("primer_id").alias("pair"), "forward", "reverse").join(at.select("pair", (F.col("end") - F.col("start")).alias("expected_size")), "pair")
-    loci = plans.projected(at, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone)
+    # the locus is widened before it is projected, so that a primer with a variant in it stays inside
+    wide = plans.widened(at, project.lengths_of(backbone, []))
+    loci = written(plans.projected(wide, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone, _grids(spark, args.samples)), "loci")[0]
     raw = readers.load_config(args.config) if args.config else {}
     config = plans.config_of(raw, args.mode)
     cells, summary = plans.verify(pairs, loci, contigs, config, args.max_amplicon, args.size_tolerance)
-    cells = cells.cache()
-    rows = reports.collected(cells, summary, config.max_sites)
+    cells = written(cells, "cells")[0]
+    told = at.select("pair", F.format_string("%s:%d-%d", "chrom", "start", "end").alias("target_chm13")).join(primers.select(F.col("primer_id").alias("pair"), "target", "forward", "reverse"), "pair")
+    rows = reports.collected(cells, summary.join(told, "pair"), config.max_sites)
     for r in pcr.console_dropouts(cells, ["pair"]).orderBy("pair").collect():
         print(f"{r['pair']}: {r['dropouts']} dropout, {r['with_off_target']} with off-target of {r['cells']}")
     print("\n".join(reports.write("verify", rows, args.outdir, {"target_assembly": args.target_assembly, "n_pairs": len(rows), "max_amplicon": args.max_amplicon}, args.quarto).values()))
@@ -83,20 +117,21 @@ def verify(args: argparse.Namespace) -> int:
 def design(args: argparse.Namespace) -> int:
     """Anchor, project, mask, pick, evaluate on windows, evaluate the shortlist everywhere, rank.
 
-    With --stages each stage's table is kept there, and a later run goes on from those
-    it finds.
+    With --stages each stage's table is kept there, in a folder for the run's parameters,
+    and a later run with the same ones goes on from those it finds.
     """
     spark = _session()
+    own = _digest(args, args.config, args.samples)
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         if not args.stages:
-            return df.persist()
-        path = f"{args.stages}/{name}"
+            return written(df, name)[0]
+        path = f"{args.stages}/{own}/{name}"
         if not readers.exists(spark, path + "/_SUCCESS"):
             df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    backbone = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.backbone)))
+    backbone = _chunks(spark, args.backbone)
     target = spark.createDataFrame([("target", args.target, None)], "target string, text string, bases string")
     if not re.match(r"^[^:\s]+:[\d,]+-[\d,]+$", args.target.strip()):  # a file
         text = "".join(r["sequence"] for r in readers.whole_contigs(readers.read_fasta(spark, args.target)).orderBy("contig_idx").collect())  # one locus
@@ -104,7 +139,7 @@ def design(args: argparse.Namespace) -> int:
     elif args.target_assembly != "chm13":
         if not args.grch38:
             raise ValueError("--grch38 is needed for its coordinates")
-        other = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.grch38)))
+        other = _chunks(spark, args.grch38)
         locus = target.select("target", "text", plans.parse_locus(F.col("text")).alias("l")).select("target", "text", F.col("l.chrom").alias("q_name"), F.col("l.start").alias("lo"), F.col("l.end").alias("hi"), F.lit("+").alias("strand"))
         target = project.fetch(locus, other, []).select("target", "text", "bases")
     raw = readers.load_config(args.config) if args.config else {}
@@ -112,10 +147,11 @@ def design(args: argparse.Namespace) -> int:
         raw = raw | {"dropout": (raw.get("dropout") or {}) | {"mode": args.mode}}
     flank = (raw.get("design") or {}).get("flank", 20_000) if args.flank is None else args.flank
     at = plans.anchored(target, backbone).withColumnRenamed("target", "pair")
-    wide = stage("anchor", at.select("pair", "chrom", (F.col("start") - flank).alias("start"), (F.col("end") + flank).alias("end")))
+    wide = stage("anchor", at.select("pair", "chrom", "start", "end"))
+    wide = plans.widened(wide, project.lengths_of(backbone, []), flank)
     template = stage("template", project.fetch(wide.select(F.lit("target").alias("template"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), backbone, []).select("template", F.col("bases").alias("sequence")))
     contigs = stage("contigs", _contigs(spark, args.samples))
-    loci = stage("project", plans.projected(wide.withColumn("start", F.greatest(F.lit(0).cast("long"), "start")), contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone))
+    loci = stage("project", plans.projected(wide, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone, _grids(spark, args.samples)))
     cut = project.fetch(loci.where("chrom is not null").select("haplotype", F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), contigs, ["haplotype"])
     windows = stage("windows", cut.select("haplotype", F.lit("window").alias("chrom"), F.lit(0).alias("contig_idx"), F.col("bases").alias("sequence")))
     alignments = stage("alignments", align.align_windows(template, windows))
@@ -156,15 +192,15 @@ def grid(args: argparse.Namespace) -> int:
     if readers.exists(spark, args.out) and not args.force:
         print(f"{args.out} is there already")
         return 0
-    backbone = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.backbone))).select("chrom", "sequence")
-    hap = readers.whole_contigs(readers.read_fasta(spark, readers.scan_path(spark, args.fasta))).select("chrom", "sequence")
-    probes = project.probes(backbone, args.step, args.probe, args.least).cache()
+    backbone, hap = _chunks(spark, args.backbone, max(OVERLAP, args.probe)), _chunks(spark, args.fasta)
+    probes = written(project.probes(backbone.select("chrom", "base", "own", "sequence"), args.step, args.probe, args.least), "probes")[0]
     sought = probes.select(F.concat_ws(":", "chrom", "at").alias("target"), F.col("probe").alias("bases"))
-    placed = project.kmer_projection(sought, hap, []).where("not ambiguous")
+    placed = project.kmer_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where("not ambiguous")
     name = r"^(.*):(\d+)$"
     start = F.regexp_extract("target", name, 2).cast("long")
-    anchors = placed.select(F.regexp_extract("target", name, 1).alias("t_name"), start.alias("t_start"), (start + args.probe).alias("t_end"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand").cache()
-    readers.write_grid(anchors, args.out)
+    anchors = placed.select(F.regexp_extract("target", name, 1).alias("t_name"), start.alias("t_start"), (start + args.probe).alias("t_end"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand")
+    anchors = written(anchors, "anchors")[0]
+    readers.write_grid(anchors, args.out, {"step": args.step, "probe": args.probe, "backbone": pathlib.Path(args.backbone).name})
     r = project.grid_statistics(probes, anchors).first()
     print(f"{r['n_anchors']} of {r['n_probes']} probes anchored ({r['anchored']:.1%})" + ("; under half, is this the right backbone?" if r["anchored"] < 0.5 else ""))
     return 0

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import contained, revcomp
-from ..functions.thermo import Conditions, duplex_tm
-from ..ship import ship
+from ..functions.thermo import Conditions, duplex_tm, pair_tm
+from ..scratch import written
 
 STATUSES = ("pass", "dropout", "off_target", "multi_product", "uncertain")
 
@@ -23,7 +23,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Thermo:
-    design_tm: float = 60.0
+    #: Temperature that sites are held against; None: the lower one of each pair's primers.
+    design_tm: float | None = None
     drop: float = 5.0
     hard: int = 2
     conditions: Conditions = field(default_factory=lambda: Conditions(oligo=250.0))
@@ -65,25 +66,25 @@ def rule_reason(sites: DataFrame, rule: Rule) -> DataFrame:
     return sites.withColumn("reason", reason).withColumn("competent", F.col("reason") == "ok")
 
 
-def thermo_reason(sites: DataFrame, thermo: Thermo, design_tm: Column | None = None) -> DataFrame:
-    """``sites`` with query and window (top strand) judged by the 3' gate, then by temperatures.
+def thermo_reason(sites: DataFrame, thermo: Thermo) -> DataFrame:
+    """``sites`` with query, window (top strand) and design_tm judged by the 3' gate, then by temperatures.
 
-    Only rows past the gate reach the vectorized UDFs.
+    Temperatures are expressions in the JVM.
     """
-    ship(sites.sparkSession)
-    least = (F.lit(thermo.design_tm) if design_tm is None else design_tm) - thermo.drop
+    least = F.col("design_tm") - thermo.drop
     aligned = F.when(F.col("strand") == "+", F.upper("window")).otherwise(revcomp(F.upper("window")))
     gated = sites.withColumn("_gate", near_3prime(F.col("offsets_3p"), thermo.hard) > 0).withColumn("_aligned", aligned)
     stopped = gated.where("_gate").withColumn("reason", F.lit(f"mismatch within 3' terminal {thermo.hard}nt"))
-    scored = gated.where("not _gate").withColumn("_tm", duplex_tm(thermo.conditions)(F.upper("query"), F.col("_aligned"))).withColumn("_end", duplex_tm(thermo.conditions, end=True)(F.upper("query"), F.col("_aligned")))
+    scored = gated.where("not _gate").withColumn("_tm", duplex_tm(F.upper("query"), F.col("_aligned"), thermo.conditions)).withColumn("_end", duplex_tm(F.upper("query"), F.col("_aligned"), thermo.conditions, end=True))
     one = lambda c: F.format_string("%.1f", F.bround(c, 1))
+    fits = (F.col("_tm") >= least) & (F.col("_end") >= least - 10.0)
     why = (
         F.when(F.col("_tm") < least, F.concat(F.lit("annealing Tm "), one(F.col("_tm")), F.lit("C < "), one(least), F.lit("C")))
         .when(F.col("_end") < least - 10.0, F.concat(F.lit("3' end unstable (Tm "), one(F.col("_end")), F.lit("C)")))
-        .otherwise("ok")
+        .otherwise(F.concat(F.lit("annealing Tm "), one(F.col("_tm")), F.lit("C")))
     )
-    both = scored.withColumn("reason", why).drop("_tm", "_end").unionByName(stopped)
-    return both.withColumn("competent", F.col("reason") == "ok").drop("_gate", "_aligned")
+    both = scored.withColumn("reason", why).withColumn("competent", fits).drop("_tm", "_end").unionByName(stopped.withColumn("competent", F.lit(False)))
+    return both.drop("_gate", "_aligned")
 
 
 def capped(sites: DataFrame, keys: list[str], cap: int | None) -> DataFrame:
@@ -211,40 +212,66 @@ def shortlist(metrics: DataFrame, k: int | None) -> DataFrame:
     return ordered.limit(k) if k else ordered
 
 
-def evaluate(pairs: DataFrame, contigs: DataFrame, loci: DataFrame, config: Evaluation = Evaluation(), how: str | None = None) -> DataFrame:  # noqa: B008
-    """A row for each pair and haplotype with status, reason, sizes and flags.
+def primers_of(pairs: DataFrame, design_tm: float | None = None) -> DataFrame:
+    """(pair, role, query, design_tm): both primers of each pair, upper-cased."""
+    tm = F.lit(design_tm) if design_tm is not None else pair_tm(F.upper("forward"), F.upper("reverse"))
+    both = F.explode(F.array(F.struct(F.lit("F").alias("role"), F.upper("forward").alias("query")), F.struct(F.lit("R").alias("role"), F.upper("reverse").alias("query"))))
+    return pairs.select("pair", tm.cast("double").alias("design_tm"), both.alias("p")).select("pair", "p.role", "p.query", "design_tm")
+
+
+def judged(pairs: DataFrame, contigs: DataFrame, config: Evaluation, how: str | None = None) -> DataFrame:
+    """All sites of both primers of each pair, competent or not and why.
 
-    ``pairs``: pair, forward, reverse; ``contigs``: haplotype, chrom, contig_idx, sequence;
-    ``loci``: pair, haplotype, chrom, start, end (null chrom: not projected), at most one
-    row for each pair and haplotype, and one for each that is to be judged.
+    A primer of several pairs is sought once; its sites are judged by each pair's own
+    temperature.  The table is written to the scratch space: counts, products and
+    reasons all read it, and sites are few beside the bases searched.
     """
     from .search import search
 
-    long = pairs.select("pair", F.explode(F.array(F.struct(F.lit("F").alias("role"), F.upper("forward").alias("query")), F.struct(F.lit("R").alias("role"), F.upper("reverse").alias("query")))).alias("p")).select("pair", "p.role", "p.query")
-    sites = search(contigs, long.select("query"), config.max_mismatches, how).withColumn("end", F.col("start") + F.length("query"))
-    if config.mode == "rule":
-        judged = rule_reason(sites, config.rule)
-        judged = judged.join(long, "query")
-    elif config.mode == "thermo":
-        cut = contigs.select("haplotype", "chrom", "contig_idx", "sequence")
-        windows = sites.join(cut, ["haplotype", "chrom", "contig_idx"]).withColumn("window", F.expr("substring(sequence, cast(start + 1 as int), cast(`end` - start as int))")).drop("sequence")
-        judged = thermo_reason(windows, config.thermo).drop("window").join(long, "query")
-    else:
+    if config.mode not in ("rule", "thermo"):
         raise ValueError(f"unknown mode {config.mode!r}")
-    # counts, products and reasons all read the sites, which are few beside the bases searched
-    judged = judged.withColumn("primer_name", F.col("query")).persist()
+    primers = primers_of(pairs, config.thermo.design_tm)
+    sites = search(contigs, primers.select("query"), config.max_mismatches, how, window=config.mode == "thermo").withColumn("end", F.col("start") + F.length("query"))
+    sites = sites.join(primers, "query")
+    ruled = rule_reason(sites, config.rule) if config.mode == "rule" else thermo_reason(sites, config.thermo).drop("window")
+    return written(ruled.drop("design_tm").withColumn("primer_name", F.col("query")), "sites")[0]
+
+
+def gridded(sites: DataFrame, grid: DataFrame, max_sites: int | None) -> DataFrame:
+    """``grid`` (pair, haplotype, projected) with which primers are over the cap, capped, and the cap."""
     keys = ["pair", "haplotype"]
-    grid = loci.select(*keys, F.col("chrom").alias("l_chrom"), F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("chrom").isNotNull().alias("projected"))
-    over = capped(judged, [*keys, "role"], config.max_sites).where("capped")
+    over = capped(sites, [*keys, "role"], max_sites).where("capped")
     names = F.array_sort(F.collect_set(F.when(F.col("role") == "F", "forward").otherwise("reverse")))
     which = over.groupBy(*keys).agg(F.array_join(names, " and ").alias("which"))
-    grid = grid.join(which, keys, "left").withColumn("capped", F.col("which").isNotNull() & F.col("projected")).withColumn("cap", F.lit(config.max_sites).cast("string"))
-    good = judged.where("competent").join(grid.where("projected and not capped").select(*keys, "l_chrom", "l_start", "l_end"), keys)
-    products = amplicons(good, [*keys, "chrom", "contig_idx", "l_chrom", "l_start", "l_end"], config.min_product, config.max_product)
-    on = (F.col("chrom") == F.col("l_chrom")) & contained(F.col("start"), F.col("end"), F.col("l_start"), F.col("l_end"))
-    products = products.withColumn("on_target", on)
-    seen = judged.groupBy(*keys).agg((F.count_if(F.col("role") == "F") > 0).alias("f"), (F.count_if(F.col("role") == "R") > 0).alias("r"))
-    why = first_reasons(judged, keys)
+    return grid.join(which, keys, "left").withColumn("capped", F.col("which").isNotNull() & F.col("projected")).withColumn("cap", F.lit(max_sites).cast("string"))
+
+
+def products_of(sites: DataFrame, grid: DataFrame, config: Evaluation) -> DataFrame:
+    """Products of competent sites in the cells of a grid (see `gridded`) that are enumerated."""
+    good = sites.where("competent").join(grid.where("projected and not capped").select("pair", "haplotype"), ["pair", "haplotype"])
+    return amplicons(good, ["pair", "haplotype", "chrom", "contig_idx"], config.min_product, config.max_product)
+
+
+def decided(sites: DataFrame, grid: DataFrame, products: DataFrame) -> DataFrame:
+    """The cells of a grid with status, reason, sizes and flags; ``products`` with on_target."""
+    keys = ["pair", "haplotype"]
+    seen = sites.groupBy(*keys).agg((F.count_if(F.col("role") == "F") > 0).alias("f"), (F.count_if(F.col("role") == "R") > 0).alias("r"))
     missing = F.when(~F.coalesce("f", F.lit(False)) | ~F.coalesce("r", F.lit(False)), "a primer has no binding site in the expected locus").otherwise("no convergent product within the product-size window")
-    grid = grid.join(seen, keys, "left").join(why, keys, "left").withColumn("dropout_reason", F.coalesce("dropout_reason", missing)).drop("f", "r", "l_chrom", "l_start", "l_end")
+    grid = grid.join(seen, keys, "left").join(first_reasons(sites, keys), keys, "left").withColumn("dropout_reason", F.coalesce("dropout_reason", missing)).drop("f", "r")
     return statuses(grid, products, keys)
+
+
+def evaluate(pairs: DataFrame, contigs: DataFrame, loci: DataFrame, config: Evaluation = Evaluation(), how: str | None = None) -> DataFrame:  # noqa: B008
+    """A row for each pair and haplotype with status, reason, sizes and flags.
+
+    ``pairs``: pair, forward, reverse; ``contigs``: haplotype, chrom, contig_idx, sequence
+    (and base, own where a reader has cut them); ``loci``: pair, haplotype, chrom, start,
+    end (null chrom: not projected), at most one row for each pair and haplotype, and
+    one for each that is to be judged.
+    """
+    sites = judged(pairs, contigs, config, how)
+    grid = gridded(sites, loci.select("pair", "haplotype", F.col("chrom").isNotNull().alias("projected")), config.max_sites)
+    expected = loci.select("pair", "haplotype", F.col("chrom").alias("l_chrom"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    made = products_of(sites, grid, config).join(expected, ["pair", "haplotype"])
+    on = (F.col("chrom") == F.col("l_chrom")) & contained(F.col("start"), F.col("end"), F.col("l_start"), F.col("l_end"))
+    return decided(sites, grid, made.withColumn("on_target", on))

@@ -3,10 +3,11 @@
 Every strategy returns the same rows: query (the primer's sequence), contig
 columns, strand, start, mismatches, offsets_3p.
 
-* ``arrow``: the production kernel.  Contigs are cut into chunks that overlap by
-  the longest primer.  Of a primer's first and last half one has at most k // 2
-  mismatches: a table of all such variants of the halves, indexed by the two-bit
-  code of a window, tells the few places that are compared in full.
+* ``arrow``: the production kernel.  It takes contigs of a few million characters
+  together, and chunks of longer ones that overlap by the longest primer as a reader
+  has cut them.  Of a primer's first and last half one has at most k // 2 mismatches:
+  a table of all such variants of the halves, indexed by the two-bit code of a window,
+  tells the few places that are compared in full.
 * ``seed_join``: an equi-join on k + 1 segments, one of which a hit matches
   exactly, for plans without Python.
 * ``expr``: windows times primers; for small fixtures, refused above a size.
@@ -14,8 +15,11 @@ columns, strand, start, mismatches, offsets_3p.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,18 +104,33 @@ def variants(seed: np.ndarray, most: int) -> np.ndarray:
     return np.unique(np.concatenate(list(found.values())))
 
 
+#: Characters of contigs that the kernel takes at once.
+TAKEN = 1 << 22
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
 class Kernel:
-    """Patterns by length, and tables from a seed's code to the patterns it may belong to."""
+    """Patterns in a matrix for each length, and tables from a seed's code to the patterns it may belong to."""
 
     def __init__(self, patterns: list[tuple[str, str, str]], k: int):
         self.k = k
-        self.names = [(q, s) for q, _, s in patterns]
-        self.rows = [np.frombuffer(p.encode("ascii", "replace"), np.uint8) for _, p, _ in patterns]
-        self.all = [i for i, r in enumerate(self.rows) if len(r) // 2 < 4 or len(r) <= k]  # too short for seeds
+        rows = [np.frombuffer(p.encode("ascii", "replace"), np.uint8) for _, p, _ in patterns]
+        self.queries = pa.array([q for q, _, _ in patterns], pa.string())
+        self.strands = pa.array([s for _, _, s in patterns], pa.string())
+        self.minus = np.array([s == "-" for _, _, s in patterns], bool)
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)  # of a pattern in the matrix of its length
+        self.matrix: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == n)
+            self.place[own] = np.arange(len(own))
+            self.matrix[n] = np.stack([rows[i] for i in own])
+        self.short = [i for i, r in enumerate(rows) if len(r) // 2 < 4 or len(r) <= k]  # too short for seeds
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by: dict[int, list[tuple[np.ndarray, int, int]]] = {}
-        for i, r in enumerate(self.rows):
-            if i in self.all:
+        for i, r in enumerate(rows):
+            if i in self.short:
                 continue
             n = min(len(r) // 2, SEED)
             for at in (0, len(r) - n):
@@ -124,11 +143,12 @@ class Kernel:
             starts = np.searchsorted(code[order], np.arange(4**n + 1))
             self.tables[n] = (starts[1:] > starts[:-1], starts, pattern[order], offset[order])
 
-    def hits(self, chunk: bytes):
-        """(pattern, start, mismatch flags) of each hit."""
-        text = np.frombuffer(chunk, np.uint8)
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pattern, start) of places to be compared; some more than once."""
+        for i in self.short:
+            at = np.arange(max(0, len(text) - int(self.length[i]) + 1))
+            yield np.full(len(at), i), at
         code = _CODE[text]
-        pairs = [(np.full(len(text) - len(self.rows[i]) + 1, i), np.arange(len(text) - len(self.rows[i]) + 1)) for i in self.all if len(text) >= len(self.rows[i])]
         for n, (wanted, starts, pattern, offset) in self.tables.items():
             for begin in range(0, len(code) - n + 1, STRIDE):
                 rolled = _codes(code[begin : begin + STRIDE + n - 1], n)
@@ -136,50 +156,81 @@ class Kernel:
                 found = rolled[at].astype(np.int64)
                 lo, count = starts[found], starts[found + 1] - starts[found]
                 entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                pairs.append((pattern[entry], np.repeat(at + begin, count) - offset[entry]))
-        p, at = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        lengths = np.array([len(r) for r in self.rows], np.int64)
-        ok = (at >= 0) & (at + lengths[p] <= len(text))
+                yield pattern[entry], np.repeat(at + begin, count) - offset[entry]
+
+    def hits(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(pattern, contig, start in the text, mismatch flags from the 3' end on) of upper-cased contigs that lie one behind the other."""
+        found = list(self.candidates(text))
+        if not found:
+            return
+        p, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        contig = np.searchsorted(offsets, at, "right") - 1
+        ok = (at >= 0) & (at < len(text))
+        ok[ok] = at[ok] + self.length[p[ok]] <= offsets[contig[ok] + 1]
         both = np.unique(p[ok] * (len(text) + 1) + at[ok])
         p, at = both // (len(text) + 1), both % (len(text) + 1)
-        for i in np.unique(p):
-            mine = at[p == i]
-            row = self.rows[i]
-            for a in range(0, len(mine), 1 << 16):
-                wrong = text[mine[a : a + (1 << 16), None] + np.arange(len(row))] != row
-                near = np.flatnonzero(wrong.sum(1) <= self.k)
-                yield from ((i, int(mine[a + j]), wrong[j]) for j in near.tolist())
-
-
-def _arrow(chunked: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str]) -> DataFrame:
-    names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p"]
+        for n, matrix in self.matrix.items():
+            own = np.flatnonzero(self.length[p] == n)
+            for a in range(0, len(own), 1 << 16):
+                some = own[a : a + (1 << 16)]
+                wrong = text[at[some][:, None] + np.arange(n)] != matrix[self.place[p[some]]]
+                near = wrong.sum(1) <= self.k
+                some, wrong = some[near], wrong[near]
+                wrong = np.where(self.minus[p[some]][:, None], wrong, wrong[:, ::-1])
+                if len(some):
+                    yield p[some], np.searchsorted(offsets, at[some], "right") - 1, at[some], wrong
+
+
+def _contigs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, upper-cased bytes, offsets) of runs of contigs of about ``TAKEN`` characters; a longer one is a run alone."""
+    rows = pc.fill_null(column, "")
+    if not pc.all(pc.equal(pc.binary_length(rows), pc.utf8_length(rows))).as_py():
+        # other characters count as one base each
+        rows = pa.array([x.encode("ascii", "replace").decode() for x in rows.to_pylist()], pa.string())
+    rows = rows.cast(pa.large_binary())
+    _, places, data = rows.buffers()
+    offsets = np.frombuffer(places, np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(rows):
+        hi = min(max(int(np.searchsorted(offsets, offsets[lo] + TAKEN, "right")) - 1, lo + 1), len(rows))
+        yield lo, _UPPER[raw[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def _arrow(cut: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str], window: bool) -> DataFrame:
+    names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p", *["window"] * window]
 
     def search(batches):
         kernel = Kernel(patterns, k)
         for batch in batches:
-            rows, where = [], []
-            for i, (base, own, text) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(3)), strict=True)):
-                for pattern, start, wrong in kernel.hits((text or "").encode("ascii", "replace").upper()):
-                    if start < own:
-                        query, strand = kernel.names[pattern]
-                        at = np.flatnonzero(wrong)
-                        offsets = at if strand == "-" else (len(wrong) - 1 - at)[::-1]
-                        rows.append((query, strand, base + start, len(at), offsets.tolist()))
-                        where.append(i)
-            taken = [batch.column(j).take(pa.array(where, pa.int64())) for j in range(len(keys))]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*taken, *columns], names=names)
-
-    schema = ", ".join(f"`{c}` {chunked.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>"
-    return chunked.select(*keys, "base", "own", "sequence").mapInArrow(search, schema)
-
-
-def _finish(hits: DataFrame, keys: list[str]) -> DataFrame:
+            base, own = (np.asarray(batch.column(len(keys) + j), np.int64) for j in range(2))
+            for lo, text, offsets in _contigs(batch.column(len(keys) + 2)):
+                for p, contig, at, wrong in kernel.hits(text, offsets):
+                    inside = at - offsets[contig]
+                    mine = inside < own[lo + contig]
+                    p, contig, at, wrong, inside = p[mine], contig[mine], at[mine], wrong[mine], inside[mine]
+                    counts = wrong.sum(1)
+                    ends = np.concatenate(([0], np.cumsum(counts)))
+                    columns = [batch.column(j).take(pa.array(lo + contig)) for j in range(len(keys))]
+                    columns += [kernel.queries.take(pa.array(p)), kernel.strands.take(pa.array(p)), pa.array(base[lo + contig] + inside), pa.array(counts, pa.int32())]
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(wrong)[1], pa.int32())))
+                    if window:
+                        n = wrong.shape[1]
+                        seen = np.ascontiguousarray(text[at[:, None] + np.arange(n)])
+                        columns.append(pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(0, (len(at) + 1) * n, n, dtype=np.int32)), pa.py_buffer(seen)))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>" + ", window string" * window
+    return cut.select(*keys, "base", "own", "sequence").mapInArrow(search, schema)
+
+
+def _finish(hits: DataFrame, keys: list[str], window: bool) -> DataFrame:
     places = mismatch_places(F.col("pattern"), F.col("seen"), F.col("length"))
-    return hits.withColumn("places", places).select(*keys, "query", "strand", "start", F.size("places").alias("mismatches"), offsets_3p(F.col("places"), F.col("length"), F.col("strand")).alias("offsets_3p"))
+    return hits.withColumn("places", places).select(*keys, "query", "strand", "start", F.size("places").alias("mismatches"), offsets_3p(F.col("places"), F.col("length"), F.col("strand")).alias("offsets_3p"), *[F.col("seen").alias("window")] * window)
 
 
-def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int]) -> DataFrame:
+def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int], window: bool) -> DataFrame:
     out = None
     for length in lengths:
         own = orient.where(F.col("length") == length)
@@ -191,21 +242,25 @@ def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], l
         candidates = windows.withColumn("w", F.explode(slices)).select(*keys, "start", "seen", "w.seg", "w.seed").join(seeds, ["seg", "seed"]).drop("seg", "seed")
         near = candidates.where(F.size(mismatch_places(F.col("pattern"), F.col("seen"), F.col("length"))) <= k).distinct()
         out = near if out is None else out.unionByName(near)
-    return _finish(out, keys)
+    return _finish(out, keys, window)
 
 
-def _expr(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int]) -> DataFrame:
+def _expr(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int], window: bool) -> DataFrame:
     out = None
     for length in lengths:
         at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.col("own").cast("int") - 1))).otherwise(F.array().cast("array<int>")))
         windows = chunked.withColumn("at", at).select(*keys, (F.col("base") + F.col("at")).cast("long").alias("start"), F.upper(F.substring(F.col("sequence"), F.col("at") + 1, F.lit(length))).alias("seen"))
         near = windows.join(orient.where(F.col("length") == length), F.size(mismatch_places(F.col("pattern"), F.col("seen"), F.col("length"))) <= k)
         out = near if out is None else out.unionByName(near)
-    return _finish(out, keys)
+    return _finish(out, keys, window)
+
 
+def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None = None, sequence: str = "sequence", window: bool = False) -> DataFrame:
+    """Sites of distinct ``queries`` (query) in ``contigs`` (any key columns and a sequence).
 
-def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None = None, sequence: str = "sequence") -> DataFrame:
-    """Sites of distinct ``queries`` (query) in ``contigs`` (any key columns and a sequence)."""
+    ``window``: with the bases of the top strand that the site covers.  Contigs that a
+    reader has cut into chunks (they have base and own) are searched chunk by chunk.
+    """
     how = strategy(how)
     keys = [c for c in contigs.columns if c not in (sequence, "base", "own")]
     named = contigs.withColumnRenamed(sequence, "sequence")
@@ -218,18 +273,19 @@ def search(contigs: DataFrame, queries: DataFrame, k: int = 3, how: str | None =
     else:
         lengths = sorted({len(p) for _, p, _ in table})
     if not lengths:
-        empty = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>"
+        empty = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in keys) + ", query string, strand string, start long, mismatches int, offsets_3p array<int>" + ", window string" * window
         return contigs.sparkSession.createDataFrame([], empty)
-    size = CHUNK
-    cut = chunks(named, max(lengths), size)
     if how == "arrow":
         ship(contigs.sparkSession)
-        return _arrow(cut, table, k, keys)
+        # a row is in memory as a whole anyway: the kernel takes it as it is
+        whole = named if {"base", "own"} <= set(named.columns) else named.withColumn("base", F.lit(0).cast("long")).withColumn("own", F.coalesce(F.octet_length("sequence"), F.lit(0)).cast("long"))
+        return _arrow(whole, table, k, keys, window)
+    cut = chunks(named, max(lengths), CHUNK)
     if how == "expr":
         total = named.agg(F.sum(F.length("sequence"))).first()[0] or 0
         if total > EXPR_LIMIT:
             raise ValueError(f"{total} characters are too many for the strategy expr (at most {EXPR_LIMIT})")
-    return (_seed_join if how == "seed_join" else _expr)(cut, orient, k, keys, lengths)
+    return (_seed_join if how == "seed_join" else _expr)(cut, orient, k, keys, lengths, window)
 
 
 def naive(sequence: str, primer: str, k: int) -> list[tuple[str, int, int, list[int]]]:

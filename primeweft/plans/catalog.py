@@ -101,11 +101,11 @@ def rule_competence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.judged(spark, sf_dir).groupBy("pair", "role", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {t.SQL_THERMO} SELECT pair, role, haplotype, contig, strand, start::BIGINT AS start, competent, reason FROM thermo")
 def thermo_competence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the duplex model is a vectorized function."""
-    windows = t.sites(spark, sf_dir).join(t.contigs(spark, sf_dir), ["haplotype", "contig"]).withColumn("window", F.expr("substring(sequence, cast(start + 1 as int), 20)")).drop("sequence")
-    return pcr.thermo_reason(windows, pcr.Thermo()).select("haplotype", "contig", "query", "strand", "start", "competent", "reason")
+    """Every site judged by the temperature of its own pair."""
+    found = t.judged(spark, sf_dir, pcr.Evaluation("thermo", t.K))
+    return found.select("pair", "role", "haplotype", F.col("chrom").alias("contig"), "strand", "start", "competent", "reason")
 
 
 @query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, role, n_competent::BIGINT AS n_competent, n_competent > {t.CAP} AS capped FROM cnt")
@@ -117,9 +117,8 @@ def site_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {t.SQL_CELLS} SELECT pair, haplotype, contig, start::BIGINT AS start, "end"::BIGINT AS stop, size::BIGINT AS size, p_role, m_role, on_target FROM amp')
 def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = t.judged(spark, sf_dir)
-    open_ = t.cells(spark, sf_dir, sites).where("projected and not capped").select("pair", "haplotype")
-    good = sites.where("competent").join(open_, ["pair", "haplotype"])
-    return t.products_of(good, spark, sf_dir).select("pair", "haplotype", "contig", "start", F.col("end").alias("stop"), "size", "p_role", "m_role", "on_target")
+    made = t.products(spark, sf_dir, sites, t.gridded(spark, sf_dir, sites))
+    return made.select("pair", "haplotype", F.col("chrom").alias("contig"), "start", F.col("end").alias("stop"), "size", "p_role", "m_role", "on_target")
 
 
 @query(f"WITH {t.SQL_CELLS} SELECT pair, haplotype, status, n_products::BIGINT AS n_products, n_on::BIGINT AS n_on, capped, reason FROM cells")
@@ -331,7 +330,7 @@ def primer_picking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- manifests
-_SQL_RECORDS = "WITH codes AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for s, codes in readers.POPULATIONS.items() for c in codes) + ") v(code, superpop)), rec AS (SELECT c_custkey AS sample_id, k AS haplotype, ['YRI', 'CEU', 'CHB', 'GIH', 'MXL', 'XXX', ''][c_nationkey % 7 + 1] AS p, 's3://b' || c_nationkey || '/d/' || c_custkey AS assembly FROM customer, (SELECT unnest([1, 2]) AS k)), full_ AS (SELECT sample_id, haplotype, CASE WHEN p = '' THEN 'NA' ELSE p END AS population, coalesce(superpop, 'UNK') AS superpop, regexp_replace(assembly, '^s3://([^/]*)/?(.*)$', 'https://\\1.s3.amazonaws.com/\\2') AS assembly FROM rec LEFT JOIN codes ON p = code)"
+_SQL_RECORDS = "WITH codes AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in readers.POPULATIONS.items()) + ") v(code, superpop)), rec AS (SELECT c_custkey AS sample_id, k AS haplotype, ['YRI', 'CEU', 'CHB', 'GIH', 'MXL', 'XXX', ''][c_nationkey % 7 + 1] AS p, 's3://b' || c_nationkey || '/d/' || c_custkey AS assembly FROM customer, (SELECT unnest([1, 2]) AS k)), full_ AS (SELECT sample_id, haplotype, CASE WHEN p = '' THEN 'NA' ELSE p END AS population, coalesce(superpop, 'UNK') AS superpop, regexp_replace(assembly, '^s3://([^/]*)/?(.*)$', 'https://\\1.s3.amazonaws.com/\\2') AS assembly FROM rec LEFT JOIN codes ON p = code)"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

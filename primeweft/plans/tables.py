@@ -8,11 +8,13 @@ as the expected locus.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import encode_text, revcomp
-from ..functions.thermo import oligo_tm, pair_tm
+from ..functions.thermo import NO_DUPLEX, oligo_tm, pair_tm, stacks
 from ..operators import pcr, search
 
 RULE = pcr.Rule(max_total=2, max_3prime=0, suffix=5)
@@ -41,50 +43,38 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.select(F.concat(F.lit("p"), "item_id").alias("pair"), F.col("item_id").alias("candidate_idx"), F.substring("s", 11, 20).alias("forward"), revcomp(F.substring("s", 61, 20)).alias("reverse"))
 
 
-def roles(p: DataFrame) -> DataFrame:
-    return p.select("pair", F.explode(F.array(F.struct(F.lit("F").alias("role"), F.col("forward").alias("query")), F.struct(F.lit("R").alias("role"), F.col("reverse").alias("query")))).alias("r")).select("pair", "r.role", "r.query")
+def sites(spark: SparkSession, sf_dir: str, how: str = "arrow", window: bool = False) -> DataFrame:
+    p = pcr.primers_of(pairs(spark, sf_dir))
+    return search.search(contigs(spark, sf_dir), p.select("query"), K, how, window=window).withColumn("end", F.col("start") + F.length("query"))
+
+
+EVALUATION = pcr.Evaluation("rule", K, LEAST, MOST, CAP, RULE)
 
 
-def sites(spark: SparkSession, sf_dir: str, how: str = "arrow") -> DataFrame:
-    p = roles(pairs(spark, sf_dir))
-    return search.search(contigs(spark, sf_dir), p.select("query"), K, how).withColumn("end", F.col("start") + F.length("query"))
+def judged(spark: SparkSession, sf_dir: str, config: pcr.Evaluation = EVALUATION) -> DataFrame:
+    """Competent or not, for each pair and role that has the primer; a document is a contig by its own name."""
+    named = contigs(spark, sf_dir).select("haplotype", F.col("contig").alias("chrom"), F.col("contig").alias("contig_idx"), "sequence")
+    return pcr.judged(pairs(spark, sf_dir), named, config)
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competent or not, for each pair and role that has the primer.
+def gridded(spark: SparkSession, sf_dir: str, all_sites: DataFrame) -> DataFrame:
+    """Every pair is judged on every haplotype: both tables are small by nature."""
+    haplotypes = read(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("haplotype")).distinct()
+    grid = pairs(spark, sf_dir).select("pair").join(haplotypes, how="cross").withColumn("projected", F.col("haplotype") != 7)
+    return pcr.gridded(all_sites, grid, CAP)
+
 
-    Kept, since counts, products and reasons all read it and the search is the costly
-    part; sites are few beside the bases searched.
-    """
-    ruled = pcr.rule_reason(sites(spark, sf_dir), RULE)
-    return ruled.join(roles(pairs(spark, sf_dir)), "query").persist()
+def products(spark: SparkSession, sf_dir: str, all_sites: DataFrame, grid: DataFrame) -> DataFrame:
+    """Products, on target in the first half of their contig."""
+    half = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).alias("half"))
+    return pcr.products_of(all_sites, grid, EVALUATION).join(half, "chrom").withColumn("on_target", F.col("end") <= F.col("half"))
 
 
-def cells(spark: SparkSession, sf_dir: str, all_sites: DataFrame | None = None) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each pair and haplotype."""
-    keys = ["pair", "haplotype"]
-    all_sites = judged(spark, sf_dir) if all_sites is None else all_sites
-    haplotypes = read(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("haplotype")).distinct()
-    over = pcr.capped(all_sites, [*keys, "role"], CAP).where("capped")
-    names = F.array_sort(F.collect_set(F.when(F.col("role") == "F", "forward").otherwise("reverse")))
-    which = over.groupBy(*keys).agg(F.array_join(names, " and ").alias("which"))
-    # every pair is judged on every haplotype: both tables are small by nature
-    grid = pairs(spark, sf_dir).select("pair").join(haplotypes, how="cross").withColumn("projected", F.col("haplotype") != 7).join(which, keys, "left")
-    grid = grid.withColumn("capped", F.col("which").isNotNull() & F.col("projected")).withColumn("cap", F.lit(str(CAP)))
-    good = all_sites.where("competent").join(grid.where("projected and not capped").select(*keys), keys)
-    products = products_of(good, spark, sf_dir)
-    seen = all_sites.groupBy(*keys).agg((F.count_if(F.col("role") == "F") > 0).alias("f"), (F.count_if(F.col("role") == "R") > 0).alias("r"))
-    named = all_sites.withColumn("primer_name", F.col("query")).withColumn("chrom", F.col("contig")).withColumn("contig_idx", F.col("contig"))
-    why = pcr.first_reasons(named, keys)
-    missing = F.when(~F.coalesce("f", F.lit(False)) | ~F.coalesce("r", F.lit(False)), "a primer has no binding site in the expected locus").otherwise("no convergent product within the product-size window")
-    grid = grid.join(seen, keys, "left").join(why, keys, "left").withColumn("dropout_reason", F.coalesce("dropout_reason", missing)).drop("f", "r")
-    return pcr.statuses(grid, products, keys)
-
-
-def products_of(good: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pcr.amplicons(good, ["pair", "haplotype", "contig"], LEAST, MOST)
-    half = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).alias("half"))
-    return made.join(half, "contig").withColumn("on_target", F.col("end") <= F.col("half"))
+    all_sites = judged(spark, sf_dir)
+    grid = gridded(spark, sf_dir, all_sites)
+    return pcr.decided(all_sites, grid, products(spark, sf_dir, all_sites, grid))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +153,34 @@ def sql_tm(x: str) -> str:
     return f"({h}::DOUBLE * -100 / ({s}::DOUBLE * -0.1::DOUBLE + 0.368::DOUBLE * (length({x}) - 1) * {k} + 1.987::DOUBLE * ln(CASE WHEN {same} THEN 5e-8::DOUBLE ELSE 1.25e-8::DOUBLE END)) - 273.15::DOUBLE)"
 
 
+def sql_stacks() -> str:
+    """A table of one row with both maps of `stacks`."""
+    each = lambda which: "MAP {" + ", ".join(f"'{k}': {v[which]}" for k, v in stacks().items()) + "}"
+    return f"SELECT {each(0)} AS mh, {each(1)} AS ms"
+
+
+def sql_duplex(lo: str, hi: str) -> str:
+    """Temperature between two matched bases of p and a, with lists hs and ss of their stacks."""
+    ends = lambda weak, strong: " + ".join(f"(CASE WHEN p[{i}] IN ('A', 'T') THEN {weak} ELSE {strong} END)" for i in (lo, hi))
+    h = f"(coalesce(list_sum(hs[{lo}:{hi} - 1]), 0) + {ends(-23, -1)})"
+    s = f"(coalesce(list_sum(ss[{lo}:{hi} - 1]), 0) + {ends(-41, 28)})"
+    c = pcr.Thermo().conditions
+    below = f"({s}::DOUBLE * -0.1::DOUBLE + 0.368::DOUBLE * ({hi} - {lo}) * {math.log(c.monovalent / 1000.0)!r}::DOUBLE + 1.987::DOUBLE * {math.log(c.oligo / 4e9)!r}::DOUBLE)"
+    return f"(CASE WHEN {hi} > {lo} AND {h} > 0 AND {below} < 0 THEN {h}::DOUBLE * -100 / {below} - 273.15::DOUBLE ELSE {NO_DUPLEX}::DOUBLE END)"
+
+
+SQL_THERMO = f"""
+{SQL_SITES},
+st AS ({sql_stacks()}),
+pt AS (SELECT pair, least({sql_tm("forward")}, {sql_tm("reverse")}) AS design_tm FROM pr),
+al AS (SELECT n.haplotype, n.contig, n.query AS p, n.strand, n.i AS start, pair, role, design_tm - 5 AS least_tm, CASE WHEN n.strand = '+' THEN w ELSE {sql_revcomp("w")} END AS a FROM near n JOIN roles USING (query) JOIN pt USING (pair)),
+li AS (SELECT al.*, substr(p, 19, 2) <> substr(a, 19, 2) AS gated, list_transform(range(1, 21), lambda i: p[i] = a[i] AND contains('ACGT', p[i])) AS same,
+  list_transform(range(1, 20), lambda i: coalesce(mh[substr(p, i, 2) || '/' || substr(translate(a, 'ACGT', 'TGCA'), i, 2)], 0)) AS hs, list_transform(range(1, 20), lambda i: coalesce(ms[substr(p, i, 2) || '/' || substr(translate(a, 'ACGT', 'TGCA'), i, 2)], 0)) AS ss FROM al, st),
+lh AS (SELECT *, list_position(same, TRUE) AS lo, 21 - list_position(list_reverse(same), TRUE) AS hi FROM li),
+tms AS (SELECT *, {sql_duplex("lo", "hi")} AS tm, coalesce(CASE WHEN same[20] THEN list_max(list_transform(list_filter(range(1, 20), lambda i: same[i]), lambda i: {sql_duplex("i", "20")})) END, {NO_DUPLEX}::DOUBLE) AS end_tm FROM lh),
+thermo AS (SELECT *, NOT gated AND tm >= least_tm AND end_tm >= least_tm - 10 AS competent, CASE WHEN gated THEN 'mismatch within 3'' terminal 2nt' WHEN tm < least_tm THEN 'annealing Tm ' || printf('%.1f', round_even(tm, 1)) || 'C < ' || printf('%.1f', round_even(least_tm, 1)) || 'C'
+  WHEN end_tm < least_tm - 10 THEN '3'' end unstable (Tm ' || printf('%.1f', round_even(end_tm, 1)) || 'C)' ELSE 'annealing Tm ' || printf('%.1f', round_even(tm, 1)) || 'C' END AS reason FROM tms)"""
+
 SQL_METRICS = f"""
 {SQL_CELLS},
 summed AS (SELECT pair, count(*) AS total, count(*) FILTER (status <> 'uncertain') AS evaluable, count(*) FILTER (status <> 'uncertain' AND n_on > 0) AS n_covered,

@@ -9,7 +9,8 @@ from ..functions.sequences import parse_locus, revcomp_text
 from ..functions.thermo import pair_tm
 from ..operators import design, mask, pcr, project
 
-# Fixed values of verification: least product, and what a product may exceed the expected one by.
+# Fixed values of verification: least product; what a product may exceed the expected one by, and
+# by how much a target is widened on both sides before it is projected.
 LEAST_PRODUCT, PAD = 40, 250
 
 
@@ -32,7 +33,7 @@ def config_of(raw: dict, mode: str | None = None, design_tm: float | None = None
         d.get("product_size_max", base.max_product),
         search.get("max_binding_sites", base.max_sites),
         pcr.Rule(rule.get("max_total_mm", 2), rule.get("max_3prime_mm", 0), rule.get("suffix", 5)),
-        pcr.Thermo(design_tm or 60.0, thermo.get("tm_drop_max", 5.0), thermo.get("three_prime_hard_nt", 2), conditions),
+        pcr.Thermo(design_tm, thermo.get("tm_drop_max", 5.0), thermo.get("three_prime_hard_nt", 2), conditions),
     )
 
 
@@ -53,9 +54,9 @@ def anchored(targets: DataFrame, backbone: DataFrame) -> DataFrame:
     A sequence without a place, or with two about as good, raises.
     """
     given = targets.where("bases is null").withColumn("l", parse_locus(F.col("text"))).select("target", "l.chrom", "l.start", "l.end")
-    bad = given.where("chrom is null").select("target").limit(5).collect()
+    bad = given.where("chrom is null or `end` < start").select("target").limit(5).collect()
     if bad:
-        raise ValueError("not coordinates: " + ", ".join(r["target"] for r in bad))
+        raise ValueError("no locus: " + ", ".join(r["target"] for r in bad))
     sought = targets.where("bases is not null")
     placed = project.kmer_projection(sought.select("target", "bases"), backbone, [], frac=0.9)
     names = {r["target"] for r in sought.select("target").collect()}  # a row for each target of a run
@@ -67,25 +68,39 @@ def anchored(targets: DataFrame, backbone: DataFrame) -> DataFrame:
     return given.unionByName(placed.select("target", "chrom", "start", "end"))
 
 
-def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blocks: DataFrame | None, backbone: DataFrame) -> DataFrame:
-    """(pair, haplotype, chrom, start, end, reason) of every target on every haplotype; no chrom: not projectable.
+def widened(targets: DataFrame, lengths: DataFrame, pad: int = PAD) -> DataFrame:
+    """``targets`` (chrom, start, end and more) with ``pad`` bases more on both sides, within their contig (chrom, length)."""
+    wide = targets.join(lengths.select("chrom", "length"), "chrom")
+    return wide.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("start") - pad)).withColumn("end", F.least(F.col("length").cast("long"), F.col("end") + pad)).drop("length")
 
-    Haplotypes with alignment blocks are lifted, the others placed by shared k-mers.
+
+def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blocks: DataFrame | None, backbone: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+    """(pair, haplotype, chrom, start, end) of every target on every haplotype; no chrom: not projectable.
+
+    Haplotypes with alignment blocks are lifted, those with an anchor grid sought in the
+    window that it gives, the others placed by shared k-mers of the whole assembly.
     """
-    grid = targets.join(haplotypes.select("haplotype"), how="cross")
-    found = []
-    covered = blocks.select("haplotype").distinct() if blocks is not None else None
+    every = haplotypes.select("haplotype").distinct()
+    marks = lambda df, name: every.join(df.select("haplotype").distinct().withColumn(name, F.lit(True)), "haplotype", "left") if df is not None else every.withColumn(name, F.lit(None).cast("boolean"))
+    routes = marks(blocks, "has_blocks").join(marks(grids, "has_grid"), "haplotype")
+    by = F.when(F.coalesce("has_blocks", F.lit(False)), project.route(True, False)).when(F.coalesce("has_grid", F.lit(False)), project.route(False, True)).otherwise(project.route(False, False))
+    # every target is sought on every haplotype: both tables are small by nature
+    cells = targets.join(routes.select("haplotype", by.alias("route")), how="cross")
+    on = lambda name: cells.where(F.col("route") == name)
+    wanted = targets.select(F.col("pair").alias("target"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand"))
+    bases = project.fetch(wanted, backbone, []).select(F.col("target").alias("pair"), "bases")
+    places = ["pair", "haplotype", "chrom", "start", "end"]
+    sought = on("kmers").select("haplotype", F.col("pair").alias("target"), "pair").join(bases, "pair").drop("pair")
+    columns = ["haplotype", "chrom", "sequence", *(["base", "own"] if project.is_cut(contigs) else [])]
+    found = project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).withColumnRenamed("target", "pair").select(*places)
     if blocks is not None:
-        own = grid.join(covered, "haplotype", "left_semi").select("pair", "haplotype", "chrom", "start", "end")
-        lifted = project.project_blocks(own, blocks, ["pair", "haplotype"])
-        found.append(lifted.select("pair", "haplotype", F.col("q_name").alias("q_chrom"), "lo", "hi"))
-    rest = grid if covered is None else grid.join(covered, "haplotype", "left_anti")
-    cut = project.fetch(targets.select(F.col("pair").alias("target"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), backbone, [])
-    sought = rest.select("haplotype", F.col("pair").alias("target")).join(cut.select("target", "bases"), "target")
-    by_kmers = project.kmer_projection(sought, contigs.select("haplotype", "chrom", "sequence"), ["haplotype"])
-    found.append(by_kmers.select(F.col("target").alias("pair"), "haplotype", F.col("chrom").alias("q_chrom"), F.col("start").alias("lo"), F.col("end").alias("hi")))
-    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return grid.select("pair", "haplotype").join(every, ["pair", "haplotype"], "left").select("pair", "haplotype", F.col("q_chrom").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"))
+        lifted = project.project_blocks(on("blocks").select("pair", "haplotype", "chrom", "start", "end"), blocks, ["pair", "haplotype"])
+        found = found.unionByName(lifted.select("pair", "haplotype", F.col("q_name").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end")))
+    if grids is not None:
+        own = on("grid").join(bases, "pair").withColumnRenamed("pair", "target").select("haplotype", "target", "chrom", "start", "end", "bases")
+        in_window = project.project_grid(own, grids, contigs.select(*columns), ["haplotype"])
+        found = found.unionByName(in_window.where("chrom is not null").withColumnRenamed("target", "pair").select(*places))
+    return cells.select("pair", "haplotype").join(found, ["pair", "haplotype"], "left").select(*places)
 
 
 def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Evaluation, max_amplicon: int = 2000, tolerance: int = 20, how: str | None = None) -> tuple[DataFrame, DataFrame]:

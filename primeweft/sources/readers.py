@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import upper_ascii
+from .fasta import bgzf_members, contig_lengths, inflate_member, qualified, read_fasta, whole_contigs  # noqa: F401
 
 # Accepted column names of primer tables.
 PRIMER_ALIASES = {
@@ -17,14 +17,15 @@ PRIMER_ALIASES = {
     "forward": ("forward", "fwd", "forward_primer", "f", "left"),
     "reverse": ("reverse", "rev", "reverse_primer", "r", "right"),
 }
-# Population codes of each superpopulation.
+# The superpopulation of each population code.
 POPULATIONS = {
-    "AFR": ("YRI", "LWK", "GWD", "MSL", "ESN", "ASW", "ACB", "ASL", "MKK"),
-    "EUR": ("CEU", "TSI", "FIN", "GBR", "IBS"),
-    "EAS": ("CHB", "JPT", "CHS", "CDX", "KHV"),
-    "SAS": ("GIH", "PJL", "BEB", "STU", "ITU"),
-    "AMR": ("MXL", "PUR", "CLM", "PEL"),
-}
+    "YRI": "AFR", "LWK": "AFR", "GWD": "AFR", "MSL": "AFR", "ESN": "AFR", "ASW": "AFR", "ACB": "AFR", "ASL": "AFR", "MKK": "AFR",
+    "CEU": "EUR", "TSI": "EUR", "FIN": "EUR", "GBR": "EUR", "IBS": "EUR",
+    "CHB": "EAS", "JPT": "EAS", "CHS": "EAS", "CDX": "EAS", "KHV": "EAS",
+    "GIH": "SAS", "PJL": "SAS", "BEB": "SAS", "STU": "SAS", "ITU": "SAS",
+    "MXL": "AMR", "PUR": "AMR", "CLM": "AMR", "PEL": "AMR",
+}
+SUPERPOPULATIONS = tuple(dict.fromkeys(POPULATIONS.values()))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,78 +50,6 @@ def sidecar(spark: SparkSession, path: str, suffix: str) -> str:
     return path + suffix
 
 
-def read_fasta(spark: SparkSession, path: str, chunk_lines: int = 20_000, overlap: int = 0) -> DataFrame:
-    """(file, contig_idx, chrom, base, own, sequence): a contig's bases in chunks of whole lines, in order.
-
-    A contig of any length is never one row: the task that reads a file joins
-    ``chunk_lines`` lines at a time.  With an ``overlap`` a chunk goes on for so many
-    bases into the next one; ``own`` are those before it, so that a search of windows
-    of up to ``overlap`` bases that start in the own ones loses and doubles nothing.
-    Compressed files (several members as well) are inflated by the reader; a cut one
-    fails.
-    """
-
-    def cut(batches) -> Iterator:
-        import pandas as pd
-
-        current, name, idx, base, held, n = None, None, -1, 0, [], 0
-        waiting = None  # the chunk that still needs its overlap
-
-        def close(text: str, last: bool) -> list[tuple]:
-            """Rows that are complete once ``text`` follows; the last chunk of a contig takes no overlap."""
-            nonlocal waiting, base
-            rows = []
-            if waiting is not None:
-                at, own = waiting
-                rows.append((current, idx, name, at, len(own), own + text[:overlap]))
-                waiting = None
-            if text or (last and base == 0 and not rows):
-                waiting = (base, text)
-                base += len(text)
-            if last and waiting is not None:
-                at, own = waiting
-                rows.append((current, idx, name, at, len(own), own))
-                waiting = None
-            return rows
-
-        for pdf in batches:
-            rows: list[tuple] = []
-            for file, line in zip(pdf["file"], pdf["value"], strict=True):
-                if file != current or line.startswith(">"):
-                    if name is not None:
-                        rows += close("".join(held), True)
-                    held, n, base = [], 0, 0
-                    if file != current:
-                        current, name, idx = file, None, -1
-                if line.startswith(">"):
-                    name, idx = (line[1:].split() or [""])[0], idx + 1
-                elif name is not None:
-                    held.append("".join(line.split()))
-                    n += 1
-                    if n >= chunk_lines and sum(map(len, held)) >= overlap:
-                        rows += close("".join(held), False)
-                        held, n = [], 0
-                elif line.strip():
-                    raise ValueError(f"{file}: bases before the first header")
-            yield pd.DataFrame(rows, columns=["file", "contig_idx", "chrom", "base", "own", "sequence"])
-        if name is not None:
-            yield pd.DataFrame(close("".join(held), True), columns=["file", "contig_idx", "chrom", "base", "own", "sequence"])
-
-    # one task for each file: a text line can't be placed without those before it
-    lines = spark.read.option("maxPartitionBytes", 1 << 40).text(path).select(F.input_file_name().alias("file"), "value")
-    return lines.mapInPandas(cut, "file string, contig_idx int, chrom string, base long, own long, sequence string")
-
-
-def contig_lengths(fasta: DataFrame) -> DataFrame:
-    return fasta.groupBy("file", "contig_idx", "chrom").agg(F.sum("own").alias("length"))
-
-
-def whole_contigs(fasta: DataFrame) -> DataFrame:
-    """(file, contig_idx, chrom, sequence) for contigs that fit a row."""
-    parts = fasta.groupBy("file", "contig_idx", "chrom").agg(F.array_sort(F.collect_list(F.struct("base", F.expr("substring(sequence, 1, cast(own as int))").alias("s")))).alias("p"))
-    return parts.select("file", "contig_idx", "chrom", F.array_join("p.s", "").alias("sequence"))
-
-
 def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """(haplotype, fasta) of a manifest: blank, comment and header rows don't count."""
     raw = spark.read.text(path).where("trim(value) != '' and not startswith(value, '#')")
@@ -146,13 +75,13 @@ def read_primers(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("forward", upper_ascii(F.col("forward"))).withColumn("reverse", upper_ascii(F.col("reverse")))
 
 
-def read_paf(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Alignment blocks with line_no and cigar; rows of fewer than 12 columns don't count."""
+def read_paf(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Alignment blocks with path, line_no and cigar; rows of fewer than 12 columns don't count."""
     f = F.split("value", "\t")
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.size(f) >= 12)
+    lines = spark.read.text(path).withColumn("path", F.input_file_name()).withColumn("line_no", F.monotonically_increasing_id()).where(F.size(f) >= 12)
     tag = F.get(F.filter(F.slice(f, 13, 1 << 20), lambda x: x.startswith("cg:Z:")), F.lit(0))
     at = lambda i: F.get(f, F.lit(i))
-    rows = lines.select("line_no", at(0).alias("q_name"), *[at(i).cast("long").alias(n) for i, n in ((2, "q_start"), (3, "q_end"))], at(4).alias("strand"), at(5).alias("t_name"), *[at(i).cast("long").alias(n) for i, n in ((7, "t_start"), (8, "t_end"), (11, "mapq"))], F.substring(tag, F.lit(6), F.length(tag)).alias("cigar"))
+    rows = lines.select("path", "line_no", at(0).alias("q_name"), *[at(i).cast("long").alias(n) for i, n in ((2, "q_start"), (3, "q_end"))], at(4).alias("strand"), at(5).alias("t_name"), *[at(i).cast("long").alias(n) for i, n in ((7, "t_start"), (8, "t_end"), (11, "mapq"))], F.substring(tag, F.lit(6), F.length(tag)).alias("cigar"))
     if chrom is not None:
         rows = rows.where(F.col("t_name") == chrom)
     if start is not None and end is not None:
@@ -160,22 +89,31 @@ def read_paf(spark: SparkSession, path: str, chrom: str | None = None, start: in
     return rows
 
 
-def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    """(anchors, metadata) of a grid; metadata are the #key=value pairs of comment lines."""
-    raw = spark.read.text(path)
+def read_grid(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(anchors with their path, metadata) of grids; metadata are the key=value pairs of comment lines."""
+    raw = spark.read.text(path).withColumn("path", F.input_file_name())
     f = F.split("value", "\t")
     at = lambda i: F.get(f, F.lit(i))
     rows = raw.where("not startswith(value, '#')").where(F.size(f) >= 7)
-    anchors = rows.select(at(0).alias("t_name"), at(1).cast("long").alias("t_start"), at(2).cast("long").alias("t_end"), at(3).alias("q_contig"), at(4).cast("long").alias("q_start"), at(5).cast("long").alias("q_end"), at(6).alias("strand"))
+    anchors = rows.select("path", at(0).alias("t_name"), at(1).cast("long").alias("t_start"), at(2).cast("long").alias("t_end"), at(3).alias("q_contig"), at(4).cast("long").alias("q_start"), at(5).cast("long").alias("q_end"), at(6).alias("strand"))
     meta = {}
     for r in raw.where("startswith(value, '#')").limit(100).collect():
         meta |= {k: v for k, _, v in (t.partition("=") for t in r["value"][1:].split()) if v}
     return anchors, meta
 
 
-def write_grid(anchors: DataFrame, path: str) -> None:
-    """Anchors partitioned by chromosome and sorted; the commit makes it appear at once."""
-    anchors.repartition("t_name").sortWithinPartitions("t_name", "t_start").write.partitionBy("t_name").parquet(path)
+def write_grid(anchors: DataFrame, path: str, metadata: dict[str, object] | None = None) -> None:
+    """Anchors as compressed tab-separated text, a file or more for each chromosome, sorted; `read_grid` reads the folder.
+
+    Metadata are a comment line in each file.  The commit makes the folder appear at once.
+    """
+    columns = ["t_name", "t_start", "t_end", "q_contig", "q_start", "q_end", "strand"]
+    order = ["t_name", "t_start", "q_contig", "q_start"]
+    lines = anchors.repartition("t_name").sortWithinPartitions(*order).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
+    if metadata:
+        told = anchors.sparkSession.createDataFrame([("#" + " ".join(f"{k}={v}" for k, v in metadata.items()),)], "value string")
+        lines = told.unionByName(lines)
+    lines.write.option("compression", "gzip").text(path)
 
 
 def join_metadata(index: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -185,7 +123,7 @@ def join_metadata(index: DataFrame, metadata: DataFrame) -> DataFrame:
     last = Window.partitionBy("sample_id").orderBy(F.col("line_no").desc())
     meta = metadata if "line_no" in metadata.columns else metadata.withColumn("line_no", F.monotonically_increasing_id())
     meta = meta.withColumn("_i", F.row_number().over(last)).where("_i = 1").select("sample_id", F.trim("population_abbreviation").alias("p"))
-    table = F.create_map(*[F.lit(x) for s, codes in POPULATIONS.items() for c in codes for x in (c, s)])
+    table = F.create_map(*[F.lit(x) for pair in POPULATIONS.items() for x in pair])
     joined = index.join(meta, "sample_id", "left")
     out = joined.withColumn("population", F.when(F.coalesce("p", F.lit("")) == "", "NA").otherwise(F.col("p"))).withColumn("superpop", F.coalesce(F.try_element_at(table, F.coalesce("p", F.lit(""))), F.lit("UNK"))).drop("p")
     for c in ("assembly", "assembly_md5", "assembly_fai"):
@@ -194,7 +132,7 @@ def join_metadata(index: DataFrame, metadata: DataFrame) -> DataFrame:
     return out
 
 
-def select_diverse(records: DataFrame, per: int = 1, superpops: tuple[str, ...] = tuple(POPULATIONS), haps: tuple[int, ...] | None = None) -> DataFrame:
+def select_diverse(records: DataFrame, per: int = 1, superpops: tuple[str, ...] = SUPERPOPULATIONS, haps: tuple[int, ...] | None = None) -> DataFrame:
     """All (or the given) haplotypes of the first ``per`` samples by name of each superpopulation.
 
     ``records``: sample_id, haplotype, superpop, line_no; a sample's superpopulation is
@@ -223,37 +161,6 @@ def threads(raw: dict) -> int | None:
     return int(n) if n else None
 
 
-def bgzf_members(data: bytes) -> list[tuple[int, int]]:
-    """(offset, size) of each block of a blocked gzip file; a plain gzip file or a cut one raises."""
-    out, at = [], 0
-    while at < len(data):
-        if data[at : at + 4] != b"\x1f\x8b\x08\x04":
-            raise ValueError(f"not a blocked gzip member at {at}")
-        extra = int.from_bytes(data[at + 10 : at + 12], "little")
-        fields, size, i = data[at + 12 : at + 12 + extra], None, 0
-        while i + 4 <= len(fields):
-            n = int.from_bytes(fields[i + 2 : i + 4], "little")
-            if fields[i : i + 2] == b"BC" and n == 2:
-                size = int.from_bytes(fields[i + 4 : i + 6], "little") + 1
-            i += 4 + n
-        if size is None or at + size > len(data):
-            raise ValueError(f"a member at {at} has no size or is cut")
-        out.append((at, size))
-        at += size
-    return out
-
-
-def inflate_member(member: bytes) -> bytes:
-    """A block's contents, held against its stated length."""
-    import zlib
-
-    extra = int.from_bytes(member[10:12], "little")
-    raw = zlib.decompress(member[12 + extra : -8], wbits=-15)
-    if len(raw) != int.from_bytes(member[-4:], "little"):
-        raise ValueError("a member's contents differ from its length")
-    return raw
-
-
 def haplotype_name(path: str) -> str:
     """sample#hapN of a file named sample_hapN.fa(.gz)."""
     m = re.search(r"([^/]+)_hap(\d+)\.fa(\.gz)?$", path)
