@@ -15,6 +15,7 @@ columns, strand, start, mismatches, offsets_3p.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,13 +96,18 @@ def _codes(code: np.ndarray, n: int) -> np.ndarray:
 def variants(seed: np.ndarray, most: int) -> np.ndarray:
     """Numbers of all sequences that differ from a seed (two-bit codes) in at most ``most`` places."""
     n = len(seed)
-    found = {0: np.array([int(sum(int(c) << 2 * (n - 1 - i) for i, c in enumerate(seed)))], np.int64)}
-    current = found[0]
-    for i in range(1, most + 1):
-        flips = np.array([d << 2 * p for p in range(n) for d in (1, 2, 3)], np.int64)
-        current = np.unique(current[:, None] ^ flips)
-        found[i] = current
-    return np.unique(np.concatenate(list(found.values())))
+    own = int(sum(int(c) << 2 * (n - 1 - i) for i, c in enumerate(seed)))
+    return own ^ _changes(n, most)
+
+
+@functools.cache
+def _changes(n: int, most: int) -> np.ndarray:
+    """What at most ``most`` changed places of n two-bit codes change in a number."""
+    flips = np.array([d << 2 * p for p in range(n) for d in (1, 2, 3)], np.int64)
+    found = [np.zeros(1, np.int64)]
+    for _ in range(most):
+        found.append(np.unique(found[-1][:, None] ^ flips))
+    return np.unique(np.concatenate(found))
 
 
 #: Characters of contigs that the kernel takes at once.
@@ -140,7 +146,7 @@ class Kernel:
             pattern = np.concatenate([np.full(len(v), i) for v, i, _ in seeds])
             offset = np.concatenate([np.full(len(v), at) for v, _, at in seeds])
             order = np.argsort(code, kind="stable")
-            starts = np.searchsorted(code[order], np.arange(4**n + 1))
+            starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(code, minlength=4**n))))
             self.tables[n] = (starts[1:] > starts[:-1], starts, pattern[order], offset[order])
 
     def candidates(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,6 +187,18 @@ class Kernel:
                     yield p[some], np.searchsorted(offsets, at[some], "right") - 1, at[some], wrong
 
 
+#: The kernel of the last search; a worker serves many tasks of one.
+_KEPT: dict[tuple, Kernel] = {}
+
+
+def _kernel(patterns: list[tuple[str, str, str]], k: int) -> Kernel:
+    key = (tuple(patterns), k)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Kernel(patterns, k)
+    return _KEPT[key]
+
+
 def _contigs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, upper-cased bytes, offsets) of runs of contigs of about ``TAKEN`` characters; a longer one is a run alone."""
     rows = pc.fill_null(column, "")
@@ -202,7 +220,7 @@ def _arrow(cut: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: l
     names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p", *["window"] * window]
 
     def search(batches):
-        kernel = Kernel(patterns, k)
+        kernel = _kernel(patterns, k)
         for batch in batches:
             base, own = (np.asarray(batch.column(len(keys) + j), np.int64) for j in range(2))
             for lo, text, offsets in _contigs(batch.column(len(keys) + 2)):
