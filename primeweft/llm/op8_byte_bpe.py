@@ -1,21 +1,25 @@
 """Byte-level BPE encoding and decoding with length-bucketed numpy matrices.
 
 A text is cut by the pattern; pieces not seen before by the worker are put in
-matrices of rows of one length.  In each round every row merges its leftmost
-pair of least rank, found through a hashed table of pairs, and the matrix is
-compacted by one column; rows without a pair leave.  Pieces of over
-``LONG`` bytes take the same merges through a heap, since a round for each
-merge over a whole long row would cost its square.
+matrices, one for each bucket of lengths (``WIDTHS``), whose rows are padded to the
+bucket's width.  In each round every row merges its leftmost pair of least rank, found
+through a hashed table of pairs, and the matrix is compacted by one column; rows
+without a pair leave.  Pieces of over ``LONG`` bytes take the same merges through a
+heap, since a round for each merge over a whole long row would cost its square.
+Decoding gathers the bytes of a text's ids from the vocabulary.
 
 Null and empty texts have no tokens; repeated rows have equal results; every
-text is encoded whole.  Bytes that aren't UTF-8 count as U+FFFD.
+text is encoded whole.  Bytes that aren't UTF-8 count as U+FFFD.  A null id stays,
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,12 @@ from pyspark.sql import DataFrame
 
 from .common import blocks, map_arrow, text_bytes
 
+#: Widths of the matrices; a row is padded to the next one.
+WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192)
 #: The longest piece in bytes that goes through matrices.
-LONG = 192
+LONG = WIDTHS[-1]
+#: What rows are padded with.
+PAD = -1
 #: Pieces a worker remembers; beyond that it starts anew (a memory bound only).
 REMEMBERED = 400_000
 
@@ -87,27 +95,36 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
         self.table = PairTable(self.ranks)
-        self.tokens = {v: k for k, v in self.ranks.items()}
+        self.size = 1 + max(self.ranks.values())
+        lengths = np.zeros(self.size, np.int64)
+        for token, rank in self.ranks.items():
+            lengths[rank] = len(token)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.spelled = np.frombuffer(b"".join(k for k, _ in sorted(self.ranks.items(), key=lambda x: x[1])), np.uint8)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.encoded: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        #: ids of a piece as little-endian 32-bit bytes, and in decimal joined by commas
+        self.encoded: dict[str, tuple[bytes, bytes]] = {}
 
-    def matrix(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces of one length."""
+    def matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """Ids of pieces of at most ``width`` bytes."""
         out: list[list[int]] = [[]] * len(pieces)
-        rows = self.single[np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)]
+        sizes = np.array([len(p) for p in pieces])
+        rows = np.full((len(pieces), width), PAD, np.int64)
+        rows[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         place = np.arange(len(pieces))
         while len(place):
             if rows.shape[1] == 1:
                 ranks = np.full((len(rows), 1), self.table.none, np.int64)
             else:
-                ranks = self.table.lookup(rows[:, :-1], rows[:, 1:])
+                right = rows[:, 1:]
+                ranks = self.table.lookup(rows[:, :-1], np.maximum(right, 0))
+                ranks[right == PAD] = self.table.none
             at = ranks.argmin(1)
             best = ranks[np.arange(len(rows)), at]
             done = best == self.table.none
             if done.any():
                 for p, row in zip(place[done].tolist(), rows[done].tolist(), strict=True):
-                    out[p] = row
+                    out[p] = [x for x in row if x != PAD]
                 rows, place, at, best = rows[~done], place[~done], at[~done], best[~done]
                 if not len(place):
                     break
@@ -142,31 +159,37 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that the worker hasn't seen."""
-        by_length: dict[int, list[str]] = {}
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
-            by_length.setdefault(len(p.encode()), []).append(p)
-        for n, group in by_length.items():
-            raw = [p.encode() for p in group]
-            if n > LONG:
-                ids = [self.long(p) for p in raw]
-            else:
-                step = max(1, (1 << 21) // n)
-                ids = [x for i in range(0, len(raw), step) for x in self.matrix(raw[i : i + step])]
-            for p, row in zip(group, ids, strict=True):
-                self.encoded[p] = text = b",".join(b"%d" % x for x in row)
-                self.decoded[text] = b"".join(self.tokens[x] for x in row)
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text its pieces' ids, in decimal and joined by commas; new pieces of all texts fill the matrices together."""
+            raw = p.encode()
+            n = len(raw)
+            by_width.setdefault(WIDTHS[bisect.bisect_left(WIDTHS, n)] if n <= LONG else 0, []).append((p, raw))
+        for width, group in by_width.items():
+            step = max(1, (1 << 21) // max(width, 1))
+            for a in range(0, len(group), step):
+                some = group[a : a + step]
+                raw = [r for _, r in some]
+                for (p, _), row in zip(some, self.matrix(raw, width) if width else map(self.long, raw), strict=True):
+                    self.encoded[p] = (array("i", row).tobytes(), b",".join(b"%d" % x for x in row))
+
+    def encode(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """For each text its pieces' ids (see ``encoded``); new pieces of all texts fill the matrices together."""
         cut = [self.pattern.findall(x) for x in texts]
         new = {p for pieces in cut for p in pieces if p not in self.encoded}
         if len(self.encoded) + len(new) > REMEMBERED and self.encoded:
             self.encoded.clear()
-            self.decoded.clear()
             new = {p for pieces in cut for p in pieces}
         self.learn(new)
         return [list(map(self.encoded.__getitem__, pieces)) for pieces in cut]
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids; one that the vocabulary doesn't have raises."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size or not self.lengths[ids].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.spelled[np.repeat(self.starts[ids] - ends + n, n) + np.arange(n.sum())].tobytes()
+
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
@@ -191,10 +214,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
             for _, _, data, offsets in blocks(batch.column(1)):
                 raw = data.tobytes()
                 decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                for ids in bpe.encode(decoded):
-                    joined = b",".join(ids)
-                    back = b"".join(map(bpe.decoded.__getitem__, ids))
-                    rows.append((joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest(), [int(i) for i in joined.split(b",")] if keep_ids and joined else []))
+                for pieces in bpe.encode(decoded):
+                    ids = np.frombuffer(b"".join(x for x, _ in pieces), np.int32)
+                    joined = b",".join(x for _, x in pieces)
+                    rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest(), ids.tolist() if keep_ids else []))
             n, ids, back, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -208,5 +231,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
 
 
 def decode_ids(ids: list[int], vocabulary: str, pattern: str) -> bytes:
-    tokens = coder(vocabulary, pattern).tokens
-    return b"".join(tokens[i] for i in ids)
+    return coder(vocabulary, pattern).decode(np.array(ids, np.int64))
