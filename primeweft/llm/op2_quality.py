@@ -4,8 +4,9 @@ Each document's histograms of character classes and of common words are
 compared with references of the languages by Jensen-Shannon distance (square
 root of the divergence in bits).  References are sums over all documents of a
 language, made anew once without the documents that were far from the first
-ones.  A document is judged against the nearest reference, so that a wrong
-language label rejects nothing.
+ones.  A document is judged against the nearest of its own language's reference and
+those of the ``LIKELY`` languages with the most words, so that a wrong language label
+rejects nothing.
 
 Minimum lengths guard the comparison: histograms of fewer than
 ``MIN_CHARS`` characters or ``MIN_WORDS`` words aren't judged.
@@ -34,10 +35,13 @@ MIN_WORDS = 50
 #: LIMIT + SHORT / sqrt(characters): histograms of short texts scatter more.
 LIMIT = 0.25
 SHORT = 3.3
-#: Languages with a reference, those with the most words first, and words that a reference needs.
-#: Documents of the other languages are kept or not by the base rules alone.
-LANGUAGES = 1024
+#: Languages with a reference (more than there are codes of languages), those with the most words
+#: first, and words that a reference needs.  Documents of the other languages are kept or not by the
+#: base rules alone.
+LANGUAGES = 8192
 REFERENCE_WORDS = 1000
+#: The languages with the most words, with which every text is compared besides its own.
+LIKELY = 32
 REPEAT_WINDOW = 8
 
 #: Frequent function words of four languages.
@@ -141,12 +145,21 @@ def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(best, 0))
 
 
+def nearest(counts: np.ndarray, references: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The distance of each row to the nearest of the first ``LIKELY`` references and its own one (a number, or -1)."""
+    best = distances(counts, references[:LIKELY])
+    for k in np.unique(own[own >= LIKELY]):
+        at = np.flatnonzero(own == k)
+        best[at] = np.minimum(best[at], distances(counts[at], references[k : k + 1]))
+    return best
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, frozenset[str]] | None) -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
-    """(character histograms, word histograms, names) of the languages; rows far from ``earlier`` are left out."""
+def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, dict[str, int]] | None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """(character histograms, word histograms, number of each name) of the languages; rows far from ``earlier`` are left out."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -171,14 +184,16 @@ def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, froz
     for i, r in enumerate(rows):
         for k, v in r["bins"].items():
             table[i, k] = v
-    return table[:, :N_CLASSES], table[:, N_CLASSES:], frozenset(r["lang"] for r in rows)
+    return table[:, :N_CLASSES], table[:, N_CLASSES:], {r["lang"]: i for i, r in enumerate(rows)}
 
 
-def _far(chars: np.ndarray, words: np.ndarray, langs: pa.Array, ref_chars: np.ndarray, ref_words: np.ndarray, known: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _far(chars: np.ndarray, words: np.ndarray, langs: pa.Array, ref_chars: np.ndarray, ref_words: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(character distance, word distance, beyond the limit), distances 0 where the text is too short or its language too rare to tell."""
-    judged = np.array([x is None or x in known for x in langs.to_pylist()], bool)
-    by_char = np.where(judged & (chars.sum(1) >= MIN_CHARS), distances(chars, ref_chars), 0.0)
-    by_word = np.where(judged & (words.sum(1) >= MIN_WORDS), distances(words, ref_words), 0.0)
+    names = langs.to_pylist()
+    judged = np.array([x is None or x in known for x in names], bool)
+    own = np.array([known.get(x, -1) for x in names], np.int64)
+    by_char = np.where(judged & (chars.sum(1) >= MIN_CHARS), nearest(chars, ref_chars, own), 0.0)
+    by_word = np.where(judged & (words.sum(1) >= MIN_WORDS), nearest(words, ref_words, own), 0.0)
     return by_char, by_word, by_char + by_word / 2 > LIMIT + SHORT / np.sqrt(np.maximum(chars.sum(1), 1))
 
 

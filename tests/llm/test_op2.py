@@ -58,3 +58,72 @@ def test_a_language_without_a_reference_rejects_nothing(spark):
     kept = {x.doc_id: (x.kept, x.char_distance) for x in o.quality(docs).collect()}
     assert all(kept[100 + i] == (True, 0.0) for i in range(3)) and not kept[200][0]
     assert {x.doc_id for x in o.keep_good(docs).collect()} == {d for d, (k, _) in kept.items() if k}
+
+
+def _histograms(text):
+    """The character classes (ten, without continuation bytes) and the common words of a text, by definition."""
+    groups = ["aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\n\v\f\r", ".,;:?'\"-()", "#*$%&|<>", "!"]
+    chars, words = Counter(), Counter()
+    for c in text:
+        chars["outside" if ord(c) > 127 else next((g for g in groups if c in g), "other")] += 1
+    common = set(o.COMMON_WORDS)
+    for w in text.encode().split():
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in w).decode()
+        words[low if low in common else None] += 1
+    return chars, words
+
+
+def _distance(a, b):
+    p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (a, b))
+    total = 0.0
+    for k in set(p) | set(q):
+        m = (p.get(k, 0) + q.get(k, 0)) / 2
+        total += sum(x[k] * math.log2(x[k] / m) / 2 for x in (p, q) if x.get(k))
+    return math.sqrt(max(total, 0))
+
+
+def test_kept_equals_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = {"en": "the of and river stone walks Morning, light. to be".split(), "fr": "de la le rivière pierre marche matin, lumière. et".split(), "xx": "the sky 12 Cloud! was".split()}
+
+    def text(lang):
+        n = r.choice([3, 25, 60, 200, 500])
+        noise = r.choice([0, 0, 0, 0.05, 0.3, 0.9])
+        return " ".join("".join(r.choice("XQ#%9!Z") for _ in range(4)) if r.random() < noise else r.choice(vocabulary[lang]) + (str(i) if r.random() < 0.3 else "") for i in range(n))
+
+    rows = [(i, text(lang), lang if r.random() < 0.9 else r.choice(["en", "fr", None, "rare"])) for i in range(250) for lang in [r.choice(["en", "en", "fr", "xx"])]]
+    got = {x.doc_id: x.kept for x in o.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    own = {d: _histograms(t) for d, t, _ in rows}
+
+    def far(d, lang, references):
+        if lang is not None and lang not in references:
+            return False
+        sides = []
+        for k, least in ((0, o.MIN_CHARS), (1, o.MIN_WORDS)):
+            n = sum(own[d][k].values())
+            sides.append(min(_distance(own[d][k], references[x][k]) for x in references) if n >= least else 0)
+        return sides[0] + sides[1] / 2 > o.LIMIT + o.SHORT / math.sqrt(max(1, sum(own[d][0].values())))
+
+    def references(earlier):
+        out = {}
+        for d, _, lang in rows:
+            if lang is not None and not (earlier is not None and far(d, lang, earlier)):
+                a, b = out.setdefault(lang, (Counter(), Counter()))
+                a.update(own[d][0])
+                b.update(own[d][1])
+        return {k: x for k, x in out.items() if sum(x[1].values()) >= o.REFERENCE_WORDS}
+
+    last = references(references(None))
+    want = {d: not brute(t)[5] and not far(d, lang, last) for d, t, lang in rows}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    assert {x.doc_id for x in o.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {d for d, k in want.items() if k}
+
+
+def test_rarer_languages_are_compared_with_their_own_texts(monkeypatch):
+    monkeypatch.setattr(o, "LIKELY", 2)
+    references = np.array([[9, 1, 0, 0], [1, 9, 0, 0], [0, 0, 9, 1], [0, 0, 1, 9]])
+    rows = np.array([[9, 1, 0, 0], [0, 0, 9, 1], [0, 0, 9, 1], [0, 0, 1, 9]])
+    got = o.nearest(rows, references, np.array([-1, 2, 3, -1]))
+    want = [0.0, 0.0, o.distances(rows[2:3], references[[0, 1, 3]])[0], o.distances(rows[3:], references[:2])[0]]
+    assert np.allclose(got, want)
