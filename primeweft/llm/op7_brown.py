@@ -25,7 +25,8 @@ Words with a large count (``HEAD`` at most, none seen once) are looked up in a
 broadcast table; the others' counts and classes come by a join on the word's hash,
 with the places of the word in the document.
 
-Null and empty texts have the end alone, a null id counts as empty text.
+Words of equal counts are ordered by their bytes.  Null and empty texts have the end
+alone, a null id counts as empty text.
 Repeated rows are scored each.  Without training tokens the base score is that of
 the formula with N = V = 0, and classes are equally likely.  An empty table gives
 no rows.
@@ -417,7 +418,10 @@ def fit(training: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame,
         if kept > HEAD + 1:  # the end isn't one of the head
             break
         least = row["a"]
-    chosen = counts.where((F.col("n") >= least) & (F.col("shape") >= 0)).select("w", "n").toArrow()  # HEAD rows at most
+    words = counts.where("shape >= 0").select("w", "n")
+    chosen = words.where(F.col("n") >= least).toArrow()  # HEAD rows at most
+    if chosen.num_rows < CLUSTERED:  # very many words of one count: the core is the first of them
+        chosen = words.orderBy(F.desc("n"), "w").limit(CLUSTERED).toArrow()
     pairs = sorted(zip(chosen.column("n").to_pylist(), chosen.column("w").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     clustered = min(CLUSTERED, len(pairs))
     head = Head([w for _, w in pairs], [n for n, _ in pairs], clustered)
@@ -434,7 +438,7 @@ def fit(training: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame,
     if classes:
         found = assigned(neighbours(training, shared, of, clustered), one.T @ table @ one, classes).unionByName(own)
         words = materialize(known.join(found, "h"), "word-classes")
-    else:  # no core: no word fits the head
+    else:  # no core: training has no words
         words = known.withColumn("class", F.col("shape"))
     inside, members, once = np.zeros(classes), np.zeros(classes), np.zeros(SHAPES)
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect() if classes else []:  # a row for each class

@@ -86,3 +86,70 @@ def test_words_outside_of_the_core_are_clustered_by_their_neighbours(spark, monk
     assert all(c < m.classes for x in kinds.values() for c in x)
     (a, n), (b, k) = (x.most_common(1)[0] for x in kinds.values())
     assert a != b and n > 0.8 * sum(kinds["l"].values()) and k > 0.8 * sum(kinds["r"].values())
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(o, "HEAD", 25)
+    monkeypatch.setattr(o, "CLUSTERED", 10)
+    monkeypatch.setattr(o, "CLASSES", 4)
+    r = random.Random(21)
+    pool = [f"w{i % 7}x{i}." if i % 3 else f"Word{i}" for i in range(120)]
+    rows = [(i, " ".join(r.choice(pool[: r.choice([5, 30, 120])]) for _ in range(r.randint(0, 25)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = docs.select(o.F.col("doc_id").alias("id"), o.held_out("doc_id").alias("held_out"), o.text_bytes("text").alias("b"))
+    tokens, m, _ = o.fit(plain.where("not held_out"), plain)
+    classes = {x.id: list(x.classes) for x in tokens.select("id", "classes").collect()}
+    got = {x.doc_id: x.score for x in o.score_documents(docs).collect()}
+
+    n_classes, end = m.classes, m.classes + o.SHAPES
+    text = {d: lowered(t) for d, t in rows}
+    training = [d for d in text if not o.is_held_out(d)]
+    count = Counter(w for d in training for w in text[d])
+    class_of = {w: c for d in training for w, c in zip(text[d], classes[d], strict=False)}
+    assert all(c < n_classes for c in class_of.values())
+
+    def shape(w):
+        data = np.frombuffer(w, np.uint8)
+        return int(o.shapes(data, np.array([0]), np.array([len(w)]))[0])
+
+    table = Counter()
+    for d in training:
+        before = end
+        for w, c in zip([*text[d], None], classes[d], strict=True):
+            assert c == (end if w is None else class_of[w])
+            table[before, c] += 1
+            if w is not None and count[w] == 1:
+                table[before, n_classes + shape(w)] += 1
+            before = c
+    size = end + 1
+    row, column, total = Counter(), Counter(), sum(table.values())
+    for (a, b), k in table.items():
+        row[a] += k
+        column[b] += k
+    inside, members = Counter(), Counter()
+    for w, c in class_of.items():
+        inside[c] += count[w]
+        members[c] += 1
+    once = Counter(shape(w) for w in count if count[w] == 1)
+    for d, words in text.items():
+        want, before = 0.0, end
+        for w in [*words, None]:
+            c = end if w is None else class_of.get(w, n_classes + shape(w))
+            share = (column[c] + 1) / (total + size)
+            want += math.log10((table[before, c] + o.TRANSITION * size * share) / (row[before] + o.TRANSITION * size))
+            if w is not None:
+                want += math.log10((count[w] + o.ADDED) / (inside[c] + o.ADDED * members[c])) if w in class_of else -math.log10(once[c - n_classes] + 1)
+            before = c
+        assert abs(got[d] - want) < 1e-6, d
+
+
+def test_words_of_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(o, "HEAD", 5)
+    monkeypatch.setattr(o, "CLUSTERED", 6)
+    monkeypatch.setattr(o, "CLASSES", 3)
+    words = [f"w{i:02d}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(30)], "doc_id long, text string")
+    tokens, m, _ = o.fit(docs.selectExpr("cast(text as binary) b"))
+    assert m.classes == 3 and all(c < 3 for x in tokens.select("classes").collect() for c in list(x.classes)[:-1])
+    got = o.score_documents(docs).collect()
+    assert len(got) == 30 and all(np.isfinite(x.score) and x.n_known == 41 for x in got)
