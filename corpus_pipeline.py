@@ -8,13 +8,14 @@ the next stage is called, as `run` does: the next one deletes the scratch behind
 from __future__ import annotations
 
 import functools
+import threading
 
 import public_tokenizers
-from primeweft.llm.common import discard, made, materialize
 from primeweft.llm.op2_quality import keep_good
 from primeweft.llm.op3_jaccard import keep_one
 from primeweft.llm.op4_substrings import remove_repeats
 from primeweft.llm.op6_packing import pack_documents
+from primeweft.scratch import discard, named, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,25 +26,26 @@ WINDOW = 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Scratch folders of the stages so far.
-_used: list[str] = []
+#: Scratch folders of the last stages of each run: by application, thread and input.
+_pending: dict[tuple[str, int, str], list[str]] = {}
 
 
 def _stage(f):
-    """A stage that first deletes the scratch of earlier ones, whose results were written.
+    """A stage that first deletes the scratch of the run's earlier ones, whose results were written.
 
-    Folders that the documents themselves are read from stay.
+    Folders that the documents themselves are still read from stay.
     """
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run = (spark.sparkContext.applicationId, threading.get_ident(), sf_dir)
         files = docs.inputFiles()
-        over = [p for p in _used if p in made and not any(p.partition(":")[2].lstrip("/") in x for x in files)]
+        before = _pending.pop(run, [])
+        over = [p for p in before if not any(p.partition(":")[2].lstrip("/") in x for x in files)]
         discard(spark, over)
-        _used[:] = [p for p in _used if p in made]
-        before = len(made)
-        out = f(spark, docs, sf_dir)
-        _used.extend(made[before:])
+        with named() as paths:
+            out = f(spark, docs, sf_dir)
+        _pending[run] = [p for p in before if p not in over] + paths
         return out
 
     return run_stage
@@ -84,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{number}")
+            docs, _ = written(docs, f"stage-{number}")
     return docs

@@ -1,4 +1,4 @@
-"""Shared parts: scratch tables, Arrow batches, hashing.
+"""Shared parts: Arrow batches, words, hashing.
 
 Texts travel as UTF-8 bytes.  A *word* is a run of bytes other than space and
 ``\\t``..``\\r``, which is what ``bytes.split()`` returns.
@@ -6,11 +6,7 @@ Texts travel as UTF-8 bytes.  A *word* is a run of bytes other than space and
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..ship import ship
 
 U64 = np.uint64
@@ -26,51 +23,10 @@ U64 = np.uint64
 BLOCK = 1 << 20
 
 
-# ---------------------------------------------------------------- scratch space
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        made = tempfile.mkdtemp(prefix="primeweft-")
-        atexit.register(shutil.rmtree, made, True)
-        sc.setCheckpointDir("file://" + made)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the shared scratch space, deleted when Spark ends."""
-    path = f"{checkpoint_root(spark)}/primeweft/{tag}-{uuid.uuid4().hex}"
-    made.append(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-#: Folders that `scratch_path` named and nobody has discarded.
-made: list[str] = []
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes scratch folders that nothing reads any more."""
-    for path in paths:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        made.remove(path)
-
-
+# ---------------------------------------------------------------- Spark
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared scratch space and read back.
-
-    It cuts lineage: later stages reread files that all executors share, and
-    unique row ids made before it stay as they are.
-    """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a written table of the shared scratch space, which cuts its lineage."""
+    return written(df, tag)[0]
 
 
 def give_back() -> None:

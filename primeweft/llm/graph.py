@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, made, materialize
+from ..scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Vertices are of any type that can be ordered.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now, path = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         least = now.groupBy("a").agg(F.min("b").alias("m"))
         own = now.join(least, "a")
@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = own.select(F.explode(F.array(kept, hooked)).alias("e")).where("e is not null").select("e.x", "e.y", "e.moved")
         jumped = pairs.join(least.select(F.col("a").alias("y"), F.col("m").alias("z")), "y", "left")
         after = jumped.select(F.col("x").alias("a"), F.coalesce("z", "y").alias("b"), (F.col("moved") | F.col("z").isNotNull()).alias("moved"))
-        old = made[-1]
-        now = materialize(after.groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        old = path
+        now, path = written(after.groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
         discard(edges.sparkSession, [old])
         if not now.agg(F.max("moved")).first()[0]:
             return now.select("a", F.col("b").alias("root"))

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, scratch_path, text_bytes
+from ..scratch import path_of
+from .common import map_arrow, materialize, text_bytes
 from .store import PackWriter, RangeReader, place
 
 #: Lines of a compressed index block.
@@ -113,7 +114,8 @@ def parse(raw: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """Writes one record for each row; returns the captures (surt, page_id, file, start, length)."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_bytes(html).alias("payload")).withColumn("digest", F.sha1("payload"))
-    newest = rows.groupBy("digest").agg(F.max("page_id").alias("newest"))
+    # written, so that rows with one payload may be split among tasks by the join
+    newest = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("newest")), "digests")
     joined = rows.join(newest.hint("shuffle_hash"), "digest").select("page_id", "url", "payload", "newest")
 
     def write(batches):
@@ -232,7 +234,9 @@ def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def read_records(places: DataFrame, payloads: bool = False) -> DataFrame:
     """The records at (file, start, length), read in the order of the archives."""
-    ordered = places.withColumn("span", F.floor(F.col("start") / SPAN)).repartition("file", "span").sortWithinPartitions("file", "start").drop("span")
+    # a stated number of partitions: the places are few bytes, the records that they stand for are not
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.withColumn("span", F.floor(F.col("start") / SPAN)).repartition(parts, "file", "span").sortWithinPartitions("file", "start").drop("span")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
 
@@ -249,7 +253,7 @@ def read_records(places: DataFrame, payloads: bool = False) -> DataFrame:
 def archive_and_read(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, parts: int | None = None, payloads: bool = False) -> DataFrame:
     """Writes archives and index, then looks every row up and reads its record back."""
     spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
+    folder = path_of(spark, "warc")
     captures = write_archives(pages, folder, key, url, html, least)
     index = write_index(captures, folder, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     queries = pages.select(F.col(url).cast("string").alias("url"), F.col(key).cast("long").alias("page_id"))

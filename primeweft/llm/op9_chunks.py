@@ -9,6 +9,7 @@ each chunk, a join puts it into the ordered chunk lists, and readers follow the
 lists with range reads, check every chunk's digest and the file's, and compute
 features of the samples.
 
+A task remembers where it has put each chunk, as many as fit its partition's bytes.
 Null and empty texts are 64 zero bytes.  Repeated rows give repeated rows, equal
 texts equal values.  An empty table gives no rows.
 """
@@ -25,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_views, map_arrow, materialize, mix, scratch_path, text_bytes
+from ..scratch import path_of
+from .common import U64, binary_views, map_arrow, materialize, mix, text_bytes
 from .store import PackWriter, RangeReader
 
 SHORTEST, BITS, LONGEST = 256, 10, 8192
@@ -166,5 +168,5 @@ def read(lists: DataFrame, rows: DataFrame, key: str, media: bool = False) -> Da
 
 def media_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", media: bool = False) -> DataFrame:
     """Stores every text as chunked media and reads it back."""
-    rows = store(docs, scratch_path(docs.sparkSession, "packs"), key, text)
+    rows = store(docs, path_of(docs.sparkSession, "packs"), key, text)
     return read(deduplicate(rows), rows, key, media)

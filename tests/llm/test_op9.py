@@ -44,3 +44,12 @@ def test_round_trip(spark):
     assert all(hashlib.sha256(x.media).hexdigest() == x.media_sha256 and len(x.media) == x.media_bytes for x in got)
     assert len({(x.payload_sha256, x.feature, x.media_sha256) for x in got}) == len({x.payload_sha256 for x in got})
     assert o.media_documents(docs.limit(0)).count() == 0
+
+
+def test_feature_equals_brute_force():
+    r = random.Random(9)
+    for n in (1, 64, 640):
+        payload = bytes(r.choice([0, 127, 128, 129, 200, 255]) for _ in range(n))
+        x = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert o.feature(payload) == f"sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings};values={len(set(payload))}"
