@@ -2,8 +2,9 @@
 
 The sort key is (hash of the text, id, row): equal texts are neighbours.
 
-1. A size-weighted sample of keys (an exponential race of a fixed number of
-   winners) gives quantile boundaries of ``FINE`` ranges for each shard.
+1. A size-weighted sample of keys (an exponential race of ``SAMPLES`` winners for each
+   range) gives quantile boundaries of ``FINE`` ranges for each shard, or of more, so
+   that a range has ``ROWS`` rows on average at most.
 2. An aggregation finds the exact bytes of each range.  Overfull ranges are
    sampled again and subdivided, those of a single text by id, until none is
    over twice the mean.
@@ -33,6 +34,8 @@ from .common import map_arrow, materialize
 OVERHEAD = 16
 #: Ranges for each shard and samples for each range.
 FINE, SAMPLES = 16, 32
+#: Rows of a range on average at most.
+ROWS = 1 << 22
 #: Times that overfull ranges are subdivided at most; a range of one row can't be.
 ROUNDS = 12
 _LEAST = -(1 << 63)
@@ -103,9 +106,9 @@ def shard_rows(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str
         F.monotonically_increasing_id().alias("rid"),
     )
     rows = materialize(rows, "shard-keys")
-    total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
-    mean = max(1, -(-total // (shards * FINE)))
-    ranges = shards * FINE
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(shards * FINE, -(-count // ROWS))
+    mean = max(1, -(-total // ranges))
     drawn = _sample(rows, total, ranges * SAMPLES, 1)
     bounds: list[Bound] = sorted({(drawn[len(drawn) * i // ranges][0], _LEAST, _LEAST) for i in range(1, ranges)}) if drawn else []
     for turn in range(ROUNDS):

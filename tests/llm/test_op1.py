@@ -35,6 +35,19 @@ def test_hot_group_is_split_and_small_groups_stay(spark):
     assert len(where[zlib.crc32(pair.encode()), len(pair.encode()) + 16]) == 1
 
 
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    from primeweft.llm import op1_shards
+
+    monkeypatch.setattr(op1_shards, "FINE", 2)
+    monkeypatch.setattr(op1_shards, "ROWS", 50)
+    seen = []
+    located = op1_shards._located
+    monkeypatch.setattr(op1_shards, "_located", lambda rows, bounds, *more: seen.append(len(bounds)) or located(rows, bounds, *more))
+    rows = [(i, f"text {i * 7919}") for i in range(4000)]
+    check(rows, shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), 4)
+    assert min(seen) >= 70
+
+
 def test_small_and_odd_tables(spark, tmp_path):
     for rows in ([], [(1, "a")], [(1, "same")] * 50, [(i, "x" * (10_000 if i == 3 else 3)) for i in range(60)]):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
