@@ -1,4 +1,8 @@
-"""Command line: selftest, design, verify, select, grid, rerender."""
+"""Command line: whole runs (selftest, design, verify), the stages of a design, and data commands.
+
+Stages: anchor, project, design-candidates, stage-a, evaluate, aggregate.  Data: select
+(and fetch), grid, rerender, compare.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import align, pcr, project
-from .plans import reports, verify as plans
+from .plans import reports, stages, verify as plans
 from .scratch import written
-from .sources import readers
+from .sources import fetch, readers
 
 
 def _session() -> SparkSession:
@@ -74,6 +78,33 @@ def _digest(args: argparse.Namespace, *files: str) -> str:
     return hashlib.sha256(json.dumps([told, texts], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def _raw(args: argparse.Namespace) -> dict:
+    """The configuration, with the mode of the command line."""
+    raw = readers.load_config(args.config) if args.config else {}
+    mode = getattr(args, "mode", None)
+    return raw | {"dropout": (raw.get("dropout") or {}) | {"mode": mode}} if mode else raw
+
+
+def _flank(raw: dict) -> int:
+    return (raw.get("design") or {}).get("flank", 20_000)
+
+
+def _target(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """(target, text, bases) of coordinates on the backbone or another assembly, or of a file with one locus."""
+    target = spark.createDataFrame([("target", args.target, None)], "target string, text string, bases string")
+    if not re.match(r"^[^:\s]+:[\d,]+-[\d,]+$", args.target.strip()):
+        if not readers.exists(spark, args.target):
+            raise ValueError(f"{args.target} is neither coordinates nor a file")
+        whole = readers.whole_contigs(readers.read_fasta(spark, args.target)).orderBy("contig_idx")
+        return spark.createDataFrame([("target", None, "".join(r["sequence"] for r in whole.collect()))], "target string, text string, bases string")  # one locus
+    if args.target_assembly == "chm13":
+        return target
+    if not args.grch38:
+        raise ValueError("--grch38 is needed for its coordinates")
+    locus = target.select("target", "text", plans.parse_locus(F.col("text")).alias("l")).select("target", "text", F.col("l.chrom").alias("q_name"), F.col("l.start").alias("lo"), F.col("l.end").alias("hi"), F.lit("+").alias("strand"))
+    return project.fetch(locus, _chunks(spark, args.grch38), []).select("target", "text", "bases")
+
+
 def selftest(args: argparse.Namespace) -> int:
     spark = _session()
     cells = plans.example_cells(spark).cache()
@@ -132,31 +163,19 @@ def design(args: argparse.Namespace) -> int:
         return spark.read.parquet(path)
 
     backbone = _chunks(spark, args.backbone)
-    target = spark.createDataFrame([("target", args.target, None)], "target string, text string, bases string")
-    if not re.match(r"^[^:\s]+:[\d,]+-[\d,]+$", args.target.strip()):  # a file
-        text = "".join(r["sequence"] for r in readers.whole_contigs(readers.read_fasta(spark, args.target)).orderBy("contig_idx").collect())  # one locus
-        target = spark.createDataFrame([("target", None, text)], "target string, text string, bases string")
-    elif args.target_assembly != "chm13":
-        if not args.grch38:
-            raise ValueError("--grch38 is needed for its coordinates")
-        other = _chunks(spark, args.grch38)
-        locus = target.select("target", "text", plans.parse_locus(F.col("text")).alias("l")).select("target", "text", F.col("l.chrom").alias("q_name"), F.col("l.start").alias("lo"), F.col("l.end").alias("hi"), F.lit("+").alias("strand"))
-        target = project.fetch(locus, other, []).select("target", "text", "bases")
-    raw = readers.load_config(args.config) if args.config else {}
-    if args.mode:
-        raw = raw | {"dropout": (raw.get("dropout") or {}) | {"mode": args.mode}}
-    flank = (raw.get("design") or {}).get("flank", 20_000) if args.flank is None else args.flank
+    target = _target(spark, args)
+    raw = _raw(args)
+    flank = _flank(raw) if args.flank is None else args.flank
     at = plans.anchored(target, backbone).withColumnRenamed("target", "pair")
     wide = stage("anchor", at.select("pair", "chrom", "start", "end"))
     wide = plans.widened(wide, project.lengths_of(backbone, []), flank)
     template = stage("template", project.fetch(wide.select(F.lit("target").alias("template"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), backbone, []).select("template", F.col("bases").alias("sequence")))
     contigs = stage("contigs", _contigs(spark, args.samples))
     loci = stage("project", plans.projected(wide, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone, _grids(spark, args.samples)))
-    cut = project.fetch(loci.where("chrom is not null").select("haplotype", F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), contigs, ["haplotype"])
+    cut = project.fetch(loci.where("chrom is not null").select("haplotype", F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), "strand"), contigs, ["haplotype"], orient=True)
     windows = stage("windows", cut.select("haplotype", F.lit("window").alias("chrom"), F.lit(0).alias("contig_idx"), F.col("bases").alias("sequence")))
     alignments = stage("alignments", align.align_windows(template, windows))
-    aligned = alignments.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    cells, ranked = plans.design_run(template, windows, contigs, loci.drop("pair"), alignments, aligned, raw, args.top_k, stage=stage)
+    cells, ranked = plans.design_run(template, windows, contigs, loci.select("haplotype", "chrom", "start", "end"), alignments, raw, args.top_k, stage=stage)
     ranked = ranked.withColumn("summary", reports.summary_text())
     rows = reports.collected(cells, ranked, plans.config_of(raw).max_sites)
     print(f"{sum(r['passed'] for r in rows)} of {len(rows)} pairs pass")
@@ -164,25 +183,97 @@ def design(args: argparse.Namespace) -> int:
     return 0
 
 
+def anchor(args: argparse.Namespace) -> int:
+    spark = _session()
+    found = stages.anchor(spark, _target(spark, args), _chunks(spark, args.backbone), _flank(_raw(args)))
+    stages.save(found, args.out)
+    print(f"anchored {found['chrom']}:{found['start']}-{found['end']}")
+    return 0
+
+
+def project_stage(args: argparse.Namespace) -> int:
+    spark = _session()
+    one = lambda df: df.withColumn("haplotype", F.lit(args.haplotype)) if df is not None else None
+    beside = lambda suffix: p if readers.exists(spark, p := readers.sidecar(spark, args.fasta, suffix)) else None
+    blocks, grids = beside(".chm13.paf"), beside(".anchors.tsv.gz")
+    found = stages.project_one(spark, stages.load(args.anchor), args.haplotype, args.fasta, one(_chunks(spark, args.fasta)), one(readers.read_paf(spark, blocks)) if blocks else None, one(readers.read_grid(spark, grids)[0]) if grids else None)
+    stages.save(found, args.out)
+    print(f"{args.haplotype}: {found['reason']}")
+    return 0
+
+
+def design_candidates(args: argparse.Namespace) -> int:
+    made = stages.design_candidates(_session(), stages.load(args.anchor), [stages.load(p) for p in args.projection], _raw(args))
+    stages.save(made, args.out)
+    print(f"{len(made['excluded'])} regions masked, {len(made['candidates'])} candidates")
+    return 0
+
+
+def stage_a(args: argparse.Namespace) -> int:
+    made = stages.stage_a(_session(), stages.load(args.candidates), [stages.load(p) for p in args.projection], _raw(args), args.top_k)
+    stages.save(made, args.out)
+    print(f"{len(made['candidates'])} of {len(made['stage_a_coverage'])} candidates go on")
+    return 0
+
+
+def evaluate(args: argparse.Namespace) -> int:
+    spark = _session()
+    projection = stages.load(args.projection)
+    contigs = _chunks(spark, args.fasta or projection["fasta"]).withColumn("haplotype", F.lit(projection["hap_id"]))
+    made = stages.evaluate_one(spark, stages.load(args.candidates), projection, contigs, _raw(args))
+    stages.save(made, args.out)
+    print(f"{len(made['per_pair'])} pairs on {projection['hap_id']}")
+    return 0
+
+
+def aggregate(args: argparse.Namespace) -> int:
+    raw, found, results = _raw(args), stages.load(args.anchor), [stages.load(p) for p in args.result]
+    cells, ranked = stages.aggregate(_session(), stages.load(args.candidates), results, raw)
+    rows = reports.collected(cells, ranked.withColumn("summary", reports.summary_text()), plans.config_of(raw).max_sites)
+    print(f"{sum(r['passed'] for r in rows)} of {len(rows)} pairs pass")
+    print("\n".join(reports.write("design", rows, args.outdir, {"target": f"{found['chrom']}:{found['start']}-{found['end']}", "n_haplotypes": len(results), "n_pairs": len(rows)}, args.quarto).values()))
+    return 0
+
+
+def compare(args: argparse.Namespace) -> int:
+    told = stages.differences(stages.load(args.expected), stages.load(args.found))
+    print("\n".join(told) or "no difference")
+    return int(bool(told))
+
+
 def select(args: argparse.Namespace) -> int:
+    """Chooses haplotypes, tells what they need, writes their manifest and, if asked to, fetches them."""
     spark = _session()
     index = spark.read.csv(args.index, header=True).withColumn("haplotype", F.col("haplotype").cast("int")).withColumn("line_no", F.monotonically_increasing_id())
     records = readers.join_metadata(index, spark.read.csv(args.metadata, header=True))
     if args.sample:
-        chosen = records.where(F.col("sample_id").isin(args.sample)).orderBy("sample_id", "haplotype")
+        chosen = readers.by_sample(records.where(F.col("sample_id").isin(args.sample)))
     elif args.all:
-        chosen = records.orderBy("sample_id", "haplotype")
-    else:
+        chosen = readers.by_sample(records)
+    elif args.per_superpop:
         chosen = readers.select_diverse(records, args.per_superpop)
+    else:
+        chosen = fetch.default_subset(records)
     if args.limit:
         chosen = chosen.limit(args.limit)
     path = F.concat(F.lit(args.data_dir + "/"), "sample_id", F.lit("_hap"), "haplotype", F.lit(".fa.gz"))
-    rows = chosen.select("sample_id", "haplotype", "superpop", path.alias("path"), "population", "assembly", F.coalesce("genbank_accession", F.lit("")).alias("genbank")).collect()
+    optional = [F.col(c) if c in chosen.columns else F.lit(None).cast("string").alias(c) for c in ("assembly_md5", "assembly_fai")]
+    rows = chosen.select("sample_id", "haplotype", "superpop", path.alias("path"), "population", "assembly", F.coalesce("genbank_accession", F.lit("")).alias("genbank"), *optional).collect()
+    told = fetch.resources(len(rows), args.data_dir)
+    print(f"{len(rows)} haplotypes: {told.download_gb:.1f} GB to download, {told.indexed_gb:.1f} GB prepared")
+    if told.risky:
+        print(f"this host may not do: {told.free_disk_gb:.1f} GB of disk free" + (f", {told.memory_gb:.1f} GB of memory" if told.memory_gb else ""))
+        if args.fetch and not args.force:
+            raise ValueError("too few resources; --force goes on")
+    if args.fetch:
+        for r in rows:  # a file for each haplotype
+            fresh = fetch.download(r["assembly"], r["assembly_md5"], r["assembly_fai"], r["path"])
+            print(f"{r['path']}: {'fetched' if fresh else 'valid already'}")
     head = ["sample", "hap", "superpop", "local_path", "md5", "release", "population", "source_url", "genbank"]
+    sums = [fetch.md5_of(r["path"]) if args.fetch else "PENDING" for r in rows]
     with open(args.out, "w") as f:
         f.write("\t".join(head) + "\n")
-        f.writelines("\t".join([r["sample_id"], str(r["haplotype"]), r["superpop"], r["path"], "PENDING", "R2", r["population"], r["assembly"], r["genbank"]]) + "\n" for r in rows)
-    print(f"{len(rows)} haplotypes: {len(rows) * 1.0:.1f} GB to download, {len(rows) * 0.91:.1f} GB prepared")
+        f.writelines("\t".join([r["sample_id"], str(r["haplotype"]), r["superpop"], r["path"], md5, "R2", r["population"], r["assembly"], r["genbank"]]) + "\n" for r, md5 in zip(rows, sums, strict=True))
     return 0
 
 
@@ -207,10 +298,13 @@ def grid(args: argparse.Namespace) -> int:
 
 
 def rerender(args: argparse.Namespace) -> int:
-    with open(args.results) as f:
-        saved = json.load(f)
-    kind = "design" if saved["pairs"] and "passed" in saved["pairs"][0] else "verify"
-    print("\n".join(reports.write(kind, saved["pairs"], args.outdir, saved["provenance"], args.quarto).values()))
+    """Computes metrics and ranks of a saved report anew from its cells, and writes all its files."""
+    saved = stages.load(args.results)
+    cells, metrics = stages.rehydrated(_session(), saved, readers.load_config(args.config) if args.config else None)
+    cap = next((c["cap"] for p in saved["pairs"] for c in p["cells"] if c.get("cap") is not None), None)
+    rows = reports.collected(cells, metrics.withColumn("summary", reports.summary_text()), cap)
+    kind = "design" if rows and "passed" in rows[0] else "verify"
+    print("\n".join(reports.write(kind, rows, args.outdir, saved["provenance"], args.quarto).values()))
     return 0
 
 
@@ -242,14 +336,42 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--flank", type=int)
     c.add_argument("--top-k", type=int, default=5)
     c.add_argument("--quarto", action="store_true")
+    modes = ["thermo", "rule"]
+    steps = {
+        "anchor": [("--target", {}), ("--backbone", {}), ("--out", {})],
+        "project": [("--anchor", {}), ("--fasta", {}), ("--haplotype", {}), ("--out", {})],
+        "design-candidates": [("--anchor", {}), ("--projection", {"action": "append"}), ("--out", {})],
+        "stage-a": [("--candidates", {}), ("--projection", {"action": "append"}), ("--out", {})],
+        "evaluate": [("--candidates", {}), ("--projection", {}), ("--out", {})],
+        "aggregate": [("--anchor", {}), ("--candidates", {}), ("--result", {"action": "append"}), ("--outdir", {})],
+        "compare": [("--expected", {}), ("--found", {})],
+    }
+    for name, options in steps.items():
+        c = sub.add_parser(name)
+        for option, more in options:
+            c.add_argument(option, required=True, **more)
+        c.add_argument("--config")
+        if name in ("stage-a", "evaluate"):
+            c.add_argument("--mode", choices=modes)
+        if name == "anchor":
+            c.add_argument("--target-assembly", choices=["grch38", "chm13"], default="chm13")
+            c.add_argument("--grch38")
+        if name == "stage-a":
+            c.add_argument("--top-k", type=int, default=5)
+        if name == "evaluate":
+            c.add_argument("--fasta")
+        if name == "aggregate":
+            c.add_argument("--quarto", action="store_true")
     c = sub.add_parser("select")
     for name in ("--index", "--metadata", "--out"):
         c.add_argument(name, required=True)
     c.add_argument("--data-dir", default="data")
     c.add_argument("--sample", action="append")
     c.add_argument("--all", action="store_true")
-    c.add_argument("--per-superpop", type=int, default=1)
+    c.add_argument("--per-superpop", type=int, default=0)
     c.add_argument("--limit", type=int, default=0)
+    c.add_argument("--fetch", action="store_true")
+    c.add_argument("--force", action="store_true")
     c = sub.add_parser("grid")
     for name in ("--backbone", "--fasta", "--out"):
         c.add_argument(name, required=True)
@@ -259,14 +381,32 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("rerender")
     for name in ("--results", "--outdir"):
         c.add_argument(name, required=True)
+    c.add_argument("--config")
     c.add_argument("--quarto", action="store_true")
     return p
 
 
+COMMANDS = {
+    "selftest": selftest,
+    "design": design,
+    "verify": verify,
+    "anchor": anchor,
+    "project": project_stage,
+    "design-candidates": design_candidates,
+    "stage-a": stage_a,
+    "evaluate": evaluate,
+    "aggregate": aggregate,
+    "select": select,
+    "grid": grid,
+    "rerender": rerender,
+    "compare": compare,
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return {"selftest": selftest, "design": design, "verify": verify, "select": select, "grid": grid, "rerender": rerender}[args.command](args)
+        return COMMANDS[args.command](args)
     except (ValueError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

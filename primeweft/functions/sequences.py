@@ -72,6 +72,10 @@ def flanked(start: Column, end: Column, flank: int, length: Column) -> tuple[Col
     return F.greatest(F.lit(0).cast("long"), start - flank), F.least(length, end + flank)
 
 
+def haplotype_id(sample: Column, number: Column) -> Column:
+    return F.concat(sample, F.lit("#hap"), number)
+
+
 def s3_to_https(url: Column) -> Column:
     return F.regexp_replace(url, r"^s3://([^/]*)/?(.*)$", "https://$1.s3.amazonaws.com/$2")
 

@@ -114,13 +114,16 @@ def amplicons(sites: DataFrame, keys: list[str], least: int, most: int) -> DataF
 def statuses(grid: DataFrame, products: DataFrame, keys: list[str]) -> DataFrame:
     """``grid`` (keys, projected, capped, which, cap, dropout_reason) with status, reason and the sizes.
 
-    ``products``: keys, size, on_target.
+    ``products``: keys, size, on_target; with places, they are listed in ``products``.
     """
+    listed = [c for c in ("chrom", "start", "end") if c in products.columns]
+    each = F.array_sort(F.collect_list(F.struct(*listed, "size", "on_target"))).alias("products")
     per = products.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_products"),
         F.count_if("on_target").alias("n_on"),
         F.array_sort(F.collect_list(F.when(F.col("on_target"), F.col("size")))).alias("on_sizes"),
         F.array_sort(F.collect_list(F.when(~F.col("on_target"), F.col("size")))).alias("off_sizes"),
+        *([each] if len(listed) == 3 else []),
     )
     none = F.array().cast("array<bigint>")
     open_ = F.col("projected") & ~F.col("capped")
@@ -128,6 +131,9 @@ def statuses(grid: DataFrame, products: DataFrame, keys: list[str]) -> DataFrame
     joined = grid.join(per, keys, "left").withColumn("n_products", n).withColumn("n_on", on)
     for c in ("on_sizes", "off_sizes"):
         joined = joined.withColumn(c, F.when(open_, F.coalesce(c, none)).otherwise(none))
+    if len(listed) == 3:
+        no = F.array().cast(per.schema["products"].dataType)
+        joined = joined.withColumn("products", F.when(open_, F.coalesce("products", no)).otherwise(no))
     status = (
         F.when(~F.col("projected"), "uncertain")
         .when(F.col("capped"), "multi_product")
@@ -144,7 +150,7 @@ def statuses(grid: DataFrame, products: DataFrame, keys: list[str]) -> DataFrame
         .when(F.col("n_on") == 1, F.format_string("single on-target product %d bp", F.try_element_at("on_sizes", F.lit(1))))
         .otherwise(F.format_string("single off-target product %d bp", F.try_element_at("off_sizes", F.lit(1))))
     )
-    return joined.withColumn("status", status).withColumn("reason", reason).drop("dropout_reason", "which", "cap")
+    return joined.withColumn("status", status).withColumn("reason", reason).drop("dropout_reason", "which")
 
 
 def first_reasons(sites: DataFrame, keys: list[str], n: int = 3) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seqs
 from ..functions.thermo import oligo_tm
 from ..operators import design, mask, pcr, project
-from ..sources import readers
+from ..sources import fetch, readers
 from . import tables as t
+from .reports import cell_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -29,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_files  # noqa: F401 - its queries register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_files  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -186,17 +191,12 @@ def shortlist_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr.shortlist(t.metrics(spark, sf_dir), 10).select("pair", "coverage", "penalty")
 
 
-def _cell_text() -> Column:
-    parts = F.array_compact(F.array(F.when(F.size("on_sizes") > 0, _joined(F.col("on_sizes"))), F.when(F.size("off_sizes") > 0, F.concat(F.lit("off:"), _joined(F.col("off_sizes"))))))
-    return F.when(F.col("status") == "uncertain", "?").when(F.col("capped"), f">{t.CAP} binding sites").when(F.col("n_products") == 0, "dropout").otherwise(F.array_join(parts, " | "))
-
-
 _SQL_TEXT = f"CASE WHEN status = 'uncertain' THEN '?' WHEN capped THEN '>{t.CAP} binding sites' WHEN n_products = 0 THEN 'dropout' ELSE array_to_string(list_filter([CASE WHEN len(on_sizes) > 0 THEN array_to_string(on_sizes, ',') END, CASE WHEN len(off_sizes) > 0 THEN 'off:' || array_to_string(off_sizes, ',') END], lambda x: x IS NOT NULL), ' | ') END"
 
 
 @query(f"WITH {t.SQL_CELLS} SELECT pair, " + ", ".join(f"max(CASE WHEN haplotype = {h} THEN {_SQL_TEXT} END) AS h{h}" for h in range(8)) + " FROM cells GROUP BY pair")
 def verify_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = t.cells(spark, sf_dir).withColumn("text", _cell_text())
+    text = t.cells(spark, sf_dir).withColumn("text", cell_column())
     wide = text.groupBy("pair").pivot("haplotype", list(range(8))).agg(F.first("text"))
     return wide.select("pair", *[F.col(str(h)).alias(f"h{h}") for h in range(8)])
 
@@ -354,7 +354,8 @@ def select_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SQL_RECORDS + " SELECT superpop, count(*)::BIGINT AS n_haplotypes, count(DISTINCT sample_id)::BIGINT AS n_samples, count(*) * 1.0::DOUBLE AS download_gb, round_even(count(*) * 0.91::DOUBLE, 6) AS indexed_gb FROM full_ GROUP BY superpop")
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _records(spark, sf_dir).groupBy("superpop").agg(F.count(F.lit(1)).alias("n_haplotypes"), F.countDistinct("sample_id").alias("n_samples"))
-    return g.select("superpop", "n_haplotypes", "n_samples", (F.col("n_haplotypes") * F.lit(1.0)).alias("download_gb"), F.bround(F.col("n_haplotypes") * F.lit(0.91), 6).alias("indexed_gb"))
+    download, indexed = fetch.footprint(F.col("n_haplotypes"))
+    return g.select("superpop", "n_haplotypes", "n_samples", download.alias("download_gb"), indexed.alias("indexed_gb"))
 
 
 @query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 2")

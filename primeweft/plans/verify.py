@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequences import parse_locus, revcomp_text
+from ..functions.sequences import flanked, parse_locus, revcomp_text
 from ..functions.thermo import pair_tm
 from ..operators import design, mask, pcr, project
 
@@ -70,15 +70,18 @@ def anchored(targets: DataFrame, backbone: DataFrame) -> DataFrame:
 
 def widened(targets: DataFrame, lengths: DataFrame, pad: int = PAD) -> DataFrame:
     """``targets`` (chrom, start, end and more) with ``pad`` bases more on both sides, within their contig (chrom, length)."""
-    wide = targets.join(lengths.select("chrom", "length"), "chrom")
-    return wide.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("start") - pad)).withColumn("end", F.least(F.col("length").cast("long"), F.col("end") + pad)).drop("length")
+    wide = targets.join(lengths.select("chrom", F.col("length").cast("long").alias("length")), "chrom")
+    lo, hi = flanked(F.col("start"), F.col("end"), pad, F.col("length"))
+    return wide.withColumns({"start": lo, "end": hi}).drop("length")
 
 
-def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blocks: DataFrame | None, backbone: DataFrame, grids: DataFrame | None = None) -> DataFrame:
-    """(pair, haplotype, chrom, start, end) of every target on every haplotype; no chrom: not projectable.
+def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blocks: DataFrame | None, backbone: DataFrame | None, grids: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+    """(pair, haplotype, chrom, start, end, strand, reason) of every target on every haplotype; no chrom: not projectable.
 
     Haplotypes with alignment blocks are lifted, those with an anchor grid sought in the
     window that it gives, the others placed by shared k-mers of the whole assembly.
+    Lifted targets keep the block's strand; the others are taken as they lie.  The
+    targets' bases (pair, bases) come from the backbone where they aren't given.
     """
     every = haplotypes.select("haplotype").distinct()
     marks = lambda df, name: every.join(df.select("haplotype").distinct().withColumn(name, F.lit(True)), "haplotype", "left") if df is not None else every.withColumn(name, F.lit(None).cast("boolean"))
@@ -87,20 +90,37 @@ def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blo
     # every target is sought on every haplotype: both tables are small by nature
     cells = targets.join(routes.select("haplotype", by.alias("route")), how="cross")
     on = lambda name: cells.where(F.col("route") == name)
-    wanted = targets.select(F.col("pair").alias("target"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand"))
-    bases = project.fetch(wanted, backbone, []).select(F.col("target").alias("pair"), "bases")
-    places = ["pair", "haplotype", "chrom", "start", "end"]
+    if bases is None:
+        wanted = targets.select(F.col("pair").alias("target"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand"))
+        bases = project.fetch(wanted, backbone, []).select(F.col("target").alias("pair"), "bases")
+    places = ["pair", "haplotype", "chrom", "start", "end", "strand", "why"]
+    unturned = lambda df, why: df.withColumn("strand", F.lit("+")).withColumn("why", F.lit(why) if isinstance(why, str) else why)
     sought = on("kmers").select("haplotype", F.col("pair").alias("target"), "pair").join(bases, "pair").drop("pair")
     columns = ["haplotype", "chrom", "sequence", *(["base", "own"] if project.is_cut(contigs) else [])]
-    found = project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).withColumnRenamed("target", "pair").select(*places)
+    found = unturned(project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).withColumnRenamed("target", "pair").drop("strand"), "ok").select(*places)
     if blocks is not None:
         lifted = project.project_blocks(on("blocks").select("pair", "haplotype", "chrom", "start", "end"), blocks, ["pair", "haplotype"])
-        found = found.unionByName(lifted.select("pair", "haplotype", F.col("q_name").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end")))
+        found = found.unionByName(lifted.select("pair", "haplotype", F.col("q_name").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), "strand", F.lit("paf-cache").alias("why")))
     if grids is not None:
         own = on("grid").join(bases, "pair").withColumnRenamed("pair", "target").select("haplotype", "target", "chrom", "start", "end", "bases")
         in_window = project.project_grid(own, grids, contigs.select(*columns), ["haplotype"])
-        found = found.unionByName(in_window.where("chrom is not null").withColumnRenamed("target", "pair").select(*places))
-    return cells.select("pair", "haplotype").join(found, ["pair", "haplotype"], "left").select(*places)
+        found = found.unionByName(unturned(in_window.withColumnRenamed("target", "pair"), F.col("reason")).select(*places))
+    missing = F.when(F.col("route") == "blocks", "no cached alignment block covers the target").otherwise("target did not map confidently to this haplotype")
+    return cells.select("pair", "haplotype", "route").join(found, ["pair", "haplotype"], "left").select(*places[:-1], F.coalesce("why", missing).alias("reason"))
+
+
+def masked(template: DataFrame, alignments: DataFrame, raw: dict) -> DataFrame:
+    """(template, start, length) of the regions that primers avoid."""
+    m = raw.get("mask") or {}
+    n = template.select("template", F.length("sequence").alias("n"))
+    marks = mask.variants(alignments.join(n, "template"), F.col("n"))
+    aligned = alignments.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    return mask.excluded_regions(mask.pileup(marks), aligned, m.get("min_allele_freq", 0.05), m.get("merge_gap", 25), m.get("max_regions", mask.MAX_REGIONS)).select("template", "start", "length")
+
+
+def most_product(expected: Column, max_amplicon: int) -> Column:
+    """The largest product that counts: a larger expected one is never filtered out."""
+    return F.greatest(F.lit(max_amplicon), expected + PAD)
 
 
 def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Evaluation, max_amplicon: int = 2000, tolerance: int = 20, how: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -109,10 +129,10 @@ def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Ev
     Every pair has bounds of its own: at most max_amplicon, or its expected product
     and a pad; pairs are evaluated together for each bound.
     """
-    bounds = pairs.select(F.greatest(F.lit(max_amplicon), F.col("expected_size") + PAD).alias("most")).distinct().collect()  # a few sizes of a run
+    bounds = pairs.select(most_product(F.col("expected_size"), max_amplicon).alias("most")).distinct().collect()  # a few sizes of a run
     parts = []
     for b in bounds:
-        own = pairs.where(F.greatest(F.lit(max_amplicon), F.col("expected_size") + PAD) == b["most"])
+        own = pairs.where(most_product(F.col("expected_size"), max_amplicon) == b["most"])
         one = pcr.Evaluation(config.mode, config.max_mismatches, LEAST_PRODUCT, b["most"], config.max_sites, config.rule, config.thermo)
         parts.append(pcr.evaluate(own, contigs, loci.join(own.select("pair"), "pair", "left_semi"), one, how))
     cells = parts[0]
@@ -125,7 +145,7 @@ def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Ev
     return cells, summary
 
 
-def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci: DataFrame, alignments: DataFrame, aligned: DataFrame, raw: dict, top_k: int | None = 5, how: str | None = None, stage=lambda name, df: df) -> tuple[DataFrame, DataFrame]:
+def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci: DataFrame, alignments: DataFrame, raw: dict, top_k: int | None = 5, how: str | None = None, stage=lambda name, df: df) -> tuple[DataFrame, DataFrame]:
     """(cells, ranked) of primers designed on ``template`` (template, sequence).
 
     Variable positions are masked, candidates picked and evaluated on the projected
@@ -133,12 +153,7 @@ def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci
     candidates below it never reach.  ``stage(name, df)`` may write each stage and
     give it back, or an earlier run's.
     """
-    d = design_of(raw)
-    m = raw.get("mask") or {}
-    n = template.select("template", F.length("sequence").alias("n"))
-    marks = mask.variants(alignments.join(n, "template"), F.col("n"))
-    zones = mask.excluded_regions(mask.pileup(marks), aligned, m.get("min_allele_freq", 0.05), m.get("merge_gap", 25), m.get("max_regions", mask.MAX_REGIONS))
-    picked = stage("candidates", design.candidates(template, stage("regions", zones), d))
+    picked = stage("candidates", design.candidates(template, stage("regions", masked(template, alignments, raw)), design_of(raw)))
     config = config_of(raw)
     every = picked.select("pair").join(windows.select("haplotype", "chrom", F.lit(0).cast("long").alias("start"), F.length("sequence").cast("long").alias("end")), how="cross")
     stage_a = stage("stage_a", pcr.cell_summary(pcr.evaluate(picked, windows, every, config, how), ["pair"]).join(picked.select("pair", "penalty", "candidate_idx"), "pair"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import upper_ascii
+from ..functions.sequences import haplotype_id, upper_ascii
 from .fasta import bgzf_members, contig_lengths, inflate_member, qualified, read_fasta, whole_contigs  # noqa: F401
 
 # Accepted column names of primer tables.
@@ -58,7 +58,7 @@ def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFra
     if check:
         for r in rows.select("fasta").distinct().collect():  # a row for each haplotype
             scan_path(spark, r["fasta"])
-    return rows.select(F.concat("sample", F.lit("#hap"), "hap").alias("haplotype"), "fasta")
+    return rows.select(haplotype_id(F.col("sample"), F.col("hap")).alias("haplotype"), "fasta")
 
 
 def read_primers(spark: SparkSession, path: str) -> DataFrame:
@@ -147,6 +147,12 @@ def select_diverse(records: DataFrame, per: int = 1, superpops: tuple[str, ...]
     return out.orderBy("_o", "sample_id", "haplotype").drop("_o")
 
 
+def by_sample(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Records by sample and haplotype, all or the first ones."""
+    ordered = records.orderBy("sample_id", "haplotype")
+    return ordered.limit(limit) if limit else ordered
+
+
 def load_config(path: str) -> dict:
     """A YAML configuration from the driver's disk."""
     import yaml
