@@ -210,15 +210,27 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int, rounds: int = ROUN
 
 
 def neighbours(training: DataFrame, head, of: np.ndarray, clustered: int) -> DataFrame:
-    """(h, code, n): how often each word outside of the core has a class before (code: the class) or behind it (code: the number of classes + the class)."""
+    """(h, near): for each word outside of the core lists of codes (16 bits) and of how often it has them (32 bits).
+
+    A code is the class before it, or the number of classes + the class behind it.  A
+    task hands on a word's codes together.
+    """
     n = int(of[-1]) + 1
 
     def combined(parts):
         h, code = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((code, h))
         h, code = h[order], code[order]
-        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])))) if len(h) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed(h[new])), pa.array(code[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(h))))], names=["h", "code", "n"])
+        word = np.concatenate(([True], h[1:] != h[:-1]))
+        new = np.flatnonzero(word | np.concatenate(([True], code[1:] != code[:-1])))
+        counts = np.diff(np.append(new, len(h))).astype(np.int32)
+        words = np.flatnonzero(word)
+        cuts = np.append(np.searchsorted(new, words), len(new))
+
+        def packed(x: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((x.itemsize * cuts).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+        return pa.RecordBatch.from_arrays([pa.array(signed(h[words])), packed(code[new].astype(np.uint16)), packed(counts)], names=["h", "codes", "counts"])
 
     def count(batches):
         parts, size = [], 0
@@ -231,48 +243,78 @@ def neighbours(training: DataFrame, head, of: np.ndarray, clustered: int) -> Dat
                 symbol = np.where(symbol < 0, clustered + shapes(lowered, starts, ends), symbol)
                 tokens, _ = with_ends(of[symbol], first, n - 1)
                 at = far + doc_of(first)[far]
-                h = span_hashes(lowered, starts[far], ends[far])
-                parts.append((np.concatenate((h, h)), np.concatenate((tokens[at - 1], n + tokens[(at + 1) % len(tokens)]))))
+                if len(far):
+                    h = span_hashes(lowered, starts[far], ends[far])
+                    parts.append((np.concatenate((h, h)), np.concatenate((tokens[at - 1], n + tokens[(at + 1) % len(tokens)]))))
                 size += 2 * len(far)
-                if size > 2 * FLUSH:
+                if size > 4 * FLUSH:
                     yield combined(parts)
                     parts, size = [], 0
         if parts:
             yield combined(parts)
 
-    # all of a word is in one partition, so that both sums need no other exchange
-    by = map_arrow(training.select("b"), count, "h long, code int, n long").repartition("h")
-    return by.groupBy("h", "code").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("near"))
-
-
-def best_classes(owner: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, table: np.ndarray, classes: int) -> np.ndarray:
-    """For each word the class that it raises the likelihood most in, as `exchange` has it, with the table as it is."""
-    size = len(table)
-    xlogx = lambda x: x * np.log(np.maximum(x, 1))
-    both = np.concatenate((table[:, :classes], table[:classes].T))  # by code: before the class, behind it
-    sums = np.stack((table[:, :classes].sum(0), table[:classes].sum(1)))
-    gain = np.zeros((words, classes))
-    old = both[code]
-    np.add.at(gain, owner, xlogx(old + n[:, None]) - xlogx(old))
-    for side in (0, 1):
-        own = np.bincount(owner, np.where(code // size == side, n, 0), words)
-        gain -= xlogx(sums[side] + own[:, None]) - xlogx(sums[side])
-    return gain.argmax(1)
+    by = map_arrow(training.select("b"), count, "h long, codes binary, counts binary")
+    return by.groupBy("h").agg(F.collect_list(F.struct("codes", "counts")).alias("near"))
+
+
+class Gains:
+    """What words add to the likelihood in each class, with the table of the classes as it is; those of small counts are looked up."""
+
+    #: Counts whose gains are made beforehand: with a neighbour's class, of a word in all.
+    FEW, SOME = 8, 64
+
+    def __init__(self, table: np.ndarray, classes: int):
+        self.size = len(table)
+        self.both = np.concatenate((table[:, :classes], table[:classes].T))  # by code: before the class, behind it
+        self.sums = np.stack((table[:, :classes].sum(0), table[:classes].sum(1)))
+        self.pairs = np.stack([self._more(self.both, k) for k in range(self.FEW + 1)])
+        self.wholes = np.stack([self._more(self.sums, k) for k in range(self.SOME + 1)])
+
+    @staticmethod
+    def _more(old: np.ndarray, n) -> np.ndarray:
+        xlogx = lambda x: x * np.log(np.maximum(x, 1))
+        return xlogx(old + n) - xlogx(old)
+
+    def best(self, owner: np.ndarray, code: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+        """The best class of each word, as `exchange` has it; each has a code at least, some may have one repeatedly."""
+        summed = np.bincount(owner * len(self.both) + code, n, words * len(self.both))
+        at = np.flatnonzero(summed)
+        n, code = summed[at], at % len(self.both)
+        starts = np.searchsorted(at // len(self.both), np.arange(words))
+        few = np.minimum(n, self.FEW).astype(np.int64)
+        gain = self.pairs[few, code]
+        many = np.flatnonzero(n > self.FEW)
+        gain[many] = self._more(self.both[code[many]], n[many, None])
+        gain = np.add.reduceat(gain, starts, 0)
+        for side in (0, 1):
+            own = np.add.reduceat(np.where(code // self.size == side, n, 0), starts)
+            less = self.wholes[np.minimum(own, self.SOME).astype(np.int64), side]
+            many = np.flatnonzero(own > self.SOME)
+            less[many] = self._more(self.sums[side], own[many, None])
+            gain -= less
+        return gain.argmax(1)
 
 
 def assigned(near: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
     """(h, class) of words with their neighbours' counts."""
 
     def assign(batches):
+        gains = Gains(table, classes)
         for batch in batches:
             lists = batch.column(1)
-            offsets, items = np.asarray(lists.offsets, np.int64), lists.values
-            code, n = np.asarray(items.field("code"), np.int64), np.asarray(items.field("n"), np.float64)
+            items = lists.flatten()
+            raw, cuts = binary_views(items.field("codes"))
+            code = np.frombuffer(raw[cuts[0] : cuts[-1]].tobytes(), np.uint16).astype(np.int64)
+            # where each word's codes end
+            ends = (cuts - cuts[0])[np.cumsum(np.asarray(lists.value_lengths(), np.int64))] // 2
+            raw, cuts = binary_views(items.field("counts"))
+            n = np.frombuffer(raw[cuts[0] : cuts[-1]].tobytes(), np.int32)
+            owner = np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0))
             out = np.zeros(len(lists), np.int32)
-            for lo in range(0, len(lists), 500):
-                hi = min(lo + 500, len(lists))
-                a, b = offsets[lo], offsets[hi]
-                out[lo:hi] = best_classes(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), code[a:b], n[a:b], hi - lo, table, classes)
+            for lo in range(0, len(lists), 2000):
+                hi = min(lo + 2000, len(lists))
+                a, b = (ends[lo - 1] if lo else 0), ends[hi - 1]
+                out[lo:hi] = gains.best(owner[a:b] - lo, code[a:b], n[a:b], hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["h", "class"])
 
     return map_arrow(near, assign, "h long, class int")

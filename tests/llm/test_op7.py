@@ -153,3 +153,25 @@ def test_words_of_equal_counts(spark, monkeypatch):
     assert m.classes == 3 and all(c < 3 for x in tokens.select("classes").collect() for c in list(x.classes)[:-1])
     got = o.score_documents(docs).collect()
     assert len(got) == 30 and all(np.isfinite(x.score) and x.n_known == 41 for x in got)
+
+
+def test_gains_equal_their_definition():
+    rng = np.random.default_rng(4)
+    size, classes = 12, 5
+    table = rng.poisson(6.0, (size, size)).astype(float)
+    gains = o.Gains(table, classes)
+    words = [[(int(c), float(rng.choice([1, 2, 7, 8, 9, 40, 300]))) for c in rng.choice(2 * size, rng.integers(1, 9), replace=False)] for _ in range(200)]
+    # a count over one may come in two parts
+    flat = [(i, c, part) for i, w in enumerate(words) for c, n in w for part in ([n] if n == 1 else [1.0, n - 1])]
+    got = gains.best(*(np.array(x) for x in zip(*flat, strict=True)), len(words))
+    f = lambda x: x * math.log(x) if x > 1 else 0.0
+    for w, k in zip(words, got.tolist(), strict=True):
+        value = []
+        for c in range(classes):
+            before = [(a, n) for a, n in w if a < size]
+            behind = [(a - size, n) for a, n in w if a >= size]
+            v = sum(f(table[a, c] + n) - f(table[a, c]) for a, n in before) + sum(f(table[c, a] + n) - f(table[c, a]) for a, n in behind)
+            for side, total in ((before, table[:, c].sum()), (behind, table[c].sum())):
+                v -= f(total + sum(n for _, n in side)) - f(total)
+            value.append(v)
+        assert value[k] >= max(value) - 1e-6
