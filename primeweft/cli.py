@@ -1,7 +1,7 @@
 """Command line: whole runs (selftest, design, verify), the stages of a design, and data commands.
 
-Stages: anchor, project, design-candidates, stage-a, evaluate, aggregate.  Data: select
-(and fetch), grid, rerender, compare.
+Stages: anchor, project, design-candidates, stage-a, evaluate, aggregate; workflow runs
+them all.  Data: select (and fetch), grid, prepare (all grids), rerender, compare.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .operators import align, pcr, project
 from .plans import reports, stages, verify as plans
-from .scratch import written
+from .scratch import discard, written
 from .sources import fetch, readers
 
 
@@ -73,7 +73,7 @@ def _grids(spark: SparkSession, manifest: str) -> DataFrame | None:
 
 def _digest(args: argparse.Namespace, *files: str) -> str:
     """Tells runs apart by all their parameters and by the contents of small files."""
-    told = {k: v for k, v in vars(args).items() if k not in ("outdir", "stages", "quarto")}
+    told = {k: v for k, v in vars(args).items() if k not in ("outdir", "stages", "workdir", "quarto")}
     texts = [pathlib.Path(f).read_text() for f in files if f and pathlib.Path(f).exists()]
     return hashlib.sha256(json.dumps([told, texts], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
@@ -183,6 +183,12 @@ def design(args: argparse.Namespace) -> int:
     return 0
 
 
+def _beside(spark: SparkSession, path: str, suffix: str, read, haplotype: str) -> DataFrame | None:
+    """What ``read`` gives of an assembly's sidecar file, if there is one."""
+    found = readers.sidecar(spark, path, suffix)
+    return read(spark, found).withColumn("haplotype", F.lit(haplotype)) if readers.exists(spark, found) else None
+
+
 def anchor(args: argparse.Namespace) -> int:
     spark = _session()
     found = stages.anchor(spark, _target(spark, args), _chunks(spark, args.backbone), _flank(_raw(args)))
@@ -193,10 +199,9 @@ def anchor(args: argparse.Namespace) -> int:
 
 def project_stage(args: argparse.Namespace) -> int:
     spark = _session()
-    one = lambda df: df.withColumn("haplotype", F.lit(args.haplotype)) if df is not None else None
-    beside = lambda suffix: p if readers.exists(spark, p := readers.sidecar(spark, args.fasta, suffix)) else None
-    blocks, grids = beside(".chm13.paf"), beside(".anchors.tsv.gz")
-    found = stages.project_one(spark, stages.load(args.anchor), args.haplotype, args.fasta, one(_chunks(spark, args.fasta)), one(readers.read_paf(spark, blocks)) if blocks else None, one(readers.read_grid(spark, grids)[0]) if grids else None)
+    beside = lambda suffix, read: _beside(spark, args.fasta, suffix, read, args.haplotype)
+    contigs = _chunks(spark, args.fasta).withColumn("haplotype", F.lit(args.haplotype))
+    found = stages.project_one(spark, stages.load(args.anchor), args.haplotype, args.fasta, contigs, beside(".chm13.paf", readers.read_paf), beside(".anchors.tsv.gz", lambda s, p: readers.read_grid(s, p)[0]))
     stages.save(found, args.out)
     print(f"{args.haplotype}: {found['reason']}")
     return 0
@@ -226,12 +231,52 @@ def evaluate(args: argparse.Namespace) -> int:
     return 0
 
 
-def aggregate(args: argparse.Namespace) -> int:
-    raw, found, results = _raw(args), stages.load(args.anchor), [stages.load(p) for p in args.result]
-    cells, ranked = stages.aggregate(_session(), stages.load(args.candidates), results, raw)
+def _report(spark: SparkSession, found: dict, candidates: dict, results: list[dict], raw: dict, args: argparse.Namespace) -> int:
+    cells, ranked = stages.aggregate(spark, candidates, results, raw)
     rows = reports.collected(cells, ranked.withColumn("summary", reports.summary_text()), plans.config_of(raw).max_sites)
     print(f"{sum(r['passed'] for r in rows)} of {len(rows)} pairs pass")
-    print("\n".join(reports.write("design", rows, args.outdir, {"target": f"{found['chrom']}:{found['start']}-{found['end']}", "n_haplotypes": len(results), "n_pairs": len(rows)}, args.quarto).values()))
+    told = {"target": f"{found['chrom']}:{found['start']}-{found['end']}", "n_haplotypes": len(results), "n_pairs": len(rows)}
+    print("\n".join(reports.write("design", rows, args.outdir, told, args.quarto).values()))
+    return 0
+
+
+def aggregate(args: argparse.Namespace) -> int:
+    return _report(_session(), stages.load(args.anchor), stages.load(args.candidates), [stages.load(p) for p in args.result], _raw(args), args)
+
+
+def _ready(path: str, make) -> str:
+    """A step's record: made once for its parameters, which are in its path."""
+    if not pathlib.Path(path).exists():
+        record = make()
+        stages.save(record, path + ".part")
+        pathlib.Path(path + ".part").replace(path)
+    return path
+
+
+def workflow(args: argparse.Namespace) -> int:
+    """All steps over a manifest, one after the other; a run that was cut goes on from the records that it finds."""
+    spark, raw = _session(), _raw(args)
+    work = pathlib.Path(args.workdir) / _digest(args, args.config, args.samples)
+    work.mkdir(parents=True, exist_ok=True)
+    rows = readers.read_manifest(spark, args.samples).orderBy("haplotype").collect()  # a row for each haplotype
+    at = _ready(f"{work}/anchor.json", lambda: stages.anchor(spark, _target(spark, args), _chunks(spark, args.backbone), _flank(raw)))
+    own = lambda r: re.sub(r"[^A-Za-z0-9_.-]", "_", r["haplotype"])
+    contigs = lambda r: _chunks(spark, r["fasta"]).withColumn("haplotype", F.lit(r["haplotype"]))
+    beside = lambda r, suffix, read: _beside(spark, r["fasta"], suffix, read, r["haplotype"])
+    projections = [_ready(f"{work}/{own(r)}.projection.json", lambda r=r: stages.project_one(spark, stages.load(at), r["haplotype"], r["fasta"], contigs(r), beside(r, ".chm13.paf", readers.read_paf), beside(r, ".anchors.tsv.gz", lambda s, p: readers.read_grid(s, p)[0]))) for r in rows]
+    placed = [stages.load(p) for p in projections]
+    candidates = _ready(f"{work}/candidates.json", lambda: stages.design_candidates(spark, stages.load(at), placed, raw))
+    short = _ready(f"{work}/shortlist.json", lambda: stages.stage_a(spark, stages.load(candidates), placed, raw, args.top_k))
+    results = [_ready(f"{work}/{own(r)}.result.json", lambda r=r, p=p: stages.evaluate_one(spark, stages.load(short), p, contigs(r), raw)) for r, p in zip(rows, placed, strict=True)]
+    return _report(spark, stages.load(at), stages.load(short), [stages.load(p) for p in results], raw, args)
+
+
+def prepare(args: argparse.Namespace) -> int:
+    """The anchor grid of each haplotype of a manifest that has none yet."""
+    spark = _session()
+    for r in readers.read_manifest(spark, args.samples).orderBy("haplotype").collect():  # a row for each haplotype
+        path = readers.sidecar(spark, r["fasta"], ".anchors.tsv.gz")
+        grid(argparse.Namespace(backbone=args.backbone, fasta=r["fasta"], out=path, step=args.step, probe=args.probe, least=args.least, force=args.force))
     return 0
 
 
@@ -286,11 +331,13 @@ def grid(args: argparse.Namespace) -> int:
     backbone, hap = _chunks(spark, args.backbone, max(OVERLAP, args.probe)), _chunks(spark, args.fasta)
     probes = written(project.probes(backbone.select("chrom", "base", "own", "sequence"), args.step, args.probe, args.least), "probes")[0]
     sought = probes.select(F.concat_ws(":", "chrom", "at").alias("target"), F.col("probe").alias("bases"))
-    placed = project.kmer_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where("not ambiguous")
+    placed = project.kmer_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where(F.col("mapq") >= project.ANCHOR_MAPQ)
     name = r"^(.*):(\d+)$"
     start = F.regexp_extract("target", name, 2).cast("long")
     anchors = placed.select(F.regexp_extract("target", name, 1).alias("t_name"), start.alias("t_start"), (start + args.probe).alias("t_end"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand")
     anchors = written(anchors, "anchors")[0]
+    if args.force and readers.exists(spark, args.out):
+        discard(spark, [args.out])
     readers.write_grid(anchors, args.out, {"step": args.step, "probe": args.probe, "backbone": pathlib.Path(args.backbone).name})
     r = project.grid_statistics(probes, anchors).first()
     print(f"{r['n_anchors']} of {r['n_probes']} probes anchored ({r['anchored']:.1%})" + ("; under half, is this the right backbone?" if r["anchored"] < 0.5 else ""))
@@ -362,6 +409,15 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--fasta")
         if name == "aggregate":
             c.add_argument("--quarto", action="store_true")
+    c = sub.add_parser("workflow")
+    for name in ("--target", "--backbone", "--samples", "--workdir", "--outdir"):
+        c.add_argument(name, required=True)
+    c.add_argument("--target-assembly", choices=["grch38", "chm13"], default="chm13")
+    c.add_argument("--grch38")
+    c.add_argument("--mode", choices=modes)
+    c.add_argument("--config")
+    c.add_argument("--top-k", type=int, default=5)
+    c.add_argument("--quarto", action="store_true")
     c = sub.add_parser("select")
     for name in ("--index", "--metadata", "--out"):
         c.add_argument(name, required=True)
@@ -372,12 +428,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--limit", type=int, default=0)
     c.add_argument("--fetch", action="store_true")
     c.add_argument("--force", action="store_true")
-    c = sub.add_parser("grid")
-    for name in ("--backbone", "--fasta", "--out"):
-        c.add_argument(name, required=True)
-    for name, value in (("--step", project.STEP), ("--probe", project.PROBE), ("--least", project.MIN_CONTIG)):
-        c.add_argument(name, type=int, default=value)
-    c.add_argument("--force", action="store_true")
+    for command, needed in (("grid", ("--backbone", "--fasta", "--out")), ("prepare", ("--backbone", "--samples"))):
+        c = sub.add_parser(command)
+        for name in needed:
+            c.add_argument(name, required=True)
+        for name, value in (("--step", project.STEP), ("--probe", project.PROBE), ("--least", project.MIN_CONTIG)):
+            c.add_argument(name, type=int, default=value)
+        c.add_argument("--force", action="store_true")
     c = sub.add_parser("rerender")
     for name in ("--results", "--outdir"):
         c.add_argument(name, required=True)
@@ -396,6 +453,8 @@ COMMANDS = {
     "stage-a": stage_a,
     "evaluate": evaluate,
     "aggregate": aggregate,
+    "workflow": workflow,
+    "prepare": prepare,
     "select": select,
     "grid": grid,
     "rerender": rerender,

@@ -7,7 +7,8 @@ columns, strand, start, mismatches, offsets_3p.
   together, and chunks of longer ones that overlap by the longest primer as a reader
   has cut them.  Of a primer's first and last half one has at most k // 2 mismatches:
   a table of all such variants of the halves, indexed by the two-bit code of a window,
-  tells the few places that are compared in full.
+  tells the few places that are compared in full.  Where that table would be too large
+  (many mismatches and primers), the k + 1 segments as they are take its place.
 * ``seed_join``: an equi-join on k + 1 segments, one of which a hit matches
   exactly, for plans without Python.
 * ``expr``: windows times primers; for small fixtures, refused above a size.
@@ -77,6 +78,10 @@ SEED = 10
 STRIDE = 1 << 15
 _CODE = np.zeros(256, np.uint32)  # other characters count as A here: more candidates, never fewer
 _CODE[list(b"ACGT")] = range(4)
+_IS_BASE = np.zeros(256, bool)
+_IS_BASE[list(b"ACGT")] = True
+#: Entries of the tables of variants; with more, seeds that match exactly are used.
+ENTRIES = 1 << 24
 
 
 def _codes(code: np.ndarray, n: int) -> np.ndarray:
@@ -135,12 +140,18 @@ class Kernel:
         self.short = [i for i, r in enumerate(rows) if len(r) // 2 < 4 or len(r) <= k]  # too short for seeds
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by: dict[int, list[tuple[np.ndarray, int, int]]] = {}
-        for i, r in enumerate(rows):
-            if i in self.short:
-                continue
-            n = min(len(r) // 2, SEED)
-            for at in (0, len(r) - n):
-                by.setdefault(n, []).append((variants(_CODE[r[at : at + n]], k // 2), i, at))
+        seeded = [i for i in range(len(rows)) if i not in set(self.short)]
+        entries = sum(2 * len(_changes(min(len(rows[i]) // 2, SEED), k // 2)) for i in seeded)
+        for i in seeded:
+            r = rows[i]
+            if entries <= ENTRIES:
+                n = min(len(r) // 2, SEED)
+                for at in (0, len(r) - n):
+                    by.setdefault(n, []).append((variants(_CODE[r[at : at + n]], k // 2), i, at))
+            else:  # of k + 1 segments one is right
+                for at, end in _segments(len(r), k):
+                    n = min(end - at, SEED)
+                    by.setdefault(n, []).append((variants(_CODE[r[at : at + n]], 0), i, at))
         for n, seeds in by.items():
             code = np.concatenate([v for v, _, _ in seeds])
             pattern = np.concatenate([np.full(len(v), i) for v, i, _ in seeds])
@@ -199,7 +210,7 @@ def _kernel(patterns: list[tuple[str, str, str]], k: int) -> Kernel:
     return _KEPT[key]
 
 
-def _contigs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, upper-cased bytes, offsets) of runs of contigs of about ``TAKEN`` characters; a longer one is a run alone."""
     rows = pc.fill_null(column, "")
     if not pc.all(pc.equal(pc.binary_length(rows), pc.utf8_length(rows))).as_py():
@@ -216,6 +227,58 @@ def _contigs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         lo = hi
 
 
+class SeedTable:
+    """All k-mers of a few texts, both strands, sought in contigs."""
+
+    def __init__(self, texts: list[str], k: int):
+        self.k = k
+        codes, text_no, minus, q = [], [], [], []
+        for number, text in enumerate(texts):
+            for turned in (False, True):
+                data = np.frombuffer((revcomp_text(text) if turned else text).encode("ascii", "replace"), np.uint8)
+                at, own = self._kmers(data)
+                codes.append(own)
+                q.append(at)
+                text_no.append(np.full(len(at), number))
+                minus.append(np.full(len(at), turned))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        code = join(codes, np.uint32)
+        order = np.argsort(code, kind="stable")
+        self.codes = code[order]
+        self.text_no, self.minus, self.q = join(text_no, np.int64)[order], join(minus, bool)[order], join(q, np.int64)[order]
+        #: by a code's high bits, whether some text may have it
+        self.shift = np.uint32(max(0, 2 * k - 22))
+        self.wanted = np.zeros(1 << min(22, 2 * k), bool)
+        self.wanted[self.codes >> self.shift] = True
+
+    def _kmers(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, code) of each k-mer of bases alone."""
+        if len(data) < self.k:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        bad = np.concatenate(([0], np.cumsum(~_IS_BASE[data])))
+        at = np.flatnonzero(bad[self.k :] == bad[: -self.k])
+        return at, _codes(_CODE[data], self.k)[at]
+
+    def matches(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place in the text, contig, number of the sought text, whether turned, place in it) of each match within a contig."""
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for begin in range(0, max(0, len(text) - self.k + 1), STRIDE):
+            piece = text[begin : begin + STRIDE + self.k - 1]
+            rolled = _codes(_CODE[piece], self.k)
+            at = np.flatnonzero(self.wanted[rolled >> self.shift])
+            found[0].append(at + begin)
+            found[1].append(rolled[at])
+        at, code = (np.concatenate(x) for x in found)
+        contig = np.searchsorted(offsets, at, "right") - 1
+        bad = np.concatenate(([0], np.cumsum(~_IS_BASE[text])))
+        ok = (at + self.k <= offsets[contig + 1]) & (bad[np.minimum(at + self.k, len(text))] == bad[at])
+        at, code, contig = at[ok], code[ok], contig[ok]
+        lo = np.searchsorted(self.codes, code)
+        count = np.searchsorted(self.codes, code, "right") - lo
+        entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(at, count), np.repeat(contig, count), self.text_no[entry], self.minus[entry], self.q[entry]
+
+
 def _arrow(cut: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str], window: bool) -> DataFrame:
     names = [*keys, "query", "strand", "start", "mismatches", "offsets_3p", *["window"] * window]
 
@@ -223,7 +286,7 @@ def _arrow(cut: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: l
         kernel = _kernel(patterns, k)
         for batch in batches:
             base, own = (np.asarray(batch.column(len(keys) + j), np.int64) for j in range(2))
-            for lo, text, offsets in _contigs(batch.column(len(keys) + 2)):
+            for lo, text, offsets in runs_of(batch.column(len(keys) + 2)):
                 for p, contig, at, wrong in kernel.hits(text, offsets):
                     inside = at - offsets[contig]
                     mine = inside < own[lo + contig]

@@ -63,8 +63,11 @@ def anchored(targets: DataFrame, backbone: DataFrame) -> DataFrame:
     rows = placed.collect()
     if names - {r["target"] for r in rows}:
         raise ValueError("no place on the backbone for " + ", ".join(sorted(names - {r["target"] for r in rows})))
-    if any(r["ambiguous"] for r in rows):
-        raise AmbiguousAnchor("several places for " + ", ".join(r["target"] for r in rows if r["ambiguous"]))
+    place = lambda x: f"{x['chrom']}:{x['start']}-{x['end']}"
+    if doubtful := [r for r in rows if r["ambiguous"]]:
+        raise AmbiguousAnchor("several places for " + "; ".join(f"{r['target']}: " + ", ".join([place(r), *map(place, r["rivals"])]) for r in doubtful))
+    if unsure := [r["target"] for r in rows if r["mapq"] < project.ANCHOR_MAPQ]:
+        raise ValueError("no sure place on the backbone for " + ", ".join(unsure))
     return given.unionByName(placed.select("target", "chrom", "start", "end"))
 
 
@@ -97,7 +100,7 @@ def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blo
     unturned = lambda df, why: df.withColumn("strand", F.lit("+")).withColumn("why", F.lit(why) if isinstance(why, str) else why)
     sought = on("kmers").select("haplotype", F.col("pair").alias("target"), "pair").join(bases, "pair").drop("pair")
     columns = ["haplotype", "chrom", "sequence", *(["base", "own"] if project.is_cut(contigs) else [])]
-    found = unturned(project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).withColumnRenamed("target", "pair").drop("strand"), "ok").select(*places)
+    found = unturned(project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).where(F.col("mapq") >= project.MAPQ).withColumnRenamed("target", "pair").drop("strand"), "ok").select(*places)
     if blocks is not None:
         lifted = project.project_blocks(on("blocks").select("pair", "haplotype", "chrom", "start", "end"), blocks, ["pair", "haplotype"])
         found = found.unionByName(lifted.select("pair", "haplotype", F.col("q_name").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), "strand", F.lit("paf-cache").alias("why")))

@@ -72,6 +72,26 @@ def test_kmer_projection_finds_planted_places(spark):
     assert got["t"]["chrom"] == "a" and abs(got["t"]["start"] - 5000) < 60 and abs(got["t"]["end"] - 5400) < 60 and got["t"]["strand"] == "+"
     assert got["rc"]["strand"] == "-" and abs(got["rc"]["start"] - 5000) < 60
     assert got["two"]["ambiguous"] and not got["t"]["ambiguous"]
+    assert got["two"]["mapq"] == 0 and got["t"]["mapq"] == 60
+
+
+def test_both_ways_to_look_up_targets_agree(spark, monkeypatch):
+    r = random.Random(13)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    shared, rows = dna(150), []
+    for h in ("a", "b"):
+        for i in range(4):
+            text = list(dna(600) + shared + dna(200) + revcomp_text(shared) + dna(100))
+            for _ in range(20):
+                text[r.randrange(len(text))] = r.choice("ACGTNacgt")
+            rows.append((h, f"c{i}", "".join(text)))
+    rows += [("b", "short", "ACGT"), ("b", "none", None)]
+    contigs = spark.createDataFrame(rows, "haplotype string, chrom string, sequence string")
+    targets = spark.createDataFrame([(h, t, s) for h in ("a", "b", "c") for t, s in (("s", shared), ("low", shared.lower()), ("n", "N" * 40), ("part", shared[20:120]))], "haplotype string, target string, bases string")
+    get = lambda: sorted(map(str, project.kmer_projection(targets, contigs, ["haplotype"]).collect()))
+    found = get()
+    monkeypatch.setattr(project, "SENT", 0)
+    assert found == get() and len(found) == 6
 
 
 @pytest.mark.parametrize("sent", [project.SENT, 0])
@@ -86,7 +106,7 @@ def test_kmer_projection_of_a_target_with_many_copies(spark, monkeypatch, sent):
     rows.append(("once", dna(2000) + once + dna(10)))
     targets = spark.createDataFrame([("many", target), ("once", once)], "target string, bases string")
     got = {x["target"]: x.asDict() for x in project.kmer_projection(targets, spark.createDataFrame(rows, "chrom string, sequence string"), []).collect()}
-    assert got["many"] == {"target": "many", "chrom": "c000", "start": 30, "end": 230, "strand": "+", "span": 200, "votes": 186, "runner_up": 200, "ambiguous": True}
+    assert got["many"] == {"target": "many", "chrom": "c000", "start": 30, "end": 230, "strand": "+", "span": 200, "votes": 186, "runner_up": 200, "rivals": [], "ambiguous": True, "mapq": 0}
     assert (got["once"]["chrom"], got["once"]["start"], got["once"]["end"], got["once"]["votes"]) == ("once", 2000, 2260, 246)
 
 

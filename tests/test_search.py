@@ -51,3 +51,25 @@ def test_no_primers_and_unknown_strategy(spark):
     assert s.search(df, spark.createDataFrame([], "query string")).count() == 0
     with pytest.raises(ValueError):
         s.strategy("bwa")
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 5])
+def test_seeds_back_off_from_large_tables(spark, monkeypatch, k):
+    monkeypatch.setattr(s, "ENTRIES", 0)
+    r = random.Random(k)
+    text = "".join(r.choice("ACGT") for _ in range(3000))
+    primers = []
+    for _ in range(12):
+        at = r.randrange(2950)
+        p = list(text[at : at + 22])
+        for _ in range(r.randint(0, k)):
+            p[r.randrange(22)] = r.choice("ACGT")
+        primers.append("".join(p))
+    kernel = s.Kernel([(p, x, strand) for p in primers for x, strand in ((p, "+"), (revcomp_text(p), "-"))], k)
+    import numpy as np
+
+    got = []
+    for p, _, at, wrong in kernel.hits(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])):
+        got += [(kernel.queries[int(i)].as_py(), kernel.strands[int(i)].as_py(), int(a), int(w.sum())) for i, a, w in zip(p, at, wrong, strict=True)]
+    assert sorted(set(got)) == sorted({(p, strand, at, m) for p in primers for strand, at, m, _ in s.naive(text, p, k)})
+    assert max(len(t[2]) for t in kernel.tables.values()) <= (k + 1) * 24

@@ -60,6 +60,18 @@ def test_steps_lead_to_the_whole_run(spark, genome, monkeypatch):
     key = lambda p: (p["forward"], p["reverse"], p["passed"], p["coverage"], [(c["haplotype"], c["status"], c["on_sizes"]) for c in p["cells"]])
     assert [key(p) for p in steps] == [key(p) for p in whole]
 
+    # all steps by one command, which goes on from what it finds
+    flow = ("workflow", "--target", "chr1:2800-3400", "--backbone", at("bb.fa"), "--samples", at("s.tsv"), "--mode", "rule", "--config", at("c.yaml"), "--top-k", 3, "--workdir", at("work"), "--outdir", at("flow"))
+    assert run(*flow) == 0
+    assert [key(p) for p in json.load(open(at("flow/results.json")))["pairs"]] == [key(p) for p in steps]
+    records = {p.name: p.stat().st_mtime_ns for p in (genome / "work").rglob("*.json")}
+    assert len(records) == 9
+    next((genome / "work").rglob("h_hap2.result.json")).unlink()
+    assert run(*flow) == 0
+    again = {p.name: p.stat().st_mtime_ns for p in (genome / "work").rglob("*.json")}
+    assert {n for n in again if again[n] != records[n]} == {"h_hap2.result.json"}
+    assert "coverage" in open(at("flow/results.md")).read()
+
     # a saved report is computed anew from its cells
     saved = json.load(open(at("whole/results.json")))
     for c in saved["pairs"][0]["cells"]:
@@ -73,6 +85,13 @@ def test_steps_lead_to_the_whole_run(spark, genome, monkeypatch):
     assert run("compare", "--expected", at("whole/results.json"), "--found", at("again/results.json")) == 1
 
 
+def test_prepare_makes_each_grid_once(spark, genome, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    args = ["prepare", "--backbone", f"{genome}/bb.fa", "--samples", f"{genome}/s.tsv", "--step", "500", "--probe", "200", "--least", "1000"]
+    assert cli.main(args) == 0 and capsys.readouterr().out.count("probes anchored") == 3
+    assert cli.main(args) == 0 and capsys.readouterr().out.count("is there already") == 3
+
+
 def test_differences_are_told():
     cell = {"haplotype": "a", "status": "pass", "on_sizes": [5], "off_sizes": [], "size_flag": False, "capped": False, "reason": "x"}
     one = {"pairs": [{"pair": "p", "forward": "A", "cells": [cell]}, {"pair": "q", "cells": []}]}
