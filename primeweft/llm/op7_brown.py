@@ -230,7 +230,7 @@ def neighbours(training: DataFrame, head, of: np.ndarray, clustered: int) -> Dat
         def packed(x: np.ndarray) -> pa.Array:
             return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((x.itemsize * cuts).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
 
-        return pa.RecordBatch.from_arrays([pa.array(signed(h[words])), packed(code[new].astype(np.uint16)), packed(counts)], names=["h", "codes", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(h[words])), packed(code[new]), packed(counts)], names=["h", "codes", "counts"])
 
     def count(batches):
         parts, size = [], 0
@@ -245,9 +245,9 @@ def neighbours(training: DataFrame, head, of: np.ndarray, clustered: int) -> Dat
                 at = far + doc_of(first)[far]
                 if len(far):
                     h = span_hashes(lowered, starts[far], ends[far])
-                    parts.append((np.concatenate((h, h)), np.concatenate((tokens[at - 1], n + tokens[(at + 1) % len(tokens)]))))
+                    parts.append((np.concatenate((h, h)), np.concatenate((tokens[at - 1], n + tokens[(at + 1) % len(tokens)])).astype(np.uint16)))
                 size += 2 * len(far)
-                if size > 4 * FLUSH:
+                if size > 2 * FLUSH:
                     yield combined(parts)
                     parts, size = [], 0
         if parts:
