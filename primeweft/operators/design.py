@@ -74,9 +74,11 @@ def oligos(templates: DataFrame, excluded: DataFrame, d: Design) -> DataFrame:
     hit = (cut["template"] == zones["template"]) & (F.floor(cut["start"] / bucket) == zones["bucket"]) & overlaps(cut["start"], cut["start"] + cut["length"], zones["x_start"], zones["x_end"])
     free = cut.join(zones, hit, "left_anti")
     scored = free.withColumn("tm", oligo_tm(F.col("plus"))).where(F.col("tm").between(d.tm_min, d.tm_max)).withColumn("minus", revcomp(F.col("plus")))
-    penalty = F.abs(F.col("tm") - d.tm_opt) + F.abs(F.col("length") - d.length_opt)
+    # rounded, so that equal penalties stay equal in sums
+    penalty = F.round(F.abs(F.col("tm") - d.tm_opt) + F.abs(F.col("length") - d.length_opt), 6)
     # an end and its hairpins are those of the strand that the primer is on
-    return scored.select("template", "start", "length", "plus", "minus", penalty.alias("penalty"), is_usable(F.col("plus"), d).alias("left_ok"), is_usable(F.col("minus"), d).alias("right_ok")).where("left_ok or right_ok")
+    runs = F.transform(F.sequence(F.lit(1), F.length("plus") - d.max_dimer + 1), lambda i: F.substring(F.col("plus"), i, F.lit(d.max_dimer)))
+    return scored.withColumn("runs", runs).select("template", "start", "length", "plus", "minus", "runs", penalty.alias("penalty"), is_usable(F.col("plus"), d).alias("left_ok"), is_usable(F.col("minus"), d).alias("right_ok")).where("left_ok or right_ok")
 
 
 def candidates(templates: DataFrame, excluded: DataFrame, d: Design = Design()) -> DataFrame:  # noqa: B008
@@ -86,15 +88,19 @@ def candidates(templates: DataFrame, excluded: DataFrame, d: Design = Design())
     """
     o = oligos(templates, excluded, d)
     size = F.lit(d.product_max)
-    left = o.where("left_ok").select("template", F.col("start").alias("left_start"), F.col("length").alias("left_length"), F.col("plus").alias("forward"), F.col("penalty").alias("p_left"))
+    left = o.where("left_ok").select("template", F.col("start").alias("left_start"), F.col("length").alias("left_length"), F.col("plus").alias("forward"), F.col("penalty").alias("p_left"), F.col("runs").alias("left_runs"))
     left = left.withColumn("bucket", F.explode(F.array(F.floor(F.col("left_start") / size), F.floor(F.col("left_start") / size) + 1)))
-    right = o.where("right_ok").select("template", F.col("start").alias("right_start"), F.col("length").alias("right_length"), F.col("minus").alias("reverse"), F.col("penalty").alias("p_right"))
+    right = o.where("right_ok").select("template", F.col("start").alias("right_start"), F.col("length").alias("right_length"), F.col("minus").alias("reverse"), F.col("plus").alias("other"), F.col("penalty").alias("p_right"), F.col("runs").alias("right_runs"))
     right = right.withColumn("right_end", F.col("right_start") + F.col("right_length")).withColumn("bucket", F.floor(F.col("right_end") / size))
-    pairs = left.join(right, ["template", "bucket"]).withColumn("product", F.col("right_end") - F.col("left_start"))
+    # a stated number of partitions: few templates make very many pairs
+    n = int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(n, "template", "bucket").join(right.repartition(n, "template", "bucket"), ["template", "bucket"]).withColumn("product", F.col("right_end") - F.col("left_start"))
     ok = pairs.where(F.col("product").between(d.product_min, d.product_max) & (F.col("left_start") + F.col("left_length") <= F.col("right_start")))
-    f, r = F.col("forward"), F.col("reverse")
-    apart = ~pairs_with(f, r, d.max_dimer) & ~end_pairs_with(f, r, d.max_end) & ~end_pairs_with(r, f, d.max_end)
-    scored = ok.withColumn("penalty", F.col("p_left") + F.col("p_right")).where(apart)
+    # a reverse primer pairs with what its place on the plus strand has
+    f, other = F.col("forward"), F.col("other")
+    ends = other.contains(F.substring(f, -d.max_end, d.max_end)) | f.contains(F.substring(other, 1, d.max_end))
+    apart = ~ends & ~F.arrays_overlap("left_runs", "right_runs")
+    scored = ok.withColumn("penalty", F.round(F.col("p_left") + F.col("p_right"), 6)).where(apart)
     order = Window.partitionBy("template").orderBy("penalty", "left_start", "left_length", "right_start", "right_length")
     top = scored.withColumn("candidate_idx", F.row_number().over(order) - 1).where(F.col("candidate_idx") < d.n_candidates)
     return top.withColumn("pair", F.concat("template", F.lit("_pair"), F.col("candidate_idx"))).select("template", "pair", "candidate_idx", "forward", "reverse", "left_start", "left_length", "right_start", "right_length", "product", "penalty")

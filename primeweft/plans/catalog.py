@@ -313,20 +313,62 @@ def fetch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.fetch(i, c, [], orient=True).select(F.col("q_name").alias("doc_id"), "lo", "hi", "bases")
 
 
-@query()
+_SQL_KMERS = f"""WITH tg AS (SELECT item_id, replace({t.sql_encode('text')}, 'N', 'A') AS s FROM benchmark),
+o AS (SELECT item_id, length(s) AS length, '+' AS strand, s FROM tg UNION ALL SELECT item_id, length(s), '-', {t.sql_revcomp('s')} FROM tg),
+tk AS (SELECT item_id, length, strand, q, substr(s, q + 1, 15) AS kmer FROM (SELECT *, unnest(range(0, length(s) - 14)) AS q FROM o)),
+ck AS (SELECT doc_id AS chrom, a, substr(s, a + 1, 15) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 14)) AS a FROM (SELECT doc_id, replace({t.sql_encode("coalesce(text, '')")}, 'N', 'A') AS s FROM documents))),
+pairs AS (SELECT item_id, length, strand, q, chrom, a, floor((a - q) / 15.0)::BIGINT AS band FROM ck JOIN (SELECT * FROM tk) USING (kmer)),
+wide AS (SELECT * FROM pairs UNION ALL SELECT * REPLACE (band - 1 AS band) FROM pairs),
+hits AS (SELECT item_id, length, strand, chrom, band, count(*) AS votes, max(q) + 15 - min(q) AS span, min(a) AS start, max(a) + 15 AS stop FROM wide GROUP BY ALL),
+good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, chrom, strand, start ORDER BY span DESC, band) AS j FROM hits WHERE span >= 0.8 * length) WHERE j = 1),
+places AS (SELECT *, count(*) OVER (PARTITION BY item_id, span) AS n, row_number() OVER (PARTITION BY item_id ORDER BY span DESC, votes DESC, chrom, start, strand, stop) AS k, max(span) OVER (PARTITION BY item_id) AS top FROM good),
+nexts AS (SELECT item_id, max(span) AS next FROM places WHERE span < top GROUP BY item_id),
+best AS (SELECT *, CASE WHEN n > 1 THEN span ELSE next END AS runner_up FROM places LEFT JOIN nexts USING (item_id) WHERE k = 1)
+SELECT item_id AS target, chrom, start::BIGINT AS start, stop::BIGINT AS stop, strand, span::BIGINT AS span, votes::BIGINT AS votes, coalesce(runner_up, 0)::BIGINT AS runner_up, coalesce(runner_up, 0) >= 0.95 * span AS ambiguous,
+  least(60, greatest(0, floor(40.0::DOUBLE * (1 - coalesce(runner_up, 0)::DOUBLE / span) * least(1.0::DOUBLE, votes::DOUBLE / 10) * ln(span::DOUBLE))))::BIGINT AS mapq FROM best"""
+
+
+@query(_SQL_KMERS)
 def kmer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: placements come of votes on bands; tests hold them against known places."""
     b = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), seqs.encode_text(F.col("text")).alias("bases"))
     c = t.contigs(spark, sf_dir).select(F.col("contig").alias("chrom"), F.regexp_replace("sequence", "N", "A").alias("sequence"))
-    return project.kmer_projection(b.withColumn("bases", F.regexp_replace("bases", "N", "A")), c, [])
+    found = project.kmer_projection(b.withColumn("bases", F.regexp_replace("bases", "N", "A")), c, [])
+    whole = lambda x: F.col(x).cast("long").alias(x)
+    return found.select("target", "chrom", whole("start"), F.col("end").cast("long").alias("stop"), "strand", whole("span"), whole("votes"), F.coalesce("runner_up", F.lit(0)).cast("long").alias("runner_up"), "ambiguous", whole("mapq"))
 
 
-@query()
+def _sql_has(n: int, x: str, y: str) -> str:
+    """Whether n characters in a row of x are in y."""
+    return f"len(list_filter(range(1, greatest(1, length({x}) - {n - 1}) + 1), lambda i: length({x}) >= {n} AND contains({y}, substr({x}, i, {n})))) > 0"
+
+
+def _sql_usable(x: str, other: str) -> str:
+    """`design.is_usable` of x, whose reverse complement is ``other``."""
+    hairpin = f"len(list_filter(range(1, greatest(1, length({x}) - 14) + 1), lambda i: contains(substr({x}, i + 9), reverse(translate(substr({x}, i, 6), 'ACGT', 'TGCA'))))) > 0"
+    poly = " OR ".join(f"contains({x}, '{c * 6}')" for c in "ACGT")
+    return f"(100.0 * length(regexp_replace({x}, '[^GC]', '', 'g')) / length({x}) BETWEEN 20 AND 80 AND NOT ({poly}) AND NOT {_sql_has(8, x, other)} AND NOT contains({other}, right({x}, 6)) AND NOT {hairpin})"
+
+
+_SQL_PICKED = f"""WITH tpl AS (SELECT item_id::VARCHAR AS template, replace({t.sql_encode('text')}, 'N', 'C') AS s FROM benchmark),
+w AS (SELECT template, i AS start, n AS length, substr(s, i + 1, n) AS plus FROM (SELECT template, s, n, unnest(range(0, length(s) - n + 1)) AS i FROM (SELECT template, s, unnest(range(18, 28)) AS n FROM tpl))),
+tm AS (SELECT *, {t.sql_tm('plus')} AS tm, {t.sql_revcomp('plus')} AS minus FROM w),
+ok AS (SELECT *, round(abs(tm - 60) + abs(length - 20), 6) AS penalty FROM tm WHERE tm BETWEEN 57 AND 63),
+j AS (SELECT *, {_sql_usable('plus', 'minus')} AS left_ok, {_sql_usable('minus', 'plus')} AS right_ok FROM ok),
+pairs AS (SELECT l.template, l.plus AS forward, r.minus AS reverse, l.start AS left_start, l.length AS left_length, r.start AS right_start, r.length AS right_length, r.start + r.length - l.start AS product, round(l.penalty + r.penalty, 6) AS penalty, r.plus AS other
+  FROM j l JOIN j r ON l.template = r.template AND l.left_ok AND r.right_ok AND r.start + r.length - l.start BETWEEN 100 AND 300 AND l.start + l.length <= r.start),
+apart AS (SELECT * FROM pairs WHERE NOT {_sql_has(8, 'forward', 'other')} AND NOT contains(other, right(forward, 6)) AND NOT contains(reverse(translate(forward, 'ACGT', 'TGCA')), right(reverse, 6))),
+top AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY penalty, left_start, left_length, right_start, right_length) - 1 AS k FROM apart)
+SELECT template, template || '_pair' || k AS pair, k::BIGINT AS candidate_idx, forward, reverse, left_start::BIGINT AS left_start, left_length::BIGINT AS left_length, right_start::BIGINT AS right_start, right_length::BIGINT AS right_length, product::BIGINT AS product, penalty FROM top WHERE k < 5"""
+
+
+@query(_SQL_PICKED)
 def primer_picking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: every window of ten lengths, scored and paired; tests hold it against a direct search."""
+    """The five best pairs of each passage, which is the feature."""
     b = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("template"), F.regexp_replace(seqs.encode_text(F.col("text")), "N", "C").alias("sequence"))
     x = spark.createDataFrame([], "template string, start long, length long")
-    return design.candidates(b, x, design.Design(n_candidates=5))
+    found = design.candidates(b, x, design.Design(n_candidates=5))
+    whole = [F.col(c).cast("long").alias(c) for c in ("candidate_idx", "left_start", "left_length", "right_start", "right_length", "product")]
+    return found.select("template", "pair", "forward", "reverse", *whole, "penalty")
 
 
 # ---------------------------------------------------------------- manifests

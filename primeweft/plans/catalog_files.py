@@ -185,9 +185,9 @@ def manifest_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.by_sample(c, 25)
 
 
-@query("SELECT sample_id, haplotype FROM (VALUES " + ", ".join(f"('{s}', 1)" for s in fetch.DEFAULT_SAMPLES) + ") v(sample_id, haplotype)")
+@query("SELECT sample_id, haplotype FROM (VALUES " + ", ".join(f"('{s}', 1::BIGINT)" for s in fetch.DEFAULT_SAMPLES) + ") v(sample_id, haplotype)")
 def default_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default haplotypes, found among the customers' ones and second haplotypes of their own."""
-    c = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.lit(1).alias("haplotype"))
-    own = spark.createDataFrame([(s, h) for s in fetch.DEFAULT_SAMPLES for h in (1, 2)], "sample_id string, haplotype int")
+    c = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.lit(1).cast("long").alias("haplotype"))
+    own = spark.createDataFrame([(s, h) for s in fetch.DEFAULT_SAMPLES for h in (1, 2)], "sample_id string, haplotype long")
     return fetch.default_subset(c.unionByName(own))

@@ -133,7 +133,7 @@ def test_candidates_equal_a_direct_search(spark):
 
     windows = [(i, n) for i in range(len(text)) for n in range(18, 28) if i + n <= len(text)]
     tms = spark.createDataFrame([(text[i : i + n],) for i, n in windows], "s string").select(oligo_tm(F.col("s"))).collect()
-    ok = [(i, n, abs(tm[0] - 60) + abs(n - 20)) for (i, n), tm in zip(windows, tms, strict=True) if 57 <= tm[0] <= 63 and (i + n <= 100 or i >= 120)]
+    ok = [(i, n, round(abs(tm[0] - 60) + abs(n - 20), 6)) for (i, n), tm in zip(windows, tms, strict=True) if 57 <= tm[0] <= 63 and (i + n <= 100 or i >= 120)]
     runs = lambda x, n: {x[i : i + n] for i in range(len(x) - n + 1)}
 
     def usable(s):
@@ -145,7 +145,7 @@ def test_candidates_equal_a_direct_search(spark):
 
     left = [x for x in ok if usable(text[x[0] : x[0] + x[1]])]
     right = [x for x in ok if usable(revcomp_text(text[x[0] : x[0] + x[1]]))]
-    pairs = sorted((a[2] + b[2], a[0], a[1], b[0], b[1]) for a in left for b in right if 80 <= b[0] + b[1] - a[0] <= 200 and a[0] + a[1] <= b[0] and apart(text[a[0] : a[0] + a[1]], revcomp_text(text[b[0] : b[0] + b[1]])))[:15]
+    pairs = sorted((round(a[2] + b[2], 6), a[0], a[1], b[0], b[1]) for a in left for b in right if 80 <= b[0] + b[1] - a[0] <= 200 and a[0] + a[1] <= b[0] and apart(text[a[0] : a[0] + a[1]], revcomp_text(text[b[0] : b[0] + b[1]])))[:15]
     assert [(round(x["penalty"], 6), x["left_start"], x["left_length"], x["right_start"], x["right_length"]) for x in got] == [(round(p[0], 6), *p[1:]) for p in pairs]
     assert got[0]["pair"] == "t_pair0" and got[0]["reverse"] == revcomp_text(text[got[0]["right_start"] :][: got[0]["right_length"]])
 
