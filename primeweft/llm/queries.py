@@ -11,6 +11,7 @@ from .common import spread, texts
 from .op1_shards import shard_rows
 from .op2_quality import quality
 from .op10_url_templates import judge_urls
+from .op11_winnowing import winnow
 from .op3_jaccard import jaccard_components
 from .op4_substrings import remove_repeats
 from .op5_warc import archive_and_read
@@ -65,8 +66,12 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(texts(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates, op11_winnowing)}
 
 
 # ---------------------------------------------------------------- the same in SQL
