@@ -131,6 +131,8 @@ def winnow(docs: DataFrame, k: int = K, w: int = W, piece: int = PIECE) -> DataF
     positions are bytes up to 2^31.  An empty table gives no rows.  Other columns, whatever
     their names, are left out.
     """
+    if min(k, w) < 2:
+        raise ValueError("k-grams and windows have at least 2 members")
     base = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     ordered = Window.partitionBy("bucket").orderBy("ghost", "order", "tie")
     both = with_next(base).select("bucket", "ghost", "doc_id", "t", F.lead("t").over(ordered).alias("next"), F.row_number().over(ordered).alias("row"))

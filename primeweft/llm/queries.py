@@ -12,6 +12,7 @@ from .op1_shards import shard_rows
 from .op2_quality import quality
 from .op10_url_templates import judge_urls
 from .op11_winnowing import winnow
+from .op12_collocations import collocations
 from .op3_jaccard import jaccard_components
 from .op4_substrings import remove_repeats
 from .op5_warc import archive_and_read
@@ -70,8 +71,12 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(spread(texts(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spread(texts(spark, sf_dir, "documents", "lang", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates, op11_winnowing)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_jaccard, op4_substrings, op5_warc, op6_packing, op7_brown, op8_byte_bpe, op9_chunks, op10_url_templates, op11_winnowing, op12_collocations)}
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -110,11 +115,30 @@ d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, array_to_string(list_t
   max(page_id) OVER (PARTITION BY h) AS newest FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM d"""
 
+_COLLOCATION_SQL = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+split AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+tok AS (SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM split),
+runs AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM tok WINDOW s AS (PARTITION BY id ORDER BY pos)),
+one AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM runs GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+longer AS (SELECT lang, w1, w2, max(f) AS m FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cut2 AS (SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+  LEFT JOIN longer g ON g.lang = t.lang AND g.w1 = t.w1 AND g.w2 = t.w2 WHERE coalesce(100 * g.m < 50 * t.f, TRUE)),
+cut3 AS (SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2 FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM (SELECT * FROM cut2 UNION ALL SELECT * FROM cut3)),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; tests hold the others against brute force.
 
     The others hang on hashes and samples (1), trained references (2), the packing
-    plan (6), the model (7), merges (8), stored media (9) and learnt templates (10).
+    plan (6), the model (7), merges (8), stored media (9), learnt templates (10) and
+    hashes (11).
     """
-    return {"op3_jaccard": _JACCARD_SQL, "op4_substrings": _SUBSTRING_SQL, "op5_warc": _WARC_SQL}
+    return {"op12_collocations": _COLLOCATION_SQL, "op3_jaccard": _JACCARD_SQL, "op4_substrings": _SUBSTRING_SQL, "op5_warc": _WARC_SQL}
