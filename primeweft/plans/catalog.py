@@ -167,7 +167,7 @@ def console_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANKING = pcr.Ranking(min_coverage=0.5, max_off_target=1, max_multi_product=1, min_evaluable=1)
-_SQL_RANKED = f"""WITH {t.SQL_METRICS},
+SQL_RANKED = f"""WITH {t.SQL_METRICS},
 told AS (SELECT *, list_filter([
   CASE WHEN evaluable < 1 THEN 'only ' || evaluable || ' evaluable haplotypes (< 1); ' || n_uncertain || ' uncertain' END,
   CASE WHEN coverage < 0.5 THEN 'coverage ' || printf('%.2f', round_even(coverage * 100, 2)) || '% < 50.00% (' || n_dropout || ' dropout)' END,
@@ -176,12 +176,12 @@ told AS (SELECT *, list_filter([
 ranked AS (SELECT *, len(reasons) = 0 AS passed, row_number() OVER (ORDER BY len(reasons) = 0 DESC, coverage DESC, unique_rate DESC, n_off_target, n_multi_product, penalty, pair) AS rank FROM told)"""
 
 
-@query(f"{_SQL_RANKED} SELECT pair, rank::BIGINT AS rank, passed, coverage, unique_rate, penalty FROM ranked")
+@query(f"{SQL_RANKED} SELECT pair, rank::BIGINT AS rank, passed, coverage, unique_rate, penalty FROM ranked")
 def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr.rank(t.metrics(spark, sf_dir), _RANKING).select("pair", F.col("rank").cast("long").alias("rank"), "passed", "coverage", "unique_rate", "penalty")
 
 
-@query(f"{_SQL_RANKED} SELECT pair, passed, array_to_string(reasons, '; ') AS reasons FROM ranked")
+@query(f"{SQL_RANKED} SELECT pair, passed, array_to_string(reasons, '; ') AS reasons FROM ranked")
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr.reject_reasons(t.metrics(spark, sf_dir), _RANKING).select("pair", "passed", F.array_join("reject_reasons", "; ").alias("reasons"))
 
