@@ -7,6 +7,7 @@ Texts travel as UTF-8 bytes.  A *word* is a run of bytes other than space and
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,47 +126,79 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_POWERS: dict[int, list[np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i below n."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, BLOCK + 1)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=U64))
-        if size > 8 * BLOCK:
-            return both[0], both[1]
-        _POWERS[base] = both
-    return _POWERS[base][0], _POWERS[base][1]
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_ODD, _TURNED = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+#: Masks of the first bytes of a gram of 8, and bytes of a span up to which grams are mixed.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+LONG = 64
 
 
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+def mixed(x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of pairs of integers: two terms that each mix one with the mixed other."""
+    base = U64(BASES[seed])
+    return mix((mix(x + base) ^ y) * _ODD) + mix((mix(y ^ base) + x) * _TURNED)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``."""
-    n = len(data)
-    if not n:
-        return np.zeros(len(starts), U64)
-    up, down = _powers(BASES[seed], n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
+    """A 64-bit hash of each span of ``data``.
+
+    A span of up to 8 bytes is one gram, of which the hash is a bijection for each length;
+    a longer one is mixed gram by gram, and one of over ``LONG`` bytes hashed as a whole.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    grams = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    size = ends - starts
+    out = mix((grams[starts] & _MASKS[np.minimum(size, 8)]) ^ U64(BASES[seed])) + size.astype(U64) * _ODD
+    far = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(far):
+        gram = grams[starts[far] + at] & _MASKS[np.minimum(size[far] - at, 8)]
+        out[far] = mixed(out[far], gram, seed)
+        at += 8
+        far = far[size[far] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of k values; the last k - 1 places have none."""
-    n = len(words)
-    if n < k:
+    """A 64-bit hash of each run of k values, from those of runs of half the length; the last k - 1 places have none."""
+    if len(words) < k:
         return np.zeros(0, U64)
-    up, down = _powers(BASES[seed], n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + U64(k))
+    have, span, out, filled = words, 1, None, 0
+    while True:
+        if k & span:
+            out = have if out is None else mixed(out[: len(have) - filled], have[filled:], seed)
+            filled += span
+        if 2 * span > k:
+            return mix(out + U64(k))
+        have = mixed(have[:-span], have[span:], seed)
+        span *= 2
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` from ``at`` on are those of ``b`` from ``bt`` on, for each span."""
+
+    def grams(data: np.ndarray) -> np.ndarray:
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+    x, y = grams(a), grams(b)
+    same = (x[at] ^ y[bt]) & _MASKS[np.minimum(size, 8)] == 0
+    far, step = np.flatnonzero(same & (size > 8) & (size <= LONG)), 8
+    while len(far):
+        same[far] = (x[at[far] + step] ^ y[bt[far] + step]) & _MASKS[np.minimum(size[far] - step, 8)] == 0
+        step += 8
+        far = far[same[far] & (size[far] > step)]
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        same[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[bt[i] : bt[i] + size[i]])
+    return same
 
 
 def window_places(first: np.ndarray, k: int, n: int) -> np.ndarray:

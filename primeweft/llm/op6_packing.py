@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, map_arrow, materialize, span_hashes, text_bytes, word_spans
+from .common import LOWER, U64, blocks, map_arrow, materialize, same_spans, span_hashes, text_bytes, word_spans
 
 CAPACITY = 4096
 #: Pieces of at most this many ids are packed by best fit.
@@ -256,6 +256,8 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.loaded = Tokenizer.from_file(path)
+        self.literals = [t.content.encode() for t in self.loaded.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
@@ -264,6 +266,7 @@ class Words:
     def forget(self) -> None:
         self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.spelled, self.places, self.lengths = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encoded(self, words: list[bytes]) -> list[list[int]]:
         merge, out, whole = self.merge, [], []
@@ -284,50 +287,83 @@ class Words:
                 out[i] = e.ids
         return out
 
-    def find(self, hashes: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
-        """(start in the pool, number of ids) of each of distinct ascending hashes; ``spelled(places)`` gives the words at places of them."""
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), bool)
+    def _learn(self, new: np.ndarray, at: np.ndarray, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids = self.encoded(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate((self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        places = len(self.spelled) + np.cumsum(lengths) - lengths
+        self.spelled = np.concatenate((self.spelled, np.frombuffer(b"".join(words), np.uint8)))
+        self.hashes, self.starts, self.sizes, self.places, self.lengths = (np.insert(old, at[new], x) for old, x in ((self.hashes, hashes[new]), (self.starts, starts), (self.sizes, sizes), (self.places, places), (self.lengths, lengths)))
+
+    def find(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start in them, number of ids) of each word; a remembered word is compared byte by byte with what was asked for."""
+        values, shown, word = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, values)
+        known = np.zeros(len(values), bool)
         inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        known[inside] = self.hashes[at[inside]] == values[inside]
         new = np.flatnonzero(~known)
         if len(new) + len(self.hashes) > REMEMBERED and len(self.hashes):
             self.forget()
-            return self.find(hashes, spelled)
+            return self.find(low, starts, ends)
         if len(new):
-            ids = self.encoded(spelled(new))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            starts = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate((self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
-            self.hashes, self.starts, self.sizes = (np.insert(old, at[new], x) for old, x in ((self.hashes, hashes[new]), (self.starts, starts), (self.sizes, sizes)))
-            at = np.searchsorted(self.hashes, hashes)
-        return self.starts[at], self.sizes[at]
+            raw = low.tobytes()
+            self._learn(new, at, values, [raw[a:b] for a, b in zip(starts[shown[new]].tolist(), ends[shown[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, values)
+        at, size = at[word], ends - starts
+        pool, begin, count = self.pool, self.starts[at], self.sizes[at]
+        same = self.lengths[at] == size
+        same[same] = same_spans(low, starts[same], self.spelled, self.places[at[same]], size[same])
+        if not same.all():  # another word of the same hash
+            odd = np.flatnonzero(~same)
+            ids = self.encoded([low[a:b].tobytes() for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+            begin, count = begin.copy(), count.copy()
+            count[odd] = [len(x) for x in ids]
+            begin[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate((pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count[odd].sum()))))
+        return pool, begin, count
 
 
 _LOADED: dict[str, Words] = {}
 
 
+def _with_literals(data: np.ndarray, offsets: np.ndarray, literals: list[bytes]) -> list[int]:
+    """Texts that hold the literal of an added token."""
+    raw, found = data.tobytes(), set()
+    for x in literals:
+        at = raw.find(x)
+        while at >= 0:
+            d = int(np.searchsorted(offsets, at, "right")) - 1
+            if at + len(x) <= offsets[d + 1]:
+                found.add(d)
+            at = raw.find(x, at + 1)
+    return sorted(found)
+
+
 def ids_of(data: np.ndarray, offsets: np.ndarray, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): the ids of text d are ids[first[d]:first[d + 1]], with ``end`` behind each.
 
     The vocabulary drops white space and never merges across it, so a text's ids
-    are those of its words one after the other.
+    are those of its words one after the other.  A text that holds an added token's
+    literal goes to the tokenizer as a whole.
     """
     if path not in _LOADED:
         _LOADED[path] = Words(path)
     memory = _LOADED[path]
     low, starts, ends, first = cut_words(data, offsets)
-    values, shown, word = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-
-    def spelled(places: np.ndarray) -> list[bytes]:
-        raw = low.tobytes()
-        return [raw[a:b] for a, b in zip(starts[shown[places]].tolist(), ends[shown[places]].tolist(), strict=True)]
-
-    at, size = memory.find(values, spelled)
-    n = size[word]
+    pool, at, n = memory.find(low, starts, ends)
     before = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-    ids = memory.pool[np.repeat(at[word] - before[:-1], n) + np.arange(before[-1])]
+    ids = pool[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
     first = before[first]
+    if special := _with_literals(data, offsets, memory.literals):
+        parts = [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        for d in special:
+            text = data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")
+            parts[d] = np.array(memory.loaded.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = np.concatenate(parts)
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in parts])))
     if end is None:
         return ids, first
     return np.insert(ids, first[1:], np.uint32(end)), first + np.arange(len(first))

@@ -112,8 +112,7 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    for x in ["", "Hello  WORLD\n\t it's 12,5 É é ß Ω", "a b c\x1cd éf", " x<|endoftext|>y <b> 🎉🎉 漢字"]:
-        t.encode_special_tokens = True
+    for x in ["", "Hello  WORLD\n\t it's 12,5 É é ß Ω", "a b c\x1cd éf", " x<|endoftext|>y <b> 🎉🎉 漢字", "<|EndOfText|>", "A<|startoftext|><|endoftext|>", "<|endoftext|", "|>"]:
         assert np.frombuffer(ids_of([x.encode()], PATH)[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -127,6 +126,26 @@ def test_ids_of_random_words_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_literals_of_special_tokens_among_other_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["one <|endoftext|> two", "", "plain words", "<|endof", "text|> cut by documents", "<|startoftext|>"]
+    got = ids_of([x.encode() for x in texts], PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_one_hash(monkeypatch):
+    from primeweft.llm import op6_packing
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(op6_packing, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(op6_packing, "_LOADED", {})
+    for text in ("abc xyz hello abc world", "xyz abc world it's longerwords abcdefghi abcdefghj"):
+        assert np.frombuffer(ids_of([text.encode()], PATH)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_documents(spark):
     words = "alpha beta gamma delta 12 it's".split()
     r = random.Random(3)
