@@ -331,7 +331,7 @@ def grid(args: argparse.Namespace) -> int:
     backbone, hap = _chunks(spark, args.backbone, max(OVERLAP, args.probe)), _chunks(spark, args.fasta)
     probes = written(project.probes(backbone.select("chrom", "base", "own", "sequence"), args.step, args.probe, args.least), "probes")[0]
     sought = probes.select(F.concat_ws(":", "chrom", "at").alias("target"), F.col("probe").alias("bases"))
-    placed = project.kmer_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where(F.col("mapq") >= project.ANCHOR_MAPQ)
+    placed = project.chain_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where(F.col("mapq") >= project.ANCHOR_MAPQ)
     name = r"^(.*):(\d+)$"
     start = F.regexp_extract("target", name, 2).cast("long")
     anchors = placed.select(F.regexp_extract("target", name, 1).alias("t_name"), start.alias("t_start"), (start + args.probe).alias("t_end"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand")

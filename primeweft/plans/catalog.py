@@ -337,6 +337,35 @@ def kmer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "chrom", whole("start"), F.col("end").cast("long").alias("stop"), "strand", whole("span"), whole("votes"), F.coalesce("runner_up", F.lit(0)).cast("long").alias("runner_up"), "ambiguous", whole("mapq"))
 
 
+#: Targets of which even ones lack 25 bases that the contigs have, and odd ones have 28 more.
+_CHANGED = "substr({0}, 1, 50) || CASE WHEN item_id % 2 = 0 THEN substr({0}, 76) ELSE 'ACGTTGCAAGCTTCGATGCAACGGTTAC' || substr({0}, 51) END"
+_SQL_CHAINS = f"""WITH RECURSIVE tg AS (SELECT item_id, {_CHANGED.format("s")} AS s FROM (SELECT item_id, replace({t.sql_encode('text')}, 'N', 'A') AS s FROM benchmark)),
+o AS (SELECT item_id, length(s) AS length, '+' AS strand, s FROM tg UNION ALL SELECT item_id, length(s), '-', {t.sql_revcomp('s')} FROM tg),
+tk AS (SELECT item_id, length, strand, q, substr(s, q + 1, 15) AS kmer FROM (SELECT *, unnest(range(0, length(s) - 14)) AS q FROM o)),
+ck AS (SELECT doc_id AS chrom, a, substr(s, a + 1, 15) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 14)) AS a FROM (SELECT doc_id, replace({t.sql_encode("coalesce(text, '')")}, 'N', 'A') AS s FROM documents))),
+runs AS (SELECT *, q - row_number() OVER (PARTITION BY item_id, strand, chrom, a - q ORDER BY q) AS run FROM ck JOIN tk USING (kmer)),
+anchors AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_id, strand, chrom, start, q_lo) AS i FROM (SELECT item_id, length, strand, chrom, min(q) AS q_lo, max(q) + 15 AS q_hi, min(a) AS start, max(a) + 15 AS stop, count(*) AS votes FROM runs GROUP BY item_id, length, strand, chrom, a - q, run)),
+steps AS MATERIALIZED (SELECT x.i AS j, y.i, y.votes, least(y.q_hi - x.q_hi, y.stop - x.stop, y.q_hi - y.q_lo) - CASE WHEN y.start - y.q_lo = x.start - x.q_lo THEN 0 ELSE 8 + abs((y.start - y.q_lo) - (x.start - x.q_lo)) // 32 END AS gain
+  FROM anchors x JOIN anchors y USING (item_id, strand, chrom) WHERE x.start < y.start AND x.q_lo < y.q_lo AND x.q_hi < y.q_hi AND x.stop < y.stop AND y.start - x.stop <= 5000 AND y.q_lo - x.q_hi <= 5000),
+grown AS (SELECT i, {{'score': q_hi - q_lo, 'start': start, 'q': q_lo, 'votes': votes}} AS b FROM anchors
+  UNION ALL SELECT s.i, max({{'score': g.b.score + s.gain, 'start': g.b.start, 'q': g.b.q, 'votes': (g.b.votes + s.votes)::BIGINT}}) FROM grown g JOIN steps s ON s.j = g.i GROUP BY s.i),
+ends AS (SELECT i, max(b) AS b FROM grown GROUP BY i),
+chains AS (SELECT item_id, length, strand, chrom, b.start AS start, b.q AS q, b.score AS score, b.votes AS votes, stop, q_hi FROM ends JOIN anchors USING (i)),
+rooted AS (SELECT *, q_hi - q AS span FROM chains QUALIFY row_number() OVER (PARTITION BY item_id, strand, chrom, start, q ORDER BY score DESC, votes DESC, q_hi DESC, stop DESC) = 1),
+good AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, votes DESC, chrom, start, strand, stop) AS k, lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, votes DESC, chrom, start, strand, stop) AS runner_up FROM rooted WHERE span >= 0.8 * length)
+SELECT item_id AS target, chrom, start::BIGINT AS start, stop::BIGINT AS stop, strand, span::BIGINT AS span, score::BIGINT AS score, votes::BIGINT AS votes, coalesce(runner_up, 0)::BIGINT AS runner_up, coalesce(runner_up, 0) >= 0.95 * score AS ambiguous,
+  least(60, greatest(0, floor(40.0::DOUBLE * (1 - coalesce(runner_up, 0)::DOUBLE / score) * least(1.0::DOUBLE, votes::DOUBLE / 10) * ln(score::DOUBLE))))::BIGINT AS mapq FROM good WHERE k = 1"""
+
+
+@query(_SQL_CHAINS)
+def chained_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(seqs.encode_text(F.col("text")), "N", "A").alias("s")).select(F.col("item_id").alias("target"), F.expr(_CHANGED.format("s")).alias("bases"))
+    c = t.contigs(spark, sf_dir).select(F.col("contig").alias("chrom"), F.regexp_replace("sequence", "N", "A").alias("sequence"))
+    found = project.chain_projection(b, c, [])
+    whole = lambda x: F.col(x).cast("long").alias(x)
+    return found.select("target", "chrom", "start", F.col("end").alias("stop"), "strand", "span", "score", "votes", F.coalesce("runner_up", F.lit(0)).cast("long").alias("runner_up"), "ambiguous", whole("mapq"))
+
+
 def _sql_has(n: int, x: str, y: str) -> str:
     """Whether n characters in a row of x are in y."""
     return f"len(list_filter(range(1, greatest(1, length({x}) - {n - 1}) + 1), lambda i: length({x}) >= {n} AND contains({y}, substr({x}, i, {n})))) > 0"

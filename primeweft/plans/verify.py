@@ -58,7 +58,7 @@ def anchored(targets: DataFrame, backbone: DataFrame) -> DataFrame:
     if bad:
         raise ValueError("no locus: " + ", ".join(r["target"] for r in bad))
     sought = targets.where("bases is not null")
-    placed = project.kmer_projection(sought.select("target", "bases"), backbone, [], frac=0.9)
+    placed = project.chain_projection(sought.select("target", "bases"), backbone, [], frac=0.9)
     names = {r["target"] for r in sought.select("target").collect()}  # a row for each target of a run
     rows = placed.collect()
     if names - {r["target"] for r in rows}:
@@ -100,7 +100,7 @@ def projected(targets: DataFrame, haplotypes: DataFrame, contigs: DataFrame, blo
     unturned = lambda df, why: df.withColumn("strand", F.lit("+")).withColumn("why", F.lit(why) if isinstance(why, str) else why)
     sought = on("kmers").select("haplotype", F.col("pair").alias("target"), "pair").join(bases, "pair").drop("pair")
     columns = ["haplotype", "chrom", "sequence", *(["base", "own"] if project.is_cut(contigs) else [])]
-    found = unturned(project.kmer_projection(sought, contigs.select(*columns), ["haplotype"]).where(F.col("mapq") >= project.MAPQ).withColumnRenamed("target", "pair").drop("strand"), "ok").select(*places)
+    found = unturned(project.chain_projection(sought, contigs.select(*columns), ["haplotype"]).where(F.col("mapq") >= project.MAPQ).withColumnRenamed("target", "pair").drop("strand"), "ok").select(*places)
     if blocks is not None:
         lifted = project.project_blocks(on("blocks").select("pair", "haplotype", "chrom", "start", "end"), blocks, ["pair", "haplotype"])
         found = found.unionByName(lifted.select("pair", "haplotype", F.col("q_name").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), "strand", F.lit("paf-cache").alias("why")))
