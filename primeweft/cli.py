@@ -60,11 +60,16 @@ def _sidecars(spark: SparkSession, manifest: str, suffix: str, read) -> DataFram
         return None
     paths = {r["haplotype"]: p for r, p in found}
     names = _named(spark, [r for r, _ in found], lambda r: paths[r["haplotype"]])
-    return read(spark, sorted(set(paths.values()))).join(F.broadcast(names), F.expr("startswith(path, file)")).drop("file", "path")
+    # a sidecar is a file, or a folder with files of Spark's writers
+    file = F.regexp_extract("path", f"^(.*{re.escape(suffix)})(/[^/]*)?$", 1)
+    return read(spark, sorted(set(paths.values()))).withColumn("file", file).join(names, "file").drop("file", "path")
 
 
-def _blocks(spark: SparkSession, manifest: str) -> DataFrame | None:
-    return _sidecars(spark, manifest, ".chm13.paf", readers.read_paf)
+def _blocks(spark: SparkSession, manifest: str, target: DataFrame | None = None) -> DataFrame | None:
+    """Alignment blocks; of a run with one target only those that it overlaps."""
+    row = target.select("chrom", "start", "end").first() if target is not None else None
+    near = (row["chrom"], row["start"], row["end"]) if row else (None, None, None)
+    return _sidecars(spark, manifest, ".chm13.paf", lambda s, paths: readers.read_paf(s, paths, *near))
 
 
 def _grids(spark: SparkSession, manifest: str) -> DataFrame | None:
@@ -171,7 +176,7 @@ def design(args: argparse.Namespace) -> int:
     wide = plans.widened(wide, project.lengths_of(backbone, []), flank)
     template = stage("template", project.fetch(wide.select(F.lit("target").alias("template"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit("+").alias("strand")), backbone, []).select("template", F.col("bases").alias("sequence")))
     contigs = stage("contigs", _contigs(spark, args.samples))
-    loci = stage("project", plans.projected(wide, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples), backbone, _grids(spark, args.samples)))
+    loci = stage("project", plans.projected(wide, contigs.select("haplotype").distinct(), contigs, _blocks(spark, args.samples, wide), backbone, _grids(spark, args.samples)))
     cut = project.fetch(loci.where("chrom is not null").select("haplotype", F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), "strand"), contigs, ["haplotype"], orient=True)
     windows = stage("windows", cut.select("haplotype", F.lit("window").alias("chrom"), F.lit(0).alias("contig_idx"), F.col("bases").alias("sequence")))
     alignments = stage("alignments", align.align_windows(template, windows))

@@ -93,21 +93,23 @@ def capped(sites: DataFrame, keys: list[str], cap: int | None) -> DataFrame:
     return counts.withColumn("capped", F.col("n_competent") > cap if cap else F.lit(False))
 
 
-def amplicons(sites: DataFrame, keys: list[str], least: int, most: int) -> DataFrame:
+def amplicons(sites: DataFrame, keys: list[str], least: int, most: int | str) -> DataFrame:
     """Every plus site before a minus site at a product size within bounds, as a bag.
 
     ``sites``: keys (with the contig), strand, start, end.  The range join becomes an
     equi-join on buckets of the largest product: a minus site ends in the plus
-    site's bucket or the next one.
+    site's bucket or the next one.  ``most`` may name a column of bounds, one for each
+    value of the keys, which then are the widths of its buckets.
     """
-    plus = sites.where("strand = '+'").select(*keys, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("role").alias("p_role"))
-    minus = sites.where("strand = '-'").select(*keys, F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("role").alias("m_role"))
-    size = F.lit(max(1, most))
+    own = [most] if isinstance(most, str) else []
+    plus = sites.where("strand = '+'").select(*keys, *own, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("role").alias("p_role"))
+    minus = sites.where("strand = '-'").select(*keys, *own, F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("role").alias("m_role"))
+    size = F.greatest(F.lit(1).cast("long"), F.col(most)) if own else F.lit(max(1, most))
     plus = plus.withColumn("bucket", F.explode(F.array(F.floor(F.col("p_start") / size), F.floor(F.col("p_start") / size) + 1)))
     minus = minus.withColumn("bucket", F.floor(F.col("m_end") / size))
-    both = plus.join(minus, [*keys, "bucket"])
+    both = plus.join(minus.drop(*own), [*keys, "bucket"])
     product = F.col("m_end") - F.col("p_start")
-    kept = both.where((F.col("p_start") <= F.col("m_start")) & product.between(least, most))
+    kept = both.where((F.col("p_start") <= F.col("m_start")) & product.between(least, F.col(most) if own else most))
     return kept.select(*keys, F.col("p_start").alias("start"), F.col("m_end").alias("end"), product.alias("size"), "p_role", "m_role")
 
 
@@ -252,10 +254,16 @@ def gridded(sites: DataFrame, grid: DataFrame, max_sites: int | None) -> DataFra
     return grid.join(which, keys, "left").withColumn("capped", F.col("which").isNotNull() & F.col("projected")).withColumn("cap", F.lit(max_sites).cast("string"))
 
 
-def products_of(sites: DataFrame, grid: DataFrame, config: Evaluation) -> DataFrame:
-    """Products of competent sites in the cells of a grid (see `gridded`) that are enumerated."""
+def products_of(sites: DataFrame, grid: DataFrame, config: Evaluation, bounds: DataFrame | None = None) -> DataFrame:
+    """Products of competent sites in the cells of a grid (see `gridded`) that are enumerated.
+
+    ``bounds`` (pair, max_product) may have a largest product for each pair.
+    """
     good = sites.where("competent").join(grid.where("projected and not capped").select("pair", "haplotype"), ["pair", "haplotype"])
-    return amplicons(good, ["pair", "haplotype", "chrom", "contig_idx"], config.min_product, config.max_product)
+    keys = ["pair", "haplotype", "chrom", "contig_idx"]
+    if bounds is not None:
+        return amplicons(good.join(bounds.select("pair", F.col("max_product").cast("long").alias("max_product")), "pair"), keys, config.min_product, "max_product")
+    return amplicons(good, keys, config.min_product, config.max_product)
 
 
 def decided(sites: DataFrame, grid: DataFrame, products: DataFrame) -> DataFrame:
@@ -270,7 +278,8 @@ def decided(sites: DataFrame, grid: DataFrame, products: DataFrame) -> DataFrame
 def evaluate(pairs: DataFrame, contigs: DataFrame, loci: DataFrame, config: Evaluation = Evaluation(), how: str | None = None) -> DataFrame:  # noqa: B008
     """A row for each pair and haplotype with status, reason, sizes and flags.
 
-    ``pairs``: pair, forward, reverse; ``contigs``: haplotype, chrom, contig_idx, sequence
+    ``pairs``: pair, forward, reverse, and max_product where pairs have bounds of their
+    own; ``contigs``: haplotype, chrom, contig_idx, sequence
     (and base, own where a reader has cut them); ``loci``: pair, haplotype, chrom, start,
     end (null chrom: not projected), at most one row for each pair and haplotype, and
     one for each that is to be judged.
@@ -278,6 +287,6 @@ def evaluate(pairs: DataFrame, contigs: DataFrame, loci: DataFrame, config: Eval
     sites = judged(pairs, contigs, config, how)
     grid = gridded(sites, loci.select("pair", "haplotype", F.col("chrom").isNotNull().alias("projected")), config.max_sites)
     expected = loci.select("pair", "haplotype", F.col("chrom").alias("l_chrom"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    made = products_of(sites, grid, config).join(expected, ["pair", "haplotype"])
+    made = products_of(sites, grid, config, pairs if "max_product" in pairs.columns else None).join(expected, ["pair", "haplotype"])
     on = (F.col("chrom") == F.col("l_chrom")) & contained(F.col("start"), F.col("end"), F.col("l_start"), F.col("l_end"))
     return decided(sites, grid, made.withColumn("on_target", on))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as seqs
 from ..functions.thermo import oligo_tm
-from ..operators import design, mask, pcr, project
+from ..operators import align, design, mask, pcr, project
 from ..sources import fetch, readers
-from . import tables as t
+from . import stages, tables as t
 from .reports import cell_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,6 +366,57 @@ def chained_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "chrom", "start", F.col("end").alias("stop"), "strand", "span", "score", "votes", F.coalesce("runner_up", F.lit(0)).cast("long").alias("runner_up"), "ambiguous", whole("mapq"))
 
 
+_WINDOWS = """even AND length(w) = length(s) + 25 AND substr(s, 1, 50) = substr(w, 1, 50) AND right(s, length(s) - 50) = right(w, length(s) - 50)
+  OR NOT even AND length(w) = length(s) - 28 AND substr(s, 1, 50) = substr(w, 1, 50) AND right(s, length(s) - 78) = right(w, length(s) - 78)"""
+_SQL_ALIGNED = _SQL_CHAINS.replace("SELECT item_id AS target, chrom", "SELECT length, item_id AS target, chrom").replace("WITH RECURSIVE tg", "WITH RECURSIVE placed AS (WITH RECURSIVE tg") + f"""),
+spots AS (SELECT target::VARCHAR AS template, target % 2 = 0 AS even, {_CHANGED.replace("item_id", "target").format("b.s")} AS s, strand, substr(d.s, (start + 1)::BIGINT, (stop - start)::BIGINT) AS cut FROM placed
+  JOIN (SELECT item_id AS target, replace({t.sql_encode('text')}, 'N', 'A') AS s FROM benchmark) b USING (target) JOIN (SELECT doc_id AS chrom, replace({t.sql_encode("coalesce(text, '')")}, 'N', 'A') AS s FROM documents) d USING (chrom) WHERE span = length),
+win AS (SELECT *, CASE WHEN strand = '-' THEN {t.sql_revcomp('cut')} ELSE cut END AS w FROM spots),
+ok AS (SELECT template, even, s, w, list_max(list_filter(range(0, least(length(s), length(w)) + 1), lambda i: right(s, i) = right(w, i))) AS suffix FROM win WHERE {_WINDOWS})
+SELECT template, unnest(CASE WHEN even THEN [length(s) - suffix] ELSE range(length(s) - suffix - 28, length(s) - suffix) END)::BIGINT AS pos, 1::BIGINT AS n_variants FROM ok"""
+
+
+@query(_SQL_ALIGNED)
+def aligned_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pileup of windows that chains have placed, aligned with targets that have a gap or a surplus."""
+    b = t.read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(seqs.encode_text(F.col("text")), "N", "A").alias("s")).select(F.col("item_id").alias("target"), F.expr(_CHANGED.format("s")).alias("bases"))
+    c = t.contigs(spark, sf_dir).select(F.col("contig").alias("chrom"), F.regexp_replace("sequence", "N", "A").alias("sequence"))
+    placed = project.chain_projection(b, c, []).join(b, "target").where(F.col("span") == F.length("bases"))
+    cut = project.fetch(placed.select("target", F.col("bases").alias("s"), F.col("chrom").alias("q_name"), F.col("start").alias("lo"), F.col("end").alias("hi"), "strand"), c, [], orient=True)
+    windows = cut.select(F.col("target").cast("string").alias("template"), (F.col("target") % 2 == 0).alias("even"), "s", F.col("bases").alias("w")).where(_WINDOWS)
+    templates = windows.select("template", F.col("s").alias("sequence"))
+    alignments = align.align_windows(templates, windows.select("template", F.col("template").alias("haplotype"), F.col("w").alias("sequence")))
+    return mask.pileup(mask.variants(alignments.join(templates, "template"), F.length("sequence")))
+
+
+@query(
+    f"SELECT a.item_id AS target, b.item_id AS other, levenshtein(a.s, b.s)::BIGINT AS cost FROM (SELECT item_id, {t.sql_encode('text')} AS s FROM benchmark) a JOIN (SELECT item_id, {t.sql_encode('text')} AS s FROM benchmark) b ON b.item_id BETWEEN a.item_id AND a.item_id + 4 UNION ALL "
+    f"SELECT item_id, -1, levenshtein(s, {_CHANGED.format('s')})::BIGINT FROM (SELECT item_id, {t.sql_encode('text')} AS s FROM benchmark)"
+)
+def alignment_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of alignments in bands at unit costs, of unlike and of changed sequences."""
+    s = t.read(spark, sf_dir, "benchmark").select("item_id", seqs.encode_text(F.col("text")).alias("s"))
+    near = s.select(F.col("item_id").alias("target"), "s", F.explode(F.expr("sequence(item_id, item_id + 4)")).alias("other")).join(s.select(F.col("item_id").alias("other"), F.col("s").alias("o")), "other")
+    changed = s.select(F.col("item_id").alias("target"), "s", F.lit(-1).cast("long").alias("other"), F.expr(_CHANGED.format("s")).alias("o"))
+    both = near.select("target", "other", "s", "o").unionAll(changed.select("target", "other", "s", "o"))
+    return both.select("target", "other", align.alignment_cost(F.col("s"), F.col("o"), align.Costs(1, 0, 1)).alias("cost"))
+
+
+@query(
+    f"WITH {t.SQL_CELLS}, e AS (SELECT pair, haplotype, status, n_on FROM cells WHERE haplotype <> 3), f AS (SELECT pair, CASE WHEN haplotype = 6 THEN 9 ELSE haplotype END AS haplotype, CASE WHEN haplotype = 5 THEN 'uncertain' ELSE status END AS status, CASE WHEN pair LIKE '%7' THEN NULL ELSE n_on END AS n_on FROM cells) "
+    "SELECT coalesce(e.pair, f.pair) AS pair, coalesce(e.haplotype, f.haplotype) AS haplotype, CASE WHEN f.pair IS NULL THEN 'missing' WHEN e.pair IS NULL THEN 'new' ELSE 'differs' END AS side, "
+    "CASE WHEN e.pair IS NULL OR f.pair IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN e.status IS DISTINCT FROM f.status THEN 'status' END, CASE WHEN e.n_on IS DISTINCT FROM f.n_on THEN 'n_on' END], lambda x: x IS NOT NULL), ',') END AS fields "
+    "FROM e FULL JOIN f ON e.pair = f.pair AND e.haplotype = f.haplotype WHERE e.pair IS NULL OR f.pair IS NULL OR e.status IS DISTINCT FROM f.status OR e.n_on IS DISTINCT FROM f.n_on"
+)
+def compared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs' cells compared by a full outer join: cells that are missing, new, or differ and in what."""
+    cells = t.cells(spark, sf_dir).select("pair", "haplotype", "status", "n_on")
+    h = F.col("haplotype")
+    found = cells.select("pair", F.when(h == 6, 9).otherwise(h).alias("haplotype"), F.when(h == 5, "uncertain").otherwise(F.col("status")).alias("status"), F.when(~F.col("pair").endswith("7"), F.col("n_on")).alias("n_on"))
+    told = stages.compared(cells.where("haplotype <> 3"), found, ["pair", "haplotype"], ["status", "n_on"])
+    return told.select("pair", "haplotype", "side", F.array_join("fields", ",").alias("fields"))
+
+
 def _sql_has(n: int, x: str, y: str) -> str:
     """Whether n characters in a row of x are in y."""
     return f"len(list_filter(range(1, greatest(1, length({x}) - {n - 1}) + 1), lambda i: length({x}) >= {n} AND contains({y}, substr({x}, i, {n})))) > 0"

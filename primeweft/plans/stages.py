@@ -150,6 +150,24 @@ def rehydrated(spark: SparkSession, saved: dict, raw: dict | None = None) -> tup
 
 
 # ---------------------------------------------------------------- comparison
+def compared(expected: DataFrame, found: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, side, fields) of the rows that two tables don't have in common.
+
+    ``side`` is missing, new or differs; ``fields`` names the columns that differ.  Keys
+    and fields are compared null-safe, and a key that is repeated meets all its rows.
+    """
+    wide = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*fields).alias(name))
+    a, b = wide(expected, "a"), wide(found, "b")
+    same = [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    differing = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), f) for f in fields]))
+    side = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "new").when(F.size(differing) > 0, "differs")
+    told = a.join(b, on, "full").select(*[F.when(F.col("a").isNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys], side.alias("side"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), differing).otherwise(F.array().cast("array<string>")).alias("fields"))
+    return told.where("side is not null")
+
+
 _FACTS = ("forward", "reverse", "target", "target_chm13", "expected_size", "product", "passed", "evaluable", "n_uncertain", "n_dropout", "n_off_target", "n_multi_product")
 _CELL = ("status", "on_sizes", "off_sizes", "size_flag", "capped")
 

@@ -129,18 +129,12 @@ def most_product(expected: Column, max_amplicon: int) -> Column:
 def verify(pairs: DataFrame, loci: DataFrame, contigs: DataFrame, config: pcr.Evaluation, max_amplicon: int = 2000, tolerance: int = 20, how: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, summary) of given pairs (pair, forward, reverse, expected_size).
 
-    Every pair has bounds of its own: at most max_amplicon, or its expected product
-    and a pad; pairs are evaluated together for each bound.
+    Every pair has a bound of its own, max_amplicon, or its expected product and a pad;
+    the haplotypes are searched once for all of them.
     """
-    bounds = pairs.select(most_product(F.col("expected_size"), max_amplicon).alias("most")).distinct().collect()  # a few sizes of a run
-    parts = []
-    for b in bounds:
-        own = pairs.where(most_product(F.col("expected_size"), max_amplicon) == b["most"])
-        one = pcr.Evaluation(config.mode, config.max_mismatches, LEAST_PRODUCT, b["most"], config.max_sites, config.rule, config.thermo)
-        parts.append(pcr.evaluate(own, contigs, loci.join(own.select("pair"), "pair", "left_semi"), one, how))
-    cells = parts[0]
-    for p in parts[1:]:
-        cells = cells.unionByName(p)
+    bounded = pairs.withColumn("max_product", most_product(F.col("expected_size"), max_amplicon))
+    one = pcr.Evaluation(config.mode, config.max_mismatches, LEAST_PRODUCT, max_amplicon, config.max_sites, config.rule, config.thermo)
+    cells = pcr.evaluate(bounded, contigs, loci.join(pairs.select("pair"), "pair", "left_semi"), one, how)
     cells = cells.join(pairs.select("pair", "expected_size"), "pair").withColumn("size_flag", F.exists("on_sizes", lambda x: F.abs(x - F.col("expected_size")) > tolerance))
     from .reports import summary_text
 

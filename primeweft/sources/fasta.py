@@ -66,7 +66,7 @@ def inflate_member(member: bytes) -> bytes:
 def _opened(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     return system.open_input_file(path)
 
 
@@ -184,7 +184,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 def _lines(spark: SparkSession, paths: list[str], size: int) -> DataFrame:
     """(file, block, value): lines with their file and where their split begins."""
     blocked = [p for p in paths if is_blocked(spark, p)]
-    reachable = [p for p in blocked if qualified(spark, p).partition(":")[0] in ("file", "s3", "gs", "hdfs")]
+    reachable = [p for p in blocked if qualified(spark, p).partition(":")[0] in ("file", "s3", "s3a", "gs", "hdfs")]
     parts = []
     if plain := [p for p in paths if p not in reachable]:  # the text reader inflates a blocked file by one task
         parts.append(spark.read.text(plain).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "value"))
@@ -303,7 +303,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK,
         F.coalesce(F.lag("so_far").over(order), F.lit(0)).alias("offset"),
         F.when(short, F.raise_error(F.lit("a split is shorter than the overlap"))).otherwise(F.coalesce(F.lead("head").over(order), F.lit(""))).alias("behind"),
     )
-    rows = local.join(F.broadcast(placed), ["file", "block"])
+    rows = local.join(placed, ["file", "block"])  # sent to all where its size, known by then, is small
     continued = F.col("idx") == 0
     at = F.col("first") + F.col("idx")
     idx = F.when(at < 0, F.raise_error(F.concat("file", F.lit(": bases before the first header")))).otherwise(at)
