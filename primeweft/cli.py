@@ -16,9 +16,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, pcr, project
+from .operators import align, minimizers, pcr, project
 from .plans import reports, stages, verify as plans
-from .scratch import discard, written
+from .scratch import discard, path_of, written
 from .sources import fetch, readers
 
 
@@ -279,9 +279,10 @@ def workflow(args: argparse.Namespace) -> int:
 def prepare(args: argparse.Namespace) -> int:
     """The anchor grid of each haplotype of a manifest that has none yet."""
     spark = _session()
+    index = args.index or path_of(spark, "index")  # one for all haplotypes
     for r in readers.read_manifest(spark, args.samples).orderBy("haplotype").collect():  # a row for each haplotype
         path = readers.sidecar(spark, r["fasta"], ".anchors.tsv.gz")
-        grid(argparse.Namespace(backbone=args.backbone, fasta=r["fasta"], out=path, step=args.step, probe=args.probe, least=args.least, force=args.force))
+        grid(argparse.Namespace(backbone=args.backbone, fasta=r["fasta"], out=path, step=args.step, probe=args.probe, least=args.least, force=args.force, index=index))
     return 0
 
 
@@ -328,7 +329,10 @@ def select(args: argparse.Namespace) -> int:
 
 
 def grid(args: argparse.Namespace) -> int:
-    """Anchors of one haplotype: probes of the backbone placed by shared k-mers."""
+    """Anchors of one haplotype: probes of the backbone placed by an index of their minimizers.
+
+    The index is kept where --index says, and used again by later runs on that backbone.
+    """
     spark = _session()
     if readers.exists(spark, args.out) and not args.force:
         print(f"{args.out} is there already")
@@ -336,7 +340,13 @@ def grid(args: argparse.Namespace) -> int:
     backbone, hap = _chunks(spark, args.backbone, max(OVERLAP, args.probe)), _chunks(spark, args.fasta)
     probes = written(project.probes(backbone.select("chrom", "base", "own", "sequence"), args.step, args.probe, args.least), "probes")[0]
     sought = probes.select(F.concat_ws(":", "chrom", "at").alias("target"), F.col("probe").alias("bases"))
-    placed = project.chain_projection(sought, hap.select("chrom", "base", "own", "sequence"), []).where(F.col("mapq") >= project.ANCHOR_MAPQ)
+    index = getattr(args, "index", None) or path_of(spark, "index")
+    facts = {"step": args.step, "probe": args.probe, "least": args.least, "backbone": pathlib.Path(args.backbone).name}
+    if not readers.exists(spark, f"{index}/about/_SUCCESS"):
+        minimizers.write_index(sought, index, facts=facts)
+    if {k: minimizers.about(spark, index).get(k) for k in facts} != facts:
+        raise ValueError(f"{index} is the index of another backbone or other probes")
+    placed = minimizers.indexed_projection(minimizers.read_index(spark, index), hap.select("chrom", "base", "own", "sequence"), []).where(F.col("mapq") >= project.ANCHOR_MAPQ)
     name = r"^(.*):(\d+)$"
     start = F.regexp_extract("target", name, 2).cast("long")
     anchors = placed.select(F.regexp_extract("target", name, 1).alias("t_name"), start.alias("t_start"), (start + args.probe).alias("t_end"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand")
@@ -440,6 +450,7 @@ def parser() -> argparse.ArgumentParser:
         for name, value in (("--step", project.STEP), ("--probe", project.PROBE), ("--least", project.MIN_CONTIG)):
             c.add_argument(name, type=int, default=value)
         c.add_argument("--force", action="store_true")
+        c.add_argument("--index")
     c = sub.add_parser("rerender")
     for name in ("--results", "--outdir"):
         c.add_argument(name, required=True)

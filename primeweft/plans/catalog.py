@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as seqs
 from ..functions.thermo import oligo_tm
-from ..operators import align, design, mask, pcr, project
+from ..operators import align, design, mask, minimizers, pcr, project
+from ..scratch import path_of
 from ..sources import fetch, readers
 from . import stages, tables as t
 from .reports import cell_column
@@ -346,7 +347,7 @@ ck AS (SELECT doc_id AS chrom, a, substr(s, a + 1, 15) AS kmer FROM (SELECT doc_
 runs AS (SELECT *, q - row_number() OVER (PARTITION BY item_id, strand, chrom, a - q ORDER BY q) AS run FROM ck JOIN tk USING (kmer)),
 anchors AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_id, strand, chrom, start, q_lo) AS i FROM (SELECT item_id, length, strand, chrom, min(q) AS q_lo, max(q) + 15 AS q_hi, min(a) AS start, max(a) + 15 AS stop, count(*) AS votes FROM runs GROUP BY item_id, length, strand, chrom, a - q, run)),
 steps AS MATERIALIZED (SELECT x.i AS j, y.i, y.votes, least(y.q_hi - x.q_hi, y.stop - x.stop, y.q_hi - y.q_lo) - CASE WHEN y.start - y.q_lo = x.start - x.q_lo THEN 0 ELSE 8 + abs((y.start - y.q_lo) - (x.start - x.q_lo)) // 32 END AS gain
-  FROM anchors x JOIN anchors y USING (item_id, strand, chrom) WHERE x.start < y.start AND x.q_lo < y.q_lo AND x.q_hi < y.q_hi AND x.stop < y.stop AND y.start - x.stop <= 5000 AND y.q_lo - x.q_hi <= 5000),
+  FROM anchors x JOIN anchors y USING (item_id, strand, chrom) WHERE x.start < y.start AND x.q_lo < y.q_lo AND x.q_hi < y.q_hi AND x.stop < y.stop AND y.start - x.stop <= 5000 AND y.q_lo - x.q_hi <= 5000 AND y.i - x.i <= 512),
 grown AS (SELECT i, {{'score': q_hi - q_lo, 'start': start, 'q': q_lo, 'votes': votes}} AS b FROM anchors
   UNION ALL SELECT s.i, max({{'score': g.b.score + s.gain, 'start': g.b.start, 'q': g.b.q, 'votes': (g.b.votes + s.votes)::BIGINT}}) FROM grown g JOIN steps s ON s.j = g.i GROUP BY s.i),
 ends AS (SELECT i, max(b) AS b FROM grown GROUP BY i),
@@ -366,6 +367,25 @@ def chained_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "chrom", "start", F.col("end").alias("stop"), "strand", "span", "score", "votes", F.coalesce("runner_up", F.lit(0)).cast("long").alias("runner_up"), "ambiguous", whole("mapq"))
 
 
+#: Probes of 200 bases every 1000, of contigs of 300 at least.
+_PROBE, _STEP, _LEAST = 200, 1_000, 300
+
+
+@query()
+def anchor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of all contigs in an index that is written, read again, and sought in all contigs.
+
+    Its SQL would take hours on repeats; a test holds it against the definition.
+    """
+    c = t.contigs(spark, sf_dir).select(F.col("contig").alias("chrom"), F.regexp_replace("sequence", "N", "A").alias("sequence"))
+    probes = project.probes(c, _STEP, _PROBE, _LEAST)
+    path = path_of(spark, "index")
+    minimizers.write_index(probes.select(F.concat_ws(":", "chrom", "at").alias("target"), F.col("probe").alias("bases")), path)
+    found = minimizers.indexed_projection(minimizers.read_index(spark, path), c, [])
+    name, start = (F.regexp_extract("target", r"^(.*):(\d+)$", i).cast("long") for i in (1, 2))
+    return found.select(name.alias("t_name"), start.alias("t_start"), F.col("chrom").alias("q_contig"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), "strand", "score", "votes", "ambiguous", F.col("mapq").cast("long").alias("mapq"))
+
+
 _WINDOWS = """even AND length(w) = length(s) + 25 AND substr(s, 1, 50) = substr(w, 1, 50) AND right(s, length(s) - 50) = right(w, length(s) - 50)
   OR NOT even AND length(w) = length(s) - 28 AND substr(s, 1, 50) = substr(w, 1, 50) AND right(s, length(s) - 78) = right(w, length(s) - 78)"""
 _SQL_ALIGNED = _SQL_CHAINS.replace("SELECT item_id AS target, chrom", "SELECT length, item_id AS target, chrom").replace("WITH RECURSIVE tg", "WITH RECURSIVE placed AS (WITH RECURSIVE tg") + f"""),
