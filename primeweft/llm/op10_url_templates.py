@@ -22,6 +22,8 @@ its share of blocked labels is at least ``REJECT``.
 A null URL, or one without "://", has an empty host and path and is allowed unless
 its (host, path) template is rejected.  Repeated rows get equal results.  An empty
 table gives no rows.
+A very long URL is handled by expressions; its depth adds levels to the tree. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

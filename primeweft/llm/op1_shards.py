@@ -17,6 +17,8 @@ their middle lies.
 
 Null texts count as empty, null ids come first in their group, repeated rows are
 told apart by a row number.  An empty table gives no rows.
+A very long text is one row whose size alone moves on. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

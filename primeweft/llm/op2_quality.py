@@ -18,6 +18,8 @@ of the words in repeated 8-word windows).
 Null and empty texts have no words and so fail the base rules.  Repeated rows
 get equal results.  A null language has no reference of its own.  An empty table
 gives no rows and needs no reference.
+A very long text is handled whole by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ never is a component's id unless all are null.  Ids of any type that can be orde
 will do.  An empty table gives no rows.  Hashes have 64 bits, but for the counts
 that make the order, which 48 bits are enough for: a collision there changes the
 order alone.
+A very long text is a block of its own, handled whole by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

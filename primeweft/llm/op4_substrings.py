@@ -14,6 +14,8 @@ Ids are whole numbers; other columns of ids are refused.  Null and empty texts h
 no words.  Rows with equal ids are ordered by their place in the table, null ids come
 first.  An empty table gives no rows.  A document is handled by one task, with about
 50 bytes of memory for each byte of its text.
+Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

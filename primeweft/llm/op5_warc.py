@@ -19,6 +19,8 @@ payload and equal largest page id each is a response.  Records with a null page
 id never are the target of revisits unless all equal ones are null; then each is
 a response.  Repeated rows are each archived and read back.  An empty table gives
 no rows.
+A very long payload is one record, read and written whole by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

@@ -22,6 +22,8 @@ its sequence and offset by arithmetic on the plan (`PLAN_ROWS`).
 Null and empty texts have the end id alone.  Repeated rows are packed each.
 Ties (equal lengths) are ranked by partition and order in it.  An empty table
 gives no rows.
+A very long text is a block of its own, handled whole by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

@@ -30,6 +30,8 @@ alone, a null id counts as empty text.
 Repeated rows are scored each.  Without training tokens the base score is that of
 the formula with N = V = 0, and classes are equally likely.  An empty table gives
 no rows.
+A very long text is a block of its own, handled whole by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ Decoding gathers the bytes of a text's ids from the vocabulary.
 Null and empty texts have no tokens; repeated rows have equal results; every
 text is encoded whole.  Bytes that aren't UTF-8 count as U+FFFD.  A null id stays,
 an empty table gives no rows.
+Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations

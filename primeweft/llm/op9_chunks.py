@@ -12,6 +12,8 @@ features of the samples.
 A task remembers where it has put each chunk, as many as fit its partition's bytes.
 Null and empty texts are 64 zero bytes.  Repeated rows give repeated rows, equal
 texts equal values.  An empty table gives no rows.
+A very long text is cut into chunks by one task. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
