@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,17 +164,19 @@ def design_run(template: DataFrame, windows: DataFrame, contigs: DataFrame, loci
 
 
 # ---------------------------------------------------------------- a small built-in example
-# The example's primers and filling.
+# The example's primers.
 FORWARD, REVERSE = "TTGCACAGTCCAGATTGCAA", "CATTGCGATTGACACTTGCG"
-MIDDLE, LEFT, RIGHT, SPACER = "GATACCATGCTGACGTTAAC" * 5, "AACCGGTTAACCGGTTAACC", "TTGGCCAATTGGCCAATTGG", "ACGACTACGT" * 50
 
 
 def example(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, contigs, loci): five haplotypes, one for each status."""
-    region = LEFT + FORWARD + MIDDLE + revcomp_text(REVERSE) + RIGHT
-    last = len(LEFT) + len(FORWARD) - 1
-    dead = region[:last] + "C" + region[last + 1 :]
-    rows = [("HG_pass", region, len(region)), ("HG_drop", dead, len(region)), ("HG_off", dead + SPACER + region, len(dead)), ("HG_multi", region + SPACER + region, len(region)), ("HG_unc", region, None)]
+    drawn = random.Random(20)
+    left, middle, right, spacer = ("".join(drawn.choices("ACGT", k=n)) for n in (30, 100, 25, 600))
+    locus = left + FORWARD + middle + revcomp_text(REVERSE) + right
+    # without the last base of the forward primer nothing primes here
+    broken = locus.replace(FORWARD, FORWARD[:-1] + "C")
+    built = {"pass": [locus], "drop": [broken], "off": [broken, locus], "multi": [locus, locus], "unc": [locus]}
+    rows = [(f"HG_{name}", spacer.join(copies), len(locus) if name != "unc" else None) for name, copies in built.items()]
     contigs = spark.createDataFrame([(h + "#hap1", "chr1", 0, s) for h, s, _ in rows], "haplotype string, chrom string, contig_idx int, sequence string")
     loci = spark.createDataFrame([("demo", h + "#hap1", "chr1" if n else None, 0 if n else None, n) for h, _, n in rows], "pair string, haplotype string, chrom string, start long, end long")
     return spark.createDataFrame([("demo", FORWARD, REVERSE)], "pair string, forward string, reverse string"), contigs, loci
