@@ -4,9 +4,9 @@ Each document's histograms of character classes and of common words are
 compared with references of the languages by Jensen-Shannon distance (square
 root of the divergence in bits).  References are sums over all documents of a
 language, made anew once without the documents that were far from the first
-ones.  A document is judged against the nearest of its own language's reference and
-those of the ``LIKELY`` languages with the most words, so that a wrong language label
-rejects nothing.
+ones.  A document is judged against the nearest of all references, so that a wrong
+language label rejects nothing.  The references are a written table that each task
+reads ``CHUNK`` rows at a time; however many languages there are, none is left out.
 
 Minimum lengths guard the comparison: histograms of fewer than
 ``MIN_CHARS`` characters or ``MIN_WORDS`` words aren't judged.
@@ -17,19 +17,25 @@ of the words in repeated 8-word windows).
 
 Null and empty texts have no words and so fail the base rules.  Repeated rows
 get equal results.  A null language has no reference of its own.  An empty table
-gives no rows and needs no reference.
+gives no rows and needs no reference.  Texts of a language with fewer than
+``REFERENCE_WORDS`` words in all have nothing to be compared with and are judged by the
+base rules alone.
 A very long text is handled whole by one task. Other columns, whatever their
 names, are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, doc_of, map_arrow, materialize, mix, span_hashes, text_bytes, window_hashes, window_places, word_spans
+from .common import LOWER, U64, blocks, doc_of, map_arrow, materialize, mix, span_hashes, text_bytes, window_hashes, window_places, word_spans, written
+from .store import place
 
 MIN_CHARS = 200
 MIN_WORDS = 50
@@ -37,13 +43,9 @@ MIN_WORDS = 50
 #: LIMIT + SHORT / sqrt(characters): histograms of short texts scatter more.
 LIMIT = 0.25
 SHORT = 3.3
-#: Languages with a reference (more than there are codes of languages), those with the most words
-#: first, and words that a reference needs.  Documents of the other languages are kept or not by the
-#: base rules alone.
-LANGUAGES = 8192
+#: Words that a language's reference needs; references that a task holds at a time.
 REFERENCE_WORDS = 1000
-#: The languages with the most words, with which every text is compared besides its own.
-LIKELY = 32
+CHUNK = 1024
 REPEAT_WINDOW = 8
 
 #: Frequent function words of four languages.
@@ -147,21 +149,39 @@ def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(best, 0))
 
 
-def nearest(counts: np.ndarray, references: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The distance of each row to the nearest of the first ``LIKELY`` references and its own one (a number, or -1)."""
-    best = distances(counts, references[:LIKELY])
-    for k in np.unique(own[own >= LIKELY]):
-        at = np.flatnonzero(own == k)
-        best[at] = np.minimum(best[at], distances(counts[at], references[k : k + 1]))
-    return best
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, dict[str, int]] | None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """(character histograms, word histograms, number of each name) of the languages; rows far from ``earlier`` are left out."""
+class References:
+    """The histograms of the languages, a written table: iterates over (names, characters, words) of at most ``CHUNK`` of them.
+
+    A table of one chunk is read once in a task, a larger one once for each block of texts.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self.held: list | None = None
+
+    def __iter__(self) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        if self.held is not None:
+            yield from self.held
+            return
+        system, path = place(self.path)
+        first, n = [], 0
+        for batch in dataset.dataset(path, filesystem=system, format="parquet").to_batches(columns=["lang", "bins"], batch_size=CHUNK):
+            if len(batch):
+                bins = _matrix(batch.column(1))
+                chunk = batch.column(0).to_pylist(), bins[:, :N_CLASSES], bins[:, N_CLASSES:]
+                n += len(batch)
+                first = [*first, chunk] if n <= CHUNK else []
+                yield chunk
+        if n <= CHUNK:
+            self.held = first
+
+
+def _references(profiles: DataFrame, earlier: References | None) -> References:
+    """The references of the languages; rows far from ``earlier`` are left out."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -169,7 +189,7 @@ def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, dict
             chars, words = _matrix(batch.column(1)), _matrix(batch.column(2))
             use = np.ones(len(chars), bool)
             if earlier is not None:
-                use = ~_far(chars, words, batch.column(0), *earlier)[2]
+                use = ~_far(chars, words, batch.column(0), earlier)[2]
             labels = np.asarray(batch.column(0).to_pylist(), object)
             for lang in {x for x in labels.tolist() if x is not None}:
                 mine = use & (labels == lang)
@@ -179,23 +199,25 @@ def _references(profiles: DataFrame, earlier: tuple[np.ndarray, np.ndarray, dict
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=["lang", "bin", "n"])
 
     counts = map_arrow(profiles.select("lang", "chars", "words"), sums, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    by = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum(F.when(F.col("bin") >= N_CLASSES, F.col("n"))).alias("total"))
-    rows = by.where(F.col("total") >= REFERENCE_WORDS).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows of a fixed width at most
-    width = N_CLASSES + _lexicon()[1] + 1
-    table = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        for k, v in r["bins"].items():
-            table[i, k] = v
-    return table[:, :N_CLASSES], table[:, N_CLASSES:], {r["lang"]: i for i, r in enumerate(rows)}
+    by = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"), F.sum(F.when(F.col("bin") >= N_CLASSES, F.col("n"))).alias("total"))
+    every = F.sequence(F.lit(0), F.lit(N_CLASSES + _lexicon()[1]))
+    bins = F.transform(every, lambda i: F.coalesce(F.element_at("found", i), F.lit(0).cast("long")))
+    return References(written(by.where(F.col("total") >= REFERENCE_WORDS).select("lang", bins.alias("bins")), "references")[1])
 
 
-def _far(chars: np.ndarray, words: np.ndarray, langs: pa.Array, ref_chars: np.ndarray, ref_words: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _far(chars: np.ndarray, words: np.ndarray, langs: pa.Array, references: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(character distance, word distance, beyond the limit), distances 0 where the text is too short or its language too rare to tell."""
     names = langs.to_pylist()
-    judged = np.array([x is None or x in known for x in names], bool)
-    own = np.array([known.get(x, -1) for x in names], np.int64)
-    by_char = np.where(judged & (chars.sum(1) >= MIN_CHARS), nearest(chars, ref_chars, own), 0.0)
-    by_word = np.where(judged & (words.sum(1) >= MIN_WORDS), nearest(words, ref_words, own), 0.0)
+    open_names = {x for x in names if x is not None}
+    known: set[str | None] = {None}
+    long, many = chars.sum(1) >= MIN_CHARS, words.sum(1) >= MIN_WORDS
+    by_char, by_word = np.full(len(chars), np.inf), np.full(len(words), np.inf)
+    for found, ref_chars, ref_words in references:
+        known |= open_names.intersection(found)
+        by_char[long] = np.minimum(by_char[long], distances(chars[long], ref_chars))
+        by_word[many] = np.minimum(by_word[many], distances(words[many], ref_words))
+    judged = np.array([x in known for x in names], bool)
+    by_char, by_word = (np.where(judged & np.isfinite(x), x, 0.0) for x in (by_char, by_word))
     return by_char, by_word, by_char + by_word / 2 > LIMIT + SHORT / np.sqrt(np.maximum(chars.sum(1), 1))
 
 
@@ -218,7 +240,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
         for batch in batches:
             langs = batch.column(name).cast(pa.string())
             for lo, n, counts, chars, words in _profiles(batch.column(at)):
-                good = ~_base_failed(counts[0], counts[4]) & ~_far(chars, words, langs.slice(lo, n), *references)[2]
+                good = ~_base_failed(counts[0], counts[4]) & ~_far(chars, words, langs.slice(lo, n), references)[2]
                 yield batch.slice(lo, n).filter(pa.array(good))
 
     return map_arrow(docs, keep, docs.schema)
@@ -233,7 +255,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     def judge(batches):
         for batch in batches:
-            by_char, by_word, far = _far(_matrix(batch.column(6)), _matrix(batch.column(7)), batch.column(8), *references)
+            by_char, by_word, far = _far(_matrix(batch.column(6)), _matrix(batch.column(7)), batch.column(8), references)
             n_words, repeats = (np.asarray(batch.column(i), np.int64) for i in (1, 5))
             failed = _base_failed(n_words, repeats)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(failed), pa.array(by_char), pa.array(by_word), pa.array(~failed & ~far)], names=[*names, "base_failed", "char_distance", "word_distance", "kept"])

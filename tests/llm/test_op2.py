@@ -120,10 +120,27 @@ def test_kept_equals_brute_force(spark):
     assert {x.doc_id for x in o.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {d for d, k in want.items() if k}
 
 
-def test_rarer_languages_are_compared_with_their_own_texts(monkeypatch):
-    monkeypatch.setattr(o, "LIKELY", 2)
-    references = np.array([[9, 1, 0, 0], [1, 9, 0, 0], [0, 0, 9, 1], [0, 0, 1, 9]])
-    rows = np.array([[9, 1, 0, 0], [0, 0, 9, 1], [0, 0, 9, 1], [0, 0, 1, 9]])
-    got = o.nearest(rows, references, np.array([-1, 2, 3, -1]))
-    want = [0.0, 0.0, o.distances(rows[2:3], references[[0, 1, 3]])[0], o.distances(rows[3:], references[:2])[0]]
-    assert np.allclose(got, want)
+def test_a_text_is_compared_with_every_reference(spark, monkeypatch):
+    r = random.Random(4)
+    langs = [f"l{i:02}" for i in range(45)]
+    letters = {x: [chr(0x61 + i % 26) * (1 + i // 26) + c for c in "aeiouXYZ019,;#|"] for i, x in enumerate(langs)}
+    text = lambda x: " ".join(r.choice(letters[x][:3] if x < "l20" else letters[x][4:9] if x < "l40" else letters[x][10:]) for _ in range(300))
+    # fewer texts of later languages: those of the last ones are the rarest
+    rows = [(100 * i + j, text(x), x) for i, x in enumerate(langs) for j in range(50 - i)]
+    # labelled as the largest language, though of the rarest one
+    rows += [(9000 + j, text("l44"), "l00") for j in range(3)] + [(9100, text("l44"), None), (9200, text("l44"), "unknown")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wanted = {x.doc_id: (x.char_distance, x.word_distance, x.kept) for x in o.quality(docs).collect()}
+    assert wanted[9200][:2] == (0.0, 0.0)
+    assert all(wanted[9000 + j][0] < 0.1 for j in range(3))
+    # the same in chunks that a task reads again for each block
+    monkeypatch.setattr(o, "CHUNK", 7)
+    profiles = o.materialize(o.profile(docs), "profiles")
+    references = o._references(profiles, o._references(profiles, None))
+    assert sum(len(names) for names, _, _ in references) == 45 and references.held is None
+    assert all(len(names) <= 7 for names, _, _ in references)
+    own = profiles.toPandas()
+    matrix = lambda c: np.array(own[c].tolist(), np.int64)
+    by_char, by_word, _ = o._far(matrix("chars"), matrix("words"), o.pa.array(own["lang"], o.pa.string()), references)
+    got = dict(zip(own["doc_id"], zip(by_char, by_word, strict=True), strict=True))
+    assert all(np.allclose(got[d], wanted[d][:2]) for d in got)
