@@ -288,6 +288,15 @@ def cigar_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.project_blocks(g, b, ["o_orderkey"]).select("o_orderkey", "q_name", "lo", "hi", "strand")
 
 
+@query("WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_partkey, l_suppkey, l_linenumber AS k, l_orderkey * 10 AS t, l_partkey AS lo, l_partkey + 390 + l_suppkey AS hi, l_linenumber % 2 <> 0 AS plus FROM lineitem), s AS (SELECT *, unnest([0, 1, 2]) AS i FROM b), c AS (SELECT *, CASE i WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 250 + k END AS ahead, CASE i WHEN 0 THEN 0 WHEN 1 THEN 100 + k ELSE 250 + k END AS passed, CASE i WHEN 0 THEN 100 ELSE 150 + CASE i WHEN 1 THEN k ELSE 0 END END AS wide, CASE i WHEN 0 THEN '100M' || k || 'I' WHEN 1 THEN '150M' || k || 'D' ELSE '150M' END AS ops FROM s) SELECT line AS line_key, l_partkey, l_suppkey, (t + ahead)::BIGINT AS t_from, (t + ahead + wide)::BIGINT AS t_upto, (CASE WHEN plus THEN lo + passed ELSE hi - passed END)::BIGINT AS q_at, ops FROM c")
+def cigar_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber")
+    _, b = _blocks(spark, sf_dir, F.concat(F.lit("100M"), k, F.lit("I150M"), k, F.lit("D150M")))
+    found = project.cigar_stretches(b, 2)
+    line = F.col("line_no")
+    return found.select(F.expr("line_no div 1000000000").alias("line_key"), F.expr("line_no % 1000000000 div 10000").alias("l_partkey"), (line % 10_000).alias("l_suppkey"), "t_from", "t_upto", "q_at", "ops")
+
+
 _SQL_NEAR = "WITH a AS (SELECT l_suppkey % 20 AS t_name, l_orderkey * 7 AS t_start, l_partkey % 3 AS q_contig, l_orderkey * 7 + CASE WHEN l_partkey % 97 = 0 THEN 90000000 ELSE l_partkey END AS q_start, l_orderkey * 7 + 1000 AS q_end FROM lineitem), g AS (SELECT o_orderkey, o_custkey % 20 AS t_name, o_orderkey * 7 AS start, o_orderkey * 7 + 300 AS stop FROM orders), n AS (SELECT *, (q_start + q_end) // 2 AS mid FROM g JOIN a USING (t_name) WHERE t_start BETWEEN start - 50 AND stop + 50), v AS (SELECT o_orderkey, q_contig, count(*) AS n, min(t_start) AS f FROM n GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC, f, q_contig) AS k FROM v), kept AS (SELECT n.*, top.n AS votes FROM n JOIN top USING (o_orderkey, q_contig) WHERE k = 1), med AS (SELECT o_orderkey, list_sort(list(mid))[count(*) // 2 + 1] AS median FROM kept GROUP BY ALL), f AS (SELECT kept.*, votes <= 2 OR abs(mid - median) <= 10 * (50 + 10) AS ok, bool_or(abs(mid - median) <= 10 * (50 + 10)) OVER (PARTITION BY o_orderkey) AS some_ok FROM kept JOIN med USING (o_orderkey)) SELECT o_orderkey, q_contig AS contig, greatest(0, min(least(q_start, q_end)) - 10)::BIGINT AS lo, (max(greatest(q_start, q_end)) + 10)::BIGINT AS hi, count(*)::BIGINT AS n_anchors FROM f WHERE ok OR NOT some_ok GROUP BY o_orderkey, q_contig"
 
 

@@ -50,6 +50,81 @@ def test_cigar_walk_equals_a_table_of_bases(spark):
     assert [x["q"] for x in got] == want
 
 
+def _walk(ops, t_start, q_start, q_end, strand, t):
+    """The lift of one place, base by base."""
+    at, q = t_start, q_start if strand == "+" else q_end
+    step = 1 if strand == "+" else -1
+    for n, o in ops:
+        for _ in range(n):
+            if o in "M=XDN" and at == t:
+                return q if strand == "+" else q - 1
+            at += o in "M=XDN"
+            q += step * (o in "M=XI")
+    return q
+
+
+def test_long_blocks_are_lifted_stretch_by_stretch(spark):
+    r = random.Random(31)
+    blocks, ops_of = [], {}
+    for i in range(6):
+        ops = [(r.randint(1, 900), "M")] + [(r.randint(1, 900), r.choice("M=XMM")) if j % 2 else (r.randint(1, 90), r.choice("DINSHP")) for j in range(r.choice([1, 30, 400]))]
+        t_len, q_len = sum(n for n, o in ops if o in "M=XDN"), sum(n for n, o in ops if o in "M=XI")
+        start, strand = r.randrange(10**6), r.choice("+-")
+        # cigars that end before the block does, and after
+        blocks.append((i, f"q{i}", 5000, 5000 + q_len, strand, f"chr{i % 2}", start, start + t_len + r.choice([0, 0, 7, -5]), "".join(f"{n}{o}" for n, o in ops)))
+        ops_of[i] = ops
+    blocks += [(7, "junk", 10, 90, "-", "chr3", 100, 180, "*"), (8, "none", 10, 90, "+", "chr4", 100, 180, None), (9, "empty", 10, 90, "+", "chr5", 100, 180, "")]
+    # a second block of the same extent, on a later line, and the same one once more
+    blocks += [(20, "later", 0, 9, "+", *blocks[0][5:8], "5M"), blocks[1]]
+    targets = [("at", "chr3", 120, 130), ("mid", "chr4", 120, 130), ("e", "chr5", 150, 900), ("nothing", "chr9", 1, 2), (None, "chr4", 1, 140), ("null", None, 1, 2), ("open", "chr4", None, 140)]
+    for i, b in enumerate(blocks[:6]):
+        targets += [(f"{i}-{j}", b[5], *sorted(r.randrange(b[6] - 50, b[7] + 50) for _ in range(2))) for j in range(25)]
+        targets += [(f"{i}-whole", b[5], b[6], b[7]), (f"{i}-around", b[5], 0, 10**9)]
+    t = spark.createDataFrame(targets + targets[:3], "k string, chrom string, start long, end long")
+    want = {}
+    for k, chrom, start, end in targets:
+        if start is None:
+            continue
+        found = [(min(end, b[7]) - max(start, b[6]), -b[0], n) for n, b in enumerate(blocks) if b[5] == chrom and start < b[7] and b[6] < end]
+        if found:
+            b = blocks[max(found)[2]]
+            places = max(start, b[6]), min(end, b[7])
+            if b[8]:
+                lifted = [_walk(ops_of.get(b[0], []), b[6], b[2], b[3], b[4], x) for x in places]
+            else:
+                lifted = [x - 90 for x in places]
+            want[k, chrom] = (b[1], min(lifted), max(lifted), b[4])
+    frame = spark.createDataFrame(blocks, BLOCK)
+    for n in (1, 5, 256):
+        got = project.project_blocks(t, frame, ["k"], n).collect()
+        assert len(got) == len(want) and {(x["k"], x["chrom"]): (x["q_name"], x["lo"], x["hi"], x["strand"]) for x in got} == want
+
+
+def test_operations_are_cut_with_running_sums(spark):
+    rows = [(1, 100, 1000, 0, 60, "+", "10M5I10D20M3S"), (2, 100, 1000, 0, 60, "-", "10M5I10D20M"), (3, 0, 9, 0, 9, "+", "x9"), (4, 0, 9, 0, 9, "+", None), (5, 0, 9, 0, 9, "+", "4Q12=I3")]
+    b = spark.createDataFrame(rows, "line_no long, t_start long, t_end long, q_start long, q_end long, strand string, cigar string")
+    got = {}
+    for x in project.cigar_stretches(b, 2).orderBy("line_no", "t_from").collect():
+        got.setdefault(x["line_no"], []).append((x["t_from"], x["t_upto"], x["q_at"], x["ops"], x["last"]))
+    assert got[1] == [(100, 110, 0, "10M5I", False), (110, 140, 15, "10D20M", False), (140, 140, 35, "3S", True)]
+    assert got[2] == [(100, 110, 60, "10M5I", False), (110, 140, 45, "10D20M", True)]
+    assert got[3] == [(0, 0, 0, "", True)] and got[5] == [(0, 12, 0, "12=", True)] and 4 not in got
+
+
+def test_bytes_moved_for_a_lift_do_not_grow_with_its_block(spark):
+    for n in (200, 40_000):
+        b = spark.createDataFrame([(1, "q", 0, 901 * n, "+", "chr1", 0, 900 * n, "900M1I" * n)], BLOCK)
+        t = spark.createDataFrame([("x", "chr1", 450 * n, 450 * n + 40)], "k string, chrom string, start long, end long")
+        df = project.project_blocks(t, b, ["k"])
+        assert [x["lo"] for x in df.collect()] == [450 * n + n // 2]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan
+        final = plan[: plan.find("== Initial Plan ==")]
+        # the cigars' side is joined where it is: no exchange lies below the step that cuts them but that of the places sent to it
+        below = final[final.index("MapInArrow") :]
+        assert "LeftSemi" in below and "BroadcastExchange" in below and "hashpartitioning" not in below
+
+
 def test_anchor_windows(spark):
     t = spark.createDataFrame([("x", "chr1", 100_000, 101_000)], "k string, chrom string, start long, end long")
     rows = [("chr1", 90_000 + 10_000 * i, "good", 500_000 + 10_000 * i, 501_000 + 10_000 * i) for i in range(5)] + [("chr1", 95_000, "bad", 1, 1001), ("chr1", 96_000, "good", 9_000_000, 9_001_000), ("chr2", 100_000, "no", 1, 2)]
