@@ -76,7 +76,8 @@ def thermo_reason(sites: DataFrame, thermo: Thermo) -> DataFrame:
     gated = sites.withColumn("_gate", near_3prime(F.col("offsets_3p"), thermo.hard) > 0).withColumn("_aligned", aligned)
     stopped = gated.where("_gate").withColumn("reason", F.lit(f"mismatch within 3' terminal {thermo.hard}nt"))
     scored = gated.where("not _gate").withColumn("_tm", duplex_tm(F.upper("query"), F.col("_aligned"), thermo.conditions)).withColumn("_end", duplex_tm(F.upper("query"), F.col("_aligned"), thermo.conditions, end=True))
-    one = lambda c: F.format_string("%.1f", F.bround(c, 1))
+    # rounding makes no negative zero, which the texts have
+    one = lambda c: F.concat(F.when((c < 0) & (F.bround(c, 1) == 0), "-").otherwise(""), F.format_string("%.1f", F.bround(c, 1)))
     fits = (F.col("_tm") >= least) & (F.col("_end") >= least - 10.0)
     why = (
         F.when(F.col("_tm") < least, F.concat(F.lit("annealing Tm "), one(F.col("_tm")), F.lit("C < "), one(least), F.lit("C")))

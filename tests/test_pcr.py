@@ -119,3 +119,10 @@ def test_reports(spark, tmp_path):
     assert rows[0]["summary"] == "50% (2/4) · 1 dropout · 1 off-target · 1 multi · 1 not projectable"
     text = reports.verify_tsv(rows).split("\n")[1].split("\t")
     assert sorted(text[-5:]) == sorted(["dropout", "140 | off:140", "off:140", "140", "?"])
+
+
+def test_temperatures_just_below_zero_keep_their_sign(spark):
+    rows = [("A" * 20, "C" * 20, d) for d in (4.98, 5.0, 5.02, 4.94)]
+    sites = spark.createDataFrame([(q, w, "+", [19], d) for q, w, d in rows], "query string, window string, strand string, offsets_3p array<int>, design_tm double")
+    told = {r["design_tm"]: r["reason"] for r in pcr.thermo_reason(sites, pcr.Thermo()).collect()}
+    assert told == {d: f"annealing Tm -273.0C < {d - 5:.1f}C" for _, _, d in rows}
