@@ -9,20 +9,22 @@ columns, strand, start, mismatches, offsets_3p.
   a table of all such variants of the halves, indexed by the two-bit code of a window,
   tells the few places that are compared in full.  Where that table would be too large
   (many mismatches and primers), the k + 1 segments as they are take its place.
-* ``seed_join``: an equi-join on k + 1 segments, one of which a hit matches
-  exactly, for plans without Python.
+* ``seed_join``: the same as an equi-join of windows' halves with all variants of the
+  primers' (of k + 1 segments where those are too many), for plans without Python.  The
+  variants are sent to the windows where they are few.
 * ``expr``: windows times primers; for small fixtures, refused above a size.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import mismatch_places, offsets_3p, revcomp, revcomp_text
@@ -82,6 +84,8 @@ _IS_BASE = np.zeros(256, bool)
 _IS_BASE[list(b"ACGT")] = True
 #: Entries of the tables of variants; with more, seeds that match exactly are used.
 ENTRIES = 1 << 24
+#: Variants of seeds that the equi-join sends to the windows.
+SENT = 1 << 18
 
 
 def _codes(code: np.ndarray, n: int) -> np.ndarray:
@@ -311,16 +315,48 @@ def _finish(hits: DataFrame, keys: list[str], window: bool) -> DataFrame:
     return hits.withColumn("places", places).select(*keys, "query", "strand", "start", F.size("places").alias("mismatches"), offsets_3p(F.col("places"), F.col("length"), F.col("strand")).alias("offsets_3p"), *[F.col("seen").alias("window")] * window)
 
 
+def _seeds_of(length: int, k: int, patterns: int) -> tuple[list[tuple[int, int]], int]:
+    """Segments (start, end) of primers of a length, and in how many places a window's may differ from one of them."""
+    half = length // 2
+    if half >= 4 and length > k and 2 * patterns * _count_changes(half, k // 2) <= ENTRIES:
+        return [(0, half), (length - half, length)], k // 2
+    return _segments(length, k), 0
+
+
+def _count_changes(n: int, most: int) -> int:
+    return sum(math.comb(n, i) * 4**i for i in range(most + 1))
+
+
+def _changed(seeds: DataFrame, most: int) -> DataFrame:
+    """``seeds`` with all sequences that differ from them in at most ``most`` places."""
+    for _ in range(most):
+        each = F.transform(F.sequence(F.lit(1), F.length("seed")), lambda i: F.transform(F.array(*map(F.lit, "ACGTN")), lambda c: F.concat(F.substring(F.col("seed"), F.lit(1), i - 1), c, F.substring(F.col("seed"), i + 1, F.length("seed")))))
+        seeds = seeds.withColumn("seed", F.explode(F.flatten(each))).distinct()
+    return seeds
+
+
 def _seed_join(chunked: DataFrame, orient: DataFrame, k: int, keys: list[str], lengths: list[int], window: bool) -> DataFrame:
     out = None
+    counts = {r["length"]: r["count"] for r in orient.groupBy("length").count().collect()}
+    # bytes, of which a place is reached at once; in a seed other characters are alike: more candidates, never fewer
+    text = F.upper(F.regexp_replace("sequence", r"[^\x00-\x7f]", "?")).cast("binary")
+    plain = lambda c: F.regexp_replace(c, "[^ACGT]", "N")
+    raw = chunked.select(*keys, "base", "own", text.alias("_raw"), plain(text.cast("string")).cast("binary").alias("_plain"))
     for length in lengths:
         own = orient.where(F.col("length") == length)
-        parts = F.array(*[F.struct(F.lit(i).alias("seg"), F.substring("pattern", a + 1, b - a).alias("seed")) for i, (a, b) in enumerate(_segments(length, k))])
-        seeds = own.withColumn("p", F.explode(parts)).select("query", "pattern", "strand", "length", "p.seg", "p.seed")
-        at = F.explode(F.when(F.length("sequence") >= length, F.sequence(F.lit(0), F.least(F.length("sequence") - length, F.col("own").cast("int") - 1))).otherwise(F.array().cast("array<int>")))
-        windows = chunked.withColumn("at", at).select(*keys, (F.col("base") + F.col("at")).cast("long").alias("start"), F.upper(F.substring(F.col("sequence"), F.col("at") + 1, F.lit(length))).alias("seen"))
-        slices = F.array(*[F.struct(F.lit(i).alias("seg"), F.substring("seen", a + 1, b - a).alias("seed")) for i, (a, b) in enumerate(_segments(length, k))])
-        candidates = windows.withColumn("w", F.explode(slices)).select(*keys, "start", "seen", "w.seg", "w.seed").join(seeds, ["seg", "seed"]).drop("seg", "seed")
+        segments, most = _seeds_of(length, k, counts[length])
+
+        def parts(c: Column, before: Column) -> Column:
+            return F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.substring(c, before + a + 1, F.lit(b - a)).alias("seed")) for i, (a, b) in enumerate(segments)]))  # noqa: B023
+
+        seeds = own.withColumn("p", parts(plain("pattern"), F.lit(0))).select("query", "pattern", "strand", "length", "p.seg", "p.seed")
+        seeds = _changed(seeds, most).withColumn("seed", F.col("seed").cast("binary"))
+        if len(segments) * counts[length] * _count_changes(length // 2, most) <= SENT:
+            seeds = F.broadcast(seeds)  # so that no window is shuffled
+        n = F.length("_raw")
+        at = F.explode(F.when(n >= length, F.sequence(F.lit(0), F.least(n - length, F.col("own").cast("int") - 1))).otherwise(F.array().cast("array<int>")))
+        windows = raw.withColumn("at", at).withColumn("w", parts(F.col("_plain"), F.col("at"))).select(*keys, (F.col("base") + F.col("at")).cast("long").alias("start"), F.substring(F.col("_raw"), F.col("at") + 1, F.lit(length)).alias("seen"), "w.seg", "w.seed")
+        candidates = windows.join(seeds, ["seg", "seed"]).drop("seg", "seed").withColumn("seen", F.col("seen").cast("string"))
         near = candidates.where(F.size(mismatch_places(F.col("pattern"), F.col("seen"), F.col("length"))) <= k).distinct()
         out = near if out is None else out.unionByName(near)
     return _finish(out, keys, window)

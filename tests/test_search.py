@@ -73,3 +73,20 @@ def test_seeds_back_off_from_large_tables(spark, monkeypatch, k):
         got += [(kernel.queries[int(i)].as_py(), kernel.strands[int(i)].as_py(), int(a), int(w.sum())) for i, a, w in zip(p, at, wrong, strict=True)]
     assert sorted(set(got)) == sorted({(p, strand, at, m) for p in primers for strand, at, m, _ in s.naive(text, p, k)})
     assert max(len(t[2]) for t in kernel.tables.values()) <= (k + 1) * 24
+
+
+def test_the_equi_join_shuffles_no_windows_and_has_few_candidates(spark):
+    q = spark.createDataFrame([("TTGCACAGTCCAGATTGCAA",)], "query string")
+    df = spark.createDataFrame([("a", "ACGT" * 20)], "contig string, sequence string")
+    plan = s.search(df, q, 3, "seed_join")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert s._seeds_of(20, 3, 800) == ([(0, 10), (10, 20)], 1)  # halves of 10 bases, not quarters of 5
+    assert s._seeds_of(20, 3, s.ENTRIES) == (s._segments(20, 3), 0)
+
+
+@pytest.mark.parametrize("how", ["arrow", "seed_join"])
+def test_other_characters_count_one_base_each(spark, how):
+    p = "TTGCACAGTCCAGATTGCAA"
+    contigs = [("a", "é" + p[:5] + "ß" + p[6:] + "😀" + p[:12] + "n" + p[13:])]
+    got = rows(s.search(spark.createDataFrame(contigs, "contig string, sequence string"), spark.createDataFrame([(p,)], "query string"), 1, how))
+    assert [x[3:5] for x in got] == [(1, 1), (22, 1)]
