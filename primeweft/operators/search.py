@@ -119,12 +119,19 @@ def _changes(n: int, most: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-#: Characters of contigs that the kernel takes at once.
-TAKEN = 1 << 22
+#: Characters of contigs that the kernel takes at once, and candidates that it compares at once.
+TAKEN = 1 << 20
+COMPARED = 1 << 17
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 
 
+def _runs(of: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    edges = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)])) if len(of) else np.zeros(1, np.int64)
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 class Kernel:
     """Patterns in a matrix for each length, and tables from a seed's code to the patterns it may belong to."""
 
@@ -176,30 +183,45 @@ class Kernel:
                 at = np.flatnonzero(wanted[rolled])
                 found = rolled[at].astype(np.int64)
                 lo, count = starts[found], starts[found + 1] - starts[found]
-                entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                yield pattern[entry], np.repeat(at + begin, count) - offset[entry]
+                # places that many patterns ask for, as runs of a base, are taken in parts
+                part = (np.cumsum(count) - count) // COMPARED
+                for a, b in _runs(part):
+                    n_of = count[a:b]
+                    entry = np.repeat(lo[a:b] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
+                    yield pattern[entry], np.repeat(at[a:b] + begin, n_of) - offset[entry]
 
     def hits(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(pattern, contig, start in the text, mismatch flags from the 3' end on) of upper-cased contigs that lie one behind the other."""
-        found = list(self.candidates(text))
-        if not found:
+        near = [self._near(text, offsets, p, at) for p, at in self.candidates(text)]
+        if not near:
             return
-        p, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.concatenate(near))
+        p, at = both // (len(text) + 1), both % (len(text) + 1)
+        for n in self.matrix:
+            own = np.flatnonzero(self.length[p] == n)
+            for a in range(0, len(own), 1 << 16):
+                some = own[a : a + (1 << 16)]
+                wrong = self._wrong(text, n, p[some], at[some])
+                wrong = np.where(self.minus[p[some]][:, None], wrong, wrong[:, ::-1])
+                yield p[some], np.searchsorted(offsets, at[some], "right") - 1, at[some], wrong
+
+    def _wrong(self, text: np.ndarray, n: int, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return text[at[:, None] + np.arange(n)] != self.matrix[n][self.place[p]]
+
+    def _near(self, text: np.ndarray, offsets: np.ndarray, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The numbers (pattern, place) of the candidates that lie in a contig with at most k mismatches, so that only those are kept."""
         contig = np.searchsorted(offsets, at, "right") - 1
         ok = (at >= 0) & (at < len(text))
         ok[ok] = at[ok] + self.length[p[ok]] <= offsets[contig[ok] + 1]
         both = np.unique(p[ok] * (len(text) + 1) + at[ok])
         p, at = both // (len(text) + 1), both % (len(text) + 1)
-        for n, matrix in self.matrix.items():
+        kept = []
+        for n in self.matrix:
             own = np.flatnonzero(self.length[p] == n)
             for a in range(0, len(own), 1 << 16):
                 some = own[a : a + (1 << 16)]
-                wrong = text[at[some][:, None] + np.arange(n)] != matrix[self.place[p[some]]]
-                near = wrong.sum(1) <= self.k
-                some, wrong = some[near], wrong[near]
-                wrong = np.where(self.minus[p[some]][:, None], wrong, wrong[:, ::-1])
-                if len(some):
-                    yield p[some], np.searchsorted(offsets, at[some], "right") - 1, at[some], wrong
+                kept.append(both[some[self._wrong(text, n, p[some], at[some]).sum(1) <= self.k]])
+        return np.concatenate(kept) if kept else both[:0]
 
 
 #: The kernel of the last search; a worker serves many tasks of one.

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from primeweft.functions.sequences import revcomp_text
 from primeweft.operators import search as s
@@ -90,3 +91,17 @@ def test_other_characters_count_one_base_each(spark, how):
     contigs = [("a", "é" + p[:5] + "ß" + p[6:] + "😀" + p[:12] + "n" + p[13:])]
     got = rows(s.search(spark.createDataFrame(contigs, "contig string, sequence string"), spark.createDataFrame([(p,)], "query string"), 1, how))
     assert [x[3:5] for x in got] == [(1, 1), (22, 1)]
+
+
+def test_the_kernel_keeps_few_candidates_at_once(monkeypatch):
+    """A run of a base that all primers ask for is compared in parts, with the same hits."""
+    monkeypatch.setattr(s, "COMPARED", 1 << 10, raising=False)
+    r = random.Random(1)
+    primers = ["A" * 10 + "".join(r.choice("ACGT") for _ in range(10)) for _ in range(40)]
+    text = "A" * 3000 + primers[7] + "C" + primers[9]
+    kernel = s.Kernel([(p, p, "+") for p in primers], 3)
+    data = np.frombuffer(text.encode(), np.uint8)
+    most = max(len(p) for p, _ in kernel.candidates(data))
+    assert most <= (1 << 10) + 2 * 40 * len(s._changes(10, 1))
+    got = sorted((primers[i], int(a), int(w.sum())) for p, _, at, wrong in kernel.hits(data, np.array([0, len(data)])) for i, a, w in zip(p, at, wrong, strict=True))
+    assert got == sorted((p, at, m) for p in primers for strand, at, m, _ in s.naive(text, p, 3) if strand == "+")
