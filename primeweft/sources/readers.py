@@ -103,13 +103,14 @@ def read_grid(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, di
 
 
 def write_grid(anchors: DataFrame, path: str, metadata: dict[str, object] | None = None) -> None:
-    """Anchors as compressed tab-separated text, a file or more for each chromosome, sorted; `read_grid` reads the folder.
+    """Anchors as compressed tab-separated text, sorted over files of about equal ranges; `read_grid` reads the folder.
 
-    Metadata are a comment line in each file.  The commit makes the folder appear at once.
+    A chromosome, however large, is dealt over files by its places, so that no task sorts one alone.
+    Metadata are a comment line of their own.  The commit makes the folder appear at once.
     """
     columns = ["t_name", "t_start", "t_end", "q_contig", "q_start", "q_end", "strand"]
     order = ["t_name", "t_start", "q_contig", "q_start"]
-    lines = anchors.repartition("t_name").sortWithinPartitions(*order).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
+    lines = anchors.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
     if metadata:
         told = anchors.sparkSession.createDataFrame([("#" + " ".join(f"{k}={v}" for k, v in metadata.items()),)], "value string")
         lines = told.unionByName(lines)

@@ -204,3 +204,18 @@ def test_a_variant_in_a_primer_and_the_grid_route(spark, tmp_path, monkeypatch):
         assert cli.main(["grid", "--backbone", f"{tmp_path}/bb.fa", "--fasta", f"{tmp_path}/h_hap{h}.fa", "--out", f"{tmp_path}/h_hap{h}.fa.anchors.tsv.gz", "--step", "2000", "--probe", "500", "--least", "1000"]) == 0
     assert readers.read_grid(spark, f"{tmp_path}/h_hap1.fa.anchors.tsv.gz")[0].count() > 15
     assert statuses() == want
+
+
+def test_a_large_chromosome_of_a_grid_is_dealt_over_files(spark, tmp_path):
+    rows = [("chr1", i, i + 5, "q", i, i + 5, "+") for i in range(4000)] + [("chr2", 3, 8, "q", 1, 6, "-")]
+    anchors = spark.createDataFrame(rows, "t_name string, t_start long, t_end long, q_contig string, q_start long, q_end long, strand string").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        readers.write_grid(anchors, str(tmp_path / "grid"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = [[x.split("\t") for x in gzip.open(p, "rt").read().splitlines()] for p in sorted((tmp_path / "grid").glob("*.gz"))]
+    assert max(map(len, files)) < 2000 and sum(map(len, files)) == 4001
+    assert all([int(x[1]) for x in f if x[0] == c] == sorted(int(x[1]) for x in f if x[0] == c) for f in files for c in ("chr1", "chr2"))
+    assert sorted(tuple(r) for r in readers.read_grid(spark, str(tmp_path / "grid"))[0].drop("path").collect()) == sorted(rows)
