@@ -70,15 +70,16 @@ def write_blocked(lines: DataFrame, folder: str, size: int = 20_000) -> list[str
         context = TaskContext.get()
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        held = b""
+        held = bytearray()
         with system.open_output_stream(f"{path}/part-{context.partitionId():05d}-{context.taskAttemptId()}.fa.gz", compression=None) as out:
             for batch in batches:
                 held += "".join(x + "\n" for x in batch.column(0).to_pylist()).encode()
-                while len(held) >= size:
-                    out.write(member(held[:size]))
-                    held = held[size:]
+                whole = len(held) // size * size
+                for a in range(0, whole, size):
+                    out.write(member(bytes(held[a : a + size])))
+                del held[:whole]
             if held:
-                out.write(member(held))
+                out.write(member(bytes(held)))
             out.write(member(b""))
         yield pa.RecordBatch.from_arrays([pa.array([f"part-{context.partitionId():05d}-{context.taskAttemptId()}.fa.gz"])], names=["file"])
 

@@ -22,6 +22,8 @@ from ..ship import ship
 
 #: Bases of a chunk's own, compressed bytes of a range of members, bytes read at once.
 CHUNK, RANGE, READ = 1 << 20, 1 << 24, 1 << 22
+#: Tasks of blocked files for each core, where ranges are many.
+TASKS = 4
 _MAGIC = b"\x1f\x8b\x08\x04"
 
 
@@ -70,13 +72,23 @@ def _opened(uri: str):
     return system.open_input_file(path)
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, uri: str, begin: int, end: int):
         self.uri, self.begin, self.end = uri, begin, end
 
 
+class Ranges(InputPartition):
+    """Ranges that follow each other, of one file or of several, for one task."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 class BlockedGzip(DataSource):
-    """(file, block, value): the lines of blocked gzip files; ``block`` is where the range that a line begins in begins."""
+    """(file, block, value): the lines of blocked gzip files; ``block`` is where the range that a line begins in begins.
+
+    A task reads ranges of up to ``task`` bytes, ``range`` where it isn't given.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -93,20 +105,31 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.uris = options["uris"].split("\n")
         self.range = int(options.get("range", RANGE))
+        self.task = int(options.get("task", self.range))
 
-    def partitions(self) -> list[Range]:
-        out = []
+    def partitions(self) -> list[Ranges]:
+        out, own, held = [], [], 0
         for uri in self.uris:
             with _opened(uri) as f:
                 size = f.size()
-            out += [Range(uri, a, min(a + self.range, size)) for a in range(0, size, self.range)]
-        return out
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+            for a in range(0, size, self.range):
+                b = min(a + self.range, size)
+                if own and held + b - a > self.task:
+                    out.append(Ranges(own))
+                    own, held = [], 0
+                own.append(Range(uri, a, b))
+                held += b - a
+        return [*out, Ranges(own)] if own else out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self._read(r)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         # a line belongs to the range that holds the byte before it; the first range has the first line
         rest, begun = b"", partition.begin == 0
         with _opened(partition.uri) as f:
-            for member_at, text in _texts(f, partition.begin):
+            for member_at, text in _texts(f, partition.begin, partition.end):
                 if member_at >= partition.end:
                     line, found, _ = text.partition(b"\n")
                     rest += line
@@ -133,8 +156,8 @@ class _Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([partition.uri] * n), pa.array([partition.begin] * n, pa.int64()), values], names=["file", "block", "value"])
 
 
-def _texts(f, begin: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, contents) of the members from the first one at or after ``begin`` on."""
+def _texts(f, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, contents) of the members from the first one at or after ``begin`` on; reads go little beyond ``end`` at a time."""
     size = f.size()
     at = begin
     if begin:
@@ -153,7 +176,7 @@ def _texts(f, begin: int) -> Iterator[tuple[int, bytes]]:
     data, base = b"", at
     while at < size:
         if base + len(data) - at < 1 << 17 and base + len(data) < size:
-            data, base = f.read_at(min(READ, size - at), at), at
+            data, base = f.read_at(min(READ, max(end - at, 0) + (1 << 17), size - at), at), at
         n = member_size(data, at - base)
         if n is None or at + n > size:
             raise ValueError(f"the member at {at} is cut or not blocked gzip")
@@ -190,7 +213,12 @@ def _lines(spark: SparkSession, paths: list[str], size: int) -> DataFrame:
         parts.append(spark.read.text(plain).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "value"))
     if reachable:
         spark.dataSource.register(BlockedGzip)
-        parts.append(spark.read.format("primeweft_bgzf").option("uris", "\n".join(qualified(spark, p) for p in reachable)).option("range", size).load())
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(hadoop, reachable))
+        # small ranges are read together, in several tasks for each core, so that starting them doesn't outweigh reading
+        task = max(size, min(RANGE, total // (TASKS * spark.sparkContext.defaultParallelism)))
+        parts.append(spark.read.format("primeweft_bgzf").option("uris", "\n".join(qualified(spark, p) for p in reachable)).option("range", size).option("task", task).load())
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -219,3 +219,20 @@ def test_a_large_chromosome_of_a_grid_is_dealt_over_files(spark, tmp_path):
     assert max(map(len, files)) < 2000 and sum(map(len, files)) == 4001
     assert all([int(x[1]) for x in f if x[0] == c] == sorted(int(x[1]) for x in f if x[0] == c) for f in files for c in ("chr1", "chr2"))
     assert sorted(tuple(r) for r in readers.read_grid(spark, str(tmp_path / "grid"))[0].drop("path").collect()) == sorted(rows)
+
+
+def test_ranges_of_blocked_files_are_read_together(spark, tmp_path):
+    """Tasks of several ranges give the lines and ranges that a task for each gives, and read little beyond their own bytes."""
+    from primeweft.plans.catalog_files import write_blocked
+    from primeweft.sources import fasta
+
+    lines = [f">c{i}" if i % 50 == 0 else "ACGT" * (i % 17) for i in range(4000)]
+    files = write_blocked(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), f"file://{tmp_path}/b", 700)
+    found = []
+    for task in (500, 6000):
+        reader = fasta._Reader({"uris": "\n".join(files), "range": "500", "task": str(task)})
+        parts = reader.partitions()
+        found.append(([x for p in parts for b in reader.read(p) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)], len(parts)))
+    (one, many), (other, few) = found
+    assert one == other and [x[2] for x in one] == lines and len({x[1] for x in one}) > 5
+    assert few * 4 < many
