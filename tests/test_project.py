@@ -246,3 +246,19 @@ def test_differences_mark_planted_variants(spark):
     assert len(marked) <= 40 and align.differences(t, "ACGT" * 20) is None
     got = align.align_windows(spark.createDataFrame([("t", t)], "template string, sequence string"), spark.createDataFrame([("h1", t), ("h2", "A" * 50)], "haplotype string, sequence string")).collect()
     assert [(x["haplotype"], x["cs"]) for x in got] == [("h1", ":600")]
+
+
+def test_what_a_window_join_finds_is_exchanged_once(spark):
+    targets = spark.createDataFrame([(1, "c", 100, 400), (2, "c", 900, 1200)], "k long, chrom string, start long, end long")
+    anchors = spark.createDataFrame([("c", i * 40, f"q{i % 2}", i * 40, i * 40 + 10) for i in range(30)], "t_name string, t_start long, q_contig string, q_start long, q_end long")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = project.anchor_windows(targets, anchors, ["k"], 10, 10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["k"] for r in found.collect()) == [1, 2]
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert plan.count("Exchange hashpartitioning") == 3
