@@ -122,6 +122,8 @@ def _changes(n: int, most: int) -> np.ndarray:
 #: Characters of contigs that the kernel takes at once, and candidates that it compares at once.
 TAKEN = 1 << 20
 COMPARED = 1 << 17
+#: Matches of k-mers that are told at a time.
+MATCHED = 1 << 18
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 
@@ -285,24 +287,42 @@ class SeedTable:
         at = np.flatnonzero(bad[self.k :] == bad[: -self.k])
         return at, _codes(_CODE[data], self.k)[at]
 
-    def matches(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(place in the text, contig, number of the sought text, whether turned, place in it) of each match within a contig."""
-        found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    def matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(place in the text, contig, number of the sought text, whether turned, place in it) of each match within a contig.
+
+        About ``MATCHED`` matches at a time, however often the sought texts have a k-mer.
+        """
+        kept, most = [], 0
         for begin in range(0, max(0, len(text) - self.k + 1), STRIDE):
             piece = text[begin : begin + STRIDE + self.k - 1]
             rolled = _codes(_CODE[piece], self.k)
             at = np.flatnonzero(self.wanted[rolled >> self.shift])
-            found[0].append(at + begin)
-            found[1].append(rolled[at])
-        at, code = (np.concatenate(x) for x in found)
-        contig = np.searchsorted(offsets, at, "right") - 1
-        bad = np.concatenate(([0], np.cumsum(~_IS_BASE[text])))
-        ok = (at + self.k <= offsets[contig + 1]) & (bad[np.minimum(at + self.k, len(text))] == bad[at])
-        at, code, contig = at[ok], code[ok], contig[ok]
-        lo = np.searchsorted(self.codes, code)
-        count = np.searchsorted(self.codes, code, "right") - lo
-        entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(at, count), np.repeat(contig, count), self.text_no[entry], self.minus[entry], self.q[entry]
+            bad = np.concatenate(([0], np.cumsum(~_IS_BASE[piece])))
+            at = at[bad[at + self.k] == bad[at]]
+            code = rolled[at]
+            at += begin
+            lo = np.searchsorted(self.codes, code)
+            count = np.searchsorted(self.codes, code, "right") - lo
+            contig = np.searchsorted(offsets, at, "right") - 1
+            ok = (count > 0) & (at + self.k <= offsets[contig + 1])
+            kept.append((at[ok], contig[ok], lo[ok], count[ok]))
+            most += int(kept[-1][3].sum())
+            if most >= MATCHED:
+                yield from self._spread(*map(np.concatenate, zip(*kept, strict=True)))
+                kept, most = [], 0
+        if most:
+            yield from self._spread(*map(np.concatenate, zip(*kept, strict=True)))
+
+    def _spread(self, at: np.ndarray, contig: np.ndarray, lo: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """A match for each of the ``count`` entries from ``lo`` on."""
+        upto = np.cumsum(count)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MATCHED, "right")))
+            n = count[a:b]
+            entry = np.repeat(lo[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(at[a:b], n), np.repeat(contig[a:b], n), self.text_no[entry], self.minus[entry], self.q[entry]
+            a = b
 
 
 def _arrow(cut: DataFrame, patterns: list[tuple[str, str, str]], k: int, keys: list[str], window: bool) -> DataFrame:

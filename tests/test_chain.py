@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from primeweft.functions.sequences import revcomp_text
-from primeweft.operators import chain, project
+from primeweft.operators import chain, project, search
 
 
 def made(rng, n):
@@ -100,3 +100,33 @@ def test_rows_of_several_keys_and_batches(spark):
 def test_nothing_to_place(spark):
     contigs = spark.createDataFrame([("c", "ACGT" * 100)], "chrom string, sequence string")
     assert project.chain_projection(spark.createDataFrame([("t", None), ("n", "N" * 50), ("short", "ACG")], "target string, bases string"), contigs, []).count() == 0
+
+
+def test_matches_of_repeats_come_in_parts():
+    table = search.SeedTable(["AC" * 200], 15)
+    text = np.frombuffer(b"AC" * (1 << 14), np.uint8)
+    sizes = [len(part[0]) for part in table.matches(text, np.array([0, len(text)]))]
+    assert sum(sizes) == (len(text) - 14) * 193
+    assert max(sizes) <= search.MATCHED + 193
+
+
+def test_parts_of_matches_are_all_matches(monkeypatch):
+    monkeypatch.setattr(search, "STRIDE", 64)
+    monkeypatch.setattr(search, "MATCHED", 5)
+    rng = random.Random(14)
+    base = made(rng, 60)
+    texts = ["AC" * 12, base, base[10:40] + "AC" * 9]
+    contigs = ["AC" * 40, "", base[:30] + "N" + base[31:], "ACG", revcomp_text(base) + "AC" * 8, made(rng, 150) + base]
+    text = np.frombuffer("".join(contigs).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, contigs)])
+    got = sorted(x for part in search.SeedTable(texts, 15).matches(text, offsets) for x in zip(*(c.tolist() for c in part), strict=True))
+    kmers = lambda s: [(i, s[i : i + 15]) for i in range(len(s) - 14) if "N" not in s[i : i + 15]]
+    sought = [(n, turned, q, w) for n, t in enumerate(texts) for turned in (False, True) for q, w in kmers(revcomp_text(t) if turned else t)]
+    want = sorted((int(offsets[c]) + at, c, n, turned, q) for c, s in enumerate(contigs) for at, w in kmers(s) for n, turned, q, x in sought if w == x)
+    assert len(want) > 100 and got == want
+
+
+def test_sent_targets_are_no_python_rows(spark):
+    targets = spark.sql("SELECT 't' AS target, repeat('ACGGTCATTG', 9) AS bases")
+    contigs = spark.sql("SELECT 'c' AS chrom, repeat('ACGGTCATTG', 9) AS sequence")
+    assert "ExistingRDD" not in project.seed_matches(targets, contigs, [])._jdf.queryExecution().executedPlan().toString()
