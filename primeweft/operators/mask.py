@@ -20,7 +20,8 @@ def variants(alignments: DataFrame, length: Column) -> DataFrame:
 
     A substitution marks its position, a deletion each missing one, an insertion the
     position before which it stands.  Marks are a bag: an insertion and a substitution
-    at one position count two.  Each string is walked by a fold in its own row.
+    at one position count two.  Each string is walked by a fold in its own row.  Marks come
+    dealt by template.
     """
     none = F.array().cast("array<bigint>")
 
@@ -31,9 +32,11 @@ def variants(alignments: DataFrame, length: Column) -> DataFrame:
         return F.struct((a["at"] + span).alias("at"), F.concat(a["marks"], marks).alias("marks"))
 
     start = F.struct(F.col("r_start").cast("long").alias("at"), none.alias("marks"))
-    marks = F.aggregate(cs_tokens(F.col("cs")), start, step)["marks"]
-    each = alignments.select("template", length.alias("_n"), F.explode(marks).alias("pos"))
-    return each.where((F.col("pos") >= 0) & (F.col("pos") < F.col("_n"))).select("template", "pos")
+    marks = F.filter(F.aggregate(cs_tokens(F.col("cs")), start, step)["marks"], lambda p: (p >= 0) & (p < F.col("_n")))
+    # what a task counts at first grows with the templates it meets: they are dealt out, in rows of their own, and a large one over several tasks
+    dealt = alignments.select("template", "r_start", "cs", length.alias("_n")).select("template", F.hash("template").alias("_part"), marks.alias("marks")).hint("rebalance", "_part")
+    # outer, as Spark would else walk each string once more to leave out those without marks
+    return dealt.select("template", F.explode_outer("marks").alias("pos")).where("pos is not null")
 
 
 def pileup(marks: DataFrame) -> DataFrame:

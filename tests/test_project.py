@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from primeweft.functions.sequences import revcomp_text
@@ -198,6 +200,28 @@ def test_masks(spark):
     assert got == {5: 2, 6: 1, 7: 1}
 
 
+def test_variants_equal_a_plain_walk(spark):
+    r = random.Random(21)
+    made = lambda: "".join(r.choice([f":{r.randrange(1, 6)}", "*ac", f"-{'acg'[: r.randrange(1, 4)]}", f"+{'tt'[: r.randrange(1, 3)]}", "=ACGT"]) for _ in range(r.randrange(0, 8)))
+    rows = [(f"t{r.randrange(3)}", r.randrange(-4, 20), made(), r.randrange(8, 24)) for _ in range(300)]
+    want = Counter()
+    for template, at, cs, n in rows:
+        for op, text in re.findall(r"([:*+=-])(\w+)", cs):
+            span = int(text) if op == ":" else 1 if op == "*" else 0 if op == "+" else len(text)
+            want.update((template, p) for p in ([at] if op in "*+" else range(at, at + span) if op == "-" else []) if 0 <= p < n)
+            at += span
+    rows += [("t0", 3, None, 9), ("t0", None, "*ac", 9), ("t0", 3, "*ac", None), ("none", 3, ":4", 9), (None, 3, "*ac", 9)]
+    want[None, 3] += 1
+    a = spark.createDataFrame(rows, "template string, r_start long, cs string, n long")
+    assert {(x["template"], x["pos"]): x["n_variants"] for x in mask.pileup(mask.variants(a, F.col("n"))).collect()} == dict(want)
+
+
+def test_a_task_counts_its_own_templates(spark):
+    a = spark.range(0, 4000, 1, 8).select((F.col("id") % 100).alias("template"), (F.col("id") % 70).alias("r_start"), F.lit(":2*ac-gg").alias("cs"))
+    where = mask.variants(a, F.lit(90)).select("template", F.spark_partition_id().alias("part")).distinct()
+    assert where.count() == 100
+
+
 def test_candidates_equal_a_direct_search(spark):
     r = random.Random(7)
     text = "".join(r.choice("ACGT") for _ in range(260))
